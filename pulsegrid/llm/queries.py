@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, packing
+from . import chat, fingerprints, jaccard, packing
 from .common import table
 
 
@@ -18,6 +18,30 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP5_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
+), s as (
+  select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+    else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as sh from w
+), n as (select doc_id, count(*) as n from s group by doc_id),
+e as (
+  select a.doc_id as a, b.doc_id as b from (
+    select x.doc_id, y.doc_id as other, count(*) as c from s x join s y on x.sh = y.sh and x.doc_id <> y.doc_id group by all) p
+  join n a on a.doc_id = p.doc_id join n b on b.doc_id = p.other
+  where 100 * p.c >= 75 * (a.n + b.n - p.c)
+), r(node, root) as (
+  select doc_id, doc_id from n union select e.b, r.root from r join e on e.a = r.node
+), m as (select node, min(root) as root from r group by node)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(m.root, d.doc_id) as component_id
+from documents d left join n on n.doc_id = d.doc_id left join m on m.node = d.doc_id
+"""
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, i, r, "<|im_end|><|im_start|>assistant ok") for i, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
@@ -46,5 +70,5 @@ with rows as (
 select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars from t
 """
 
-QUERIES = {"op1_packing": op1_packing, "op4_fingerprints": op4_fingerprints, "op7_chat": op7_chat}
-SQL = {"op7_chat": OP7_SQL}
+QUERIES = {"op1_packing": op1_packing, "op4_fingerprints": op4_fingerprints, "op5_ngram_jaccard": op5_ngram_jaccard, "op7_chat": op7_chat}
+SQL = {"op5_ngram_jaccard": OP5_SQL, "op7_chat": OP7_SQL}
