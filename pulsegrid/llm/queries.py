@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, jaccard, packing
+from . import chat, fingerprints, jaccard, packing, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("th")
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -70,5 +74,5 @@ with rows as (
 select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars from t
 """
 
-QUERIES = {"op1_packing": op1_packing, "op4_fingerprints": op4_fingerprints, "op5_ngram_jaccard": op5_ngram_jaccard, "op7_chat": op7_chat}
+QUERIES = {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op4_fingerprints": op4_fingerprints, "op5_ngram_jaccard": op5_ngram_jaccard, "op7_chat": op7_chat}
 SQL = {"op5_ngram_jaccard": OP5_SQL, "op7_chat": OP7_SQL}
