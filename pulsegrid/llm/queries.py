@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, jaccard, packing, toxicity
+from . import chat, decontaminate, fingerprints, jaccard, lines, packing, secrets, substrings, toxicity
 from .common import table
 
 
@@ -15,7 +15,40 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("th")
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+OP3_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+l as (
+  select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from d
+), k as (
+  select *, list_transform(string_split(line, ' '), lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as ts from l where trim(line, ' ') <> ''
+), leaves as (
+  select len(ts) as n, ts[1:3] as head from k group by all having count(distinct text) >= 10
+), here as (select k.* from k join leaves v on v.n = len(k.ts) and v.head = k.ts[1:3]),
+kinds as (select ts, count(distinct text) as d from here group by ts),
+tokens as (select ts, d, unnest(ts) as token, generate_subscripts(ts, 1) as pos from kinds),
+common as (
+  select len(ts) as n, ts[1:3] as head, pos, token from tokens where token <> '<*>' group by all having sum(d) >= 10
+), templates as (
+  select t.ts, any_value(t.d) as d, list(struct_pack(p := t.pos, k := t.token) order by t.pos) as template
+  from tokens t join common c on c.n = len(t.ts) and c.head = t.ts[1:3] and c.pos = t.pos and c.token = t.token
+  group by t.ts having count(*) >= 0.75 * len(t.ts)
+), hit as (
+  select ts, len(ts) as n, ts[1:3] as head, template, sum(d) over (partition by len(ts), ts[1:3], template) as total from templates
+), found as (
+  select h.doc_id, h.line_no, row_number() over (partition by t.n, t.head, t.template order by h.doc_id, h.line_no) as nth
+  from here h join hit t on t.ts = h.ts where t.total >= 10
+), drops as (select doc_id, list(line_no) as gone from found where nth > 1 group by doc_id)
+select d.doc_id, len(string_split(d.text, chr(10)))::bigint as n_lines, coalesce(len(r.gone), 0)::bigint as n_dropped,
+  coalesce((select string_agg(l.line, chr(10) order by l.line_no) from l where l.doc_id = d.doc_id and not list_contains(coalesce(r.gone, []), l.line_no)), '') as text
+from d left join drops r on r.doc_id = d.doc_id
+"""
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +91,21 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(secrets.spell(base), 256).alias("base_sha256"), secrets.spell(F.col("spans")).alias("spans"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 # formatted_chars: what the template adds to a turn is <|im_start|>, a newline, <|im_end|> and a newline (24 characters),
 # one backslash for each "<|" (after any backslashes) of a text.
 OP7_SQL = r"""
@@ -74,5 +122,15 @@ with rows as (
 select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars from t
 """
 
-QUERIES = {"op1_packing": op1_packing, "op2_toxicity": op2_toxicity, "op4_fingerprints": op4_fingerprints, "op5_ngram_jaccard": op5_ngram_jaccard, "op7_chat": op7_chat}
-SQL = {"op5_ngram_jaccard": OP5_SQL, "op7_chat": OP7_SQL}
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_toxicity": op2_toxicity,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_fingerprints": op4_fingerprints,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op7_chat": op7_chat,
+    "op8_decontamination": op8_decontamination,
+    "op9_secrets": op9_secrets,
+    "op10_substring_dedup": op10_substring_dedup,
+}
+SQL = {"op3_line_dedup": OP3_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_chat": OP7_SQL}

@@ -63,13 +63,17 @@ def pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def word_hashes(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+PLAIN = _WHITE.copy()  #: ASCII punctuation parts words as well
+PLAIN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+def word_hashes(offsets: np.ndarray, raw: np.ndarray, white: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start byte, end byte) of each word, and for each row the index of its first word (rows + 1 entries)."""
     n = len(raw)
     if n == 0:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
-    solid = ~_WHITE[raw]
+    solid = ~white[raw]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     begins = solid.copy()

@@ -31,7 +31,7 @@ SYMBOLS = 1 << BITS
 DISCOUNT = 0.75
 WINDOW, STRIDE, GAP = 128, 16, 5
 CALIBRATE = 20_000
-BROADCAST_LABELS = 4_000_000
+BROADCAST_LABELS = 1_000_000
 SCALE = 16.0
 CHUNK = 1 << 18
 
@@ -204,45 +204,73 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
     return mean, scale, w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, calibrate: int = CALIBRATE) -> DataFrame:
-    """(doc_id, held_out, score, predicted, th) per row; th is the hash of the text. Labels of fold 0 are not used."""
+class Model:
+    """A fitted model: the broadcast table and the logistic function, or the share of toxic labels alone."""
+
+    def __init__(self, share: float, table=None, logistic=None):
+        self.share, self.table, self.logistic = share, table, logistic
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        if self.logistic is None:
+            return np.full(len(texts), self.share)
+        mean, scale, w = self.logistic
+        x = (evidence(texts, self.table.value) - mean) / scale
+        return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, calibrate: int = CALIBRATE) -> Model:
+    """Labels of fold 0 are not used."""
     spark = docs.sparkSession
     known = label_rows(labels).where("fold <> 0")
     shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    rows = text_rows(docs).select("doc_id", "text", F.xxhash64("text").alias("th"), (fold(F.col("doc_id")) == 0).alias("held_out"))
     share = shares.get(1, 0) / max(1, sum(shares.values()))
-    model = None
-    if len(shares) == 2:
-        counts = gather_counts(docs, known).toArrow()  # at most 2^25 rows, by the size of the alphabet
-        code = counts["code"].to_numpy()
-        per = {c: counts[c].to_numpy() for c in COUNTS}
-        sums = {c: sum(per[f"{c}{k}"] for k in FOLDS) for c in "to"}
-        fit = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibrate).select("doc_id", "toxic", "fold")
-        texts = staged(text_rows(docs).join(F.broadcast(fit), "doc_id").select("text", "toxic", "fold"), "calibrate")
-        parts = []
-        for k in FOLDS:  # each fold is measured by what the other folds have seen
-            own = spark.sparkContext.broadcast(ratio_table(code, sums["t"] - per[f"t{k}"], sums["o"] - per[f"o{k}"]))
-
-            def features(batches, own=own):
-                for batch in batches:
-                    x = evidence(batch.column("text").to_pylist(), own.value)
-                    yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(x[:, k]) for k in range(3))], ["toxic", "a", "b", "c"])
-
-            parts.append(texts.where(F.col("fold") == k).select("text", "toxic").mapInArrow(features, "toxic int, a double, b double, c double").toArrow())
-            own.unpersist()
-        got = pa.concat_tables(parts).to_pandas().sort_values(["toxic", "a", "b", "c"])  # the order of rows must not show in the sums
-        if got["toxic"].nunique() == 2:
-            model = logistic_fit(got[["a", "b", "c"]].to_numpy(), got["toxic"].to_numpy(float))
-            table = spark.sparkContext.broadcast(ratio_table(code, sums["t"], sums["o"]))
+    if len(shares) < 2:
+        return Model(share)
+    counts = gather_counts(docs, known).toArrow()  # at most 2^25 rows, by the size of the alphabet
+    code = counts["code"].to_numpy()
+    per = {c: counts[c].to_numpy() for c in COUNTS}
+    sums = {c: sum(per[f"{c}{k}"] for k in FOLDS) for c in "to"}
+    fit = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibrate).select("doc_id", "toxic", "fold")
+    texts = staged(text_rows(docs).join(F.broadcast(fit), "doc_id").select("text", "toxic", "fold"), "calibrate")
+    parts = []
+    for k in FOLDS:  # each fold is measured by what the other folds have seen
+        own = spark.sparkContext.broadcast(ratio_table(code, sums["t"] - per[f"t{k}"], sums["o"] - per[f"o{k}"]))
+
+        def features(batches, own=own):
+            for batch in batches:
+                x = evidence(batch.column("text").to_pylist(), own.value)
+                yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(x[:, k]) for k in range(3))], ["toxic", "a", "b", "c"])
+
+        parts.append(texts.where(F.col("fold") == k).select("text", "toxic").mapInArrow(features, "toxic int, a double, b double, c double").toArrow())
+        own.unpersist()
+    got = pa.concat_tables(parts).to_pandas().sort_values(["toxic", "a", "b", "c"])  # the order of rows must not show in the sums
+    if got["toxic"].nunique() < 2:
+        return Model(share)
+    table = spark.sparkContext.broadcast(ratio_table(code, sums["t"], sums["o"]))
+    return Model(share, table, logistic_fit(got[["a", "b", "c"]].to_numpy(), got["toxic"].to_numpy(float)))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, calibrate: int = CALIBRATE) -> DataFrame:
+    """(doc_id, held_out, score, predicted) per row."""
+    model = fit(docs, labels, calibrate)
 
     def score(batches):
         for batch in batches:
-            if model is None:
-                s = np.full(batch.num_rows, share)
-            else:
-                mean, scale, w = model
-                x = (evidence(batch.column("text").to_pylist(), table.value) - mean) / scale
-                s = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), batch.column("th")], ["doc_id", "held_out", "score", "predicted", "th"])
-
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int, th long")
+            s = model.scores(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+
+    rows = text_rows(docs).select("doc_id", "text", (fold(F.col("doc_id")) == 0).alias("held_out"))
+    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, calibrate: int = CALIBRATE) -> DataFrame:
+    """The rows of docs, all columns, whose score is below 0.5."""
+    model = fit(docs, labels, calibrate)
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            s = model.scores([t or "" for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array(s < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
