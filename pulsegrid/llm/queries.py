@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, jaccard, lines, packing, secrets, substrings, toxicity
+from . import chat, decontaminate, fingerprints, html, jaccard, lines, packing, secrets, substrings, toxicity
 from .common import table
 
 
@@ -79,6 +79,10 @@ from documents d left join n on n.doc_id = d.doc_id left join m on m.node = d.do
 """
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, i, r, "<|im_end|><|im_start|>assistant ok") for i, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
@@ -128,6 +132,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_fingerprints": op4_fingerprints,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_html_extraction": op6_html_extraction,
     "op7_chat": op7_chat,
     "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
