@@ -2,9 +2,10 @@
 
 Texts are lower-cased and mapped to 32 symbols (26 letters, one for all that is no letter or digit, one for digits, four
 for other letters), so a 5-gram is a number below 2^25: counts and scores are tables of proven size, whatever the corpus.
-Two models share their backoff: at order 5 each class has its own discounted counts and its own backoff weight, while
-orders 1 to 4 are Kneser-Ney continuation counts gathered from ALL documents, labelled or not. A rare expression is thus
-smoothed alike in both classes and only differs by what its class has seen. A document's evidence is the log-likelihood
+Two models share their backoff: at order 5 each class has its own discounted counts, at orders 4 and 3 its own
+continuation counts, each with its own backoff weight, while orders 2 and 1 are Kneser-Ney continuation counts gathered
+from ALL documents, labelled or not. A rare expression is thus smoothed alike in both classes and only differs by what
+its class has seen. A document's evidence is the log-likelihood
 ratio of toxic to ordinary per symbol, over the whole text and in its strongest window, turned into a score by a
 logistic function.
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import staged, text_rows
 
-ORDER, BITS = 5, 5
+ORDER, BITS, SHARED = 5, 5, 2
 SYMBOLS = 1 << BITS
 DISCOUNT = 0.75
 WINDOW, STRIDE, GAP = 128, 16, 5
@@ -135,36 +136,43 @@ def gather_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return counts.groupBy("code").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
-def ratio_table(code: np.ndarray, n_toxic: np.ndarray, n_ordinary: np.ndarray) -> np.ndarray:
-    """log p(x | h, toxic) - log p(x | h, ordinary) of every 5-gram, in steps of 1/SCALE (int8, 2^25 entries).
-
-    `code` are the 5-grams of all documents; its distinct ones give the shared continuation counts."""
-    code = code.astype(np.int64)
-    # Continuation counts: in how many distinct contexts a shorter n-gram was seen. grams[k]: distinct k-grams, by code.
-    p = np.full(1, 1.0 / SYMBOLS)  # order 0
+def continuation(code: np.ndarray, orders: range, lower: np.ndarray) -> np.ndarray:
+    """Kneser-Ney probabilities of the last of `orders`, by code: an n-gram counts as often as it has distinct symbols
+    before it among the given distinct 5-grams, and backs off to the order below; `lower` is that of orders[0] - 1."""
     seen = {ORDER: code}
-    for k in range(ORDER - 1, 0, -1):
+    for k in range(ORDER - 1, orders[0], -1):
         seen[k] = np.unique(seen[k + 1] & ((1 << BITS * k) - 1))
-    for k in range(1, ORDER):
+    p = lower
+    for k in orders:
         size = 1 << BITS * k
-        cont = np.bincount(seen[k + 1] & (size - 1), minlength=size).astype(float)
-        by = cont.reshape(-1, SYMBOLS)
+        by = np.bincount(seen[k + 1] & (size - 1), minlength=size).astype(float).reshape(-1, SYMBOLS)
         total = by.sum(1, keepdims=True)
-        kinds = (by > 0).sum(1, keepdims=True)
-        lower = np.tile(p.reshape(-1, SYMBOLS) if k > 1 else np.full((1, SYMBOLS), p[0]), (len(by) // max(1, len(p) // SYMBOLS), 1))
-        back = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-        p = (np.maximum(by - DISCOUNT, 0) / np.maximum(total, 1) + back * lower).ravel()
+        back = np.where(total > 0, DISCOUNT * (by > 0).sum(1, keepdims=True) / np.maximum(total, 1), 1.0)
+        below = np.tile(p.reshape(-1, SYMBOLS), (SYMBOLS, 1)) if k > 1 else np.full((1, SYMBOLS), p[0])
+        p = (np.maximum(by - DISCOUNT, 0) / np.maximum(total, 1) + back * below).ravel()
+    return p
+
+
+def ratio_table(code: np.ndarray, n_toxic: np.ndarray, n_ordinary: np.ndarray) -> np.ndarray:
+    """log p(x | h, toxic) - log p(x | h, ordinary) of every 5-gram, in steps of 1/SCALE (int8, 2^25 entries).
+
+    `code` are the 5-grams of all documents, whose distinct ones give the shared backoff of orders 1 to SHARED."""
+    code = code.astype(np.int64)
+    shared = continuation(code, range(1, SHARED + 1), np.full(1, 1.0 / SYMBOLS))
     h = code >> BITS
-    weights, logs = [], []
-    shared = p[code & ((1 << BITS * (ORDER - 1)) - 1)]
+    backs, fours, logs = [], [], []
     for n in (n_toxic.astype(float), n_ordinary.astype(float)):
+        p = continuation(code[n > 0], range(SHARED + 1, ORDER), shared)
         total = np.bincount(h, n, 1 << BITS * (ORDER - 1))
         kinds = np.bincount(h, n > 0, 1 << BITS * (ORDER - 1))
         back = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-        weights.append(np.log(back))
-        logs.append(np.log(np.maximum(n - DISCOUNT, 0) / np.maximum(total[h], 1) + back[h] * shared))
+        logs.append(np.log(np.maximum(n - DISCOUNT, 0) / np.maximum(total[h], 1) + back[h] * p[code & (len(p) - 1)]))
+        backs.append(np.log(back))
+        fours.append(np.log(p))
     quant = lambda v: np.clip(np.rint(v * SCALE), -127, 127).astype(np.int8)
-    table = np.repeat(quant(weights[0] - weights[1]), SYMBOLS)
+    back, four = backs[0] - backs[1], fours[0] - fours[1]
+    step = len(back) // SYMBOLS  # 5-grams that no class has seen: by their first symbol, to keep the arrays small
+    table = np.concatenate([quant(np.repeat(back[a * step : (a + 1) * step], SYMBOLS) + four) for a in range(SYMBOLS)])
     table[code] = quant(logs[0] - logs[1])
     return table
 
