@@ -1,9 +1,9 @@
 """Secret scans: character Markov models, in DataFrame functions only.
 
 Base rules find assignments of secrets, access keys and long hexadecimal runs. Two first-order Markov models over 66
-characters are then trained from samples the rules have labelled, over all documents: transitions inside the matched
-values (random strings) and inside all other long runs of identifier characters (ordinary identifiers). A run whose
-log-likelihood ratio of random to ordinary is at least EVIDENCE in all and MEAN per transition is a secret as well
+characters are then trained from samples that rules have labelled, over all documents: transitions inside the matched
+values (random strings) and inside long runs that read as words (ordinary identifiers). Any other long run of identifier
+characters is judged: one whose log-likelihood ratio of random to ordinary is at least EVIDENCE in all and MEAN per transition is a secret as well
 (kind ``markov``), unless a base span overlaps it.
 
 The models are 66 x 66 counts, whatever the corpus, so they go to the driver and back as a literal; texts are scanned
@@ -28,9 +28,11 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"  # the runs [0-9a-f]+ of 24 characters or more
 KINDS = ("assign", "access", "hex", "markov")
 RUN = r"(?<![A-Za-z0-9+_-])[A-Za-z0-9+_-]{16,}"
+# Runs that read as words (camel, snake or kebab case, short numbers) are the labelled ordinary identifiers.
+ORDINARY = r"^(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]{1,4}+|[_+-]++)++$"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+_-/"  # and one more for any other
 SIZE = len(ALPHABET) + 1
-EVIDENCE, MEAN, SMOOTH = 8.0, 0.35, 0.5
+EVIDENCE, MEAN, SMOOTH, BACKOFF = 8.0, 0.35, 0.5, 8
 _SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -81,17 +83,22 @@ def train(found: DataFrame) -> list[float] | None:
     """log p(y | x, random) - log p(y | x, ordinary) of each transition, from the spans of all documents."""
     base = F.concat("assign", "access", "hex")
     random = found.select(F.explode(base).alias("s"), F.lit(1).alias("y"))
-    plain = found.select(F.explode(_free(F.col("runs"), base)).alias("s"), F.lit(0).alias("y"))
+    plain = found.select(F.explode(_free(F.col("runs"), base)).alias("s"), F.lit(0).alias("y")).where(F.col("s.value").rlike(ORDINARY))
     pairs = random.unionByName(plain).select("y", F.explode(_transitions(F.col("s.value"))).alias("k")).groupBy("y", "k").agg(F.count("*").alias("n"))
-    counts = {0: [SMOOTH] * SIZE * SIZE, 1: [SMOOTH] * SIZE * SIZE}
-    seen = set()
+    counts = {y: [0] * SIZE * SIZE for y in (0, 1)}
     for r in pairs.collect():  # at most 2 * SIZE * SIZE rows
-        counts[r["y"]][r["k"]] += r["n"]
-        seen.add(r["y"])
-    if len(seen) < 2:
+        counts[r["y"]][r["k"]] = r["n"]
+    if not all(any(c) for c in counts.values()):
         return None
-    log = {y: [math.log(n / s) for x in range(SIZE) for s in [sum(c[x * SIZE : (x + 1) * SIZE])] for n in c[x * SIZE : (x + 1) * SIZE]] for y, c in counts.items()}
-    return [a - b for a, b in zip(log[1], log[0], strict=True)]
+
+    def log(c: list[int]) -> list[float]:
+        """Each character's transitions, smoothed by how often their targets come after any."""
+        after = [SMOOTH + sum(c[y::SIZE]) for y in range(SIZE)]
+        whole = sum(after)
+        rows = [c[x * SIZE : (x + 1) * SIZE] for x in range(SIZE)]
+        return [math.log((n + BACKOFF * after[y] / whole) / (sum(row) + BACKOFF)) for row in rows for y, n in enumerate(row)]
+
+    return [a - b for a, b in zip(log(counts[1]), log(counts[0]), strict=True)]
 
 
 def find_secrets(docs: DataFrame, evidence: float = EVIDENCE, mean: float = MEAN) -> DataFrame:
