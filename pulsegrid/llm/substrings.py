@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import staged, text_rows
 from .textvec import _STEP, buffers, mix, pieces, word_hashes
 
-SPAN, WORDS = 3, 12
+SPAN, WORDS = 2, 20
 BROADCAST_ROWS = 1_000_000
 _BYTES = re.compile(rb"[.!?]+(?:[\"')\]]|\xe2\x80\x9d|\xe2\x80\x99)*(?=[ \t-\r])|\n+")
 
@@ -92,10 +92,11 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, least: int = WORDS) -> Dat
 
     spans = staged(rows.select("doc_id", "rk", "text").mapInArrow(hashes, "doc_id long, rk long, h long, f int, l int"), "spans")
     # Which hashes occur more than once is a sum of longs; the first of those only is then looked for.
-    many = spans.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+    # What is joined is written first, so that both sides of the join are plain shuffles, which AQE splits under skew.
+    many = staged(spans.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h"), "many")
     again = staged(spans.join(many, "h"), "again")
     place = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("rk").alias("r"), F.col("f").alias("f"))
-    first = again.groupBy("h").agg(F.min(place).alias("p"))
+    first = staged(again.groupBy("h").agg(F.min(place).alias("p")), "first")
     later = again.join(first, "h").where(~(F.col("doc_id").eqNullSafe(F.col("p.d")) & (F.col("rk") == F.col("p.r")) & (F.col("f") == F.col("p.f"))))
     # A document's own spans: bounded by its sentences.
     return later.groupBy("rk").agg(
