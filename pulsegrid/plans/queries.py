@@ -502,7 +502,7 @@ h as (select *, n * (n - 1) / 2 as t, ln(n) - ea / n as ha, ln(n) - eb / n as hb
 def _score(cam, method):
     other = cam.select("seq", (F.col("x") / 16).cast("int").alias("col"))
     v = evaluate.evaluate_clusters(cam.select("seq", "obj"), other, "obj", "col", method)[method]
-    return cam.sparkSession.createDataFrame([(round(v, 6),)], "score double")
+    return cam.sparkSession.createDataFrame([(round(v, 6) + 0.0,)], "score double")  # no negative zero
 
 
 @query(_SCORES + " select round((t + 2 * p - pa - pb) / t, 6) as score from h")
@@ -525,7 +525,7 @@ def nmi(cam):
     + """, em as (
   select sum(k / n * ln(n * k / (x * y)) * exp(lgamma(x + 1) + lgamma(y + 1) + lgamma(n - x + 1) + lgamma(n - y + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(x - k + 1) - lgamma(y - k + 1) - lgamma(n - x - y + k + 1))) as emi
   from (select h.n, ra.k as x, rb.k as y, unnest(range(greatest(1, (ra.k + rb.k - h.n)::bigint), least(ra.k, rb.k)::bigint + 1))::double as k from ra, rb, h))
-select round((mi - emi) / ((ha + hb) / 2 - emi), 6) as score from h, em"""
+select round((mi - emi) / ((ha + hb) / 2 - emi), 6) + 0.0::double as score from h, em"""
 )
 def ami(cam):
     return _score(cam, "ami")
