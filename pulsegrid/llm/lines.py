@@ -52,11 +52,12 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, recur: int = RECUR, sim
     here = lines.join(_few(full), "leaf").withColumn("m", masked(F.col("line")))
     kinds = here.groupBy("leaf", "m", "th").agg(F.lit(1).alias("one")).groupBy("leaf", "m").agg(F.count("*").alias("d"))
     kinds = staged(kinds, "kinds")
-    tokens = kinds.select("leaf", "m", "d", F.posexplode(F.split("m", " ")).alias("at", "token"))
+    tokens = kinds.select("leaf", F.xxhash64("m").alias("mh"), "d", F.posexplode(F.split("m", " ")).alias("at", "token"))
     common = tokens.groupBy("leaf", "at", "token").agg(F.sum("d").alias("texts")).where((F.col("texts") >= recur) & (F.col("token") != "<*>")).drop("texts")
-    constant = tokens.join(common, ["leaf", "at", "token"]).groupBy("leaf", "m").agg(F.count("*").alias("constants"), F.sum(F.xxhash64("at", "token").cast("decimal(20,0)")).alias("signature"))
-    templates = kinds.join(constant, ["leaf", "m"]).where(F.col("constants") >= similar * F.size(F.split("m", " ")))
-    templates = templates.select("leaf", F.xxhash64("m").alias("mh"), "d", F.xxhash64("leaf", "signature").alias("template"))
+    constant = tokens.join(common, ["leaf", "at", "token"]).groupBy("leaf", "mh").agg(F.count("*").alias("constants"), F.sum(F.xxhash64("at", "token").cast("decimal(20,0)")).alias("signature"))
+    sizes = kinds.select("leaf", F.xxhash64("m").alias("mh"), "d", n_tokens(F.col("m")).alias("n"))
+    templates = sizes.join(constant, ["leaf", "mh"]).where(F.col("constants") >= similar * F.col("n"))
+    templates = templates.select("leaf", "mh", "d", F.xxhash64("leaf", "signature").alias("template"))
     often = templates.groupBy("template").agg(F.sum("d").alias("texts")).where(F.col("texts") >= recur).select("template")
     hit = staged(templates.join(often, "template").select("leaf", "mh", "template"), "templates")
     found = here.select("leaf", F.xxhash64("m").alias("mh"), "doc_id", "rk", "line_no").join(_few(hit), ["leaf", "mh"]).select("template", "doc_id", "rk", "line_no")
@@ -70,10 +71,9 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, recur: int = RECUR, sim
 def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, recur: int = RECUR, similar: float = SIMILAR) -> DataFrame:
     """docs with text less its dropped lines, and n_lines and n_dropped behind the columns of docs."""
     drops = staged(recurring_lines(docs, depth, recur, similar), "drops").withColumnsRenamed({"rk": "__rk", "drops": "__drops"})
-    total = drops.agg(F.sum(F.size("__drops"))).first()[0] or 0
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumn("__rk", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(text)))
-    joined = keyed.join(F.broadcast(drops) if total <= BROADCAST_ROWS else drops, "__rk", "left")
+    joined = keyed.join(drops.hint("merge"), "__rk", "left")
     lines = F.split(text, "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__drops"), i)), "\n")
     gone = F.col("__drops").isNotNull()
