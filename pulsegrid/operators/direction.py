@@ -41,7 +41,7 @@ def _sweep(s: int, v: int) -> int:
     return s + 1 if v == s else 0 if v > s else s
 
 
-def patch_direction(df: DataFrame, k: int, carry: str = "none") -> DataFrame:
+def patch_direction(df: DataFrame, k: int, carry: str = "none", fold=ordered_fold) -> DataFrame:
     """(seq, t, x, y, pol): one event for each sweep of all k pixels of a patch's lane in one direction.
 
     carry='none' starts each patch afresh; carry='raster' starts it in the state in which the patch before it, in raster
@@ -78,10 +78,10 @@ def patch_direction(df: DataFrame, k: int, carry: str = "none") -> DataFrame:
             return [(seq, t, px, py, d)]
         return None
 
-    return ordered_fold(lanes, keys, ["t", "seq"], ["v", "s0", "seq", "t", "px", "py", "dir"], "seq long, t long, x int, y int, pol int", lambda key: [None], step)
+    return fold(lanes, keys, ["t", "seq"], ["v", "s0", "seq", "t", "px", "py", "dir"], "seq long, t long, x int, y int, pol int", lambda key: [None], step)
 
 
-def multipatch_direction(df: DataFrame, k: int) -> DataFrame:
+def multipatch_direction(df: DataFrame, k: int, fold=ordered_fold) -> DataFrame:
     """Of patch direction events, those that end a chain of k neighbouring patches in their direction."""
     lane = df.withColumns({"axis": (F.col("pol") % 2).cast("int"), "lane": F.when(F.col("pol") % 2 == 0, F.col("x")).otherwise(F.col("y")).cast("int"), "at": F.when(F.col("pol") % 2 == 0, F.col("y")).otherwise(F.col("x")).cast("int")})
 
@@ -99,7 +99,7 @@ def multipatch_direction(df: DataFrame, k: int) -> DataFrame:
             return [(*event, d)]
         return None
 
-    return ordered_fold(lane, ["axis", "lane"], ["t", "seq"], ["at", "pol", "seq", "t", "x", "y"], "seq long, t long, x int, y int, pol int", lambda key: {}, step)
+    return fold(lane, ["axis", "lane"], ["t", "seq"], ["at", "pol", "seq", "t", "x", "y"], "seq long, t long, x int, y int, pol int", lambda key: {}, step)
 
 
 def roi_writes(roi: DataFrame) -> DataFrame:
@@ -122,6 +122,22 @@ def apply_roi(events: DataFrame, roi: DataFrame, k: int) -> DataFrame:
     return seen.where((F.col("t") > a) & (F.col("t") <= b)).select("row.*")
 
 
+def roi_mask_fold(events: DataFrame, roi: DataFrame, k: int, fold=ordered_fold) -> DataFrame:
+    """apply_roi as a fold of each block over its events and writes, which a stream can run too. The stream's last ROI event
+    is not known, so only the lower bound holds there by itself: before a first write no block is on."""
+    e = events.select(idiv("x", k).cast("int").alias("bx"), idiv("y", k).cast("int").alias("by"), "t", "seq", "x", "y", "p", F.lit(0).alias("kind"), F.lit(0).alias("value"))
+    w = roi_writes(roi).select("bx", "by", "t", "seq", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("p"), F.lit(1).alias("kind"), "value")
+
+    def step(s, row):
+        kind, value, *event = row
+        if kind:
+            s[0] = value
+            return None
+        return [tuple(event)] if s[0] else None
+
+    return fold(e.unionByName(w), ["bx", "by"], ["t", "kind", "seq"], ["kind", "value", "seq", "t", "x", "y", "p"], "seq long, t long, x int, y int, p int", lambda key: [0], step)
+
+
 def run_filter(events: DataFrame, k_patch: int, k_chain: int, carry: str = "none") -> dict[str, DataFrame]:
     """patch, multi and out: the whole pipeline, lazily."""
     patch = patch_direction(events, k_patch, carry)

@@ -6,6 +6,7 @@ are folded in one order: trigger times, and components with their overlaps."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,23 +31,17 @@ class DStream:
     min_overlap: int = 1
     min_overlap_frac: float = 0.2
 
-    def densities(self, df: DataFrame) -> DataFrame:
+    def densities(self, df: DataFrame, run=ordered_fold) -> DataFrame:
         """(seq, t, gx, gy, d): the decayed count of each event's cell just after it."""
         tau = self.tau
 
         def step(s, row):
             seq, t, gx, gy = row
-            s[0] = s[0] * np.exp(-(t - s[1]) / tau) + 1 if s else 1.0
-            s[1] = t
-            return [(seq, t, gx, gy, float(s[0]))]
-
-        def fold(s, row):
-            if not s:
-                s.extend((0.0, row[1]))
-            return step(s, row)
+            s[:] = (s[0] * math.exp(-(t - s[1]) / tau) + 1 if s else 1.0, t)
+            return [(seq, t, gx, gy, s[0])]
 
         cells = df.select("seq", "t", idiv("x", self.grid).cast("int").alias("gx"), idiv("y", self.grid).cast("int").alias("gy"))
-        return ordered_fold(cells, ["gx", "gy"], ["t", "seq"], ["seq", "t", "gx", "gy"], "seq long, t long, gx int, gy int, d double", lambda key: [], fold)
+        return run(cells, ["gx", "gy"], ["t", "seq"], ["seq", "t", "gx", "gy"], "seq long, t long, gx int, gy int, d double", lambda key: [], step)
 
     def triggers(self, df: DataFrame) -> DataFrame:
         """(frame, t, seq): the events at which clusters are updated, each at least `interval` after the one before. One

@@ -55,8 +55,9 @@ def _sampled(g: DataFrame, path: DataFrame, cluster: str, name: str) -> DataFram
     return out.select(cluster, "t", F.coalesce(name, F.array(F.lit(NAN), F.lit(NAN))).alias(name))
 
 
-def momentum_velocity(df: DataFrame, dt: int, cluster: str = "cluster_id") -> DataFrame:
-    """Velocity of a centre of mass that decays with time constant dt, itself averaged alike; the last value up to each time."""
+def momentum_path(df: DataFrame, dt: int, cluster: str = "cluster_id", fold=ordered_fold) -> DataFrame:
+    """(cluster, t, seq, momentum) after each event: the velocity of a centre of mass that decays with time constant dt,
+    itself averaged alike."""
 
     def step(s, row):
         t, seq, c, x, y = row
@@ -71,15 +72,17 @@ def momentum_velocity(df: DataFrame, dt: int, cluster: str = "cluster_id") -> Da
         s.update(t=t, m=m, cx=cx, cy=cy, vx=vx, vy=vy)
         return [(c, t, seq, [vx, vy])]
 
-    path = ordered_fold(df, [cluster], ["t", "seq"], ["t", "seq", cluster, "x", "y"], f"{cluster} long, t long, seq long, momentum array<double>", lambda key: {}, step)
-    return _sampled(grid(df, dt, cluster), path, cluster, "momentum")
+    return fold(df, [cluster], ["t", "seq"], ["t", "seq", cluster, "x", "y"], f"{cluster} long, t long, seq long, momentum array<double>", lambda key: {}, step)
 
 
-def decay_votes_velocity(df: DataFrame, dt: int, cluster: str = "cluster_id", pol: str | None = "pol") -> DataFrame:
-    """Signed directions that decay with time constant dt, over the decayed count; the last value up to each time."""
-    g = grid(df, dt, cluster)
-    if pol is None:
-        return g.select(cluster, "t", F.array(F.lit(NAN), F.lit(NAN)).alias("decay_votes"))
+def momentum_velocity(df: DataFrame, dt: int, cluster: str = "cluster_id") -> DataFrame:
+    """The last value of momentum_path up to each time."""
+    return _sampled(grid(df, dt, cluster), momentum_path(df, dt, cluster), cluster, "momentum")
+
+
+def decay_votes_path(df: DataFrame, dt: int, cluster: str = "cluster_id", pol: str = "pol", fold=ordered_fold) -> DataFrame:
+    """(cluster, t, seq, decay_votes) after each event: signed directions that decay with time constant dt, over the
+    decayed count."""
     unit = {0: (0, 1), 1: (1, 0), 2: (0, -1), 3: (-1, 0)}
 
     def step(s, row):
@@ -89,8 +92,15 @@ def decay_votes_velocity(df: DataFrame, dt: int, cluster: str = "cluster_id", po
         s.update(t=t, m=s.get("m", 0.0) * d + 1, x=s.get("x", 0.0) * d + dx, y=s.get("y", 0.0) * d + dy)
         return [(c, t, seq, [s["x"] / s["m"], s["y"] / s["m"]])]
 
-    path = ordered_fold(df, [cluster], ["t", "seq"], ["t", "seq", cluster, pol], f"{cluster} long, t long, seq long, decay_votes array<double>", lambda key: {}, step)
-    return _sampled(g, path, cluster, "decay_votes")
+    return fold(df, [cluster], ["t", "seq"], ["t", "seq", cluster, pol], f"{cluster} long, t long, seq long, decay_votes array<double>", lambda key: {}, step)
+
+
+def decay_votes_velocity(df: DataFrame, dt: int, cluster: str = "cluster_id", pol: str | None = "pol") -> DataFrame:
+    """The last value of decay_votes_path up to each time."""
+    g = grid(df, dt, cluster)
+    if pol is None:
+        return g.select(cluster, "t", F.array(F.lit(NAN), F.lit(NAN)).alias("decay_votes"))
+    return _sampled(g, decay_votes_path(df, dt, cluster, pol), cluster, "decay_votes")
 
 
 def estimate_velocities(df: DataFrame, dt: int = 1000, cluster: str = "cluster_id", pol: str | None = "pol", methods: tuple[str, ...] = METHODS) -> DataFrame:

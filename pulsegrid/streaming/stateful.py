@@ -1,72 +1,73 @@
 """Structured Streaming forms of the stateful operators.
 
-A trigger's rows of a key are sorted by (t, seq) before they are folded; rows that come in a later trigger than rows of
-a later t are folded where they come. State is a few numbers a key; a key silent for `ttl` of processing time is dropped."""
+stream_fold has the signature of windows.ordered_fold, so the operators run the very same steps on streams. A trigger's
+rows of a key are sorted before they are folded; a row that comes in a later trigger than rows of a later time is folded
+where it comes. State is what the step keeps for a key; a key silent for `ttl_ms` of processing time is dropped."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable
+from functools import partial
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import _parse_datatype_string
 
-from ..functions.expr import idiv
-from ..operators.direction import _lanes, _sweep
+from ..operators import direction, velocity
+from ..operators.dstream import DStream
 
 
-def _timeout(ttl_ms: int | None) -> str:
-    return GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-
-
-def _sorted(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(pdfs)).sort_values(["t", "seq"])
-
-
-def stream_patch_direction(df: DataFrame, k: int, ttl_ms: int | None = None) -> DataFrame:
-    """patch_direction of a stream (each patch starts afresh)."""
+def stream_fold(df: DataFrame, keys: list[str], order: list[str], columns: list[str], schema: str, start: Callable[[tuple], Any], step: Callable[[Any, tuple], Any], ttl_ms: int | None = None) -> DataFrame:
+    names = _parse_datatype_string(schema).names
 
     def fold(key, pdfs, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        s = state.get[0] if state.exists else 0
+        s = pickle.loads(state.get[0]) if state.exists else start(key)
+        rows = pd.concat(list(pdfs)).sort_values(order)
         out = []
-        for r in _sorted(pdfs).itertuples():
-            s = _sweep(s, r.v)
-            if s == k:
-                s = 0
-                out.append((r.seq, r.t, key[1], key[0], key[2]))
-        state.update((s,))
+        for row in zip(*(rows[c].tolist() for c in columns), strict=True):
+            out.extend(step(s, row) or ())
+        state.update((pickle.dumps(s),))
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame(out, columns=["seq", "t", "x", "y", "pol"])
+        yield pd.DataFrame(out, columns=names)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    need = list(dict.fromkeys([*keys, *order, *columns]))
+    return df.select(*need).groupBy(*keys).applyInPandasWithState(fold, schema, "state binary", "append", timeout)
+
+
+def stream_patch_direction(df: DataFrame, k: int, ttl_ms: int | None = None) -> DataFrame:
+    """patch_direction of a stream (each patch starts afresh)."""
+    return direction.patch_direction(df, k, fold=partial(stream_fold, ttl_ms=ttl_ms))
+
 
-    return _lanes(df, k).groupBy("py", "px", "dir", "lane").applyInPandasWithState(fold, "seq long, t long, x int, y int, pol int", "s int", "append", _timeout(ttl_ms))
+def stream_multipatch_direction(df: DataFrame, k: int, ttl_ms: int | None = None) -> DataFrame:
+    return direction.multipatch_direction(df, k, fold=partial(stream_fold, ttl_ms=ttl_ms))
+
+
+def stream_roi(events: DataFrame, roi: DataFrame, k: int, ttl_ms: int | None = None) -> DataFrame:
+    """Events of blocks that are on when they come."""
+    return direction.roi_mask_fold(events, roi, k, fold=partial(stream_fold, ttl_ms=ttl_ms))
 
 
 def stream_densities(df: DataFrame, grid: int = 5, tau: float = 5e4, ttl_ms: int | None = None) -> DataFrame:
     """The decayed count of each event's grid cell just after it."""
+    return DStream(grid=grid, tau=tau).densities(df, partial(stream_fold, ttl_ms=ttl_ms))
+
+
+def stream_momentum(df: DataFrame, dt: int, cluster: str = "cluster_id", ttl_ms: int | None = None) -> DataFrame:
+    return velocity.momentum_path(df, dt, cluster, fold=partial(stream_fold, ttl_ms=ttl_ms))
 
-    def fold(key, pdfs, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        d, last = state.get if state.exists else (0.0, None)
-        out = []
-        for r in _sorted(pdfs).itertuples():
-            d = d * math.exp(-(r.t - last) / tau) + 1 if last is not None else 1.0
-            last = r.t
-            out.append((r.seq, r.t, key[0], key[1], d))
-        state.update((float(d), int(last)))
-        if ttl_ms:
-            state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame(out, columns=["seq", "t", "gx", "gy", "d"])
 
-    cells = df.select("seq", "t", idiv("x", grid).cast("int").alias("gx"), idiv("y", grid).cast("int").alias("gy"))
-    return cells.groupBy("gx", "gy").applyInPandasWithState(fold, "seq long, t long, gx int, gy int, d double", "d double, last long", "append", _timeout(ttl_ms))
+def stream_decay_votes(df: DataFrame, dt: int, cluster: str = "cluster_id", pol: str = "pol", ttl_ms: int | None = None) -> DataFrame:
+    return velocity.decay_votes_path(df, dt, cluster, pol, fold=partial(stream_fold, ttl_ms=ttl_ms))
 
 
 def stream_frames(df: DataFrame, dt_us: int, late: str = "0 seconds") -> DataFrame:

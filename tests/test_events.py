@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import expr
 from pulsegrid.model import with_position
-from pulsegrid.operators import components, density, direction, dstream, edges, evaluate, filters, frames, hdbscan, meanshift, velocity, windows
+from pulsegrid.operators import cluster, components, density, direction, dstream, edges, evaluate, filters, frames, hdbscan, meanshift, velocity, windows
 from pulsegrid.plans.staging import staged
 
 EV = "seq long, t long, x int, y int, p int, pol int"
@@ -95,6 +95,8 @@ def test_roi(spark):
     got = direction.apply_roi(events(spark, rows), events(spark, roi), 4)
     assert got.columns == EV.replace(" long", "").replace(" int", "").split(", ")
     assert sorted(r["seq"] for r in got.collect()) == want and want
+    fold = {r["seq"] for r in direction.roi_mask_fold(events(spark, rows), events(spark, roi), 4).collect()}
+    assert {r[0] for r in rows if r[0] in fold and roi[0][1] < r[1] <= roi[-1][1]} == set(want)
     assert direction.apply_roi(events(spark, rows), events(spark, []), 4).count() == 0
 
 
@@ -187,6 +189,14 @@ def test_stdbscan(spark, metric, seed):
         density.neighbour_pairs(df, 1, 1, "cosine")
 
 
+def test_one_door(spark):
+    df = events(spark, rand_events(1, 120, 9, 9))
+    for method, options in (("stdbscan", {"eps_s": 3, "eps_t": 60, "min_pts": 4}), ("hdbscan", {"time_scale": 0.1, "min_cluster_size": 9}), ("meanshift", {"time_scale": 0.1, "bandwidth": 5.0}), ("dstream", {"tau": 99.0, "interval": 20, "verify": 0, "dense": 2.0, "medium": 1.0})):
+        assert cluster.cluster_events(df, method, **options).where("cluster is not null").count() == 120
+    with pytest.raises(ValueError, match="method"):
+        cluster.cluster_events(df, "kmeans")
+
+
 def test_chunked_stitches(spark):
     rows = [(k, 10 * k, 5 + (k // 7) % 2, 5, 0, 0) for k in range(90)] + [(200 + k, 2000 + 10 * k, 60, 9, 0, 0) for k in range(30)]
     got = {r["seq"]: r["cluster"] for r in density.stdbscan(events(spark, rows), 3, 50, 3, chunk=40, overlap=10).collect()}

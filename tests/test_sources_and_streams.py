@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import direction, dstream
+from pulsegrid.operators import direction, dstream, velocity
 from pulsegrid.sources import files
 from pulsegrid.streaming import stateful
 
@@ -74,6 +74,35 @@ def test_stream_densities(spark, tmp_path):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
+def test_stream_chains_masks_and_velocities(spark, tmp_path):
+    rows = rand_events(6, 300, 5, 4)
+    src = source(spark, tmp_path, rows)
+    batch = events(spark, rows)
+    as_set = lambda got: sorted(str(tuple(r)) for r in got)
+    cases = [
+        (stateful.stream_multipatch_direction(src, 2), direction.multipatch_direction(batch, 2)),
+        (stateful.stream_momentum(src.withColumn("c", F.col("p").cast("long")), 50, "c"), velocity.momentum_path(batch.withColumn("c", F.col("p").cast("long")), 50, "c")),
+        (stateful.stream_decay_votes(src.withColumn("c", F.col("p").cast("long")), 50, "c"), velocity.decay_votes_path(batch.withColumn("c", F.col("p").cast("long")), 50, "c")),
+        (stateful.stream_roi(src, src.where("p = 1"), 2), direction.roi_mask_fold(batch, batch.where("p = 1"), 2)),
+    ]
+    for k, (stream, want) in enumerate(cases):
+        (tmp_path / str(k)).mkdir()
+        assert as_set(drain(spark, stream, tmp_path / str(k))) == as_set(want.collect())
+
+
+def test_command_line(spark, tmp_path):
+    from pulsegrid.__main__ import main
+
+    a, b, c = (str(tmp_path / n) for n in ("a.parquet", "b.parquet", "c.parquet"))
+    files.write_events(events(spark, rand_events(8, 200, 9, 9)), a)
+    main(["cluster", a, b, "-m", "stdbscan", "--options", '{"eps_s": 3, "eps_t": 60, "min_pts": 4}'])
+    main(["velocities", b, c, "--dt", "50"])
+    assert {"limit", "momentum", "votes", "decay_votes"} <= set(spark.read.parquet(c).columns)
+    main(["evaluate", b, b])
+    main(["convert", b, str(tmp_path / "d.feather")])
+    assert files.read_events(spark, str(tmp_path / "d.feather")).count() == 200
+
+
 def test_stream_frames(spark, tmp_path):
     rows = rand_events(5, 200, 4, 4)
     df = source(spark, tmp_path, rows).withColumn("ts", F.timestamp_micros(F.col("t")))
