@@ -46,9 +46,16 @@ def stdbscan(df: DataFrame, eps_s: float = 2, eps_t: float = 1e4, min_pts: int =
     pairs = staged(neighbour_pairs(df, eps_s, eps_t, metric), "pairs")
     core = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_pts).select(F.col("a").alias("node"))
     core = staged(core, "core")
+    # Core events of a box no larger than the radius are neighbours of each other, so boxes are what is connected: each
+    # stands for its cores by the first of them, and neighbour pairs shrink to distinct pairs of boxes.
+    side, span = (eps_s, eps_t) if metric == "chebyshev" else (eps_s / math.sqrt(3), eps_t / math.sqrt(3))
+    box = [idiv("x", int(side) + 1).alias("bx"), idiv("y", int(side) + 1).alias("by"), idiv("t", int(span) + 1).alias("bt")]
+    placed = core.join(df.select(F.col("seq").alias("node"), *box), "node")
+    first = placed.groupBy("bx", "by", "bt").agg(F.min("node").alias("rep"))
+    boxed = staged(placed.join(first, ["bx", "by", "bt"]).select("node", "rep"), "boxes")
     links = pairs.join(core.withColumnRenamed("node", "a"), "a", "left_semi")  # a is core
-    inner = links.join(core.withColumnRenamed("node", "b"), "b", "left_semi").where("a < b")
-    roots = core.join(connected_components(inner, staged), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    inner = links.where("a < b").join(boxed.toDF("a", "ra"), "a").join(boxed.toDF("b", "rb"), "b").where("ra <> rb").select("ra", "rb")
+    roots = boxed.join(connected_components(inner, staged, "ra", "rb").withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("root", "rep").alias("root"))
     numbered = number(roots.select("root").distinct(), "root", "c").join(roots, "root").select("node", "c")
     numbered = staged(numbered, "roots")
     reach = links.join(numbered.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("seq")).agg(F.min("c").alias("lowest"))
