@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import expr
 from ..model import CAM_SQL, cam_events, with_position
 from ..operators import density, direction, dstream, edges, evaluate, filters, frames, hdbscan, meanshift, velocity, windows
+from .staging import shared_dir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -28,7 +29,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def r6(c):
-    return F.round(c, 6)
+    return F.round(c, 6) + F.lit(0.0)  # no negative zero
 
 
 # --- filters and expressions ---------------------------------------------------------------------------------------
@@ -443,7 +444,16 @@ def vel_decay_votes(cam):
     return _flat(velocity.decay_votes_velocity(_moving(cam), _DT, "obj"), "decay_votes")
 
 
-@query()
+_MOMENTUM = f""", o as materialized (select obj, t, x, y, row_number() over (partition by obj order by t, seq) as i from cam where obj <> -1),
+mo as (
+  select obj, i, t, 1.0::double as m, x::double as cx, y::double as cy, 0.0::double as vx, 0.0::double as vy from o where i = 1
+  union all
+  select obj, i, t, m, ((m - 1) * cx + x) / m, ((m - 1) * cy + y) / m, ((m - 1) * vx + case when gap = 0 then 0 else (x - cx) / (m * gap) end) / m, ((m - 1) * vy + case when gap = 0 then 0 else (y - cy) / (m * gap) end) / m
+  from (select o.obj, o.i, o.t, o.x, o.y, mo.cx, mo.cy, mo.vx, mo.vy, o.t - mo.t as gap, mo.m * exp(-(o.t - mo.t) / {_DT}::double) + 1 as m from mo join o on o.obj = mo.obj and o.i = mo.i + 1)),
+momentum as (select g.obj, g.t, arg_max(mo.vx, mo.i) as vx, arg_max(mo.vy, mo.i) as vy from g join mo on mo.obj = g.obj and mo.t <= g.t group by g.obj, g.t)"""
+
+
+@query(_GRID + _MOMENTUM + " select obj::bigint as obj, t, round(vx, 6) + 0.0::double as vx, round(vy, 6) + 0.0::double as vy from momentum")
 def vel_momentum(cam):
     return _flat(velocity.momentum_velocity(_moving(cam), _DT, "obj"), "momentum")
 
@@ -483,7 +493,19 @@ def vel_angular_jitter(cam):
     return velocity.angular_jitter(_both(cam), "votes", "obj").select(r6("angular_jitter").alias("angular_jitter"))
 
 
-@query()
+@query(
+    _GRID
+    + _MOMENTUM
+    + f""", c as (select obj, b, avg(x) as x, avg(y) as y, avg(t) as mt, count(*) as n, count(*) filter (pol = 1) - count(*) filter (pol = 3) as u, count(*) filter (pol = 0) - count(*) filter (pol = 2) as v from e group by obj, b),
+d as (
+  select g.obj, g.t, sum(exp((e.t - g.t) / {_DT}::double)) as m,
+    sum(exp((e.t - g.t) / {_DT}::double) * (case pol when 1 then 1 when 3 then -1 else 0 end)) as u, sum(exp((e.t - g.t) / {_DT}::double) * (case pol when 0 then 1 when 2 then -1 else 0 end)) as v
+  from g join e on e.obj = g.obj and e.t <= g.t group by g.obj, g.t)
+select g.obj::bigint as obj, g.t, round((h.x - l.x) / (h.mt - l.mt), 6) + 0.0::double as limit_vx, round((h.y - l.y) / (h.mt - l.mt), 6) + 0.0::double as limit_vy,
+  round(k.vx, 6) + 0.0::double as momentum_vx, round(k.vy, 6) + 0.0::double as momentum_vy, round(l.u / l.n::double, 6) as votes_vx, round(l.v / l.n::double, 6) as votes_vy,
+  round(d.u / d.m, 6) as decay_votes_vx, round(d.v / d.m, 6) as decay_votes_vy
+from g left join c l on l.obj = g.obj and l.b = g.m - 1 left join c h on h.obj = g.obj and h.b = g.m left join momentum k on k.obj = g.obj and k.t = g.t left join d on d.obj = g.obj and d.t = g.t"""
+)
 def estimate_velocities(cam):
     out = velocity.estimate_velocities(cam, _DT, "obj")
     return out.select("obj", "t", *(r6(F.nanvl(F.col(m)[i], F.lit(None).cast("double"))).alias(f"{m}_{c}") for m in velocity.METHODS for i, c in enumerate(("vx", "vy"))))
@@ -581,7 +603,14 @@ def frame_arrows_votes(cam):
     return frames.vote_arrows(cam, _FDT, "obj").select("frame", "obj", r6("x").alias("x"), r6("y").alias("y"), "u", "v")
 
 
-@query()
+@query(
+    _GRID + _FRAMES.replace("from cam", "from (select * from cam where obj <> -1) cam")
+    + f""", c as (select obj, b, count(*) as n, count(*) filter (pol = 1) - count(*) filter (pol = 3) as u, count(*) filter (pol = 0) - count(*) filter (pol = 2) as v from e group by obj, b),
+vel as (select g.obj, g.t, u / n::double as vx, v / n::double as vy from g left join c on c.obj = g.obj and c.b = g.m - 1),
+start as (select frame, obj, avg(x) as x, avg(y) as y, frame * {_FDT} + (select min(t) from cam where obj <> -1) as ft from f group by frame, obj),
+near as (select s.*, vel.vx, vel.vy, row_number() over (partition by s.frame, s.obj order by abs(vel.t - s.ft), vel.t) as k from start s join vel on vel.obj = s.obj)
+select frame, obj::bigint as obj, round(x, 6) as x, round(y, 6) as y, round(vx, 6) as u, round(vy, 6) as v from near where k = 1 and vx is not null"""
+)
 def frame_arrows_nearest(cam):
     m = _moving(cam)
     return frames.velocity_arrows(m, velocity.votes_velocity(m, _DT, "obj"), "votes", _FDT, "obj").select("frame", "obj", r6("x").alias("x"), r6("y").alias("y"), r6("u").alias("u"), r6("v").alias("v"))
@@ -595,7 +624,8 @@ def _roundtrip(suffix: str):
         from ..sources.files import read_events, write_events
 
         cam = cam_events(spark, sf_dir).select("seq", "t", "x", "y", "pol")
-        path = os.path.join(tempfile.mkdtemp(), f"events{suffix}")  # one file of one machine: what these formats are
+        # In the shared folder; the single-file formats need it mounted as a file system.
+        path = os.path.join(shared_dir(spark).removeprefix("file://"), f"events-{uuid.uuid4().hex}{suffix}")
         write_events(cam.orderBy("seq"), path, width=64)
         return read_events(spark, path, **({"width": 64} if suffix == ".npz" else {})).select("seq", "t", "x", "y", "pol")
 

@@ -188,6 +188,7 @@ def write_events(df: DataFrame, path: str, h5_key: str = "data", mode: str = "er
         return df.write.mode(mode).csv(path, header=True)
     if mode == "errorifexists" and os.path.exists(path):
         raise FileExistsError(path)
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     table = df.toArrow()  # one file is one machine's: for small results
     if form == "eventfeather":
         with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, table.schema) as w:
