@@ -133,7 +133,7 @@ def gather_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(every.astype(np.int32)), *map(pa.array, out)], ["code", *COUNTS])
 
     counts = rows.mapInArrow(count, f"code int, {', '.join(f'{c} long' for c in COUNTS)}")
-    return counts.groupBy("code").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    return counts.groupBy("code").agg(*(F.sum(c).cast("float").alias(c) for c in COUNTS))  # half the size; a count is smoothed anyway
 
 
 def continuation(code: np.ndarray, orders: range, lower: np.ndarray) -> np.ndarray:
@@ -172,7 +172,9 @@ def ratio_table(code: np.ndarray, n_toxic: np.ndarray, n_ordinary: np.ndarray) -
     quant = lambda v: np.clip(np.rint(v * SCALE), -127, 127).astype(np.int8)
     back, four = backs[0] - backs[1], fours[0] - fours[1]
     step = len(back) // SYMBOLS  # 5-grams that no class has seen: by their first symbol, to keep the arrays small
-    table = np.concatenate([quant(np.repeat(back[a * step : (a + 1) * step], SYMBOLS) + four) for a in range(SYMBOLS)])
+    table = np.empty(1 << BITS * ORDER, np.int8)
+    for a in range(SYMBOLS):
+        table[a * len(four) : (a + 1) * len(four)] = quant(np.repeat(back[a * step : (a + 1) * step], SYMBOLS) + four)
     table[code] = quant(logs[0] - logs[1])
     return table
 
@@ -250,12 +252,15 @@ def fit(docs: DataFrame, labels: DataFrame, calibrate: int = CALIBRATE) -> Model
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(x[:, k]) for k in range(3))], ["toxic", "a", "b", "c"])
 
         parts.append(texts.where(F.col("fold") == k).select("text", "toxic").mapInArrow(features, "toxic int, a double, b double, c double").toArrow())
-        own.unpersist()
-    got = pa.concat_tables(parts).to_pandas().sort_values(["toxic", "a", "b", "c"])  # the order of rows must not show in the sums
-    if got["toxic"].nunique() < 2:
+        own.destroy()
+    got = np.column_stack([pa.concat_tables(parts)[c].to_numpy() for c in ("toxic", "a", "b", "c")])
+    got = got[np.lexsort(got.T[::-1])]  # the order of rows must not show in the sums
+    if not 0 < got[:, 0].sum() < len(got):
         return Model(share)
-    table = spark.sparkContext.broadcast(ratio_table(code, sums["t"], sums["o"]))
-    return Model(share, table, logistic_fit(got[["a", "b", "c"]].to_numpy(), got["toxic"].to_numpy(float)))
+    table = ratio_table(code, sums["t"], sums["o"])
+    del counts, per, sums
+    pa.default_memory_pool().release_unused()
+    return Model(share, spark.sparkContext.broadcast(table), logistic_fit(got[:, 1:], got[:, 0]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, calibrate: int = CALIBRATE) -> DataFrame:
