@@ -68,8 +68,9 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, recur: int = RECUR, sim
     return later.groupBy("rk").agg(F.array_sort(F.collect_set("line_no")).alias("drops"))  # bounded by the document's lines
 
 
-def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, recur: int = RECUR, similar: float = SIMILAR) -> DataFrame:
-    """docs with text less its dropped lines, and n_lines and n_dropped behind the columns of docs."""
+def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, recur: int = RECUR, similar: float = SIMILAR, counts: bool = True) -> DataFrame:
+    """docs with text less its dropped lines; with `counts`, n_lines and n_dropped stand behind the columns of docs (or
+    in the place of columns of these names)."""
     drops = staged(recurring_lines(docs, depth, recur, similar), "drops").withColumnsRenamed({"rk": "__rk", "drops": "__drops"})
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumn("__rk", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(text)))
@@ -77,7 +78,7 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, recur: int = RECUR
     lines = F.split(text, "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__drops"), i)), "\n")
     gone = F.col("__drops").isNotNull()
-    return joined.select(
-        *(F.when(gone, kept).otherwise(F.col(c)).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns),
-        F.size(lines).cast("long").alias("n_lines"), F.when(gone, F.size("__drops")).otherwise(0).cast("long").alias("n_dropped"),
-    )
+    out = {c: F.when(gone, kept).otherwise(F.col(c)) if c == "text" else F.col(f"`{c}`") for c in docs.columns}
+    if counts:
+        out |= {"n_lines": F.size(lines).cast("long"), "n_dropped": F.when(gone, F.size("__drops")).otherwise(0).cast("long")}
+    return joined.select(*(v.alias(c) for c, v in out.items()))
