@@ -17,6 +17,7 @@ gives no rows; other columns are ignored. Nothing is capped: a long page is a lo
 from __future__ import annotations
 
 import html
+import random
 import re
 import zlib
 from functools import lru_cache
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 PATH, WORD, PLAIN = 128, 32, 7
 WIDTH, HIDDEN = PATH + WORD + PLAIN, 24
-PAGES, EPOCHS, BATCH, RATE, SEED = 1600, 7, 32, 4e-3, 11
+PAGES, EPOCHS, BATCH, RATE, SEED = 2000, 7, 32, 4e-3, 11
 
 # Elements that do not part blocks, that hold no text, that have no end tag.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -233,25 +234,25 @@ _BOILER = "home about contact login search subscribe newsletter cookies privacy
 class _Maker:
     """Writes a page and, beside it, whether each leaf block is main text: main blocks start with the mark \\x01."""
 
-    def __init__(self, rng: np.random.Generator):
+    def __init__(self, rng: random.Random):
         self.r = rng
-        self.syllables = ["".join(rng.choice(list("abcdefghijklmnoprstuvwyäéñöüßç"), rng.integers(1, 4))) for _ in range(60)]
+        self.syllables = ["".join(rng.choices("abcdefghijklmnoprstuvwyäéñöüßç", k=rng.randrange(1, 4))) for _ in range(60)]
 
     def one(self, *options):
-        return options[self.r.integers(len(options))]
+        return options[int(self.r.random() * len(options))]
 
     def chance(self, p):
         return self.r.random() < p
 
     def words(self, lo, hi):
-        return " ".join("".join(self.one(*self.syllables) for _ in range(self.r.integers(1, 5))) for _ in range(self.r.integers(lo, hi)))
+        return " ".join("".join(self.r.choices(self.syllables, k=self.r.randrange(1, 5))) for _ in range(self.r.randrange(lo, hi)))
 
     def prose(self, lo=5, hi=90):
-        text = ". ".join(self.words(2, 16).capitalize() for _ in range(max(1, self.r.integers(lo, hi) // 9)))
+        text = ". ".join(self.words(2, 16).capitalize() for _ in range(max(1, self.r.randrange(lo, hi) // 9)))
         return text + self.one(".", ".", ".", "!", "?", "")
 
     def phrase(self):
-        return " ".join(self.one(*_BOILER) for _ in range(self.r.integers(1, 4))) if self.chance(0.5) else self.words(1, 4)
+        return " ".join(self.one(*_BOILER) for _ in range(self.r.randrange(1, 4))) if self.chance(0.5) else self.words(1, 4)
 
     def cls(self, *names):
         if self.chance(0.2):
@@ -264,7 +265,7 @@ class _Maker:
         return "<ul>" + "".join(f'<li><a href="/{k}">{mark}{self.phrase()}</a>' + self.one("</li>", "</li>", "") for k in range(n)) + "</ul>"
 
     def nav(self):
-        body = self.links(self.r.integers(2, 12)) if self.chance(0.7) else " | ".join(f'<a href="#">{self.phrase()}</a>' for _ in range(self.r.integers(2, 8)))
+        body = self.links(self.r.randrange(2, 12)) if self.chance(0.7) else " | ".join(f'<a href="#">{self.phrase()}</a>' for _ in range(self.r.randrange(2, 8)))
         return f"<nav{self.cls('nav', 'main')}>{body}</nav>" if self.chance(0.6) else f"<div{self.cls('menu', 'nav', 'navbar', 'navigation', 'breadcrumb', 'topbar')}>{body}</div>"
 
     def header(self):
@@ -272,7 +273,7 @@ class _Maker:
         return f"<header{self.cls('header', 'site', 'masthead')}>{inner}</header>" if self.chance(0.6) else f'<div class="{self.one("header", "masthead", "site-header", "banner")}">{inner}</div>'
 
     def footer(self):
-        inner = self.one(f"&copy; {self.words(1, 4)} &middot; {self.prose(3, 40)}", f"<p>&copy; 20{self.r.integers(10, 30)} {self.words(1, 4)}</p>" + self.links(3), self.prose(3, 30), f"<p>{self.prose(5, 40)}</p><p>{self.phrase()}</p>")
+        inner = self.one(f"&copy; {self.words(1, 4)} &middot; {self.prose(3, 40)}", f"<p>&copy; 20{self.r.randrange(10, 30)} {self.words(1, 4)}</p>" + self.links(3), self.prose(3, 30), f"<p>{self.prose(5, 40)}</p><p>{self.phrase()}</p>")
         return f"<footer{self.cls('footer', 'site')}>{inner}" + self.one("</footer>", "</footer>", "") if self.chance(0.7) else f'<div class="{self.one("footer", "site-footer", "bottom", "copyright")}">{inner}</div>'
 
     def advert(self):
@@ -285,13 +286,13 @@ class _Maker:
         return f"<form{self.cls('search', 'login', 'subscribe', 'contact')}><label>{self.phrase()}</label><input name=q>{self.one('', f'<p>{self.prose(3, 25)}</p>')}<button>{self.phrase()}</button></form>"
 
     def sidebar(self):
-        inner = "".join(self.one(lambda: f"<h3>{self.words(1, 4)}</h3>" + self.links(self.r.integers(2, 8)), lambda: f"<p>{self.prose(5, 45)}</p>", self.advert, lambda: f"<div class=widget>{self.prose(4, 30)}</div>")() for _ in range(self.r.integers(1, 4)))
+        inner = "".join(self.one(lambda: f"<h3>{self.words(1, 4)}</h3>" + self.links(self.r.randrange(2, 8)), lambda: f"<p>{self.prose(5, 45)}</p>", self.advert, lambda: f"<div class=widget>{self.prose(4, 30)}</div>")() for _ in range(self.r.randrange(1, 4)))
         return f"<aside{self.cls('sidebar', 'related')}>{inner}</aside>" if self.chance(0.6) else f'<div class="{self.one("sidebar", "side", "widget-area", "related", "rail")}">{inner}</div>'
 
     def comments(self):
         item = lambda t: f'<{t} class="{self.one("comment", "comment-body", "reply")}">' + self.one(f"<p><b>{self.words(1, 3)}</b></p>", f"<span class=author>{self.words(1, 3)}</span>", f"<cite>{self.words(1, 2)}</cite>", "") + f"<p>{self.prose(3, 60)}</p></{t}>"
         t = self.one("div", "li", "article", "div")
-        return f'<{(o := self.one("section", "div", "ol"))} {self.one("class", "id")}="{self.one("comments", "comment-list", "responses", "discussion")}">' + self.one("<h2>Comments</h2>", f"<h3>{self.words(1, 3)}</h3>", "") + "".join(item(t) for _ in range(self.r.integers(1, 6))) + (self.form() if self.chance(0.3) else "") + f"</{o}>"
+        return f'<{(o := self.one("section", "div", "ol"))} {self.one("class", "id")}="{self.one("comments", "comment-list", "responses", "discussion")}">' + self.one("<h2>Comments</h2>", f"<h3>{self.words(1, 3)}</h3>", "") + "".join(item(t) for _ in range(self.r.randrange(1, 6))) + (self.form() if self.chance(0.3) else "") + f"</{o}>"
 
     def article(self):
         m = "\x01"
@@ -303,13 +304,13 @@ class _Maker:
             return self.one(f"<p>{m}{text}</p>", f"<p>{m}{text}</p>", f"<p>{m}{text}", f"<p><b>{m}{text}<br>", f"<p>{m}<b>{text}</b></p>", f"<p>{m}{text}<br>{m}{self.prose()}</p>", f"<p>{m}{self.words(1, 3)}.</p>", f"<div>{m}{text}</div>")
 
         kinds = [para] * 12 + [
-            lambda: f"<h2>{m}{self.words(1, 8)}</h2>", lambda: f"<h3>{m}{self.words(1, 6)}</h3>", lambda: f"<{(t := self.one('ul', 'ol'))}>" + "".join(f"<li>{m}{self.prose(2, 20)}</li>" for _ in range(self.r.integers(1, 6))) + f"</{t}>",
+            lambda: f"<h2>{m}{self.words(1, 8)}</h2>", lambda: f"<h3>{m}{self.words(1, 6)}</h3>", lambda: f"<{(t := self.one('ul', 'ol'))}>" + "".join(f"<li>{m}{self.prose(2, 20)}</li>" for _ in range(self.r.randrange(1, 6))) + f"</{t}>",
             lambda: f"<blockquote>{self.one('<p>', '')}{m}{self.prose(4, 40)}</blockquote>", lambda: f"<pre>{m}{self.words(3, 20)}</pre>", lambda: f"<figure><img src=x><figcaption>{m}{self.words(2, 12)}</figcaption></figure>",
-            lambda: "<table>" + "".join(f"<tr><td>{m}{self.words(1, 4)}</td><td>{m}{self.words(1, 4)}</td></tr>" for _ in range(self.r.integers(1, 4))) + "</table>",
+            lambda: "<table>" + "".join(f"<tr><td>{m}{self.words(1, 4)}</td><td>{m}{self.words(1, 4)}</td></tr>" for _ in range(self.r.randrange(1, 4))) + "</table>",
         ]
-        body = [self.one(*kinds)() for _ in range(self.r.integers(1, 16))]
+        body = [self.one(*kinds)() for _ in range(self.r.randrange(1, 16))]
         if self.chance(0.25):
-            body.insert(self.r.integers(len(body) + 1), self.one(self.advert, self.advert, self.form, self.notice, self.sidebar)())
+            body.insert(self.r.randrange(len(body) + 1), self.one(self.advert, self.advert, self.form, self.notice, self.sidebar)())
         head = self.one(f"<h1>{m}{self.words(2, 12)}</h1>", f"<h1>{m}{self.words(2, 12)}</h1>", f"<h2>{m}{self.words(2, 12)}</h2>", "")
         inner = head + "".join(body)
         name = self.one("content", "post", "entry", "article", "article-body", "story", "post-content", "main-content", "text")
@@ -319,13 +320,13 @@ class _Maker:
         )
 
     def page(self):
-        before = [self.one(self.nav, self.header, self.nav, self.advert, self.notice, self.form)() for _ in range(self.r.integers(0, 5))]
-        after = [self.one(self.sidebar, self.advert, self.comments, self.comments, self.form, self.notice, self.nav)() for _ in range(self.r.integers(0, 4))] + ([self.footer()] if self.chance(0.85) else [])
+        before = [self.one(self.nav, self.header, self.nav, self.advert, self.notice, self.form)() for _ in range(self.r.randrange(0, 5))]
+        after = [self.one(self.sidebar, self.advert, self.comments, self.comments, self.form, self.notice, self.nav)() for _ in range(self.r.randrange(0, 4))] + ([self.footer()] if self.chance(0.85) else [])
         title = f"<title>{self.words(2, 12)}</title>"
         return f"<!DOCTYPE html><html><head>{title}<style>p{{}}</style></head><body>" + "".join(before) + self.article() + "".join(after) + self.one("</body></html>", "")
 
 
-def make_page(rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
+def make_page(rng: random.Random) -> tuple[list[Block], np.ndarray]:
     """(blocks, labels) of a generated page."""
     page = blocks(_Maker(rng).page())
     y = np.array(["\x01" in b.text for b in page], np.float32)
@@ -338,7 +339,8 @@ def make_page(rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
 def trained() -> dict[str, np.ndarray]:
     """The weights, by Adam over PAGES generated pages."""
     rng = np.random.default_rng(SEED)
-    data = [(vectors(p), y) for p, y in (make_page(rng) for _ in range(PAGES)) if len(p)]
+    maker = random.Random(SEED)
+    data = [(vectors(p), y) for p, y in (make_page(maker) for _ in range(PAGES)) if len(p)]
     net = Labeller.fresh(rng)
     m1, m2 = ({k: np.zeros_like(v) for k, v in net.w.items()} for _ in range(2))
     step = 0
