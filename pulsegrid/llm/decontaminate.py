@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_rows
+from .common import slices, text_rows
 from .textvec import PLAIN, buffers, mix, ngrams, pieces, word_hashes
 
 SEED, COVERAGE = 4, 0.5
@@ -161,7 +161,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
         shared = spark.sparkContext.broadcast(block)
 
         def find(batches, shared=shared):
-            for batch in batches:
+            for batch in slices(batches):
                 b = shared.value
                 got = list(leaks_in(batch.column("text"), b, coverage))
                 rows = pa.array([g[0] for g in got], pa.int64())
@@ -183,7 +183,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
         shared = spark.sparkContext.broadcast(block)
 
         def keep(batches, shared=shared):
-            for batch in batches:
+            for batch in slices(batches):
                 ok = np.ones(batch.num_rows, bool)
                 ok[[g[0] for g in leaks_in(batch.column(at).fill_null(""), shared.value, coverage)]] = False
                 yield batch.filter(pa.array(ok))

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 PATH, WORD, PLAIN = 128, 32, 7
 WIDTH, HIDDEN = PATH + WORD + PLAIN, 24
 PAGES, EPOCHS, BATCH, RATE, SEED = 2000, 7, 32, 4e-3, 11
@@ -385,7 +387,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def work(batches):
         net = Labeller(weights.value)
-        for batch in batches:
+        for batch in slices(batches):
             got = main_texts(batch.column("html").to_pylist(), net)
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(got, pa.string())], ["page_id", "url", "text"])
 

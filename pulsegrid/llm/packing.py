@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, text_rows
+from .common import slices, staged, text_rows
 
 WINDOW = 1024
 END_ID = 0
@@ -53,7 +53,7 @@ def tokenised(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID)
 
     def encode(batches):
         enc, part, before = _encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches):
             ids = [np.array([*enc(t), end_id], "<u4") for t in batch.column("text").to_pylist()]
             n = np.array([len(x) for x in ids], np.int64)
             at = before + np.cumsum(n) - n
@@ -75,7 +75,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, tokenizer: str = TOKEN
     placed = rows.join(F.broadcast(bases), "part").select("doc_id", "ids", "n", (F.col("base") + F.col("before")).alias("at"))
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches):
             n, at = batch.column("n").to_numpy(), batch.column("at").to_numpy()
             if not len(n):
                 continue

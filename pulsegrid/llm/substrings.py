@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_rows
+from .common import slices, staged, text_rows
 from .textvec import _STEP, buffers, mix, pieces, word_hashes
 
 SPAN, WORDS = 2, 20
@@ -76,7 +76,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, least: int = WORDS) -> Dat
     rows = text_rows(docs).withColumn("th", F.xxhash64("text")).withColumn("rk", F.xxhash64("doc_id", "th"))
 
     def hashes(batches):
-        for batch in batches:
+        for batch in slices(batches):
             row, h, f, last = [], [], [], []
             for r, (hs, a, b, _, _) in _analysed(batch.column("text")):
                 row.append(np.full(len(hs), r, np.int64))
@@ -114,7 +114,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, least: int = WORDS) -> Dat
     hit = rows.join(F.broadcast(keys) if few else keys, "rk", "left_semi").join(found, "rk")
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches):
             n_s, n_r, where, left = [], [], [], []
             for text, removed in zip(batch.column("text").to_pylist(), batch.column("removed").to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")

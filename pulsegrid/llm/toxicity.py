@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_rows
+from .common import slices, staged, text_rows
 
 ORDER, BITS, SHARED = 5, 5, 2
 SYMBOLS = 1 << BITS
@@ -35,6 +35,7 @@ CALIBRATE = 20_000
 BROADCAST_LABELS = 1_000_000
 SCALE = 16.0
 CHUNK = 1 << 18
+PENDING = 1 << 21
 
 
 def _symbols() -> np.ndarray:
@@ -101,9 +102,10 @@ def gather_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def count(batches):
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        fresh: dict[int, list[np.ndarray]] = {}  # codes not yet counted, at most PENDING or one group of texts over it
 
-        def add(y, c):
-            k, n = np.unique(c, return_counts=True)
+        def settle(y):
+            k, n = np.unique(np.concatenate(fresh.pop(y)), return_counts=True)
             if y in held:
                 k0, n0 = held[y]
                 both = np.concatenate((k0, k))
@@ -111,19 +113,16 @@ def gather_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 n = np.bincount(at, np.concatenate((n0, n)), len(k)).astype(np.int64)
             held[y] = k, n
 
-        for batch in batches:
+        for batch in slices(batches):
             texts, ys = batch.column("text").to_pylist(), batch.column("y").to_numpy()
             for y in np.unique(ys).tolist():
                 own = [texts[i] for i in np.flatnonzero(ys == y).tolist()]
-                got, n = [], 0
                 for i, j in groups(own):
-                    got.append(codes(own[i:j])[0])
-                    n += len(got[-1])
-                    if n > 1 << 22:
-                        add(y, np.concatenate(got))
-                        got, n = [], 0
-                if got:
-                    add(y, np.concatenate(got))
+                    fresh.setdefault(y, []).append(codes(own[i:j])[0])
+                    if sum(map(len, fresh[y])) > PENDING:
+                        settle(y)
+        for y in list(fresh):
+            settle(y)
         if held:
             every = np.unique(np.concatenate([k for k, _ in held.values()]))
             out = np.zeros((len(COUNTS), len(every)), np.int64)
@@ -247,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, calibrate: int = CALIBRATE) -> Model
         own = spark.sparkContext.broadcast(ratio_table(code, sums["t"] - per[f"t{k}"], sums["o"] - per[f"o{k}"]))
 
         def features(batches, own=own):
-            for batch in batches:
+            for batch in slices(batches):
                 x = evidence(batch.column("text").to_pylist(), own.value)
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(x[:, k]) for k in range(3))], ["toxic", "a", "b", "c"])
 
@@ -268,7 +267,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, calibrate: int = CALIBRAT
     model = fit(docs, labels, calibrate)
 
     def score(batches):
-        for batch in batches:
+        for batch in slices(batches):
             s = model.scores(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -282,7 +281,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, calibrate: int = CALIBRATE
     at = docs.columns.index("text")
 
     def keep(batches):
-        for batch in batches:
+        for batch in slices(batches):
             s = model.scores([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(s < 0.5))
 
