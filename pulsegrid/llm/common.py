@@ -5,42 +5,21 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.plans.staging import shared_dir
+from pulsegrid.plans.staging import discard, staged
+
+__all__ = ["discard", "shuffle_partitions", "slices", "staged", "table", "text_rows"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet in the shared folder and reads it back.
-
-    A written table is compact, survives lost executors and is committed task by task, so what a task derived from its
-    own partition (such as an order of rows) stays fixed when later stages are retried.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pulsegrid-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes staged tables that nothing still to be computed reads."""
-    for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.staged_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string) with null text as the empty string; every other column is left behind, so names
     cannot clash."""
