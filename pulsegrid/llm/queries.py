@@ -107,7 +107,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), whole=True)
 
 
 # formatted_chars: what the template adds to a turn is <|im_start|>, a newline, <|im_end|> and a newline (24 characters),

@@ -2,14 +2,17 @@
 
 A sentence ends at ``.``, ``!`` or ``?`` (and closing quotes or brackets) before white space, or at a line break. Every
 run of SPAN consecutive sentences of a document is hashed over its words; runs of fewer than WORDS words grow to the
-right until they reach it, so that a handful of one-word sentences is no evidence. Equal hashes are joined globally; all
-but the first span of a hash (least document, then place) repeat it, and each sentence a repeat covers is removed.
+right until they reach it, so that a handful of one-word sentences is no evidence. With `whole` the shortest such runs
+that end at each sentence (grown to the left) and single sentences of WORDS words or more are hashed as well: of any
+repeated passage of whole sentences that has WORDS words, every sentence then lies in a hashed run inside the passage (one
+that the run from the passage's start does not reach ends a run that fits). Equal hashes are joined globally; all but the
+first span of a hash (least document, then place) repeat it, and each sentence a repeat covers is removed.
 
 First spans are found by a minimum with map-side combine and joined back on the hash, one row per span: a passage a
 third of all documents share costs its rows, never their pairs.
 
-Defined results: null and empty texts have no sentences; a document with fewer than SPAN sentences, or WORDS words, has
-no span; a span repeated inside one document is removed there too; rows with equal doc_id and text are one document and
+Defined results: null and empty texts have no sentences; a document with fewer than WORDS words (or, unless `whole`, SPAN
+sentences) has no span; a span repeated inside one document is removed there too; rows with equal doc_id and text are one document and
 share its verdict; a null doc_id sorts last; an empty table gives no rows; other columns are ignored.
 """
 
@@ -34,7 +37,7 @@ def _byte_ends(raw: bytes) -> np.ndarray:
     return np.array([m.end() for m in _BYTES.finditer(raw)], np.int64)
 
 
-def spans_of(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int = SPAN, least: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+def spans_of(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int = SPAN, least: int = WORDS, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """(hash, first sentence, last sentence + 1, words) of each span, and the number of sentences; of one document."""
     if not len(words):
         none = np.zeros(0, np.int64)
@@ -46,6 +49,12 @@ def spans_of(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int
     last = np.maximum(first + span, np.searchsorted(cut, cut[first] + least))
     fits = last <= n
     first, last = first[fits], last[fits]
+    if whole:
+        end = np.arange(1, n + 1)
+        begin = np.minimum(end - span, np.searchsorted(cut, cut[end] - least, "right") - 1)
+        alone = np.flatnonzero(np.diff(cut) >= least)
+        pairs = np.concatenate((first * (n + 1) + last, (begin * (n + 1) + end)[begin >= 0], alone * (n + 2) + 1))
+        first, last = np.divmod(np.unique(pairs), n + 1)  # a run found twice is one
     if not len(first):
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none, n
@@ -56,7 +65,7 @@ def spans_of(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int
     return mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64) * _STEP[41], 9), first, last, b - a, n
 
 
-def _analysed(column: pa.Array):
+def _analysed(column: pa.Array, span: int, least: int, whole: bool):
     """For each row: (index, words' spans...)."""
     offsets, raw = buffers(column)
     for i, j in pieces(offsets):
@@ -67,10 +76,10 @@ def _analysed(column: pa.Array):
         for r in range(j - i):
             a, b = first[r], first[r + 1]
             ends = _byte_ends(data[own[r] : own[r + 1]])
-            yield i + r, spans_of(words[a:b], starts[a:b] - own[r], ends)
+            yield i + r, spans_of(words[a:b], starts[a:b] - own[r], ends, span, least, whole)
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN, least: int = WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, span: int = SPAN, least: int = WORDS, whole: bool = False) -> DataFrame:
     """(doc_id, th, rk, removed array<struct<first, last>>, sources array<long>): the sentence numbers that non-first
     repeats cover, and the documents whose spans they repeat; documents without any are left out."""
     rows = text_rows(docs).withColumn("th", F.xxhash64("text")).withColumn("rk", F.xxhash64("doc_id", "th"))
@@ -78,7 +87,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, least: int = WORDS) -> Dat
     def hashes(batches):
         for batch in slices(batches):
             row, h, f, last = [], [], [], []
-            for r, (hs, a, b, _, _) in _analysed(batch.column("text")):
+            for r, (hs, a, b, _, _) in _analysed(batch.column("text"), span, least, whole):
                 row.append(np.full(len(hs), r, np.int64))
                 h.append(hs)
                 f.append(a)
@@ -104,10 +113,10 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, least: int = WORDS) -> Dat
     )
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, least: int = WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = SPAN, least: int = WORDS, whole: bool = False) -> DataFrame:
     """The documents that lose sentences: doc_id, n_sentences, n_removed, removed (code-point spans "start:end,.."),
     sources (documents that hold the first copies), text (what is left: sentences keep what stood before them)."""
-    found = staged(repeated_spans(docs, span, least), "found")
+    found = staged(repeated_spans(docs, span, least, whole), "found")
     rows = text_rows(docs).withColumn("rk", F.xxhash64("doc_id", F.xxhash64("text")))
     few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     keys = found.select("rk")

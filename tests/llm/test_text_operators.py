@@ -298,6 +298,25 @@ def test_substrings(spark):
     assert substrings.remove_repeats(table(spark, [])).count() == 0
 
 
+def test_substrings_whole(spark):
+    """Every sentence of a repeated passage goes, its end and passages of one sentence included; nothing next to it does."""
+    rng = random.Random(11)
+    sizes = [[15, 10, 5], [30], [19, 1], [3, 4, 5, 9, 2, 7], [25, 1, 1], [1, 1, 25], [8, 8, 8, 3], *([rng.randint(1, 24) for _ in range(rng.randint(2, 9))] + [20] for _ in range(12))]
+    sentence = lambda n: words(rng, n).capitalize() + "."
+    rows, want = [*ODD], {}
+    for k, size in enumerate(sizes):
+        passage = " ".join(map(sentence, size))
+        for c in range(3):
+            before, after = sentence(rng.randint(9, 12)), sentence(rng.randint(9, 12))
+            rows.append((100 + 10 * k + c, f"{before} {passage} {after}"))
+            if c:
+                want[100 + 10 * k + c] = (len(size) + 2, len(size), f"{before} {after}", f"{len(before) + 1}:{len(before) + 1 + len(passage)}")
+    rows += [(900, one := sentence(19)), (901, one), (902, two := sentence(20)), (903, two)]
+    want[903] = (1, 1, "", f"0:{len(two)}")
+    got = {r["doc_id"]: (r["n_sentences"], r["n_removed"], r["text"], r["removed"]) for r in substrings.remove_repeats(table(spark, rows).repartition(4), whole=True).collect()}
+    assert {d: r for d, r in got.items() if d is not None and d >= 100} == want
+
+
 def brute_lines(rows, depth=lines.DEPTH, recur=lines.RECUR, similar=lines.SIMILAR):
     mask = lambda line: tuple("<*>" if re.search("[0-9]", w) else w for w in line.split(" "))
     leaf = lambda ts: (len(ts), ts[:depth])
