@@ -1,12 +1,16 @@
 """Secret scans: character Markov models, in DataFrame functions only.
 
-Base rules find assignments of secrets, access keys and long hexadecimal runs. Two first-order Markov models over 66
+Base rules find assignments of secrets, access keys and long hexadecimal runs. Two first-order Markov models over 68
 characters are then trained from samples that rules have labelled, over all documents: transitions inside the matched
-values (random strings) and inside long runs that read as words (ordinary identifiers). Any other long run of identifier
-characters is judged: one whose log-likelihood ratio of random to ordinary is at least EVIDENCE in all and MEAN per transition is a secret as well
-(kind ``markov``), unless a base span overlaps it.
-
-The models are 66 x 66 counts, whatever the corpus, so they go to the driver and back as a literal; texts are scanned
+values (random strings) and inside runs that read as words (ordinary identifiers, paths and host names). Any other run is judged: one whose
+log-likelihood ratio of random to ordinary is at least EVIDENCE in all and MEAN per transition is a secret as well (kind
+``markov``), unless a base span overlaps it. Runs are taken twice: whole, with ``/`` and ``.`` inside and ``=`` at the end
+(base64), and parted at these, so that neither a slash in a key nor a path around it hides it; of a whole run and its parts
+that are secrets, the whole stands unless a part alone has the higher ratio. Runs of 16 characters or more are all taken.
+Those of 6 to 15 are taken if they hold a letter and a digit, case that changes as in no word, or five consonants in a row;
+other short runs are words by their shape.
+
+The models are 68 x 68 counts, whatever the corpus, so they go to the driver and back as a literal; texts are scanned
 where they lie and never shuffled. Places come from splitting a text by the pattern and adding up lengths.
 
 Defined results: null text is empty and has no spans; without labelled samples of both classes no spans are added;
@@ -27,10 +31,20 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"  # the runs [0-9a-f]+ of 24 characters or more
 KINDS = ("assign", "access", "hex", "markov")
-RUN = r"(?<![A-Za-z0-9+_-])[A-Za-z0-9+_-]{16,}"
-# Runs that read as words (camel, snake or kebab case, short numbers) are the labelled ordinary identifiers.
-ORDINARY = r"^(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]{1,4}+|[_+-]++)++$"
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+_-/"  # and one more for any other
+_PART, _WHOLE = "A-Za-z0-9+_-", "A-Za-z0-9+_/.-"
+
+
+def _run(c: str, least: str = "") -> str:
+    """Runs of the characters c that end in no full stop: long ones, and short ones that are no word by their shape."""
+    mixed = rf"(?=[{c}]*[0-9])(?=[{c}]*[A-Za-z])|(?=[{c}]*(?:[a-z][A-Z]|[A-Z]{{2}}[a-z]))|(?=[{c}]*(?i:[b-df-hj-np-tv-xz]{{5}}))"
+    return rf"(?<![{c}]){least}(?:(?=[{c}]{{16}})|{mixed})[{c}]{{5,}}[{c.replace('.', '')}]"
+
+
+RUN = _run(_PART)
+WHOLE = _run(_WHOLE, rf"(?=[{_PART}]*(?:[/.][{_WHOLE}]*[/{_PART}]|=))") + "={0,2}"  # those that are not one part
+# Runs that read as words (camel, snake or kebab case, paths, host names, short numbers) are the labelled ordinary identifiers.
+ORDINARY = r"^(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[0-9]{1,4}+|[_+/.=-]++)++$"
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+_-/=."  # and one more for any other
 SIZE = len(ALPHABET) + 1
 EVIDENCE, MEAN, SMOOTH, BACKOFF = 8.0, 0.35, 0.5, 8
 _SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -59,9 +73,9 @@ def spans(text: Column, pattern: str, kind: int, least: int = 0, group: int = 0)
 
 
 def base_spans(rows: DataFrame) -> DataFrame:
-    """Adds assign, access, hex and runs to (.., text), and takes the text away."""
+    """Adds assign, access, hex, runs and wholes to (.., text), and takes the text away."""
     t = F.col("text")
-    return rows.select(*(c for c in rows.columns if c != "text"), spans(t, ASSIGN, 0, 6, 2).alias("assign"), spans(t, ACCESS, 1, 20).alias("access"), spans(t, HEX, 2, 24).alias("hex"), spans(t, RUN, 3).alias("runs"))
+    return rows.select(*(c for c in rows.columns if c != "text"), spans(t, ASSIGN, 0, 6, 2).alias("assign"), spans(t, ACCESS, 1, 20).alias("access"), spans(t, HEX, 2, 24).alias("hex"), spans(t, RUN, 3).alias("runs"), spans(t, WHOLE, 3).alias("wholes"))
 
 
 def _free(runs: Column, base: Column) -> Column:
@@ -83,7 +97,7 @@ def train(found: DataFrame) -> list[float] | None:
     """log p(y | x, random) - log p(y | x, ordinary) of each transition, from the spans of all documents."""
     base = F.concat("assign", "access", "hex")
     random = found.select(F.explode(base).alias("s"), F.lit(1).alias("y"))
-    plain = found.select(F.explode(_free(F.col("runs"), base)).alias("s"), F.lit(0).alias("y")).where(F.col("s.value").rlike(ORDINARY))
+    plain = found.select(F.explode(_free(F.concat("runs", "wholes"), base)).alias("s"), F.lit(0).alias("y")).where(F.col("s.value").rlike(ORDINARY))
     pairs = random.unionByName(plain).select("y", F.explode(_transitions(F.col("s.value"))).alias("k")).groupBy("y", "k").agg(F.count("*").alias("n"))
     counts = {y: [0] * SIZE * SIZE for y in (0, 1)}
     for r in pairs.collect():  # at most 2 * SIZE * SIZE rows
@@ -112,7 +126,10 @@ def find_secrets(docs: DataFrame, evidence: float = EVIDENCE, mean: float = MEAN
         table = F.array(*map(F.lit, model))
         ratio = lambda v: F.aggregate(_transitions(v), F.lit(0.0), lambda acc, k: acc + F.element_at(table, k + 1))
         likely = lambda r: (ratio(r["value"]) >= F.greatest(F.lit(evidence), mean * (F.char_length(r["value"]) - 1)))
-        more = F.filter(_free(F.col("runs"), base), likely)
+        better = lambda w: lambda p: (p["start"] >= w["start"]) & (p["end"] <= w["end"]) & (ratio(p["value"]) > ratio(w["value"]))
+        found = found.withColumn("runs", F.filter(_free(F.col("runs"), base), likely))
+        found = found.withColumn("wholes", F.filter(_free(F.col("wholes"), base), lambda w: likely(w) & ~F.exists("runs", better(w))))
+        more = F.concat("wholes", _free(F.col("runs"), F.col("wholes")))
     return found.select("doc_id", F.array_sort(F.concat(base, more)).alias("spans"))
 
 

@@ -197,6 +197,25 @@ def test_secrets(spark):
     assert secrets.find_secrets(table(spark, [(1, rand(40))])).first()["spans"] == []  # nothing to train from
 
 
+def test_secrets_whole(spark):
+    """Random strings with slashes, in paths, at the end of a sentence or short; words, paths and hosts are none."""
+    rng = random.Random(6)
+    rand = lambda n, a="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(rng.choice(a) for _ in range(n))
+    noun = lambda: rng.choice("orders reading station letter winter customer payment account archive monday report summary invoice project zebra market jungle quick velvet kitchen bridge oxygen yellow hazard black window jacket puzzle export quality baker village".split())
+    plain = lambda: rng.choice([f"www.{noun()}.example.com", f"/{noun()}/{noun()}/{noun()}.html", f"{noun()}_{noun()}_{noun()}", f"{noun()}{rng.randint(1, 99)}", f"2024-01-{rng.randint(10, 28)}", f"{noun()}.", f"{noun().capitalize()}{noun().capitalize()}"])
+    train = [" ".join([*(plain() for _ in range(20)), f"token={rand(24)}", f"password: {rand(20)}"]) for _ in range(200)]
+    keys = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "aB3xQ9zK/Lm2Np7Rv/Wk8Tj4Hs/Qz5Xc1Vb==", rand(15), "q7Zx9KpW3vT"]
+    texts = [*(f"note {k} end" for k in keys), f"see /reading/archive/{rand(30)}/summary.html now", f"the key aws_access={keys[0]}.", "visit www.reading.example.com/archive/2024/summary.html on 2024-01-15 or MondayReport customer12 payments."]
+    rows = list(enumerate(texts)) + [(1000 + k, t) for k, t in enumerate(train)]
+    got = {r["doc_id"]: r["s"] for r in secrets.find_secrets(table(spark, rows)).withColumn("s", secrets.spell(F.col("spans"))).collect()}
+    for k, key in enumerate(keys):
+        assert got[k] == f"markov:5:{5 + len(key)}", key
+    assert got[4] == "markov:21:51"
+    assert got[5] == "markov:19:59"
+    assert got[6] == ""
+    assert not any("markov" in got[1000 + k] for k in range(len(train)))
+
+
 def test_string_tiles():
     rng = random.Random(6)
     base = [f"w{k}" for k in range(30)]
