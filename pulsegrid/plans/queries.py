@@ -179,6 +179,29 @@ def roi_filter(cam):
     return direction.apply_roi(cam.select("seq", "t", "x", "y", "p"), _roi(cam), 4)
 
 
+# The same over the direction events of all objects.
+_WRITES_WHOLE = _WRITES.replace(" where obj = 3", "")
+
+
+def _roi_whole(cam):
+    return cam.select("seq", "t", *expr.grid_cell("x", "y", 4), "pol").withColumnsRenamed({"gx": "x", "gy": "y"})
+
+
+@query(_WRITES_WHOLE + " select w.bx, w.by, t, seq, w.value from w")
+def roi_writes_whole(cam):
+    return direction.roi_writes(_roi_whole(cam))
+
+
+@query(
+    _WRITES_WHOLE
+    + """, l as (select w.bx as bx, w.by as by, t, arg_max(w.value, seq) as value from w group by all)
+select c.seq, c.t, c.x, c.y, c.p from (select *, x // 4 as bx, y // 4 as by from cam) c asof join l on l.bx = c.bx and l.by = c.by and l.t < c.t
+where l.value = 1 and c.t > (select min(t) from r) and c.t <= (select max(t) from r)"""
+)
+def roi_filter_whole(cam):
+    return direction.apply_roi(cam.select("seq", "t", "x", "y", "p"), _roi_whole(cam), 4)
+
+
 @query()
 def run_filter(cam):
     return direction.run_filter(cam.select("seq", "t", "x", "y", "p"), 2, 2)["out"]
@@ -209,6 +232,12 @@ def interval_join(cam):
     return windows.interval_join(cam.select("seq", "t"), spans, "t", "lo", "hi", 500_000).select("seq", "span")
 
 
+@query("select c.seq, s.seq as span from cam c join (select * from cam where pol = 0) s on c.t > s.t - 500000 and c.t <= s.t")
+def interval_join_whole(cam):
+    spans = cam.where("pol = 0").select(F.col("seq").alias("span"), (F.col("t") - 500_000).alias("lo"), F.col("t").alias("hi"))
+    return windows.interval_join(cam.select("seq", "t"), spans, "t", "lo", "hi", 500_000).select("seq", "span")
+
+
 @query(
     """, p as (select seq, row_number() over (order by t, seq) - 1 as pos from cam), n as (select count(*) as n from cam),
 w as (select 1000 + 500 * range as i from range(0, 100000) , n where 1000 + 500 * range < n.n)

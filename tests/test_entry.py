@@ -30,6 +30,31 @@ def test_queries_agree_with_sql(spark):
         QUERIES[name](spark, SF).count()
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_whole_joins(spark):
+    """The joins over all objects: spans and writes of every one, and no rows but those."""
+    from pulsegrid.model import cam_events
+    from pulsegrid.plans.queries import QUERIES
+
+    cam = [(r["seq"], r["t"], r["x"], r["y"], r["pol"], r["obj"]) for r in cam_events(spark, SF).collect()]
+    obj = {c[0]: c[5] for c in cam}
+    pairs = {(r["seq"], r["span"]) for r in QUERIES["interval_join_whole"](spark, SF).collect()}
+    assert pairs == {(c[0], s[0]) for s in cam if s[4] == 0 for c in cam if s[1] - 500_000 < c[1] <= s[1]}
+    assert {obj[s] for _, s in pairs} == {c[5] for c in cam if c[4] == 0} and len({obj[s] for _, s in pairs}) > 7
+    writes = {r["seq"] for r in QUERIES["roi_writes_whole"](spark, SF).collect()}
+    assert writes == set(obj)
+    mask, on = {}, set()
+    for t in sorted({c[1] for c in cam}):
+        here = sorted(c for c in cam if c[1] == t)
+        on |= {c[0] for c in here if mask.get((c[2] // 4, c[3] // 4))}
+        for _, _, x, y, pol, _ in here:
+            bx, by = x // 4, y // 4
+            dx, dy = ((0, 1), (1, 0), (0, -1), (-1, 0))[pol]
+            mask[bx + dx, by + dy] = 1
+            mask[(bx - dx, by - dy) if pol < 2 else (bx, by)] = 0
+    assert {r["seq"] for r in QUERIES["roi_filter_whole"](spark, SF).collect()} == on and on
+
+
 def test_contract():
     q, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert sql.keys() <= q.keys() and len(q) > 60
