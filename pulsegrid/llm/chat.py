@@ -1,18 +1,22 @@
 """Chat formatting: event-sourced reconstruction, in DataFrame functions only.
 
-The log is a table of events. Events of one message (conversation, message number) are sorted by sequence and folded:
-``message`` sets the text, ``delta`` appends to it, ``edit`` replaces it, ``regenerate`` clears it for the deltas that
-follow, ``delete`` removes the message. The final messages of a conversation are sorted by number and rendered, each as
-``<|im_start|>role\\ntext<|im_end|>\\n``, with the loss mask as (start, length) code-point spans of assistant texts.
+The log is a table of events. Events of one message (conversation, message number, copy) are sorted by sequence and
+folded: ``message`` sets the text, ``delta`` appends to it, ``edit`` replaces it, ``regenerate`` clears it for the deltas
+that follow, ``delete`` removes the message. Every message goes through the fold, one sent whole as a log of one event. The
+final messages of a conversation are sorted by number and rendered, each as ``<|im_start|>role\\ntext<|im_end|>\\n``, with
+the loss mask as (start, length) code-point spans of assistant texts.
 
 Folding is by message and rendering by conversation, so the rows that meet in a task are those of one conversation's
 result, which is one row by definition. Deltas are folded before the shuffle by conversation.
 
 Escapes are reversible: ``<``, any backslashes, ``|`` gains one backslash before the ``|``, so no text holds a control
-string; a role also escapes backslash and newline.
+string; in a role a backslash is ``\\s`` and a newline ``\\n`` besides.
 
-Defined results: null text is empty; a null role is the empty role; a null turn sorts first; repeated (conversation,
-turn) rows of kind ``message`` stay separate turns in the order of role and text; a null conversation id is one
+Defined results: null text is empty; a null role is the empty role, and an event's empty role leaves the message's as it
+is; a null kind is ``message``; a null seq sorts first; events of one seq are folded by kind (in the order message, edit,
+regenerate, delta, delete), then by role and text; an event of an unknown kind changes nothing, and a message that only has
+such is none; what comes after a ``delete`` is void, but for a ``message``, which sends it again. A null turn sorts first;
+repeated (conversation, turn) rows stay separate turns in the order of role and text; a null conversation id is one
 conversation; an empty table gives no rows; other columns are ignored.
 """
 
@@ -34,38 +38,37 @@ def unescape(text: Column) -> Column:
 
 
 def _escape_role(role: Column) -> Column:
-    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\s")), F.lit("\n"), F.lit("\\n")))
 
 
 def _unescape_role(role: Column) -> Column:
-    # \\ stands for a backslash and \n for a newline: the pairs are told apart by way of a character no role holds.
-    back = F.replace(F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00")), F.lit("\\n"), F.lit("\n"))
-    return F.replace(back, F.lit("\x00"), F.lit("\\"))
+    # Every backslash begins an escape, so the two replacements cannot meet.
+    return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\s"), F.lit("\\"))
+
+
+#: Kinds in the order in which events of one seq are folded.
+KINDS = ("message", "edit", "regenerate", "delta", "delete")
 
 
 def fold_events(events: DataFrame) -> DataFrame:
-    """(conv_id, message, seq, kind, role, text) -> the final messages (conv_id, message, copy, role, text)."""
-    e = events.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("message").cast("long").alias("message"), F.col("seq").cast("long").alias("seq"),
-        F.coalesce(F.col("kind").cast("string"), F.lit("message")).alias("kind"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
-    whole = e.where("kind = 'message'")
-    # A message that was sent whole and never touched again needs no fold; the rest are folded by message.
-    touched = e.where("kind <> 'message'").select("conv_id", "message").distinct()
-    on = [e["conv_id"].eqNullSafe(F.col("c2")), e["message"].eqNullSafe(F.col("m2"))]
-    t = touched.select(F.col("conv_id").alias("c2"), F.col("message").alias("m2"))
-    plain = whole.join(t, on, "left_anti").select("conv_id", "message", "role", "text")
-    streamed = e.join(t, on, "left_semi")
-    start = F.struct(F.lit("").alias("role"), F.lit("").alias("text"), F.lit(True).alias("live"))
+    """(conv_id, message, seq, kind, role, text, and copy if it is there) -> the final messages (conv_id, message, copy, role, text)."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    copy = F.col("copy").cast("long") if "copy" in events.columns else F.lit(0).cast("long")
+    kind = F.array_position(F.array(*map(F.lit, KINDS)), F.coalesce(F.col("kind").cast("string"), F.lit("message")))
+    event = F.struct(F.col("seq").cast("long").alias("seq"), kind.alias("kind"), text("role").alias("role"), text("text").alias("text"))
+    e = events.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("message").cast("long").alias("message"), copy.alias("copy"), event.alias("event"))
+    start = F.struct(F.lit("").alias("role"), F.lit("").alias("text"), F.lit(False).alias("live"), F.lit(False).alias("gone"))
 
     def step(acc: Column, x: Column) -> Column:
-        k = x["kind"]
-        text = F.when(k == "delta", F.concat(acc["text"], x["text"])).when(k.isin("regenerate", "delete"), F.lit("")).otherwise(x["text"])
-        return F.struct(F.when(x["role"] != "", x["role"]).otherwise(acc["role"]).alias("role"), text.alias("text"), (k != "delete").alias("live"))
+        is_ = {name: x["kind"] == k + 1 for k, name in enumerate(KINDS)}
+        text = F.when(is_["delta"], F.concat(acc["text"], x["text"])).when(is_["regenerate"] | is_["delete"], F.lit("")).otherwise(x["text"])
+        role = F.when(x["role"] != "", x["role"]).otherwise(acc["role"])
+        new = F.struct(role.alias("role"), text.alias("text"), (~is_["delete"]).alias("live"), is_["delete"].alias("gone"))
+        return F.when(is_["message"] | ((x["kind"] > 0) & ~acc["gone"]), new).otherwise(acc)
 
-    log = F.array_sort(F.collect_list(F.struct("seq", "kind", "role", "text")))
-    folded = streamed.groupBy("conv_id", "message").agg(log.alias("log")).select("conv_id", "message", F.aggregate("log", start, step).alias("m"))
-    return plain.unionByName(folded.where("m.live").select("conv_id", "message", F.col("m.role").alias("role"), F.col("m.text").alias("text")))
+    log = F.array_sort(F.collect_list("event"))
+    folded = e.groupBy("conv_id", "message", "copy").agg(log.alias("log")).select("conv_id", "message", "copy", F.aggregate("log", start, step).alias("m"))
+    return folded.where("m.live").select("conv_id", "message", "copy", F.col("m.role").alias("role"), F.col("m.text").alias("text"))
 
 
 def render(messages: DataFrame, learned: str = LEARNED) -> DataFrame:
@@ -99,10 +102,22 @@ def read_back(rendered: DataFrame) -> DataFrame:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """A table of turns as a log: each row is one whole message."""
-    return conversations.select(
-        "conv_id", F.col("turn").alias("message"), F.lit(0).alias("seq"), F.lit("message").alias("kind"), "role", "text"
-    )
+    """A table of turns as the log of a chat in which they came about: an assistant's text is streamed as deltas, broken
+    off, regenerated and streamed again in three parts; any other is sent as a draft (its first third) and edited. Rows
+    that repeat a (conversation, turn) are told apart by a copy number."""
+    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    n = F.char_length(t)
+    third = F.floor((n + 2) / 3).cast("int")
+    part = lambda k: F.substr(t, k * third + 1, third)
+    event = lambda seq, kind, text: F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    streamed = F.array(
+        event(0, "message", F.lit("")), event(1, "delta", part(0)), event(2, "delta", part(2)), event(3, "regenerate", F.lit("")),
+        *(event(4 + k, "delta", part(k)) for k in range(3)),
+    )
+    drafted = F.array(event(0, "message", part(0)), event(1, "edit", t))
+    rows = conversations.select("conv_id", F.col("turn").alias("message"), F.monotonically_increasing_id().alias("copy"), F.col("role").cast("string").alias("role"), "text")
+    rows = rows.select("conv_id", "message", "copy", "role", F.explode(F.when(F.col("role") == LEARNED, streamed).otherwise(drafted)).alias("e"))
+    return rows.select("conv_id", "message", "copy", F.col("e.seq").alias("seq"), F.col("e.kind").alias("kind"), "role", F.col("e.text").alias("text"))
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:

@@ -35,8 +35,9 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert 50256 in t.encode("a <|endoftext|>", add_special_tokens=False).ids
     rng = random.Random(1)
-    rows = [*ODD, *((10 + k, words(rng, rng.randint(0, 900))) for k in range(60)), (99, "Don't  stop\n\n\n1234 ünïcode — 漢字 'll")]
+    rows = [*ODD, *((10 + k, words(rng, rng.randint(0, 900))) for k in range(60)), (99, "Don't  stop\n\n\n1234 ünïcode — 漢字 'll"), (98, "a <|endoftext|><|endoftext|>\n b<|ENDOFTEXT|> <|endoftext|")]
     out = packing.pack_documents(table(spark, rows).repartition(5))
     got = out.collect()
     assert out.columns == ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
@@ -151,6 +152,36 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_log_of_turns(spark):
+    """The log holds deltas, edits and regenerations, and the folds of all turns are the turns."""
+    rows = [(1, 0, "us\0er", "a question"), (1, 1, "assistant", "an answer of some length 😀é"), (1, 1, "assistant", "an answer of some length 😀é"), (1, 2, "a\\sn\\\n\\n<|", "x"), (2, 0, "assistant", ""), (2, 1, "assistant", "ab")]
+    df = spark.createDataFrame([(*r, "m", "t") for r in rows], CONV)
+    log = chat.events_of(df)
+    kinds = Counter(r["kind"] for r in log.collect())
+    assert kinds["delta"] >= 2 * kinds["regenerate"] > 0 and kinds["edit"] > 0 and kinds["message"] == len(rows)
+    assert not {r["text"] for r in log.where("kind <> 'edit'").collect()} & {rows[0][3], rows[1][3]}  # no event but an edit holds a whole text
+    got = chat.fold_events(log).collect()
+    assert Counter((r["conv_id"], r["message"], r["role"], r["text"]) for r in got) == Counter(rows)
+    back = {r["conv_id"]: r["turns"] for r in chat.read_back(chat.render(chat.fold_events(log))).collect()}
+    assert {c: [(t["role"], t["text"]) for t in ts] for c, ts in back.items()} == {c: [r[2:] for r in rows if r[0] == c] for c in (1, 2)}
+
+
+def test_chat_folds_defined(spark):
+    """Ties of seq, unknown kinds, deletes and null parts, as the docstring states."""
+    e = [
+        (1, 0, 5, "delta", "", "b"), (1, 0, 5, "message", "user", "a"), (1, 0, 5, "delta", "", "a"),  # one seq: message first, deltas by text
+        (1, 1, 0, "message", "user", "x"), (1, 1, 1, "reaction", "admin", "y"),  # an unknown kind changes nothing
+        (1, 2, 0, "message", "user", "x"), (1, 2, 1, "delete", None, None), (1, 2, 2, "delta", "", "y"),  # stays deleted
+        (1, 3, 0, "delete", None, None), (1, 3, 1, "message", "user", "back"),  # sent again
+        (1, 4, None, "message", "user", "first"), (1, 4, 0, None, None, "a message by default"),
+        (1, 5, 0, "reaction", "user", "alone"), (None, 0, 0, "message", None, None),
+    ]
+    df = spark.createDataFrame(e, "conv_id long, message long, seq long, kind string, role string, text string")
+    got = {(r["conv_id"], r["message"]): (r["role"], r["text"]) for r in chat.fold_events(df).collect()}
+    assert got == {(1, 0): ("user", "aab"), (1, 1): ("user", "x"), (1, 3): ("user", "back"), (1, 4): ("user", "a message by default"), (None, 0): ("", "")}
+    assert chat.fold_events(df.limit(0)).count() == 0
+
+
 def test_chat_events(spark):
     e = [
         (1, 0, 0, "message", "user", "hi"), (1, 1, 2, "delta", "", "lo"), (1, 1, 1, "delta", "assistant", "hel"), (1, 1, 3, "regenerate", "", None), (1, 1, 4, "delta", "", "bye"),
