@@ -13,12 +13,13 @@ def _summary(e: DataFrame) -> tuple[int, int]:
     return r["n"], r["h"] or 0
 
 
-def connected_components(edges: DataFrame, stage: Callable[[DataFrame, str], DataFrame], a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, stage: Callable[[DataFrame, str], DataFrame], a: str = "a", b: str = "b", drop: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """(node, root): root is the least node of the component; nodes without an edge to another node are left out.
 
     Each step takes a minimum by node (with map-side combine) and joins it back to the edges, which AQE splits where a
     node has very many; no list of neighbours is ever gathered. Rounds grow with the logarithm of the diameter. `stage`
-    cuts the lineage between rounds (a checkpoint or a written table).
+    cuts the lineage between rounds (a checkpoint or a written table); `drop`, if given, deletes what it wrote once nothing
+    reads that, and the result is then staged as well.
     """
     x, y = F.col(a), F.col(b)
     e = edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
@@ -30,11 +31,17 @@ def connected_components(edges: DataFrame, stage: Callable[[DataFrame, str], Dat
         large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low.withColumnRenamed("u", "k"), F.col("u") == F.col("k")).where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        e = stage(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        spent, e = e, stage(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        if drop:
+            drop(spent)
         now = _summary(e)
         if now == before:
             break
         before = now
-    return e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(
+    out = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+    if drop:
+        out = stage(out, "roots")
+        drop(e)
+    return out
