@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.plans.staging import discard, staged
 
-__all__ = ["discard", "shuffle_partitions", "slices", "staged", "table", "text_rows"]
+__all__ = ["discard", "shuffle_partitions", "slices", "staged", "table", "text_rows", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,16 @@ def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while any(c.startswith(n) for c in taken):
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

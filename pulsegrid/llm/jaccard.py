@@ -1,48 +1,61 @@
 """N-gram Jaccard join: multiple-global-order filtering.
 
-A document's set is its distinct 5-word shingles. If two sets of sizes a and b link (intersection >= 0.75 union), then
-under ANY total order of tokens the first n - ceil(0.75 n) + 1 tokens of both share a token. Three orders are used:
-
-1. rare first: ascending estimated document frequency, then a hash. Candidates are found by this one. The estimate comes
-   from a hash sample of texts and only shapes the order: every order gives the same links, so neither the sample nor
-   the bound on the table of frequent tokens (FREQUENT) can change a result;
-2. a hash of the token; 3. the same hash descending. A candidate must share prefix tokens under both as well.
-Candidates are thinned by their token counts in 256 hash buckets, an upper bound of the intersection; what passes all
-three orders is verified on whole sets, which are made anew for those documents only.
-
-Candidates never are all pairs of a token's documents. A node is a distinct set (copies share one). Similar sets pass the
-positional filter at the first token they share, so of two sets the smaller must lead with the token: where a frequent
-token comes late in all sets, nothing is paired at all. For each shared token, rounds compare its nodes with one hub,
-which costs one pair per row; linked nodes form components, and only leading nodes are compared further with nodes of
-other components, until none is left. So groups of near copies cost rows, not squares, and no link between components
-is lost.
+If two sets of sizes m and n link (intersection >= 0.75 union), then under ANY total order of tokens the first
+n - ceil(0.75 n) + l tokens of one and as many of the other share l tokens (l at most either's LEAD-th part; a prefix).
+Three independent orders are used, and their filters are intersected before any whole set is looked at:
+
+1. order 2, a hash of the token, on single sets: a set goes on only if l tokens of its prefix are in some other set at all.
+   The prefixes of all documents are shuffled once by token. What most corpora consist of, texts that share passages but
+   are no copies, ends here;
+2. order 1, rare tokens first (estimated document frequency, then another hash): pairs that share a token of their shortest
+   prefixes (l = 1), at places that leave room for enough more (positional filter), are candidates;
+3. orders 2 and 3 (a third hash) on pairs: a candidate must share l tokens of its prefixes under both; its token counts in
+   256 hash buckets, an upper bound of the intersection, must leave room as well.
+
+Only what passes all of them is verified on whole sets, exactly and without a cap. The frequency estimate comes from a hash
+sample of texts and only shapes order 1 and spares tokens known to be shared the shuffle: neither the sample nor the bound
+on its table (FREQUENT) can change a result.
+
+Candidates never are all pairs of a token's documents. A node is a distinct set (copies share one). For each shared token,
+rounds compare its nodes with one hub, which costs one pair per row; linked nodes form components, and only leading nodes
+are compared further with nodes of other components, until none is left. So groups of near copies cost rows, not squares,
+and no link between components is lost. Once hubs no longer halve what is left, the rest is compared in one step; that
+decides cost, not results.
 
 Defined results: null or wordless text has n_shingles 0 and is linked with nothing; fewer than 5 words form one shingle;
 equal texts link; repeated rows link with themselves; a null doc_id counts for links but never is a component's least;
-an empty table gives no rows; other columns are ignored. Sets and tokens are compared as 64-bit hashes.
+an empty table gives no rows; other columns are ignored. Sets and tokens are compared as 64-bit hashes: among 10^10 distinct
+sets about 3 pairs share a hash.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.components import connected_components
 
-from .common import discard, slices, staged, text_rows
+from .common import discard, slices, staged, text_rows, unused
 from .textvec import mix, shingle_sets
 
 WORDS, PERCENT = 5, 75
+LEAD = 12
 SAMPLE, FREQUENT = 16, 1_000_000
 ROUNDS, SMALL = 8, 8
 BUCKETS = 256
 BROADCAST_ROWS = 1_000_000
 
 
-def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - (percent * n + 99) // 100 + 1
+def prefix_length(n: int, percent: int = PERCENT, shared: int = 1) -> int:
+    """How many tokens hold `shared` of those of any similar set."""
+    return n - (percent * n + 99) // 100 + shared
+
+
+def lead(n: int) -> int:
+    """How many tokens two similar sets must share within their prefixes under orders 2 and 3."""
+    return max(1, n // LEAD)
 
 
 def set_signature(tokens: np.ndarray) -> int:
@@ -85,99 +98,143 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     def prefixes(batches):
         seen: set[int] = set()  # signatures of this task's documents: a copy adds no tokens
         for batch in slices(batches):
-            sigs, sizes, toks, counts = [], [], [], []
+            sigs, sizes, known, toks = [], [], [], []
             for _, s in shingle_sets(batch.column("text"), words):
                 sizes.append(len(s))
-                if not len(s):
-                    sigs.append(None)
-                    toks.append(None)
-                    counts.append(None)
+                known.append(0)
+                toks.append(None)
+                sigs.append(set_signature(s) if len(s) else None)
+                if not len(s) or sigs[-1] in seen:
                     continue
-                sigs.append(g := set_signature(s))
-                if g in seen:
-                    toks.append(None)
-                    counts.append(None)
-                    continue
-                seen.add(g)
-                counts.append(np.minimum(np.bincount((mix(s, 4) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
-                p = prefix_length(len(s), percent)
-                by = _order_one(s, frequent.value)
-                first = np.argpartition(by, p - 1)[:p]
-                toks.append(s[first[np.argsort(by[first])]])
-            n = np.array([0 if t is None else len(t) for t in toks], np.int64)
-            flat = np.concatenate([np.zeros(0, np.uint64), *[t for t in toks if t is not None]]).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), batch.column("rk"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(counts, pa.binary())], ["doc_id", "th", "rk", "sig", "n", "toks", "counts"])
-
-    base = staged(rows.mapInArrow(prefixes, "doc_id long, th long, rk long, sig long, n long, toks array<long>, counts binary"), "prefix")
-    tokens = base.select(F.posexplode("toks").alias("i", "tok"), "sig", F.col("n").cast("int").alias("n")).select("tok", "sig", "n", "i")
-    # Copies in different tasks make a token look shared; groups of one node fall out with the first round.
+                seen.add(sigs[-1])
+                by, p = mix(s, 2), prefix_length(len(s), percent, lead(len(s)))
+                first = s[np.argpartition(by, p - 1)[:p]]
+                shared = _is_known(first, frequent.value[0])
+                known[-1] = int(shared.sum())
+                toks[-1] = first[~shared]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), batch.column("rk"), pa.array(sigs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), _lists(toks)], ["doc_id", "th", "rk", "sig", "n", "known", "toks"])
+
+    wide = staged(rows.mapInArrow(prefixes, "doc_id long, th long, rk long, sig long, n long, known long, toks array<long>"), "prefix")
+    base = staged(wide.drop("toks"), "base")
+    # One shuffle tells which tokens several sets hold. Those of great groups are known from the sample and not in it.
+    every = Window.partitionBy("tok")
+    tokens = wide.where("size(toks) > 0").select(F.explode("toks").alias("tok"), "sig").select("sig", (F.min("sig").over(every) < F.max("sig").over(every)).alias("shared"))
+    found = tokens.where("shared").groupBy("sig").agg(F.count("*").alias("found"))
+    nodes = base.where("sig is not null").groupBy("sig").agg(F.min("rk").alias("rk"), F.max("n").alias("n"), F.max("known").alias("known"))
+    enough = F.coalesce("found", F.lit(0)) + F.col("known") >= F.greatest(F.lit(1), F.floor(F.col("n") / LEAD))
+    chosen = staged(nodes.join(found, "sig", "left").where(enough).select("rk"), "nodes")
+    discard(wide)
+    sets = _sets(rows, chosen, words)
+    narrow = staged(sets.mapInArrow(_narrow(percent, frequent), "sig long, n int, toks array<long>, two binary, three binary, counts binary"), "orders")
+    tokens = narrow.select(F.posexplode("toks").alias("i", "tok"), "sig", "n").select("tok", "sig", "n", "i")
     # What is joined is written first, so that both sides of the join are plain shuffles, which AQE splits under skew.
     near = F.max(_leading("n", "i", percent).cast("int"))
     shared = staged(tokens.groupBy("tok").agg(F.count("*").alias("m"), near.alias("near")).where("m > 1 and near = 1").select("tok"), "tokens")
     active = staged(tokens.join(shared, "tok", "left_semi"), "shared")
-    labels = _link(active, rows, base, words, percent)
+    labels = staged(_link(active, narrow, sets, percent), "links")
+    discard(chosen, shared, sets, narrow)
     named = base.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("d"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("first"))
     named = named.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     of = named.groupBy("root").agg(F.min("d").alias("component_id"), F.min("first").alias("first"))
-    verdict = named.select("sig", "root").join(of, "root").select("sig", "component_id", F.col("first.doc_id").alias("fd"), F.col("first.th").alias("ft"))
-    out = base.select("doc_id", "th", "sig", F.col("n").alias("n_shingles")).join(verdict, "sig", "left")
+    verdict = staged(named.select("sig", "root").join(of, "root").select("sig", "component_id", F.col("first.doc_id").alias("fd"), F.col("first.th").alias("ft")), "verdict")
+    out = base.select("doc_id", "th", "sig", F.col("n").alias("n_shingles")).join(_few(verdict), "sig", "left")  # beyond the broadcast AQE splits a great group of copies
     keep = F.col("sig").isNull() | (F.col("doc_id").eqNullSafe(F.col("fd")) & (F.col("th") == F.col("ft")))
     return out.select("doc_id", "th", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), keep.alias("keep"))
 
 
-def _sets(rows: DataFrame, base: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(sig, n, toks): the whole set of each of the nodes (sig), its tokens in order 2."""
+def _few(df: DataFrame) -> DataFrame:
+    """df (staged), to be broadcast if it has no more than BROADCAST_ROWS rows, else to be merged."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("merge")
+
+
+def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
+    n = np.array([0 if t is None else len(t) for t in arrays], np.int64)
+    flat = np.concatenate([np.zeros(0, np.uint64), *[t for t in arrays if t is not None]]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat))
+
+
+def _is_known(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(tokens), bool)
+    return known[np.minimum(np.searchsorted(known, tokens), len(known) - 1)] == tokens
+
+
+def _sets(rows: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
+    """(sig, n, toks): the whole sets of the chosen rows (rk), tokens ascending."""
 
     def whole(batches):
         for batch in slices(batches):
-            sig, n, lists = [], [], []
-            for _, s in shingle_sets(batch.column("text"), words):
-                if len(s):
-                    sig.append(set_signature(s))
-                    n.append(len(s))
-                    lists.append(s[np.argsort(mix(s, 2))].view(np.int64))
-            off = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.int64), *lists])
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], ["sig", "n", "toks"])
-
-    chosen = base.select("sig", "rk").join(nodes, "sig", "left_semi").groupBy("sig").agg(F.min("rk").alias("rk")).select("rk")
-    chosen = staged(chosen, "nodes")
-    few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    texts = rows.join(F.broadcast(chosen) if few else chosen, "rk", "left_semi").select("text")
+            got = [s for _, s in shingle_sets(batch.column("text"), words) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_signature(s) for s in got], pa.int64()), pa.array([len(s) for s in got], pa.int32()), _lists(got)], ["sig", "n", "toks"])
+
+    texts = rows.join(_few(chosen), "rk", "left_semi").select("text")
     return staged(texts.mapInArrow(whole, "sig long, n int, toks array<long>"), "sets")  # a repeated row repeats links only
 
 
-def _plausible(pairs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose counts by bucket leave room for an intersection that is large enough."""
-    vectors = base.where("counts is not null").select("sig", "n", "counts").dropDuplicates(["sig"])
-    one = vectors.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca"))
-    two = vectors.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb"))
+def _narrow(percent: int, frequent):
+    """What the filters need of each set: its prefix under order 1, 32-bit hashes of those under orders 2 and 3, and
+    its counts by bucket."""
 
-    def bound(batches):
+    def work(batches):
         for batch in slices(batches):
+            toks, two, three, counts = [], [], [], []
+            column = batch.column("toks")
+            off, flat = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+            for a, b in zip(off[:-1], off[1:], strict=True):
+                s = flat[a:b]
+                p = prefix_length(len(s), percent)
+                by = _order_one(s, frequent.value)
+                first = np.argpartition(by, p - 1)[:p]
+                toks.append(s[first[np.argsort(by[first])]])
+                p = prefix_length(len(s), percent, lead(len(s)))
+                for out, salt in ((two, 2), (three, 3)):
+                    out.append((np.partition(mix(s, salt), p - 1)[:p] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes())
+                counts.append(np.minimum(np.bincount((mix(s, 4) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("sig"), batch.column("n"), _lists(toks), *(pa.array(x, pa.binary()) for x in (two, three, counts))], ["sig", "n", "toks", "two", "three", "counts"])
+
+    return work
+
+
+def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of sets whose sig is among the nodes (staged)."""
+    return sets.join(_few(nodes), "sig", "left_semi")
+
+
+def _plausible(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that share enough of their prefixes under orders 2 and 3, and whose counts by bucket leave room
+    for an intersection that is large enough."""
+    columns = ("n", "two", "three", "counts")
+    one = vectors.select(F.col("sig").alias("a"), *(F.col(c).alias(f"{c}_a") for c in columns))
+    two = vectors.select(F.col("sig").alias("b"), *(F.col(c).alias(f"{c}_b") for c in columns))
+
+    def bound(batches):
+        for batch in slices(batches, 128):
             if not batch.num_rows:
                 continue
-            ca, cb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in ("ca", "cb"))
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            ca, cb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in ("counts_a", "counts_b"))
+            na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
             d = ca - cb
             most = np.minimum(na - np.maximum(d, 0).sum(1), nb - np.maximum(-d, 0).sum(1))
-            yield batch.select(["a", "b", "ca0", "cb0"]).filter(pa.array(100 * most >= percent * (na + nb - most)))
+            ok = 100 * most >= percent * (na + nb - most)
+            for order in ("two", "three"):
+                x, y = batch.column(f"{order}_a"), batch.column(f"{order}_b")
+                for r in np.flatnonzero(ok).tolist():
+                    p, q = (np.frombuffer(v[r].as_buffer(), np.uint32) for v in (x, y))
+                    # Tokens are counted one by one, so a shared 32-bit hash can only let a pair pass.
+                    least = min(lead(int(na[r])), lead(int(nb[r])))
+                    ok[r] = np.isin(p, q).sum() >= least
+            yield batch.select(["a", "b", "ca", "cb"]).filter(pa.array(ok))
 
-    held = pairs.withColumnsRenamed({"ca": "ca0", "cb": "cb0"}).join(one, "a").join(two, "b").select("a", "b", "ca0", "cb0", "na", "nb", "ca", "cb")
-    return held.mapInArrow(bound, "a long, b long, ca0 long, cb0 long").withColumnsRenamed({"ca0": "ca", "cb0": "cb"})
+    held = pairs.join(one, "a").join(two, "b").select("a", "b", "ca", "cb", *(f"{c}_{x}" for c in columns for x in "ab"))
+    return held.mapInArrow(bound, "a long, b long, ca long, cb long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that share prefix tokens under orders 2 and 3 and whose sets are similar enough."""
+    """The pairs whose sets are similar enough."""
     one = sets.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
     two = sets.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
-    p = lambda n: n - F.floor((percent * n + 99) / 100).cast("int") + 1
-    na, nb = F.col("na"), F.col("nb")
-    second = F.arrays_overlap(F.slice("ta", F.lit(1), p(na)), F.slice("tb", F.lit(1), p(nb)))
-    third = F.arrays_overlap(F.slice("ta", -p(na), p(na)), F.slice("tb", -p(nb), p(nb)))
     common = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(one, "a").join(two, "b").where(second & third).where(100 * common >= percent * (na + nb - common)).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("ca", "cb")
 
 
 def _leading(n: str, i: str, percent: int):
@@ -192,20 +249,21 @@ def _room(n1: str, i1: str, n2: str, i2: str, percent: int):
     return (100 + percent) * F.least(n1 - F.col(i1), n2 - F.col(i2)) >= percent * (n1 + n2)
 
 
-def _link(active: DataFrame, texts: DataFrame, base: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, root) of active nodes. Links are contracted as they are found, so each round only sees components that
-    still share a token; hubs go on as long as a round at least halves what is left to compare."""
-    rows = active.withColumn("comp", F.col("sig"))
-    done, before = None, None
+def _link(active: DataFrame, narrow: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of active nodes (active is discarded). Links are contracted as they are found, so each round only
+    sees components that still share a token; hubs go on as long as a round at least halves what is left to compare."""
+    rows, spent = active.withColumn("comp", F.col("sig")), active
+    done, before, kept = None, None, []
     for turn in range(ROUNDS + 1):
-        # The hub: a set that has the token as far to the front as any; a hash decides, another one each round.
+        # The hub: one leading set; a hash decides, the same for all tokens of a round and another one each round.
         leads = _leading("n", "i", percent)
-        rank = F.struct((100 * F.col("i") / F.col("n")).cast("int"), F.xxhash64("sig", F.lit(turn)))
+        rank = F.struct((~leads).alias("late"), F.xxhash64("sig", F.lit(turn)).alias("h"))
         groups = rows.groupBy("tok").agg(F.count("*").alias("m"), F.sum(leads.cast("long")).alias("near"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("sig", "n", "i", "comp"), rank).alias("hub"))
         groups = staged(groups.where("lo <> hi and near > 0").select("tok", "near", "hub"), "groups")
         open_rows = staged(rows.join(groups, "tok"), "open")
         size = open_rows.agg(F.count("*").alias("rows"), F.sum("near").alias("squares")).first()
         if not size["rows"]:
+            discard(groups, open_rows)
             break
         last = turn == ROUNDS or size["squares"] <= SMALL * size["rows"] or (before is not None and 2 * size["squares"] > before)
         before = size["squares"]
@@ -223,33 +281,39 @@ def _link(active: DataFrame, texts: DataFrame, base: DataFrame, words: int, perc
         pairs = pairs.select(F.col("p.s").alias("a"), F.col("q.s").alias("b"), F.col("p.c").alias("ca"), F.col("q.c").alias("cb"))
         pairs = pairs.groupBy("a", "b").agg(F.min("ca").alias("ca"), F.min("cb").alias("cb"))
         pairs = staged(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        likely = staged(_plausible(pairs, base, percent), "likely")
-        nodes = likely.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-        sets = _sets(texts, base, nodes, words)
-        links = _verified(likely.select("a", "b"), sets, percent).join(likely, ["a", "b"]).select("ca", "cb")
-        moved = connected_components(links, staged, "ca", "cb")
+        nodes = staged(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "ends")
+        likely = staged(_plausible(pairs, _only(narrow, nodes), percent), "likely")
+        ends = staged(likely.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "ends")
+        links = staged(_verified(likely, _only(sets, ends), percent), "links")
+        moved = connected_components(links, staged, "ca", "cb", discard)
         rows = staged(rows.join(moved.withColumnRenamed("node", "comp"), "comp", "left").select("tok", "sig", "n", "i", F.coalesce("root", "comp").alias("comp")), "rows")
-        discard(groups, open_rows, likely, sets)  # rows are written, so nothing reads these again
+        discard(spent, groups, open_rows, nodes, likely, ends, links, moved)  # rows are written, so nothing reads these again
+        spent = rows
+        kept.append(pairs)
         if last:
             break
         done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
-    return rows.groupBy(F.col("sig").alias("node")).agg(F.min("comp").alias("root"))
+    out = staged(rows.groupBy(F.col("sig").alias("node")).agg(F.min("comp").alias("root")), "roots")
+    discard(spent, *kept)
+    return out
 
 
 def without_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, that stand for their components: the least doc_id of each, once."""
-    gone = staged(near_duplicates(docs, words, percent).select("doc_id", "th", "keep").groupBy("doc_id", "th").agg(F.min("keep").alias("keep"), F.count("*").alias("copies")), "verdicts")
+    gone = staged(near_duplicates(docs, words, percent).groupBy("doc_id", "th").agg(F.min("keep").alias("keep"), F.count("*").alias("copies")), "verdicts")
+    id_, th = unused(docs, "id", "th")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(text))
-    drop = gone.where("not keep").select(F.xxhash64("doc_id", "th").alias("__rk"))
-    few = drop.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    left = docs.withColumn("__rk", key).join(F.broadcast(drop) if few else drop, "__rk", "left_anti")
+    keyed = docs.withColumn(th, F.xxhash64(text))
+    mine = F.col("doc_id").cast("long").eqNullSafe(F.col(id_))
+    select = lambda rows: staged(gone.where(rows).select(F.col("doc_id").alias(id_), F.col("th").alias(f"{th}_")), "keys")
+    on = [mine, F.col(th) == F.col(f"{th}_")]
+    left = keyed.join(_few(select("not keep")), on, "left_anti")
     # Rows that repeat in full are copies of each other too. They are rare: only where any are kept are rows compared.
-    again = gone.where("keep and copies > 1").select(F.xxhash64("doc_id", "th").alias("__rk"))
+    again = select("keep and copies > 1")
     if again.isEmpty():
-        return left.drop("__rk")
+        return left.select(docs.columns)
+    again = _few(again)
     empty = ~text.rlike(r"[^\x20\x09-\x0D]")
-    few = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    again = F.broadcast(again) if few else again
-    once = left.join(again, "__rk", "left_semi").where(~empty).dropDuplicates(["__rk"])
-    return left.join(again, "__rk", "left_anti").unionByName(once).unionByName(left.join(again, "__rk", "left_semi").where(empty)).drop("__rk")
+    twice = left.join(again, on, "left_semi")
+    once = twice.where(~empty).dropDuplicates(["doc_id", th])
+    return left.join(again, on, "left_anti").unionByName(once).unionByName(twice.where(empty)).select(docs.columns)
