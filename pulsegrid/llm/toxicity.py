@@ -1,17 +1,19 @@
-"""Toxicity: class-conditional Kneser-Ney models over characters.
-
-Texts are lower-cased and mapped to 32 symbols (26 letters, one for all that is no letter or digit, one for digits, four
-for other letters), so a 5-gram is a number below 2^25: counts and scores are tables of proven size, whatever the corpus.
-Two models share their backoff: at order 5 each class has its own discounted counts, at orders 4 and 3 its own
-continuation counts, each with its own backoff weight, while orders 2 and 1 are Kneser-Ney continuation counts gathered
-from ALL documents, labelled or not. A rare expression is thus smoothed alike in both classes and only differs by what
-its class has seen. A document's evidence is the log-likelihood
-ratio of toxic to ordinary per symbol, over the whole text and in its strongest window, turned into a score by a
-logistic function.
-
-Counts come from every document and every label row of folds 1 to 4 (fold 0 is held out); the logistic function alone is
-fitted on a bounded sample (CALIBRATE rows, documented parameter) of those labelled rows, each measured by counts that
-leave its own fold out.
+"""Toxicity: class-conditional Kneser-Ney models over code points.
+
+Texts are lower-cased; every code point is a symbol of its own, white space one blank, so the vocabulary is open. The toxic
+and the ordinary model share their backoff: at order 5 each class has its own discounted counts and at orders 4 and 3 its
+own continuation counts, each with its own backoff weight, while orders 2 and 1 are Kneser-Ney continuation counts gathered
+from ALL documents, labelled or not. A rare expression is thus smoothed alike in both classes and only differs by what its
+class has seen. Higher shared orders were tried and are worse: a context that only toxic texts hold then predicts its
+next symbol as well for the ordinary class, and a toxic word says nothing but at its beginning (README). A document's evidence is the log-likelihood ratio of toxic to ordinary per symbol, over the whole text and
+in its strongest window, turned into a score by a logistic function.
+
+What is gathered from the corpus are its distinct trigrams, in distributed tables that grow with it; the counts that the
+labelled n-grams back off to are joined out of them. An n-gram that neither class has seen has the same probability in
+both, so the ratios need entries for the labelled n-grams alone. The classes' counts are fitted on a bounded sample: at
+most LABELLED label rows of folds 1 to 4 (fold 0 is held out) with at most LABELLED_CHARS code points in all (whole texts,
+in the order of a hash). That bounds what reaches the driver and is broadcast: tables of at most twice LABELLED_CHARS entries by order.
+The logistic function is fitted on the same rows, each measured by counts that leave its own fold out.
 
 Defined results: null and empty texts are scored (no evidence, so the score of the intercept); several label rows of a
 document count as toxic if one does; null labels are ignored; without labels of both classes every score is the share of
@@ -22,50 +24,53 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, staged, text_rows
+from .common import discard, slices, staged, text_rows
 
-ORDER, BITS, SHARED = 5, 5, 2
-SYMBOLS = 1 << BITS
+ORDER, SHARED = 5, 2
+POINT = 21  # bits of a code point
 DISCOUNT = 0.75
 WINDOW, STRIDE, GAP = 128, 16, 5
-CALIBRATE = 20_000
-BROADCAST_LABELS = 1_000_000
-SCALE = 16.0
+LABELLED, LABELLED_CHARS = 20_000, 1 << 24
 CHUNK = 1 << 18
 PENDING = 1 << 21
+_RNG = np.random.Generator(np.random.PCG64(20240301))
+_POINTS = _RNG.integers(1, 2**63, 0x10000, dtype=np.uint64)
+_PLACES = _RNG.integers(1, 2**63, ORDER, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BLANKS = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 
 
-def _symbols() -> np.ndarray:
-    t = np.zeros(0x10000, np.uint8)
-    for i in range(0x10000):
-        c = chr(i)
-        if "a" <= c <= "z":
-            t[i] = ord(c) - 96
-        elif c.isdigit():
-            t[i] = 27
-        elif c.isalpha():
-            t[i] = 28 + i % 4
-    return t
+def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, bounds of the texts): each text is followed by GAP blanks, and GAP blanks come first."""
+    low = [t.lower() for t in texts]
+    raw = np.frombuffer((" " * GAP + "".join(t + " " * GAP for t in low)).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    raw[np.isin(raw, _BLANKS)] = 32
+    return raw, np.cumsum([0, *(len(t) + GAP for t in low)])
 
 
-_table: list[np.ndarray] = []
+def point_hashes(s: np.ndarray) -> np.ndarray:
+    return np.where(s < 0x10000, _POINTS[np.minimum(s, 0xFFFF)], s.astype(np.uint64) * _PLACES[0])
 
 
-def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(5-gram code at each symbol, bounds of the texts): texts are set apart by GAP blanks."""
-    if not _table:
-        _table.append(_symbols())
-    low = [t.lower() for t in texts]
-    raw = np.frombuffer((" " * GAP + (" " * GAP).join(low) + " " * GAP).encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = _table[0][np.minimum(raw, 0xFFFF)].astype(np.uint32)
-    c = s[ORDER - 1 :].copy()
-    for k in range(1, ORDER):
-        c |= s[ORDER - 1 - k : len(s) - k] << np.uint32(BITS * k)
-    lens = np.array([len(t) + GAP for t in low], np.int64)
-    return c, np.concatenate(([0], np.cumsum(lens)))  # a text's codes: its symbols, and the blanks after it
+def gram_hashes(s: np.ndarray) -> list[np.ndarray]:
+    """For k = 1 .. ORDER: the hash of the k symbols up to each place, from place ORDER - 1 on."""
+    t = point_hashes(s)
+    n = len(s) - ORDER + 1
+    out, h = [], np.zeros(n, np.uint64)
+    for k in range(ORDER):
+        h = h + t[ORDER - 1 - k : ORDER - 1 - k + n] * _PLACES[k]
+        out.append(h)
+    return out
+
+
+def packed(*columns: np.ndarray) -> np.ndarray:
+    """Symbols, the first one in front, as one number."""
+    out = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        out = out << POINT | c.astype(np.int64)
+    return out
 
 
 def groups(texts: list[str]):
@@ -93,108 +98,220 @@ FOLDS = (1, 2, 3, 4)
 COUNTS = [f"{c}{k}" for k in FOLDS for c in ("t", "o")]
 
 
-def gather_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(code, t1, o1, .. t4, o4) of every 5-gram of all documents, with its counts in the toxic and ordinary labelled
-    texts of each fold (all 0 for one that only unlabelled texts hold): sums per task, then by code."""
-    few = labels.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
-    rows = text_rows(docs).join(F.broadcast(labels) if few else labels, "doc_id", "left")
-    rows = rows.select("text", F.coalesce(2 * (F.col("fold") - 1) + 1 - F.col("toxic"), F.lit(-1)).cast("int").alias("y"))
+def corpus_grams(docs: DataFrame) -> DataFrame:
+    """(p, x): the distinct trigrams of all documents, x the first symbol and p the other two."""
 
-    def count(batches):
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        fresh: dict[int, list[np.ndarray]] = {}  # codes not yet counted, at most PENDING or one group of texts over it
-
-        def settle(y):
-            k, n = np.unique(np.concatenate(fresh.pop(y)), return_counts=True)
-            if y in held:
-                k0, n0 = held[y]
-                both = np.concatenate((k0, k))
-                k, at = np.unique(both, return_inverse=True)
-                n = np.bincount(at, np.concatenate((n0, n)), len(k)).astype(np.int64)
-            held[y] = k, n
+    def distinct(batches):
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int32))
+        fresh: list = []  # at most PENDING or one group of texts over it
+
+        def settle():
+            p, x = (np.concatenate(c) for c in zip(held, *fresh, strict=True))
+            both = np.unique(p << POINT | x)  # 63 bits
+            return both >> POINT, (both & ((1 << POINT) - 1)).astype(np.int32)
 
         for batch in slices(batches):
-            texts, ys = batch.column("text").to_pylist(), batch.column("y").to_numpy()
+            texts = batch.column("text").to_pylist()
+            for i, j in groups(texts):
+                s, _ = symbols(texts[i:j])
+                both = np.unique(packed(s[1:-1], s[2:], s[:-2]))
+                fresh.append((both >> POINT, (both & ((1 << POINT) - 1)).astype(np.int32)))
+                if sum(len(f[0]) for f in fresh) > PENDING:
+                    held, fresh = settle(), []
+        if fresh:
+            held = settle()
+        for i in range(0, len(held[0]), PENDING):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + PENDING]) for c in held], ["p", "x"])
+
+    return text_rows(docs).where("text <> ''").mapInArrow(distinct, "p long, x int").distinct()
+
+
+def labelled_grams(texts: DataFrame) -> DataFrame:
+    """(b, a, t1, o1, .. t4, o4): the ORDER-grams of the texts (their last three symbols, a, and those before, b) and how often the
+    toxic and ordinary ones of each fold hold them."""
+
+    def count(batches):
+        for batch in slices(batches):
+            rows, ys = batch.column("text").to_pylist(), 2 * (batch.column("fold").to_numpy() - 1) + 1 - batch.column("toxic").to_numpy()
             for y in np.unique(ys).tolist():
-                own = [texts[i] for i in np.flatnonzero(ys == y).tolist()]
+                own = [rows[i] for i in np.flatnonzero(ys == y).tolist()]
                 for i, j in groups(own):
-                    fresh.setdefault(y, []).append(codes(own[i:j])[0])
-                    if sum(map(len, fresh[y])) > PENDING:
-                        settle(y)
-        for y in list(fresh):
-            settle(y)
-        if held:
-            every = np.unique(np.concatenate([k for k, _ in held.values()]))
-            out = np.zeros((len(COUNTS), len(every)), np.int64)
-            for y, (k, n) in held.items():
-                if y >= 0:
-                    out[y, np.searchsorted(every, k)] = n
-            yield pa.RecordBatch.from_arrays([pa.array(every.astype(np.int32)), *map(pa.array, out)], ["code", *COUNTS])
-
-    counts = rows.mapInArrow(count, f"code int, {', '.join(f'{c} long' for c in COUNTS)}")
-    return counts.groupBy("code").agg(*(F.sum(c).cast("float").alias(c) for c in COUNTS))  # half the size; a count is smoothed anyway
-
-
-def continuation(code: np.ndarray, orders: range, lower: np.ndarray) -> np.ndarray:
-    """Kneser-Ney probabilities of the last of `orders`, by code: an n-gram counts as often as it has distinct symbols
-    before it among the given distinct 5-grams, and backs off to the order below; `lower` is that of orders[0] - 1."""
-    seen = {ORDER: code}
-    for k in range(ORDER - 1, orders[0], -1):
-        seen[k] = np.unique(seen[k + 1] & ((1 << BITS * k) - 1))
-    p = lower
-    for k in orders:
-        size = 1 << BITS * k
-        by = np.bincount(seen[k + 1] & (size - 1), minlength=size).astype(float).reshape(-1, SYMBOLS)
-        total = by.sum(1, keepdims=True)
-        back = np.where(total > 0, DISCOUNT * (by > 0).sum(1, keepdims=True) / np.maximum(total, 1), 1.0)
-        below = np.tile(p.reshape(-1, SYMBOLS), (SYMBOLS, 1)) if k > 1 else np.full((1, SYMBOLS), p[0])
-        p = (np.maximum(by - DISCOUNT, 0) / np.maximum(total, 1) + back * below).ravel()
+                    s, _ = symbols(own[i:j])
+                    _, at, n = np.unique(gram_hashes(s)[ORDER - 1][1:], return_index=True, return_counts=True)
+                    at += ORDER
+                    yield pa.RecordBatch.from_arrays([pa.array(packed(*(s[at - k] for k in range(ORDER - 1, 2, -1)))), pa.array(packed(s[at - 2], s[at - 1], s[at])), pa.array(np.full(len(at), y, np.int32)), pa.array(n.astype(np.int64))], ["b", "a", "y", "n"])
+
+    counts = texts.mapInArrow(count, "b long, a long, y int, n long")
+    return counts.groupBy("b", "a").agg(*(F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).cast("int").alias(c) for y, c in enumerate(COUNTS)))
+
+
+def shared_counts(grams: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For each wanted bigram (p) the continuation counts that orders 2 and 1 need: c2, its context's total2 and kinds2, c1,
+    total1, kinds1. A count is the number of distinct symbols in front, in all documents."""
+    c2 = staged(grams.groupBy("p").agg(F.count("*").alias("c2")), "c2")
+    last = F.col("p").bitwiseAND(F.lit((1 << POINT) - 1))
+    c1 = staged(c2.groupBy(last.alias("w")).agg(F.count("*").alias("c1")), "c1")  # at most all code points
+    contexts = c2.groupBy(F.shiftright("p", POINT).alias("v")).agg(F.sum("c2").alias("total2"), F.count("*").alias("kinds2"))
+    whole = c1.agg(F.sum("c1").alias("t"), F.count("*").alias("k")).first()
+    rows = wanted.join(c2, "p").withColumns({"v": F.shiftright("p", POINT), "w": last}).join(contexts, "v").join(c1, "w").drop("v", "w")
+    return rows.withColumns({"total1": F.lit(whole["t"] or 0), "kinds1": F.lit(whole["k"])})
+
+
+def interpolated(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Absolute discounting: a context that was never seen leaves all to the order below."""
+    seen = np.maximum(total, 1)
+    return np.maximum(n - DISCOUNT, 0) / seen + np.where(total > 0, DISCOUNT * kinds / seen, 1.0) * below
+
+
+class Grams:
+    """The labelled n-grams of orders ORDER to SHARED + 1 with what they back off to. `keys[k]` are the distinct hashes of
+    k symbols, as grams and as contexts; for each gram of `own[k]`: `gram[k]` and `context[k]` are its place and that of
+    its context in keys, `suffix[k]` the place in own[k - 1] of what it backs off to."""
+
+    def __init__(self, b: np.ndarray, a: np.ndarray, shared: pa.Table):
+        point = (1 << POINT) - 1
+        s = [(x >> POINT * k & point).astype(np.uint32) for x, n in ((b, ORDER - 3), (a, 3)) for k in range(n - 1, -1, -1)]
+        t = [point_hashes(x) for x in s]
+        hashes = lambda last, k: sum((t[last - j] * _PLACES[j] for j in range(k)), np.zeros(len(b), np.uint64))
+        ends = {k: hashes(ORDER - 1, k) for k in range(SHARED + 1, ORDER + 1)}
+        contexts = {k: hashes(ORDER - 2, k) for k in range(SHARED, ORDER)}
+        self.keys, self.gram, self.context, self.suffix = {}, {}, {}, {}
+        every = {}
+        for k in range(SHARED, ORDER + 1):
+            parts = [x for x in (ends.get(k), contexts.get(k)) if x is not None]
+            self.keys[k], at = np.unique(np.concatenate(parts), return_inverse=True)
+            every[k] = at[: len(b)], at[-len(b) :] if len(b) else at
+        below = None
+        self.order = np.unique(every[ORDER][0], return_index=True)[1]  # own[ORDER] is in the order of its keys
+        for k in range(ORDER, SHARED, -1):
+            _, first, own = np.unique(every[k][0], return_index=True, return_inverse=True)  # of each gram once
+            self.gram[k], self.context[k] = every[k][0][first], every[k - 1][1][first]
+            if below is not None:
+                self.suffix[k + 1] = own[below]
+            below = first
+        key = shared["p"].to_numpy()
+        by = np.argsort(key)
+        two = a[below] & ((1 << SHARED * POINT) - 1)
+        self.below = _shared(shared)[by[np.searchsorted(key, two, sorter=by)]] if len(a) else np.zeros(0)
+
+    def probabilities(self, n: np.ndarray) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+        """From a class's counts of the grams of the highest order: p of each gram's last symbol, by order, and the
+        backoff weights of its contexts. Orders below count in how many different ways a gram is continued to the left."""
+        counts = {ORDER: n[self.order]}
+        for k in range(ORDER, SHARED + 1, -1):
+            counts[k - 1] = np.bincount(self.suffix[k], counts[k] > 0, len(self.gram[k - 1]))
+        p, back, lower = {}, {}, self.below
+        for k in range(SHARED + 1, ORDER + 1):
+            size, context = len(self.keys[k - 1]), self.context[k]
+            total, kinds = np.bincount(context, counts[k], size), np.bincount(context, counts[k] > 0, size)
+            if k > SHARED + 1:
+                lower = p[k - 1][self.suffix[k]]
+            p[k] = interpolated(counts[k], total[context], kinds[context], lower)
+            back[k - 1] = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+        return p, back
+
+    def tables(self, toxic: np.ndarray, ordinary: np.ndarray) -> Tables:
+        (p, back_p), (q, back_q) = self.probabilities(toxic.astype(float)), self.probabilities(ordinary.astype(float))
+        out = {}
+        for k in self.keys:
+            ratio, back = np.full(len(self.keys[k]), np.nan), np.zeros(len(self.keys[k]))
+            if k > SHARED:
+                ratio[self.gram[k]] = np.log(p[k]) - np.log(q[k])
+            if k < ORDER:
+                back = np.log(back_p[k]) - np.log(back_q[k])
+            out[k] = Lookup(self.keys[k], ratio, back)
+        return Tables(out)
+
+
+def _shared(counts: pa.Table) -> np.ndarray:
+    """p(last symbol | the one before) of each row's bigram, of all documents."""
+    own = {k: counts[k].to_numpy().astype(float) for k in counts.column_names if k != "p"}
+    p = 1.0 / np.maximum(own["kinds1"], 1)
+    for k in range(1, SHARED + 1):
+        p = interpolated(own[f"c{k}"], own[f"total{k}"], own[f"kinds{k}"], p)
     return p
 
 
-def ratio_table(code: np.ndarray, n_toxic: np.ndarray, n_ordinary: np.ndarray) -> np.ndarray:
-    """log p(x | h, toxic) - log p(x | h, ordinary) of every 5-gram, in steps of 1/SCALE (int8, 2^25 entries).
-
-    `code` are the 5-grams of all documents, whose distinct ones give the shared backoff of orders 1 to SHARED."""
-    code = code.astype(np.int64)
-    shared = continuation(code, range(1, SHARED + 1), np.full(1, 1.0 / SYMBOLS))
-    h = code >> BITS
-    backs, fours, logs = [], [], []
-    for n in (n_toxic.astype(float), n_ordinary.astype(float)):
-        p = continuation(code[n > 0], range(SHARED + 1, ORDER), shared)
-        total = np.bincount(h, n, 1 << BITS * (ORDER - 1))
-        kinds = np.bincount(h, n > 0, 1 << BITS * (ORDER - 1))
-        back = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-        logs.append(np.log(np.maximum(n - DISCOUNT, 0) / np.maximum(total[h], 1) + back[h] * p[code & (len(p) - 1)]))
-        backs.append(np.log(back))
-        fours.append(np.log(p))
-    quant = lambda v: np.clip(np.rint(v * SCALE), -127, 127).astype(np.int8)
-    back, four = backs[0] - backs[1], fours[0] - fours[1]
-    step = len(back) // SYMBOLS  # 5-grams that no class has seen: by their first symbol, to keep the arrays small
-    table = np.empty(1 << BITS * ORDER, np.int8)
-    for a in range(SYMBOLS):
-        table[a * len(four) : (a + 1) * len(four)] = quant(np.repeat(back[a * step : (a + 1) * step], SYMBOLS) + four)
-    table[code] = quant(logs[0] - logs[1])
-    return table
-
-
-def evidence(texts: list[str], table: np.ndarray) -> np.ndarray:
+class Lookup:
+    """Values by 64-bit key: open addressing, at most half full."""
+
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        size = 1 << self.bits
+        self.keys, self.probes = np.zeros(size, np.uint64), 0
+        self.values = [np.zeros(size, np.float32) for _ in values]
+        todo = np.arange(len(keys))
+        slot = self._slot(keys)
+        while len(todo):
+            self.probes += 1
+            free = todo[self.keys[slot[todo]] == 0]
+            got, i = np.unique(slot[free], return_index=True)
+            self.keys[got] = keys[free[i]]
+            for v, own in zip(self.values, values, strict=True):
+                v[got] = own[free[i]]
+            left = np.ones(len(keys), bool)
+            left[free[i]] = False
+            todo = todo[left[todo]]
+            slot[todo] = (slot[todo] + 1) & (size - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the slots of the keys, whether they are there)."""
+        slot = self._slot(q)
+        held = self.keys[slot]
+        ok = held == q
+        todo = np.flatnonzero(~ok & (held != 0))
+        for _ in range(self.probes - 1):
+            if not len(todo):
+                break
+            slot[todo] = (slot[todo] + 1) & (len(self.keys) - 1)
+            held = self.keys[slot[todo]]
+            ok[todo[held == q[todo]]] = True
+            todo = todo[(held != q[todo]) & (held != 0)]
+        return slot, ok
+
+
+class Tables:
+    """By order: the log-likelihood ratio of each gram (none where it is a context alone) and of its backoff weight."""
+
+    def __init__(self, by: dict[int, Lookup]):
+        self.by = by
+
+    def ratios(self, s: np.ndarray) -> np.ndarray:
+        """log p(symbol | those before, toxic) - log p(.. ordinary) at each place from ORDER - 1 on. What no class has
+        seen backs off, down to order SHARED, which is the same in both. The first place has no context."""
+        g = gram_hashes(s)
+        out = np.zeros(len(g[0]))
+        at = np.arange(1, len(out))
+        for k in range(ORDER, SHARED, -1):
+            slot, ok = self.by[k](g[k - 1][at])
+            ratio = np.where(ok, self.by[k].values[0][slot], np.nan)
+            here = ~np.isnan(ratio)
+            out[at[here]] += ratio[here]
+            at = at[~here]
+            slot, ok = self.by[k - 1](g[k - 2][at - 1])
+            out[at] += np.where(ok, self.by[k - 1].values[1][slot], 0)
+        return out
+
+
+def evidence(texts: list[str], tables: Tables) -> np.ndarray:
     """Per text: mean log-likelihood ratio per symbol, that of its strongest window, log of its length."""
     out = np.zeros((len(texts), 3))
     for i, j in groups(texts):
-        c, at = codes(texts[i:j])
-        total = np.concatenate(([0], np.cumsum(table[c], dtype=np.int64)))
+        s, at = symbols(texts[i:j])
+        total = np.concatenate(([0], np.cumsum(tables.ratios(s)[1:])))  # from the first symbol of the first text on
         for r in range(j - i):
-            a, b = at[r], at[r + 1]
-            n = b - a
-            if n <= GAP:
+            n = at[r + 1] - at[r] - GAP + 1
+            if n <= 1:
                 continue
-            own = total[a : b + 1]
+            own = total[at[r] : at[r] + n + 1]  # its symbols and one blank after it
             w = min(WINDOW, n)
             ends = own[w::STRIDE] if n > w else own[w:]
             best = max((ends - own[: n - w + 1 : STRIDE][: len(ends)]).max(), own[n] - own[n - w])
-            out[i + r] = (own[n] - own[0]) / n / SCALE, best / w / SCALE, np.log(n)
-    return out
+            out[i + r] = (own[n] - own[0]) / n, best / w, np.log(n)
+    return np.round(out, 9)  # sums that differ by where a text stands in its batch
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,20 +331,33 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
 
 
 class Model:
-    """A fitted model: the broadcast table and the logistic function, or the share of toxic labels alone."""
+    """A fitted model: the broadcast tables and the logistic function, or the share of toxic labels alone."""
 
-    def __init__(self, share: float, table=None, logistic=None):
-        self.share, self.table, self.logistic = share, table, logistic
+    def __init__(self, share: float, tables=None, logistic=None):
+        self.share, self.tables, self.logistic = share, tables, logistic
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.logistic is None:
             return np.full(len(texts), self.share)
         mean, scale, w = self.logistic
-        x = (evidence(texts, self.table.value) - mean) / scale
+        x = (evidence(texts, self.tables.value) - mean) / scale
         return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, calibrate: int = CALIBRATE) -> Model:
+def labelled_texts(docs: DataFrame, known: DataFrame, most: int = LABELLED, chars: int = LABELLED_CHARS) -> DataFrame:
+    """(text, toxic, fold) of the sample, staged: label rows in the order of a hash, whole texts until `chars` are reached."""
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "toxic", "fold")  # a bounded broadcast
+    rows = text_rows(docs).join(F.broadcast(chosen), "doc_id")
+    texts = staged(rows.select(F.xxhash64("doc_id", "text").alias("h"), F.char_length("text").cast("long").alias("n"), "text", "toxic", "fold"), "labelled")
+    if (texts.agg(F.sum("n")).first()[0] or 0) <= chars:
+        return texts
+    # So many rows only if documents repeat an id; sizes are summed up by ranges of the hash first.
+    sizes = texts.groupBy(F.shiftright("h", 50).alias("r")).agg(F.sum("n").alias("n"))
+    upto = sizes.select("r", F.sum("n").over(Window.orderBy("r")).alias("n")).where(F.col("n") <= chars).agg(F.max("r")).first()[0]
+    return texts.where(F.shiftright("h", 50) <= F.lit(upto if upto is not None else -(1 << 13)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, chars: int = LABELLED_CHARS) -> Model:
     """Labels of fold 0 are not used."""
     spark = docs.sparkSession
     known = label_rows(labels).where("fold <> 0")
@@ -235,36 +365,39 @@ def fit(docs: DataFrame, labels: DataFrame, calibrate: int = CALIBRATE) -> Model
     share = shares.get(1, 0) / max(1, sum(shares.values()))
     if len(shares) < 2:
         return Model(share)
-    counts = gather_counts(docs, known).toArrow()  # at most 2^25 rows, by the size of the alphabet
-    code = counts["code"].to_numpy()
+    texts = labelled_texts(docs, known, labelled, chars)
+    own = staged(labelled_grams(texts), "grams")
+    wanted = staged(own.select(F.col("a").bitwiseAND(F.lit((1 << SHARED * POINT) - 1)).alias("p")).distinct(), "bigrams")
+    counts = own.orderBy("a", "b").toArrow()  # at most `chars` rows
+    shared = shared_counts(corpus_grams(docs), wanted).toArrow()
+    discard(own, wanted)
+    grams = Grams(counts["b"].to_numpy(), counts["a"].to_numpy(), shared)
     per = {c: counts[c].to_numpy() for c in COUNTS}
     sums = {c: sum(per[f"{c}{k}"] for k in FOLDS) for c in "to"}
-    fit = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibrate).select("doc_id", "toxic", "fold")
-    texts = staged(text_rows(docs).join(F.broadcast(fit), "doc_id").select("text", "toxic", "fold"), "calibrate")
     parts = []
     for k in FOLDS:  # each fold is measured by what the other folds have seen
-        own = spark.sparkContext.broadcast(ratio_table(code, sums["t"] - per[f"t{k}"], sums["o"] - per[f"o{k}"]))
+        part = spark.sparkContext.broadcast(grams.tables(sums["t"] - per[f"t{k}"], sums["o"] - per[f"o{k}"]))
 
-        def features(batches, own=own):
+        def features(batches, part=part):
             for batch in slices(batches):
-                x = evidence(batch.column("text").to_pylist(), own.value)
+                x = evidence(batch.column("text").to_pylist(), part.value)
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(x[:, k]) for k in range(3))], ["toxic", "a", "b", "c"])
 
         parts.append(texts.where(F.col("fold") == k).select("text", "toxic").mapInArrow(features, "toxic int, a double, b double, c double").toArrow())
-        own.destroy()
+        part.destroy()
     got = np.column_stack([pa.concat_tables(parts)[c].to_numpy() for c in ("toxic", "a", "b", "c")])
     got = got[np.lexsort(got.T[::-1])]  # the order of rows must not show in the sums
     if not 0 < got[:, 0].sum() < len(got):
         return Model(share)
-    table = ratio_table(code, sums["t"], sums["o"])
-    del counts, per, sums
+    tables = grams.tables(sums["t"], sums["o"])
+    del counts, per, sums, grams
     pa.default_memory_pool().release_unused()
-    return Model(share, spark.sparkContext.broadcast(table), logistic_fit(got[:, 1:], got[:, 0]))
+    return Model(share, spark.sparkContext.broadcast(tables), logistic_fit(got[:, 1:], got[:, 0]))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, calibrate: int = CALIBRATE) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, chars: int = LABELLED_CHARS) -> DataFrame:
     """(doc_id, held_out, score, predicted) per row."""
-    model = fit(docs, labels, calibrate)
+    model = fit(docs, labels, labelled, chars)
 
     def score(batches):
         for batch in slices(batches):
@@ -275,9 +408,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, calibrate: int = CALIBRAT
     return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, calibrate: int = CALIBRATE) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, chars: int = LABELLED_CHARS) -> DataFrame:
     """The rows of docs, all columns, whose score is below 0.5."""
-    model = fit(docs, labels, calibrate)
+    model = fit(docs, labels, labelled, chars)
     at = docs.columns.index("text")
 
     def keep(batches):

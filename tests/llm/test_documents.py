@@ -141,19 +141,93 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score_toxicity(table(spark, []), one).count() == 0
 
 
-def test_ratio_table_is_kneser_ney():
-    """The table against probabilities that are summed up: both classes' distributions are proper."""
-    rng = np.random.default_rng(0)
-    code, n = np.unique(rng.integers(0, 4, (500, 5)) @ (32 ** np.arange(4, -1, -1)), return_counts=True)
-    tox, plain = rng.binomial(n, 0.3), rng.binomial(n, 0.5)
-    t = toxicity.ratio_table(code, tox, plain)
-    assert t.dtype == np.int8 and len(t) == 2**25
-    # A 5-gram of an unseen context tells nothing; one that only the toxic class has seen tells more than one of both.
-    assert t[int("7" * 3) % 2**25] == 0
-    only = code[(tox > 1) & (plain == 0)]
-    both = code[(tox > 1) & (plain > 1)]
-    if len(only) and len(both):
-        assert t[only].mean() > t[both].mean()
+def brute_kneser_ney(corpus, toxic, ordinary):
+    """p(last symbol of a 5-gram | the four before) by class, from the definition, and the alphabet."""
+    pad = lambda t: " " * 5 + re.sub(r"\s", " ", t.lower()) + " " * 5
+    kinds = {2: {pad(t)[i : i + 3] for t in corpus for i in range(len(pad(t)) - 2)}}  # {order: distinct grams one longer}, of all documents
+    kinds[1] = {g[1:] for g in kinds[2]}
+    below = {k: Counter(g[1:] for g in kinds[k]) for k in (1, 2)}
+    alphabet = sorted(below[1])
+    d = toxicity.DISCOUNT
+
+    def level(counts, gram, lower):
+        context = gram[:-1]
+        own = [n for g, n in counts.items() if g[:-1] == context]
+        return lower if not own else max(counts[gram] - d, 0) / sum(own) + d * len(own) / sum(own) * lower
+
+    def shared(gram):  # the gram's last one or two symbols
+        return level(below[len(gram)], gram, shared(gram[1:]) if len(gram) > 1 else 1 / len(alphabet))
+
+    def of(texts):
+        five = Counter(pad(t)[i : i + 5] for t in texts for i in range(1, len(pad(t)) - 4))
+        four = Counter(g[1:] for g in five)
+        three = Counter(g[1:] for g in four)
+        return lambda gram: level(five, gram, level(four, gram[1:], level(three, gram[2:], shared(gram[3:]))))
+
+    return of(toxic), of(ordinary), alphabet
+
+
+def test_ratios_are_kneser_ney(spark):
+    """Ratios against probabilities from the definition, which are proper; scripts other than Latin are no exception."""
+    rng = random.Random(3)
+    alphabets = ["ab ", "ab\n", "жя ", "你我😀", "a1 2"]
+    texts = ["".join(rng.choices(a, k=rng.randint(0, 30))) for a in alphabets for _ in range(6)]
+    rows = list(enumerate(texts))
+    labels = [(i, i % 2) for i, _ in rows if i % 3]
+    known = toxicity.label_rows(spark.createDataFrame(labels, "doc_id long, toxic int")).where("fold <> 0").collect()
+    by = {r["doc_id"]: r["toxic"] for r in known}
+    p, q, alphabet = brute_kneser_ney(texts, [t for i, t in rows if by.get(i) == 1], [t for i, t in rows if by.get(i) == 0])
+    docs = table(spark, rows)
+    own = toxicity.labelled_grams(toxicity.labelled_texts(docs, toxicity.label_rows(spark.createDataFrame(labels, "doc_id long, toxic int")).where("fold <> 0"))).toArrow()
+    n = {c: sum(own[f"{c}{k}"].to_numpy() for k in toxicity.FOLDS) for c in "to"}
+    wanted = spark.createDataFrame([(int(x) & ((1 << 42) - 1),) for x in set(own["a"].to_pylist())], "p long").distinct()
+    shared = toxicity.shared_counts(toxicity.corpus_grams(docs), wanted).toArrow()
+    tables = toxicity.Grams(own["b"].to_numpy(), own["a"].to_numpy(), shared).tables(n["t"], n["o"])
+    for t in [*texts[::4], "ab 1ж你 zz", "xyz"]:
+        s, _ = toxicity.symbols([t])
+        padded = " " * 5 + re.sub(r"\s", " ", t) + " " * 5
+        want = [np.log(p(g) / q(g)) for g in (padded[i : i + 5] for i in range(1, len(padded) - 4)) if g[-1] in alphabet]
+        got = [r for r, c in zip(tables.ratios(s)[1:], padded[5:], strict=True) if c in alphabet]
+        assert np.allclose(got, want, atol=1e-5)
+    for context in ("ab a", "    ", "жя ж", "你我你我", "zzzz"):
+        assert abs(sum(p(context + c) for c in alphabet) - 1) < 1e-9 and abs(sum(q(context + c) for c in alphabet) - 1) < 1e-9
+
+
+def test_toxicity_lookup():
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(1, 2**63, 5000, dtype=np.uint64))
+    table_ = toxicity.Lookup(keys, np.arange(len(keys)))
+    asked = np.concatenate((keys[::3], rng.integers(1, 2**63, 5000, dtype=np.uint64)))
+    slot, ok = table_(asked)
+    assert ok.tolist() == np.isin(asked, keys).tolist()
+    assert (table_.values[0][slot[ok]] == np.searchsorted(keys, asked[ok])).all()
+    assert not toxicity.Lookup(np.zeros(0, np.uint64))(asked)[1].any()
+
+
+def test_toxicity_in_other_scripts(spark):
+    """Toxic expressions in Cyrillic, CJK and Arabic, and ones told apart by a digit."""
+    rng = random.Random(8)
+    for letters, bad in (("абвгдежзик", "дурак"), ("日本語文字漢書", "馬鹿者"), ("ابتثجحخد", "غبيجدا"), ("abcdefgh", "k1ll")):
+        word = lambda letters=letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 4)))
+        rows, labels = [], []
+        for k in range(300):
+            w = [word() for _ in range(40)]
+            y = k % 4 == 0
+            for j in range(3):
+                w[rng.randrange(40)] = bad if y else (bad[:-1] if j else bad[::-1])
+            rows.append((k, " ".join(w)))
+            labels.append((k, int(y)))
+        got = toxicity.score_toxicity(table(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).where("held_out").collect()
+        assert np.mean([r["predicted"] == dict(labels)[r["doc_id"]] for r in got]) > 0.9, bad
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows, labels = toxic_corpus(200)
+    known = toxicity.label_rows(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).where("fold <> 0")
+    docs = table(spark, rows)
+    some = toxicity.labelled_texts(docs, known, chars=20_000).agg({"n": "sum"}).first()[0]
+    assert 10_000 < some <= 20_000
+    assert toxicity.labelled_texts(docs, known, most=50).count() == 50
 
 
 PAGE = """<!DOCTYPE html><html><head><title>Not this</title><script>var x = "<p>no</p>";</script></head><body>
