@@ -19,8 +19,7 @@ on its table (FREQUENT) can change a result.
 Candidates never are all pairs of a token's documents. A node is a distinct set (copies share one). For each shared token,
 rounds compare its nodes with one hub, which costs one pair per row; linked nodes form components, and only leading nodes
 are compared further with nodes of other components, until none is left. So groups of near copies cost rows, not squares,
-and no link between components is lost. Once hubs no longer halve what is left, the rest is compared in one step; that
-decides cost, not results.
+and no link between components is lost. After some rounds the rest is compared in one step; that decides cost, not results.
 
 Defined results: null or wordless text has n_shingles 0 and is linked with nothing; fewer than 5 words form one shingle;
 equal texts link; repeated rows link with themselves; a null doc_id counts for links but never is a component's least;
@@ -43,7 +42,7 @@ from .textvec import mix, shingle_sets
 WORDS, PERCENT = 5, 75
 LEAD = 12
 SAMPLE, FREQUENT = 16, 1_000_000
-ROUNDS, SMALL = 8, 8
+ROUNDS, SMALL = 4, 4
 BUCKETS = 256
 BROADCAST_ROWS = 1_000_000
 
@@ -125,7 +124,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     chosen = staged(nodes.join(found, "sig", "left").where(enough).select("rk"), "nodes")
     discard(wide)
     sets = _sets(rows, chosen, words)
-    narrow = staged(sets.mapInArrow(_narrow(percent, frequent), "sig long, n int, toks array<long>, two binary, three binary, counts binary"), "orders")
+    narrow = staged(sets.mapInArrow(_narrow(percent, frequent), "sig long, n int, toks array<long>, two binary, three binary, counts binary, x long, y long"), "orders")
     tokens = narrow.select(F.posexplode("toks").alias("i", "tok"), "sig", "n").select("tok", "sig", "n", "i")
     # What is joined is written first, so that both sides of the join are plain shuffles, which AQE splits under skew.
     near = F.max(_leading("n", "i", percent).cast("int"))
@@ -172,12 +171,12 @@ def _sets(rows: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
 
 
 def _narrow(percent: int, frequent):
-    """What the filters need of each set: its prefix under order 1, 32-bit hashes of those under orders 2 and 3, and
-    its counts by bucket."""
+    """What the filters need of each set: its prefix under order 1, 32-bit hashes of those under orders 2 and 3, its
+    counts by bucket, and whether they are odd (128 buckets, as two numbers)."""
 
     def work(batches):
         for batch in slices(batches):
-            toks, two, three, counts = [], [], [], []
+            toks, two, three, counts, odd = [], [], [], [], []
             column = batch.column("toks")
             off, flat = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
             for a, b in zip(off[:-1], off[1:], strict=True):
@@ -189,8 +188,11 @@ def _narrow(percent: int, frequent):
                 p = prefix_length(len(s), percent, lead(len(s)))
                 for out, salt in ((two, 2), (three, 3)):
                     out.append((np.partition(mix(s, salt), p - 1)[:p] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes())
-                counts.append(np.minimum(np.bincount((mix(s, 4) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("sig"), batch.column("n"), _lists(toks), *(pa.array(x, pa.binary()) for x in (two, three, counts))], ["sig", "n", "toks", "two", "three", "counts"])
+                by = np.bincount((mix(s, 4) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                counts.append(np.minimum(by, 255).astype(np.uint8).tobytes())
+                odd.append(np.packbits((by[:128] + by[128:] & 1).astype(bool)).view(np.int64))
+            parity = np.array(odd, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("sig"), batch.column("n"), _lists(toks), *(pa.array(x, pa.binary()) for x in (two, three, counts)), pa.array(parity[:, 0]), pa.array(parity[:, 1])], ["sig", "n", "toks", "two", "three", "counts", "x", "y"])
 
     return work
 
@@ -249,32 +251,44 @@ def _room(n1: str, i1: str, n2: str, i2: str, percent: int):
     return (100 + percent) * F.least(n1 - F.col(i1), n2 - F.col(i2)) >= percent * (n1 + n2)
 
 
+def _close(n1: str, x1: str, y1: str, n2: str, x2: str, y2: str, percent: int):
+    """Whether two sets may differ in few enough tokens: buckets that are odd in one of them alone hold a token that the
+    other lacks. No link is lost."""
+    differ = F.bit_count(F.col(x1).bitwiseXOR(F.col(x2))) + F.bit_count(F.col(y1).bitwiseXOR(F.col(y2)))
+    return (100 + percent) * differ <= (100 - percent) * (F.col(n1) + F.col(n2))
+
+
 def _link(active: DataFrame, narrow: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, root) of active nodes (active is discarded). Links are contracted as they are found, so each round only
-    sees components that still share a token; hubs go on as long as a round at least halves what is left to compare."""
-    rows, spent = active.withColumn("comp", F.col("sig")), active
-    done, before, kept = None, None, []
+    sees components that still share a token; hubs go on until few pairs are left apart, or for ROUNDS rounds."""
+    # A set in the middle of its near copies has few tokens of its own, and so links with more of them than they do.
+    p = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
+    own = active.groupBy("sig").agg((100 * (1 - F.count("*") / F.max(p))).cast("int").alias("alone"))
+    own = own.join(narrow.select("sig", "x", "y"), "sig")
+    rows = staged(active.join(own, "sig").select("tok", "sig", "n", "i", "x", "y", "alone", F.col("sig").alias("comp")), "rows")
+    discard(active)
+    spent, done, kept = rows, None, []
     for turn in range(ROUNDS + 1):
-        # The hub: one leading set; a hash decides, the same for all tokens of a round and another one each round.
+        # The hub: a leading set, first the one with the fewest tokens of its own, then any, another one for each token.
         leads = _leading("n", "i", percent)
-        rank = F.struct((~leads).alias("late"), F.xxhash64("sig", F.lit(turn)).alias("h"))
-        groups = rows.groupBy("tok").agg(F.count("*").alias("m"), F.sum(leads.cast("long")).alias("near"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("sig", "n", "i", "comp"), rank).alias("hub"))
+        rank = F.struct((~leads).alias("late"), *([F.xxhash64("sig", "tok", F.lit(turn)).alias("h")] if turn else ["alone", F.xxhash64("sig").alias("h")]))
+        groups = rows.groupBy("tok").agg(F.count("*").alias("m"), F.sum(leads.cast("long")).alias("near"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("sig", "n", "i", "x", "y", "comp"), rank).alias("hub"))
         groups = staged(groups.where("lo <> hi and near > 0").select("tok", "near", "hub"), "groups")
         open_rows = staged(rows.join(groups, "tok"), "open")
-        size = open_rows.agg(F.count("*").alias("rows"), F.sum("near").alias("squares")).first()
+        apart = F.when(F.col("comp") != F.col("hub.comp"), F.col("near")).otherwise(0)
+        size = open_rows.agg(F.count("*").alias("rows"), F.sum(apart).alias("squares")).first()  # at most so many pairs lead apart
         if not size["rows"]:
             discard(groups, open_rows)
             break
-        last = turn == ROUNDS or size["squares"] <= SMALL * size["rows"] or (before is not None and 2 * size["squares"] > before)
-        before = size["squares"]
-        if last:  # few are left, or hubs gain no more: what shares a token across components, the smaller set leading
-            other = open_rows.select("tok", F.col("sig").alias("s2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("comp").alias("c2"))
+        last = turn == ROUNDS or size["squares"] <= SMALL * size["rows"]
+        if last:  # what shares a token across components, the smaller set leading
+            other = open_rows.select("tok", F.col("sig").alias("s2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("comp").alias("c2"))
             ordered = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("sig") < F.col("s2")))
-            pairs = open_rows.where(leads).join(other, "tok").where(ordered & (F.col("comp") != F.col("c2")) & _room("n", "i", "n2", "i2", percent))
+            pairs = open_rows.where(leads).join(other, "tok").where(ordered & (F.col("comp") != F.col("c2")) & _room("n", "i", "n2", "i2", percent) & _close("n", "x", "y", "n2", "x2", "y2", percent))
             one, two = F.struct(F.col("sig").alias("s"), F.col("comp").alias("c")), F.struct(F.col("s2").alias("s"), F.col("c2").alias("c"))
             first = F.col("sig") < F.col("s2")
         else:
-            pairs = open_rows.where((F.col("comp") != F.col("hub.comp")) & _room("n", "i", "hub.n", "hub.i", percent))
+            pairs = open_rows.where((F.col("comp") != F.col("hub.comp")) & _room("n", "i", "hub.n", "hub.i", percent) & _close("n", "x", "y", "hub.n", "hub.x", "hub.y", percent))
             one, two = F.struct(F.col("sig").alias("s"), F.col("comp").alias("c")), F.struct(F.col("hub.sig").alias("s"), F.col("hub.comp").alias("c"))
             first = F.col("sig") < F.col("hub.sig")
         pairs = pairs.select(F.when(first, one).otherwise(two).alias("p"), F.when(first, two).otherwise(one).alias("q"))
@@ -286,7 +300,7 @@ def _link(active: DataFrame, narrow: DataFrame, sets: DataFrame, percent: int) -
         ends = staged(likely.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "ends")
         links = staged(_verified(likely, _only(sets, ends), percent), "links")
         moved = connected_components(links, staged, "ca", "cb", discard)
-        rows = staged(rows.join(moved.withColumnRenamed("node", "comp"), "comp", "left").select("tok", "sig", "n", "i", F.coalesce("root", "comp").alias("comp")), "rows")
+        rows = staged(rows.join(moved.withColumnRenamed("node", "comp"), "comp", "left").select("tok", "sig", "n", "i", "x", "y", "alone", F.coalesce("root", "comp").alias("comp")), "rows")
         discard(spent, groups, open_rows, nodes, likely, ends, links, moved)  # rows are written, so nothing reads these again
         spent = rows
         kept.append(pairs)
