@@ -40,10 +40,6 @@ def voxel_bin(v: str | Column, low: float, high: float, n: int) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(n - 1), ((_c(v) - F.lit(low)) / F.lit((high - low) / n)).cast("int")))
 
 
-def frame_bin(t: str | Column, t0: int | Column, dt: int) -> Column:
-    return F.floor((_c(t) - t0) / F.lit(dt)).cast("long")
-
-
 def display_point(x: str | Column, y: str | Column, t: str | Column) -> list[Column]:
     return [_c(x).cast("double").alias("px"), (_c(t) / 1000).alias("py"), _c(y).cast("double").alias("pz")]
 

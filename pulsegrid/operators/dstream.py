@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import idiv
+from ..model import with_position
 from ..plans.staging import staged
 from .windows import interval_join, ordered_fold
 
@@ -43,21 +44,58 @@ class DStream:
         cells = df.select("seq", "t", idiv("x", self.grid).cast("int").alias("gx"), idiv("y", self.grid).cast("int").alias("gy"))
         return run(cells, ["gx", "gy"], ["t", "seq"], ["seq", "t", "gx", "gy"], "seq long, t long, gx int, gy int, d double", lambda key: [], step)
 
-    def triggers(self, df: DataFrame) -> DataFrame:
-        """(frame, t, seq): the events at which clusters are updated, each at least `interval` after the one before. One
-        ordered pass over (t, seq) that holds one number."""
+    def triggers(self, df: DataFrame, block: int = 1_000_000) -> DataFrame:
+        """(frame, t, seq): the events at which clusters are updated, each at least `interval` after the one before (the
+        first at `interval` or later).
+
+        Events lie in blocks of positions. What a block does to the chain depends on the time from which it is due alone,
+        and only on which of the events within one interval of the block's start is hit first: so each block yields, for
+        those events and the one after them, when the chain that begins there is next due after the block. These few rows are
+        chained in order, which tells when each block is due, and the blocks are replayed in parallel."""
         interval = self.interval
+        placed = staged(with_position(df.select("t", "seq")).select("t", "seq", idiv("pos", block).alias("block")), "times")
+
+        def hops(t: np.ndarray) -> np.ndarray:
+            """For each event the first one at least an interval later (their number if there is none)."""
+            return np.searchsorted(t, t + interval)
+
+        def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+            t = np.sort(pdf["t"].to_numpy())
+            due = np.append(t + interval, 0)
+            to = np.append(hops(t), len(t))
+            last = np.where(to < len(t), to, np.arange(len(t) + 1))
+            while (last[last] != last).any():
+                last = last[last]  # twice as far each time
+            near = int(np.searchsorted(t, max(t[0], 0) + interval))  # no block is due later than at this event
+            first = np.unique(t[: near + 1], return_index=True)[1]
+            return pd.DataFrame({"block": pdf["block"].iloc[0], "t": t[first], "due": due[last[first]]})
 
         def step(s, row):
-            t, seq = row
-            if t - s[0] >= interval:
-                s[0] = t
-                s[1] += 1
-                return [(s[1], t, seq)]
-            return None
-
-        one = df.select(F.lit(0).alias("k"), "t", "seq")
-        return ordered_fold(one, ["k"], ["t", "seq"], ["t", "seq"], "frame long, t long, seq long", lambda key: [0, 0], step)
+            b, t, due = row
+            out = []
+            if b != s["block"]:
+                s |= {"block": b, "hit": False, "from": s["due"]}
+                out = [(b, s["due"])]
+            if not s["hit"] and t >= s["from"]:
+                s |= {"hit": True, "due": due}
+            return out
+
+        chain = placed.groupBy("block").applyInPandas(ends, "block long, t long, due long")
+        starts = ordered_fold(chain.withColumn("k", F.lit(0)), ["k"], ["block", "t"], ["block", "t", "due"], "block long, due long", lambda key: {"block": None, "hit": False, "due": interval}, step)
+
+        def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["t", "seq"], ignore_index=True)
+            t, out = pdf["t"].to_numpy(), []
+            to, i = hops(t), int(np.searchsorted(t, pdf["due"].iloc[0]))
+            while i < len(t):
+                out.append(i)
+                i = int(to[i])
+            return pdf.loc[out, ["block", "t", "seq"]].assign(nth=np.arange(1, len(out) + 1))
+
+        hit = staged(placed.join(starts, "block").groupBy("block").applyInPandas(replay, "block long, t long, seq long, nth long"), "hits")
+        before = hit.groupBy("block").agg(F.count("*").alias("n"))  # one row a block
+        before = before.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
+        return hit.join(before, "block").select((F.col("before") + F.col("nth")).alias("frame"), "t", "seq")
 
     def snapshots(self, densities: DataFrame, triggers: DataFrame) -> DataFrame:
         """(frame, t, gx, gy, d): the cells of at least medium density at each trigger."""

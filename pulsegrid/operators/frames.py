@@ -9,6 +9,14 @@ from ..functions.expr import display_point
 from .windows import frames, interval_join, nearest_join
 
 
+#: A table of colours is broadcast up to so many rows.
+COLOURS = 1_000_000
+
+
+def _colours(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(COLOURS + 1).count() <= COLOURS else df
+
+
 def point_cloud(df: DataFrame, colours: DataFrame | None = None, label: str = "cluster", t_start: int | None = None, t_end: int | None = None, max_points: int | None = None) -> DataFrame:
     from .filters import time_range
 
@@ -16,7 +24,7 @@ def point_cloud(df: DataFrame, colours: DataFrame | None = None, label: str = "c
     cols = [*display_point("x", "y", "t")]
     if colours is None:
         return out.select("seq", *cols)
-    return out.join(F.broadcast(colours), F.col(label) == F.col("id"), "left").select("seq", *cols, "r", "g", "b")
+    return out.join(_colours(colours), F.col(label) == F.col("id"), "left").select("seq", *cols, "r", "g", "b")
 
 
 def binary_frames(df: DataFrame, dt: int, max_frames: int | None = None) -> DataFrame:
@@ -37,7 +45,7 @@ def polarity_frames(df: DataFrame, dt: int, max_frames: int | None = None) -> Da
 def alpha_frames(df: DataFrame, dt: int, label: str, colours: DataFrame, alpha: float = 0.3, max_frames: int | None = None) -> DataFrame:
     """(frame, y, x, r, g, b): labels blended in ascending order, each as often as its events, over black."""
     n = frames(df, dt, max_frames=max_frames).groupBy("frame", "y", "x", F.col(label).alias("id")).agg(F.count("*").alias("n"))
-    return _blend(n.join(F.broadcast(colours), "id"), ["frame", "y", "x"], alpha)
+    return _blend(n.join(_colours(colours), "id"), ["frame", "y", "x"], alpha)
 
 
 def _blend(n: DataFrame, keys: list[str], alpha: float) -> DataFrame:
@@ -52,9 +60,9 @@ def dual_frames(events: DataFrame, states: DataFrame, length_us: int, voxel: int
     polarity, then the boxes of its cells over them."""
     times = states.select("index", F.col("t").alias("hi")).distinct().withColumn("lo", F.col("hi") - length_us)
     hit = interval_join(events.select("t", "x", "y", "pol"), times, "t", "lo", "hi", length_us)
-    under = _blend(hit.groupBy("index", "y", "x", F.col("pol").cast("long").alias("id")).agg(F.count("*").alias("n")).join(F.broadcast(colours), "id"), ["index", "y", "x"], alpha)
+    under = _blend(hit.groupBy("index", "y", "x", F.col("pol").cast("long").alias("id")).agg(F.count("*").alias("n")).join(_colours(colours), "id"), ["index", "y", "x"], alpha)
     side = F.sequence(F.lit(0), F.lit(voxel - 1))
-    boxes = states.join(F.broadcast(state_colours.withColumnRenamed("id", "state")), "state").select("index", "x", "y", "r", "g", "b")
+    boxes = states.join(_colours(state_colours.withColumnRenamed("id", "state")), "state").select("index", "x", "y", "r", "g", "b")
     boxes = boxes.select("index", F.col("x").alias("cx"), F.col("y").alias("cy"), "r", "g", "b", F.explode(side).alias("dx")).select("*", F.explode(side).alias("dy"))
     boxes = boxes.select("index", (F.col("cy") * voxel + F.col("dy")).alias("y"), (F.col("cx") * voxel + F.col("dx")).alias("x"), *(F.col(c).alias(f"{c}2") for c in "rgb"))
     mixed = lambda c: F.when(F.col(f"{c}2").isNull(), F.col(c)).otherwise(F.coalesce(c, F.lit(0.0)) * (1 - box_alpha) + F.col(f"{c}2") * box_alpha).alias(c)

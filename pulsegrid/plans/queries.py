@@ -100,7 +100,20 @@ def direction_code(cam):
     return cam.select("seq", expr.direction_code((F.col("x") - 32).cast("double"), (F.col("y") - 18).cast("double")).alias("code"))
 
 
-@query()
+# The first draws of the seeded generator, for the labels -1 (black) to 7.
+_PALETTE = """
+  (-1, 0.0, 0.0, 0.0),
+  (0, 0.6973680290593639, 0.09417734788764953, 0.9756223516367559),
+  (1, 0.761139701990353, 0.7860643052769538, 0.12811363267554587),
+  (2, 0.45038593789556713, 0.37079802423258124, 0.9267649888486018),
+  (3, 0.6438651200806645, 0.82276161327083, 0.44341419882733113),
+  (4, 0.2272387217847769, 0.5545847870158348, 0.06381725610417532),
+  (5, 0.8276311719925821, 0.6316643991220648, 0.7580877400853738),
+  (6, 0.35452596812986836, 0.9706980243949033, 0.8931211213221977),
+  (7, 0.7783834970737619, 0.19463870785196757, 0.4667210037270342)"""
+
+
+@query(f"select p.id::bigint as id, p.r::double as r, p.g::double as g, p.b::double as b from (select distinct obj from cam) join (values {_PALETTE}) p(id, r, g, b) on p.id = obj")
 def palette(cam):
     return expr.palette(cam.sparkSession, [r["obj"] for r in cam.select("obj").distinct().collect()])
 
@@ -123,7 +136,7 @@ def patch_combine(cam):
     return direction.combine(direction.subdivide(cam, 5), 5).select("seq", "t", "x", "y")
 
 
-def _lanes_sql(k: int) -> str:
+def _patches_sql(k: int) -> str:
     return f""", e as (select seq, t, (x // {k})::int as px, (y // {k})::int as py, (x % {k})::int as lx, (y % {k})::int as ly from cam),
 lanes as (
   select *, 0 as dir, lx as lane, ly as v from e union all select *, 1, ly, lx from e
@@ -133,76 +146,76 @@ run as (
   select *, case when v = 0 then 1 else 0 end as s from nth where i = 1
   union all
   select n.*, case when n.v = r.s % {k} then r.s % {k} + 1 when n.v > r.s % {k} then 0 else r.s % {k} end
-  from run r join nth n on n.py = r.py and n.px = r.px and n.dir = r.dir and n.lane = r.lane and n.i = r.i + 1)
-select seq, t, px as x, py as y, dir as pol from run where s = {k}"""
+  from run r join nth n on n.py = r.py and n.px = r.px and n.dir = r.dir and n.lane = r.lane and n.i = r.i + 1)"""
+
+
+def _chains_sql(source: str) -> str:
+    """Chains of two: `s` holds the patches (place * 4 + direction) that have begun one."""
+    ahead = "(case when pol < 2 then 1 else -1 end)"
+    return f""", o as (
+  select *, pol % 2 as axis, case when pol % 2 = 0 then x else y end as lane, (case when pol % 2 = 0 then y else x end) * 4 as pos, 4 * {ahead} as one, (pol + 2) % 4 as rev,
+    row_number() over (partition by pol % 2, case when pol % 2 = 0 then x else y end order by t, seq) as i from {source}),
+chain as (
+  select *, false as hit, [pos + pol] as s from o where i = 1
+  union all
+  select n.*, list_contains(c.s, n.pos - n.one + n.pol),
+    case when list_contains(c.s, n.pos - n.one + n.pol) then list_filter(c.s, lambda e: e not in (n.pos + n.pol, n.pos - n.one + n.pol, n.pos + n.rev, n.pos + n.one + n.rev))
+    else list_append(list_filter(c.s, lambda e: e not in (n.pos + n.pol, n.pos + n.rev, n.pos + n.one + n.rev)), n.pos + n.pol) end
+  from chain c join o n on n.axis = c.axis and n.lane = c.lane and n.i = c.i + 1)"""
 
 
-@query(_lanes_sql(2))
+@query(_patches_sql(2) + " select seq, t, px as x, py as y, dir as pol from run where s = 2")
 def patch_direction(cam):
     return direction.patch_direction(cam, 2)
 
 
-@query()
+# A sweep of two pixels that goes on from patch to patch ends at each far pixel that directly follows a near one.
+_RASTER = _patches_sql(2)[: _patches_sql(2).index(",\nnth as")] + """, b as (select *, lag(v) over (partition by dir, lane order by py, px, t, seq) as before from lanes)
+select seq, t, px as x, py as y, dir as pol from b where v = 1 and before = 0"""
+
+
+@query(_RASTER)
 def patch_direction_raster(cam):
     return direction.patch_direction(cam, 2, "raster")
 
 
-@query()
+@query(_chains_sql("(select seq, t, x, y, pol from cam)") + " select seq, t, x, y, pol from chain where hit")
 def multipatch_direction(cam):
     return direction.multipatch_direction(cam.select("seq", "t", "x", "y", "pol"), 2)
 
 
-_WRITES = """, r as (select seq, t, (x // 4)::int as x, (y // 4)::int as y, pol from cam where obj = 3),
+def _writes_sql(source: str) -> str:
+    return f""", r as ({source}),
 w as (
   select t, seq, unnest(case pol
-    when 0 then [{'bx': x, 'by': y + 1, 'value': 1}, {'bx': x, 'by': y - 1, 'value': 0}] when 1 then [{'bx': x + 1, 'by': y, 'value': 1}, {'bx': x - 1, 'by': y, 'value': 0}]
-    when 2 then [{'bx': x, 'by': y - 1, 'value': 1}, {'bx': x, 'by': y, 'value': 0}] else [{'bx': x - 1, 'by': y, 'value': 1}, {'bx': x, 'by': y, 'value': 0}] end) as w from r)"""
-
-
-def _roi(cam):
-    return cam.where("obj = 3").select("seq", "t", *expr.grid_cell("x", "y", 4), "pol").withColumnsRenamed({"gx": "x", "gy": "y"})
+    when 0 then [{{'bx': x, 'by': y + 1, 'value': 1}}, {{'bx': x, 'by': y - 1, 'value': 0}}] when 1 then [{{'bx': x + 1, 'by': y, 'value': 1}}, {{'bx': x - 1, 'by': y, 'value': 0}}]
+    when 2 then [{{'bx': x, 'by': y - 1, 'value': 1}}, {{'bx': x, 'by': y, 'value': 0}}] else [{{'bx': x - 1, 'by': y, 'value': 1}}, {{'bx': x, 'by': y, 'value': 0}}] end) as w from r)"""
 
 
-@query(_WRITES + " select w.bx, w.by, t, seq, w.value from w")
-def roi_writes(cam):
-    return direction.roi_writes(_roi(cam))
-
-
-@query(
-    _WRITES
-    + """, l as (select w.bx as bx, w.by as by, t, seq, w.value as value from w)
-select c.seq, c.t, c.x, c.y, c.p from cam c
-where c.t > (select min(t) from r) and c.t <= (select max(t) from r)
-  and (select arg_max(value, (l.t, l.seq)) from l where l.bx = c.x // 4 and l.by = c.y // 4 and l.t < c.t) = 1"""
-)
-def roi_filter(cam):
-    return direction.apply_roi(cam.select("seq", "t", "x", "y", "p"), _roi(cam), 4)
+def _mask_sql(k: int) -> str:
+    return f""", l as (select w.bx as bx, w.by as by, t, arg_max(w.value, seq) as value from w group by all)
+select c.seq, c.t, c.x, c.y, c.p from (select *, x // {k} as bx, y // {k} as by from cam) c asof join l on l.bx = c.bx and l.by = c.by and l.t < c.t
+where l.value = 1 and c.t > (select min(t) from r) and c.t <= (select max(t) from r)"""
 
 
-# The same over the direction events of all objects.
-_WRITES_WHOLE = _WRITES.replace(" where obj = 3", "")
+_BLOCKS = "select seq, t, (x // 4)::int as x, (y // 4)::int as y, pol from cam"
 
 
-def _roi_whole(cam):
+def _roi(cam):
     return cam.select("seq", "t", *expr.grid_cell("x", "y", 4), "pol").withColumnsRenamed({"gx": "x", "gy": "y"})
 
 
-@query(_WRITES_WHOLE + " select w.bx, w.by, t, seq, w.value from w")
-def roi_writes_whole(cam):
-    return direction.roi_writes(_roi_whole(cam))
+@query(_writes_sql(_BLOCKS) + " select w.bx, w.by, t, seq, w.value from w")
+def roi_writes(cam):
+    return direction.roi_writes(_roi(cam))
 
 
-@query(
-    _WRITES_WHOLE
-    + """, l as (select w.bx as bx, w.by as by, t, arg_max(w.value, seq) as value from w group by all)
-select c.seq, c.t, c.x, c.y, c.p from (select *, x // 4 as bx, y // 4 as by from cam) c asof join l on l.bx = c.bx and l.by = c.by and l.t < c.t
-where l.value = 1 and c.t > (select min(t) from r) and c.t <= (select max(t) from r)"""
-)
-def roi_filter_whole(cam):
-    return direction.apply_roi(cam.select("seq", "t", "x", "y", "p"), _roi_whole(cam), 4)
+@query(_writes_sql(_BLOCKS) + _mask_sql(4))
+def roi_filter(cam):
+    return direction.apply_roi(cam.select("seq", "t", "x", "y", "p"), _roi(cam), 4)
 
 
-@query()
+@query(_patches_sql(2) + f", q as (select seq, t, px as x, py as y, dir as pol from run where s = 2){_chains_sql('q')}" + _writes_sql("select seq, t, x, y, pol from chain where hit") + _mask_sql(2))
 def run_filter(cam):
     return direction.run_filter(cam.select("seq", "t", "x", "y", "p"), 2, 2)["out"]
 
@@ -226,14 +239,8 @@ def nearest_sample(cam):
     return windows.nearest_join(cam.where("pol = 1").select("seq", "t", "obj"), right, ["obj"], "t", "rt", ["rx"]).select("seq", "rt", "rx")
 
 
-@query("select c.seq, s.seq as span from cam c join (select * from cam where pol = 0 and obj = 2) s on c.t > s.t - 500000 and c.t <= s.t")
-def interval_join(cam):
-    spans = cam.where("pol = 0 and obj = 2").select(F.col("seq").alias("span"), (F.col("t") - 500_000).alias("lo"), F.col("t").alias("hi"))
-    return windows.interval_join(cam.select("seq", "t"), spans, "t", "lo", "hi", 500_000).select("seq", "span")
-
-
 @query("select c.seq, s.seq as span from cam c join (select * from cam where pol = 0) s on c.t > s.t - 500000 and c.t <= s.t")
-def interval_join_whole(cam):
+def interval_join(cam):
     spans = cam.where("pol = 0").select(F.col("seq").alias("span"), (F.col("t") - 500_000).alias("lo"), F.col("t").alias("hi"))
     return windows.interval_join(cam.select("seq", "t"), spans, "t", "lo", "hi", 500_000).select("seq", "span")
 
@@ -272,7 +279,8 @@ SQL["edge_thresholds"] = "select round(1000 / 144.0::double + 5 * sqrt(1000 * 14
 
 
 def _edges_sql(voxel: int, w: int, h: int, length: int, directional: bool) -> str:
-    dense, undense = edges.thresholds(length, w * h)
+    n = w * h
+    dense, undense = (f"({length} / {n}.0::double {k} * sqrt({length} * {n - 1}.0::double / {n} / {n}))" for k in ("+ 5", "- 2"))
     hop = length // 2
     out = f""", p as (select x // {voxel} as cx, y // {voxel} as cy, pol, row_number() over (order by t, seq) - 1 as pos from cam where x < {w * voxel} and y < {h * voxel}),
 n as (select count(*) as n from p),
@@ -281,9 +289,9 @@ c as (
   select l.m, l.cx, l.cy, count(p.pos) as k, (count(*) filter (p.pol = 0) - count(*) filter (p.pol = 2))::double as vy, (count(*) filter (p.pol = 1) - count(*) filter (p.pol = 3))::double as vx
   from l left join p on p.cx = l.cx and p.cy = l.cy and p.pos >= l.m * {hop} and p.pos < l.m * {hop} + {length} group by l.m, l.cx, l.cy),
 s as (
-  select c.*, -1 as old, case when k >= {dense!r} then 1 else -1 end as state from c where m = 0
+  select c.*, -1 as old, case when k >= {dense} then 1 else -1 end as state from c where m = 0
   union all
-  select c.*, s.state, case when s.state = 1 then 0 when s.state = -1 and c.k >= {dense!r} then 1 when c.k <= {undense!r} then -1 else s.state end
+  select c.*, s.state, case when s.state = 1 then 0 when s.state = -1 and c.k >= {dense} then 1 when c.k <= {undense} then -1 else s.state end
   from s join c on c.m = s.m + 1 and c.cx = s.cx and c.cy = s.cy)"""
     if not directional:
         return out + f" select cx::int as x, cy::int as y, state::int as state, (m * {hop} + {length})::bigint as index from s"
@@ -608,23 +616,40 @@ def _grey(cam, ids):
     return cam.sparkSession.createDataFrame([(i, (i + 2) / 16, (i + 1) / 16, 0.5) for i in ids], "id long, r double, g double, b double")
 
 
-@query(
-    _FRAMES
-    + """, l as (select frame, y, x, obj, pow(0.7::double, count(*)) as beta from f group by all)
-select frame, y, x, round(list_reduce(list_prepend({'v': 0.0::double, 'k': 1.0::double, 'c': 0.0::double}, list({'v': 0.0::double, 'k': beta, 'c': (obj + 2) / 16.0::double} order by obj)), lambda a, s: {'v': a.v * s.k + s.c * (1 - s.k), 'k': s.k, 'c': s.c}).v, 6) as r from l group by frame, y, x"""
-)
+def _blend_sql(label: str) -> str:
+    """r, g, b of the layers of a pixel (beta, label), ascending labels over black."""
+    ink = {"r": f"({label} + 2) / 16.0::double", "g": f"({label} + 1) / 16.0::double", "b": "0.5::double"}
+    return ", ".join(
+        f"list_reduce(list_prepend({{'v': 0.0::double, 'k': 1.0::double, 'c': 0.0::double}}, list({{'v': 0.0::double, 'k': beta, 'c': {c}}} order by {label})), lambda a, s: {{'v': a.v * s.k + s.c * (1 - s.k), 'k': s.k, 'c': s.c}}).v as {k}"
+        for k, c in ink.items()
+    )
+
+
+@query(_FRAMES + f", l as (select frame, y, x, obj, pow(0.7::double, count(*)) as beta from f group by all), k as (select frame, y, x, {_blend_sql('obj')} from l group by frame, y, x) select frame, y, x, round(r, 6) as r, round(g, 6) as g, round(b, 6) as b from k")
 def frames_alpha(cam):
     out = frames.alpha_frames(cam.withColumn("obj", F.col("obj").cast("long")), _FDT, "obj", _grey(cam, range(-1, 8)))
-    return out.select("frame", "y", "x", r6("r").alias("r"))
+    return out.select("frame", "y", "x", *(r6(c).alias(c) for c in "rgb"))
 
 
-@query()
+_MIXED = ", ".join(f"round(case when k.state is null then u.{c} else coalesce(u.{c}, 0) * 0.7::double + (case when k.state = {on} then 0.3::double else 0 end) end, 9) + 0.0::double as {c}" for c, on in (("r", 0), ("g", 1), ("b", 9)))
+
+
+@query(
+    _edges_sql(8, 8, 4, 2000, False).rpartition(" select ")[0]
+    + f""", st as (select cx, cy, state, m * 1000 + 2000 as index from s where state >= 0),
+places as (select t, row_number() over (order by t, seq) - 1 as pos from cam),
+ends as (select distinct st.index, places.t from st join places on places.pos = st.index),
+layers as (select ends.index, c.y, c.x, c.pol, pow(0.7::double, count(*)) as beta from ends join cam c on c.t > ends.t - 2000000 and c.t <= ends.t group by all),
+u as (select index, y, x, {_blend_sql("pol")} from layers group by index, y, x),
+k as (select index, cy * 8 + d // 8 as y, cx * 8 + d % 8 as x, state from (select st.*, unnest(range(64)) as d from st))
+select coalesce(u.index, k.index)::bigint as index, coalesce(u.y, k.y)::int as y, coalesce(u.x, k.x)::int as x, {_MIXED} from u full join k on k.index = u.index and k.y = u.y and k.x = u.x"""
+)
 def frames_dual(cam):
     spark = cam.sparkSession
     ends = with_position(cam).select(F.col("pos").alias("index"), "t")
     states = edges.edge_states(cam, 8, 4, 8, 2000).where("state >= 0").join(ends, "index")
     out = frames.dual_frames(cam, states, 2_000_000, 8, _grey(cam, range(4)), spark.createDataFrame([(0, 1.0, 0.0, 0.0), (1, 0.0, 1.0, 0.0)], "id int, r double, g double, b double"))
-    return out.select("index", "y", "x", *(r6(c).alias(c) for c in "rgb"))
+    return out.select("index", "y", "x", *((F.round(c, 9) + F.lit(0.0)).alias(c) for c in "rgb"))
 
 
 @query(_FRAMES + " select frame, obj, round(avg(x), 6) as x, round(avg(y), 6) as y, ((count(*) filter (pol = 1) - count(*) filter (pol = 3)) / 10.0)::double as u, ((count(*) filter (pol = 0) - count(*) filter (pol = 2)) / 10.0)::double as v from f where obj <> -1 group by all")

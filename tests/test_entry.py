@@ -38,10 +38,10 @@ def test_whole_joins(spark):
 
     cam = [(r["seq"], r["t"], r["x"], r["y"], r["pol"], r["obj"]) for r in cam_events(spark, SF).collect()]
     obj = {c[0]: c[5] for c in cam}
-    pairs = {(r["seq"], r["span"]) for r in QUERIES["interval_join_whole"](spark, SF).collect()}
+    pairs = {(r["seq"], r["span"]) for r in QUERIES["interval_join"](spark, SF).collect()}
     assert pairs == {(c[0], s[0]) for s in cam if s[4] == 0 for c in cam if s[1] - 500_000 < c[1] <= s[1]}
     assert {obj[s] for _, s in pairs} == {c[5] for c in cam if c[4] == 0} and len({obj[s] for _, s in pairs}) > 7
-    writes = {r["seq"] for r in QUERIES["roi_writes_whole"](spark, SF).collect()}
+    writes = {r["seq"] for r in QUERIES["roi_writes"](spark, SF).collect()}
     assert writes == set(obj)
     mask, on = {}, set()
     for t in sorted({c[1] for c in cam}):
@@ -52,7 +52,7 @@ def test_whole_joins(spark):
             dx, dy = ((0, 1), (1, 0), (0, -1), (-1, 0))[pol]
             mask[bx + dx, by + dy] = 1
             mask[(bx - dx, by - dy) if pol < 2 else (bx, by)] = 0
-    assert {r["seq"] for r in QUERIES["roi_filter_whole"](spark, SF).collect()} == on and on
+    assert {r["seq"] for r in QUERIES["roi_filter"](spark, SF).collect()} == on and on
 
 
 def test_contract():

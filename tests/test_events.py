@@ -284,6 +284,21 @@ def dstream_model(rows, c):
     return out
 
 
+@pytest.mark.parametrize("block", [1, 7, 50, 10_000])
+def test_triggers_do_not_depend_on_blocks(spark, block):
+    rng = random.Random(block)
+    times = sorted(rng.choice([rng.randrange(3000), rng.randrange(900, 1100), 2000]) for _ in range(400))
+    rows = [(k, t, 0, 0, 0, 0) for k, t in enumerate(times)]
+    for interval in (10, 130, 5000):
+        want, last = [], 0
+        for k, t, *_ in rows:
+            if t - last >= interval:
+                last = t
+                want.append((len(want) + 1, t, k))
+        got = dstream.DStream(interval=interval).triggers(events(spark, rows), block).collect()
+        assert sorted((r["frame"], r["t"], r["seq"]) for r in got) == want
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_dstream(spark, seed):
     rng = random.Random(seed)
