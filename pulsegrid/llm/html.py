@@ -20,6 +20,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -39,83 +40,152 @@ _SILENT = frozenset("script style noscript template svg iframe object".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # A start tag on the left closes an open element on the right, if that is the nearest of its kind.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_NAME_OF = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+_MARK = re.compile(r"[>\"']")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 
 
+class Element:
+    """An open element: its names (tag, classes, ids), what it stands in, and the nearest element around or of itself that
+    parts blocks. Blocks share their elements, so a page's paths take no more room than its tags."""
+
+    __slots__ = ("above", "block", "key", "names", "tag", "vector")
+
+    def __init__(self, tag: str, names: tuple[str, ...], above: Element | None):
+        self.tag, self.names, self.above, self.vector = tag, names, above, None
+        self.block = self if tag not in _INLINE else above.block if above else None
+        self.key = hash((above.key if above else 0, names))
+
+
 class Block:
-    __slots__ = ("path", "text", "linked")
+    __slots__ = ("element", "linked", "text")
+
+    def __init__(self, element: Element | None, text: str, linked: int):
+        self.element, self.text, self.linked = element, text, linked
+
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+class _Tags:
+    """Finds the tags of a page in one pass: quotes in a tag are heeded as long as they close; from the first tag on that
+    never ends that way, a tag ends at the first >."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+
+    def end(self, at: int) -> int:
+        """The place of the > of the tag that begins at `at`, or -1."""
+        if self.quotes:
+            i = at
+            while m := _MARK.search(self.page, i):
+                if m[0] == ">":
+                    return m.start()
+                i = self.page.find(m[0], m.end()) + 1
+                if not i:
+                    break
+            self.quotes = False
+        return self.page.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str]:
+        """(start, end, name, whether it closes, attributes) of the next tag; a comment or declaration has no name; at the
+        end of the page both places are its length."""
+        page = self.page
+        while (i := page.find("<", at)) >= 0:
+            if page.startswith("<!--", i):
+                j = page.find("-->", i + 4)
+                return i, j + 3 if j >= 0 else len(page), "", False, ""
+            if page.startswith(("<!", "<?"), i):
+                j = page.find(">", i)
+            elif m := _NAME_OF.match(page, i):
+                j = self.end(m.end())
+                if j >= 0:
+                    return i, j + 1, m[1].lower(), page[i + 1] == "/", page[m.end() : j]
+            else:
+                at = i + 1
+                continue
+            if j < 0:  # nothing closes a tag any more
+                break
+            return i, j + 1, "", False, ""
+        return len(page), len(page), "", False, ""
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order; blank ones are left out."""
+    """The leaf blocks of a page in order; blank ones are left out. One pass, in time and room of the page's length."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Element] = []
+    open_: Counter[str] = Counter()  # tags on the stack
+    run: list[Counter[str]] = [Counter()]  # inline ones since the last block, by block
     parts: list[str] = []
-    state = {"linked": 0, "path": ()}
+    state = {"linked": 0, "at": None, "solid": False}
 
     def flush():
-        text = " ".join("".join(parts).split())
-        if text:
-            out.append(Block(state["path"], text, state["linked"]))
+        if state["solid"]:
+            out.append(Block(state["at"], " ".join("".join(parts).split()), state["linked"]))
         parts.clear()
-        state["linked"] = 0
+        state["linked"], state["solid"] = 0, False
 
     def add(raw: str):
         text = html.unescape(raw) if "&" in raw else raw
-        if not parts or not any(x.strip() for x in parts):
-            state["path"] = tuple(n for _, names in stack for n in names)
+        if not state["solid"]:
+            state["at"] = stack[-1] if stack else None
+        bare = text.strip()
+        state["solid"] = state["solid"] or bool(bare)
         parts.append(text)
-        if any(t == "a" for t, _ in stack):
-            state["linked"] += len(text.strip())
-
-    at, n = 0, len(page)
+        if open_["a"]:
+            state["linked"] += len(bare)
+
+    def pop_to(last: Element):
+        while True:
+            e = stack.pop()
+            open_[e.tag] -= 1
+            if e.tag in _INLINE:
+                run[-1][e.tag] -= 1
+            else:
+                run.pop()
+            if e is last:
+                return
+
+    def pop(name: str):
+        """Closes the nearest element of the name."""
+        while stack[-1].tag != name:
+            pop_to(stack[-1])
+        pop_to(stack[-1])
+
+    tags, at, n = _Tags(page), 0, len(page)
     while at < n:
-        m = _TAG.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if not (name := m[2]):
+        start, end, name, closes, attributes = tags.next(at)
+        if start > at:
+            add(page[at:start])
+        at = end
+        if not name:
             continue
-        name = name.lower()
-        if m[1]:
-            if name not in _INLINE:
+        inline = name in _INLINE
+        if closes:
+            if not inline:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if name in _INLINE and stack[k][0] not in _INLINE:  # an inline end tag closes nothing outside its block
-                    break
+            if (run[-1] if inline else open_)[name]:  # an inline end tag closes nothing outside its block
+                pop(name)
             continue
         if name in _SILENT:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+            if not attributes.rstrip().endswith("/"):
+                over = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                at = over.end() if over else n
             continue
-        if name not in _INLINE:
+        if not inline:
             flush()
-            if name not in _VOID:
-                for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph, and unclosed inline tags in it
-                    if stack[k][0] == "p" or stack[k][0] in _CLOSES.get(name, ()):
-                        del stack[k:]
-                        break
-                    if stack[k][0] not in _INLINE:
-                        break
+            # A block ends an open paragraph, and unclosed inline tags in it.
+            if name not in _VOID and stack and (nearest := stack[-1].block) and (nearest.tag == "p" or nearest.tag in _CLOSES.get(name, ())):
+                pop_to(nearest)
         if name in _VOID:
             continue
         names = [name]
-        if m[3]:
-            for a in _ATTR.finditer(m[3]):
-                names += [f"{a[1][0].lower()}.{w}" for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower())]
-        stack.append((name, tuple(names)))
+        for a in _ATTR.finditer(attributes):
+            names += [f"{a[1][0].lower()}.{w}" for w in _NAME.findall((a[2] or a[3] or a[4] or "").lower())]
+        stack.append(Element(name, tuple(names), stack[-1] if stack else None))
+        open_[name] += 1
+        if inline:
+            run[-1][name] += 1
+        else:
+            run.append(Counter())
     flush()
     return out
 
@@ -125,22 +195,47 @@ def _hash(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
 
-@lru_cache(maxsize=1 << 14)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATH, np.float32)
-    for k, name in enumerate(path):
-        h = _hash("p " + name)
-        v[h % PATH] += 1.0 if h >> 16 & 1 else -1.0
-        if k == len(path) - 1:
-            h = _hash("leaf " + name)
-            v[h % PATH] += 1.0 if h >> 16 & 1 else -1.0
+_known: dict[int, np.ndarray] = {}
+KNOWN = 1 << 14
+
+
+def _add(v: np.ndarray, word: str) -> None:
+    h = _hash(word)
+    v[h % PATH] += 1 if h >> 16 & 1 else -1
+
+
+def _path_sum(e: Element) -> np.ndarray:
+    """The hashed names of an element and all around it, each added from the one outside."""
+    chain = []
+    while e is not None and e.vector is None:
+        e.vector = _known.get(e.key)
+        if e.vector is None:
+            chain.append(e)
+            e = e.above
+    v = e.vector if e is not None else np.zeros(PATH, np.int32)
+    for e in reversed(chain):
+        v = v.copy()
+        for name in e.names:
+            _add(v, "p " + name)
+        e.vector = v
+        if len(_known) >= KNOWN:
+            _known.clear()
+        _known[e.key] = v
+    return v
+
+
+def _path_vector(e: Element | None) -> np.ndarray:
+    if e is None:
+        return np.zeros(PATH, np.float32)
+    v = _path_sum(e).copy()
+    _add(v, "leaf " + e.names[-1])
     return np.clip(v, -2, 2)
 
 
 def vectors(page: list[Block]) -> np.ndarray:
     x = np.zeros((len(page), WIDTH), np.float32)
     for k, b in enumerate(page):
-        x[k, :PATH] = _path_vector(b.path)
+        x[k, :PATH] = _path_vector(b.element)
         words = b.text.lower().split()
         for w in set(words):
             h = _hash(w)
