@@ -42,7 +42,7 @@ from .textvec import mix, shingle_sets
 WORDS, PERCENT = 5, 75
 LEAD = 12
 SAMPLE, FREQUENT = 16, 1_000_000
-ROUNDS, SMALL = 4, 4
+ROUNDS, SMALL = 4, 32
 BUCKETS = 256
 BROADCAST_ROWS = 1_000_000
 
@@ -124,13 +124,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     chosen = staged(nodes.join(found, "sig", "left").where(enough).select("rk"), "nodes")
     discard(wide)
     sets = _sets(rows, chosen, words)
-    narrow = staged(sets.mapInArrow(_narrow(percent, frequent), "sig long, n int, toks array<long>, two binary, three binary, counts binary, x long, y long"), "orders")
+    narrow = staged(sets.mapInArrow(_narrow(percent, frequent), "sig long, n int, toks array<long>, two binary, three binary, counts binary, odd array<long>"), "orders")
     tokens = narrow.select(F.posexplode("toks").alias("i", "tok"), "sig", "n").select("tok", "sig", "n", "i")
     # What is joined is written first, so that both sides of the join are plain shuffles, which AQE splits under skew.
     near = F.max(_leading("n", "i", percent).cast("int"))
     shared = staged(tokens.groupBy("tok").agg(F.count("*").alias("m"), near.alias("near")).where("m > 1 and near = 1").select("tok"), "tokens")
     active = staged(tokens.join(shared, "tok", "left_semi"), "shared")
-    labels = staged(_link(active, narrow, sets, percent), "links")
+    labels = _link(active, narrow, sets, percent)
     discard(chosen, shared, sets, narrow)
     named = base.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("d"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("first"))
     named = named.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
@@ -172,7 +172,7 @@ def _sets(rows: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
 
 def _narrow(percent: int, frequent):
     """What the filters need of each set: its prefix under order 1, 32-bit hashes of those under orders 2 and 3, its
-    counts by bucket, and whether they are odd (128 buckets, as two numbers)."""
+    counts by bucket, and whether they are odd."""
 
     def work(batches):
         for batch in slices(batches):
@@ -190,9 +190,9 @@ def _narrow(percent: int, frequent):
                     out.append((np.partition(mix(s, salt), p - 1)[:p] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes())
                 by = np.bincount((mix(s, 4) & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
                 counts.append(np.minimum(by, 255).astype(np.uint8).tobytes())
-                odd.append(np.packbits((by[:128] + by[128:] & 1).astype(bool)).view(np.int64))
-            parity = np.array(odd, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("sig"), batch.column("n"), _lists(toks), *(pa.array(x, pa.binary()) for x in (two, three, counts)), pa.array(parity[:, 0]), pa.array(parity[:, 1])], ["sig", "n", "toks", "two", "three", "counts", "x", "y"])
+                odd.append(np.packbits((by & 1).astype(bool)).view(np.int64))
+            parity = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([np.zeros(0, np.int64), *odd])), BUCKETS // 64).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("sig"), batch.column("n"), _lists(toks), *(pa.array(x, pa.binary()) for x in (two, three, counts)), parity], ["sig", "n", "toks", "two", "three", "counts", "odd"])
 
     return work
 
@@ -251,10 +251,10 @@ def _room(n1: str, i1: str, n2: str, i2: str, percent: int):
     return (100 + percent) * F.least(n1 - F.col(i1), n2 - F.col(i2)) >= percent * (n1 + n2)
 
 
-def _close(n1: str, x1: str, y1: str, n2: str, x2: str, y2: str, percent: int):
-    """Whether two sets may differ in few enough tokens: buckets that are odd in one of them alone hold a token that the
-    other lacks. No link is lost."""
-    differ = F.bit_count(F.col(x1).bitwiseXOR(F.col(x2))) + F.bit_count(F.col(y1).bitwiseXOR(F.col(y2)))
+def _close(n1: str, odd1: str, n2: str, odd2: str, percent: int):
+    """Whether two sets may differ in few enough tokens: each bucket whose count is odd in one of them alone holds a token
+    that the other lacks. No link is lost."""
+    differ = sum((F.bit_count(F.col(odd1)[k].bitwiseXOR(F.col(odd2)[k])) for k in range(1, BUCKETS // 64)), F.bit_count(F.col(odd1)[0].bitwiseXOR(F.col(odd2)[0])))
     return (100 + percent) * differ <= (100 - percent) * (F.col(n1) + F.col(n2))
 
 
@@ -264,31 +264,33 @@ def _link(active: DataFrame, narrow: DataFrame, sets: DataFrame, percent: int) -
     # A set in the middle of its near copies has few tokens of its own, and so links with more of them than they do.
     p = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
     own = active.groupBy("sig").agg((100 * (1 - F.count("*") / F.max(p))).cast("int").alias("alone"))
-    own = own.join(narrow.select("sig", "x", "y"), "sig")
-    rows = staged(active.join(own, "sig").select("tok", "sig", "n", "i", "x", "y", "alone", F.col("sig").alias("comp")), "rows")
+    own = own.join(narrow.select("sig", "odd"), "sig")
+    rows = staged(active.join(own, "sig").select("tok", "sig", "n", "i", "odd", "alone", F.col("sig").alias("comp")), "rows")
+    labels = staged(active.groupBy(F.col("sig").alias("node")).agg(F.min("sig").alias("root")), "roots")
     discard(active)
-    spent, done, kept = rows, None, []
+    done, kept = None, []
     for turn in range(ROUNDS + 1):
         # The hub: a leading set, first the one with the fewest tokens of its own, then any, another one for each token.
         leads = _leading("n", "i", percent)
         rank = F.struct((~leads).alias("late"), *([F.xxhash64("sig", "tok", F.lit(turn)).alias("h")] if turn else ["alone", F.xxhash64("sig").alias("h")]))
-        groups = rows.groupBy("tok").agg(F.count("*").alias("m"), F.sum(leads.cast("long")).alias("near"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("sig", "n", "i", "x", "y", "comp"), rank).alias("hub"))
+        groups = rows.groupBy("tok").agg(F.count("*").alias("m"), F.sum(leads.cast("long")).alias("near"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("sig", "n", "i", "odd", "comp"), rank).alias("hub"))
         groups = staged(groups.where("lo <> hi and near > 0").select("tok", "near", "hub"), "groups")
         open_rows = staged(rows.join(groups, "tok"), "open")
         apart = F.when(F.col("comp") != F.col("hub.comp"), F.col("near")).otherwise(0)
         size = open_rows.agg(F.count("*").alias("rows"), F.sum(apart).alias("squares")).first()  # at most so many pairs lead apart
+        discard(rows, groups)  # a token whose sets are of one component, or that leads in none, is done with
         if not size["rows"]:
-            discard(groups, open_rows)
+            discard(open_rows)
             break
         last = turn == ROUNDS or size["squares"] <= SMALL * size["rows"]
         if last:  # what shares a token across components, the smaller set leading
-            other = open_rows.select("tok", F.col("sig").alias("s2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("comp").alias("c2"))
+            other = open_rows.select("tok", F.col("sig").alias("s2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("odd").alias("odd2"), F.col("comp").alias("c2"))
             ordered = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("sig") < F.col("s2")))
-            pairs = open_rows.where(leads).join(other, "tok").where(ordered & (F.col("comp") != F.col("c2")) & _room("n", "i", "n2", "i2", percent) & _close("n", "x", "y", "n2", "x2", "y2", percent))
+            pairs = open_rows.where(leads).join(other, "tok").where(ordered & (F.col("comp") != F.col("c2")) & _room("n", "i", "n2", "i2", percent) & _close("n", "odd", "n2", "odd2", percent))
             one, two = F.struct(F.col("sig").alias("s"), F.col("comp").alias("c")), F.struct(F.col("s2").alias("s"), F.col("c2").alias("c"))
             first = F.col("sig") < F.col("s2")
         else:
-            pairs = open_rows.where((F.col("comp") != F.col("hub.comp")) & _room("n", "i", "hub.n", "hub.i", percent) & _close("n", "x", "y", "hub.n", "hub.x", "hub.y", percent))
+            pairs = open_rows.where((F.col("comp") != F.col("hub.comp")) & _room("n", "i", "hub.n", "hub.i", percent) & _close("n", "odd", "hub.n", "hub.odd", percent))
             one, two = F.struct(F.col("sig").alias("s"), F.col("comp").alias("c")), F.struct(F.col("hub.sig").alias("s"), F.col("hub.comp").alias("c"))
             first = F.col("sig") < F.col("hub.sig")
         pairs = pairs.select(F.when(first, one).otherwise(two).alias("p"), F.when(first, two).otherwise(one).alias("q"))
@@ -300,16 +302,18 @@ def _link(active: DataFrame, narrow: DataFrame, sets: DataFrame, percent: int) -
         ends = staged(likely.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "ends")
         links = staged(_verified(likely, _only(sets, ends), percent), "links")
         moved = connected_components(links, staged, "ca", "cb", discard)
-        rows = staged(rows.join(moved.withColumnRenamed("node", "comp"), "comp", "left").select("tok", "sig", "n", "i", "x", "y", "alone", F.coalesce("root", "comp").alias("comp")), "rows")
-        discard(spent, groups, open_rows, nodes, likely, ends, links, moved)  # rows are written, so nothing reads these again
-        spent = rows
+        moved_to = moved.select(F.col("node").alias("comp"), F.col("root").alias("to"))
+        old, labels = labels, staged(labels.withColumnRenamed("root", "comp").join(_few(moved_to), "comp", "left").select("node", F.coalesce("to", "comp").alias("root")), "roots")
+        discard(old)
         kept.append(pairs)
+        if not last:
+            rows = staged(open_rows.join(_few(moved_to), "comp", "left").select("tok", "sig", "n", "i", "odd", "alone", F.coalesce("to", "comp").alias("comp")), "rows")
+            done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
+        discard(open_rows, nodes, likely, ends, links, moved)  # what is needed of them is written, so nothing reads these again
         if last:
             break
-        done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
-    out = staged(rows.groupBy(F.col("sig").alias("node")).agg(F.min("comp").alias("root")), "roots")
-    discard(spent, *kept)
-    return out
+    discard(*kept)
+    return labels
 
 
 def without_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
