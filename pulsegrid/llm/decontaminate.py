@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +30,7 @@ from .textvec import PLAIN, buffers, mix, ngrams, pieces, word_hashes
 SEED, COVERAGE = 4, 0.5
 BLOCK = 2_000_000
 _BITS = 22
+PAIRS = 1 << 18
 
 
 def item_words(text: str) -> np.ndarray:
@@ -59,34 +59,51 @@ class Block:
             self.by[k] = h[by], item[by], place[by], known
 
     def matches(self, words: np.ndarray):
-        """{item: (places in the item, places in words)} of all seeds that both hold, by seed length."""
-        found: dict[int, list] = defaultdict(list)
+        """{item: (k, diagonals, places in the item, seeds)}: the runs of seeds of k words on one diagonal that the item
+        and the words share. Pairs of places are only made PAIRS at a time: of a text that says the same over and over,
+        runs are far fewer than pairs."""
+        found = {}
         for k, (h, item, place, known) in self.by.items():
             g = ngrams(words, k)
             at = np.flatnonzero(known[(g >> np.uint64(64 - _BITS)).astype(np.int64)])
-            lo, hi = np.searchsorted(h, g[at]), np.searchsorted(h, g[at], "right")
-            n = hi - lo
-            if not n.sum():
-                continue
-            t = np.repeat(at, n)
-            e = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            own = item[e]
-            order = np.argsort(own, kind="stable")
-            cut = np.flatnonzero(np.diff(own[order])) + 1
-            for part in np.split(order, cut):
-                found[int(own[part[0]])].append((k, place[e[part]], t[part]))
-        return {i: v[0] for i, v in found.items()}
+            lo = np.searchsorted(h, g[at])
+            n = np.searchsorted(h, g[at], "right") - lo
+            at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+            runs, i = [], 0
+            total = np.cumsum(n)
+            while i < len(at):
+                j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS, "right")))
+                c = n[i:j]
+                e = np.repeat(lo[i:j] - np.concatenate(([0], np.cumsum(c)[:-1])), c) + np.arange(c.sum())
+                runs.append(_runs(item[e], np.repeat(at[i:j], c) - place[e], place[e], np.ones(len(e), np.int64)))
+                i = j
+            if runs:
+                own, d, q, length = _runs(*map(np.concatenate, zip(*runs, strict=True))) if len(runs) > 1 else runs[0]
+                cut = np.flatnonzero(np.diff(own)) + 1
+                for part in np.split(np.arange(len(own)), cut):
+                    found[int(own[part[0]])] = k, d[part], q[part], length[part]
+        return found
+
+
+def _runs(item: np.ndarray, d: np.ndarray, q: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs that follow one another on a diagonal of an item, as one."""
+    by = np.lexsort((q, d, item))
+    item, d, q, length = item[by], d[by], q[by], length[by]
+    new = np.ones(len(q), bool)
+    new[1:] = (np.diff(item) != 0) | (np.diff(d) != 0) | (q[1:] != q[:-1] + length[:-1])
+    first = np.flatnonzero(new)
+    return item[first], d[first], q[first], np.add.reduceat(length, first) if len(first) else length
 
 
 def tiles(p: np.ndarray, t: np.ndarray, k: int, m: int) -> list[tuple[int, int, int]]:
     """Greedy tiles (place in the item, place in the text, words) from pairs of places that share a seed of k words."""
-    diagonal = t - p
-    by = np.lexsort((p, diagonal))
-    d, q = diagonal[by], p[by]
-    cut = np.flatnonzero((np.diff(d) != 0) | (np.diff(q) != 1)) + 1
-    begin = np.concatenate(([0], cut))
-    length = np.diff(np.concatenate((begin, [len(q)]))) + k - 1
-    heap = [(-int(n), int(q[b]), int(d[b] + q[b])) for b, n in zip(begin, length, strict=True)]
+    return tile_runs(*_runs(np.zeros(len(p), np.int64), t - p, p, np.ones(len(p), np.int64))[1:], k, m)
+
+
+def tile_runs(d: np.ndarray, q: np.ndarray, length: np.ndarray, k: int, m: int) -> list[tuple[int, int, int]]:
+    """The longest run that is free becomes a tile, what overlaps one is cut to what is left, until the item (of m words) has
+    no k free words in a row."""
+    heap = list(zip((-(length + k - 1)).tolist(), q.tolist(), (d + q).tolist(), strict=True))
     heapq.heapify(heap)
     marked_p, marked_t = np.zeros(m, bool), set()
     out = []
@@ -98,6 +115,8 @@ def tiles(p: np.ndarray, t: np.ndarray, k: int, m: int) -> list[tuple[int, int,
             marked_p[a : a + n] = True
             marked_t.update(range(b, b + n))
             out.append((a, b, n))
+            if "0" * k not in "".join("1" if x else "0" for x in marked_p):
+                break
             continue
         i = 0
         while i < n:
@@ -128,14 +147,14 @@ def leaks_in(column: pa.Array, block: Block, coverage: float = COVERAGE):
             row = np.searchsorted(first, at, "right") - 1
             held[row[at + k <= first[row + 1]]] = True
         for r in np.flatnonzero(held).tolist():
-            for n, (k, p, t) in block.matches(words[first[r] : first[r + 1]]).items():
+            for n, (k, d, q, length) in block.matches(words[first[r] : first[r + 1]]).items():
                 m = len(block.words[n])
                 reach = np.zeros(m + 1, np.int64)
-                np.add.at(reach, p, 1)
-                np.add.at(reach, np.minimum(p + k, m), -1)
+                np.add.at(reach, q, 1)
+                np.add.at(reach, np.minimum(q + length + k - 1, m), -1)
                 if (np.cumsum(reach[:m]) > 0).sum() < coverage * m:  # no tiling can cover more than the seeds do
                     continue
-                found = tiles(p, t, k, m)
+                found = tile_runs(d, q, length, k, m)
                 covered = sum(x[2] for x in found)
                 if covered >= coverage * m:
                     yield i + r, n, covered, len(found), max(x[2] for x in found)

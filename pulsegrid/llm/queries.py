@@ -29,12 +29,12 @@ l as (
 ), k as (
   select *, list_transform(string_split(line, ' '), lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as ts from l where trim(line, ' ') <> ''
 ), leaves as (
-  select len(ts) as n, ts[1:3] as head from k group by all having count(distinct text) >= 10
+  select len(ts) as n, ts[1:3] as head from k group by all having count(distinct text) >= case when len(ts) >= 8 then 3 else 10 end
 ), here as (select k.* from k join leaves v on v.n = len(k.ts) and v.head = k.ts[1:3]),
 kinds as (select ts, count(distinct text) as d from here group by ts),
 tokens as (select ts, d, unnest(ts) as token, generate_subscripts(ts, 1) as pos from kinds),
 common as (
-  select len(ts) as n, ts[1:3] as head, pos, token from tokens where token <> '<*>' group by all having sum(d) >= 10
+  select len(ts) as n, ts[1:3] as head, pos, token from tokens where token <> '<*>' group by all having sum(d) >= case when len(ts) >= 8 then 3 else 10 end
 ), templates as (
   select t.ts, any_value(t.d) as d, list(struct_pack(p := t.pos, k := t.token) order by t.pos) as template
   from tokens t join common c on c.n = len(t.ts) and c.head = t.ts[1:3] and c.pos = t.pos and c.token = t.token
@@ -43,7 +43,7 @@ common as (
   select ts, len(ts) as n, ts[1:3] as head, template, sum(d) over (partition by len(ts), ts[1:3], template) as total from templates
 ), found as (
   select h.doc_id, h.line_no, row_number() over (partition by t.n, t.head, t.template order by h.doc_id, h.line_no) as nth
-  from here h join hit t on t.ts = h.ts where t.total >= 10
+  from here h join hit t on t.ts = h.ts where t.total >= case when t.n >= 8 then 3 else 10 end
 ), drops as (select doc_id, list(line_no) as gone from found where nth > 1 group by doc_id)
 select d.doc_id, len(string_split(d.text, chr(10)))::bigint as n_lines, coalesce(len(r.gone), 0)::bigint as n_dropped,
   coalesce((select string_agg(l.line, chr(10) order by l.line_no) from l where l.doc_id = d.doc_id and not list_contains(coalesce(r.gone, []), l.line_no)), '') as text

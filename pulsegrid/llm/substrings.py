@@ -80,7 +80,7 @@ def _analysed(column: pa.Array, span: int, least: int, whole: bool):
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, least: int = WORDS, whole: bool = False) -> DataFrame:
-    """(doc_id, th, rk, removed array<struct<first, last>>, sources array<long>): the sentence numbers that non-first
+    """(doc_id, rk, removed array<struct<first, last>>, sources array<long>): the sentence numbers that non-first
     repeats cover, and the documents whose spans they repeat; documents without any are left out."""
     rows = text_rows(docs).withColumn("th", F.xxhash64("text")).withColumn("rk", F.xxhash64("doc_id", "th"))
 
@@ -108,7 +108,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, least: int = WORDS, whole:
     first = staged(again.groupBy("h").agg(F.min(place).alias("p")), "first")
     later = again.join(first, "h").where(~(F.col("doc_id").eqNullSafe(F.col("p.d")) & (F.col("rk") == F.col("p.r")) & (F.col("f") == F.col("p.f"))))
     # A document's own spans: bounded by its sentences.
-    return later.groupBy("rk").agg(
+    return later.groupBy("doc_id", "rk").agg(
         F.array_sort(F.collect_set(F.struct(F.col("f").alias("first"), F.col("l").alias("last")))).alias("removed"), F.array_sort(F.collect_set("p.d")).alias("sources")
     )
 
@@ -120,7 +120,9 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, least: int = WORDS, whole:
     rows = text_rows(docs).withColumn("rk", F.xxhash64("doc_id", F.xxhash64("text")))
     few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     keys = found.select("rk")
-    hit = rows.join(F.broadcast(keys) if few else keys, "rk", "left_semi").join(found, "rk")
+    # The id stands beside the hash, so that no other document can lose sentences by a collision.
+    found = found.withColumnsRenamed({"doc_id": "found_id", "rk": "found_rk"})
+    hit = rows.join(F.broadcast(keys) if few else keys, "rk", "left_semi").join(found, (F.col("rk") == F.col("found_rk")) & F.col("doc_id").eqNullSafe(F.col("found_id")))
 
     def cut(batches):
         for batch in slices(batches):

@@ -365,11 +365,29 @@ def test_string_tiles():
         at = [(i, j) for i in range(9) for j in range(22) if p[i : i + 4] == t[j : j + 4]]
         got = decontaminate.tiles(np.array([a for a, _ in at]), np.array([b for _, b in at]), 4, 12) if at else []
         assert sorted(n for _, _, n in got)[-1:] == sorted(want)[-1:]
+        assert sum(n for _, _, n in got) == sum(want)  # the cover as well
         used_p, used_t = [i for a, _, n in got for i in range(a, a + n)], [i for _, b, n in got for i in range(b, b + n)]
         assert len(set(used_p)) == len(used_p) and len(set(used_t)) == len(used_t)
         assert all(p[a : a + n] == t[b : b + n] for a, b, n in got)
 
 
+def test_tiles_of_repetitive_texts(monkeypatch):
+    """Texts that say the same over and over: bounded pairs, and the same runs however few are made at a time."""
+    import resource
+
+    block = decontaminate.Block([(1, "na " * 100), (2, "a b c " * 30)])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = list(decontaminate.leaks_in(pa.array(["na " * 300_000, "a b c " * 60_000]), block))
+    assert [(r, n, covered) for r, n, covered, _, _ in got] == [(0, 0, 100), (1, 1, 90)]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000  # kB
+    rng = random.Random(3)
+    texts = pa.array([" ".join(rng.choice("ab") for _ in range(rng.randint(5, 60))) for _ in range(80)])
+    block = decontaminate.Block([(k, " ".join(rng.choice("ab") for _ in range(12))) for k in range(5)])
+    want = list(decontaminate.leaks_in(texts, block))
+    monkeypatch.setattr(decontaminate, "PAIRS", 3)
+    assert list(decontaminate.leaks_in(texts, block)) == want and len(want) > 50
+
+
 def test_decontamination(spark):
     rng = random.Random(7)
     items = [(k, words(rng, 25)) for k in range(8)] + [(None, "null id of an item with words"), (50, None), (51, "")]
@@ -450,7 +468,8 @@ def test_substrings_whole(spark):
     assert {d: r for d, r in got.items() if d is not None and d >= 100} == want
 
 
-def brute_lines(rows, depth=lines.DEPTH, recur=lines.RECUR, similar=lines.SIMILAR):
+def brute_lines(rows, depth=lines.DEPTH, short=lines.RECUR, similar=lines.SIMILAR, long=lines.RECUR_LONG):
+    recur = lambda ts: long if len(ts) >= lines.LONG else short
     mask = lambda line: tuple("<*>" if re.search("[0-9]", w) else w for w in line.split(" "))
     leaf = lambda ts: (len(ts), ts[:depth])
     of = defaultdict(set)
@@ -462,13 +481,13 @@ def brute_lines(rows, depth=lines.DEPTH, recur=lines.RECUR, similar=lines.SIMILA
     for ts, texts in of.items():
         at_leaf[leaf(ts)] |= texts
     token = Counter()
-    full = {ts: len(x) for ts, x in of.items() if len(at_leaf[leaf(ts)]) >= recur}
+    full = {ts: len(x) for ts, x in of.items() if len(at_leaf[leaf(ts)]) >= recur(ts)}
     for ts, d in full.items():
         for k, w in enumerate(ts):
             token[leaf(ts), k, w] += d
     template = {}
     for ts in full:
-        keep = tuple((k, w) for k, w in enumerate(ts) if w != "<*>" and token[leaf(ts), k, w] >= recur)
+        keep = tuple((k, w) for k, w in enumerate(ts) if w != "<*>" and token[leaf(ts), k, w] >= recur(ts))
         if keep and len(keep) >= similar * len(ts):
             template[ts] = (leaf(ts), keep)
     total = Counter()
@@ -478,7 +497,7 @@ def brute_lines(rows, depth=lines.DEPTH, recur=lines.RECUR, similar=lines.SIMILA
     for d, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
         for n, line in enumerate((t or "").split("\n")):
             k = template.get(mask(line))
-            if k and total[k] >= recur:
+            if k and total[k] >= recur(mask(line)):
                 if k in seen:
                     drop.add((d, t, n))
                 seen.add(k)
@@ -496,6 +515,8 @@ def test_lines(spark):
             parts.append(rng.choice(["All rights reserved by the owner of this site named " + words(rng, 1), "", "  "]))
         rows.append((100 + k, "\n".join(parts)))
     rows += [(300 + k, "copy of one text\nwith two lines of words") for k in range(30)]  # copies count once
+    long = words(rng, 12)
+    rows += [(400 + k, f"{words(rng, 30)}\n{long}\n{words(rng, 3)} short one") for k in range(3)] + [(500 + k, f"{words(rng, 30)}\n{long} in two") for k in range(2)]
     drop = brute_lines(rows)
     docs = table(spark, rows)
     out = lines.drop_recurring_lines(docs.repartition(4))
@@ -506,9 +527,25 @@ def test_lines(spark):
         n = [k for k in range(len((t or "").split("\n"))) if (d, t, k) in drop]
         want[d, len((t or "").split("\n")), len(n), "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in n) if n or t is not None else None] += 1
     assert got == want and len(drop) > 20
+    assert {d for d, _, n in drop if d and 400 <= d and n == 1} == {401, 402}  # a long line of three texts; two are too few
     assert lines.drop_recurring_lines(table(spark, [])).count() == 0
 
 
+def test_clashing_names(spark):
+    """Input columns named like those the operators use inside come back as they are."""
+    from pulsegrid.llm import jaccard
+
+    names = "id rk drops th id_ rk_ th_ _rk __rk __drops keep copies sig n toks found_id removed".split()
+    rows = [(k, f"{'a line that many texts hold with words' if k % 2 else 'own'}\nline {'xyz' * (k % 5 + 1)} and {k} more words here", *(f"v{k}" for _ in names)) for k in range(24)] + [(None, None, *("z" for _ in names))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for out in (lines.drop_recurring_lines(df, counts=False), jaccard.without_near_duplicates(df)):
+        assert out.columns == df.columns
+        got = {r["doc_id"]: r for r in out.collect()}
+        assert got and all(r[n] == ("z" if d is None else f"v{d}") for d, r in got.items() for n in df.columns[2:])
+    assert lines.drop_recurring_lines(df).where("n_dropped > 0").count() > 10
+    assert substrings.remove_repeats(df).count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 5])
 def test_shingles(n):
     texts = ["A b\tC  d e F", "", "x", "a b c d e f", "é É x\x0by z w v u"]
