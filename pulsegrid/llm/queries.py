@@ -29,12 +29,12 @@ l as (
 ), k as (
   select *, list_transform(string_split(line, ' '), lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end) as ts from l where trim(line, ' ') <> ''
 ), leaves as (
-  select len(ts) as n, ts[1:3] as head from k group by all having count(distinct text) >= case when len(ts) >= 8 then 3 else 10 end
+  select n, head from (select len(ts) as n, ts[1:3] as head, count(distinct text) as d from k group by all) where d >= case when n >= 8 then 3 else 10 end
 ), here as (select k.* from k join leaves v on v.n = len(k.ts) and v.head = k.ts[1:3]),
 kinds as (select ts, count(distinct text) as d from here group by ts),
 tokens as (select ts, d, unnest(ts) as token, generate_subscripts(ts, 1) as pos from kinds),
 common as (
-  select len(ts) as n, ts[1:3] as head, pos, token from tokens where token <> '<*>' group by all having sum(d) >= case when len(ts) >= 8 then 3 else 10 end
+  select n, head, pos, token from (select len(ts) as n, ts[1:3] as head, pos, token, sum(d) as d from tokens where token <> '<*>' group by all) where d >= case when n >= 8 then 3 else 10 end
 ), templates as (
   select t.ts, any_value(t.d) as d, list(struct_pack(p := t.pos, k := t.token) order by t.pos) as template
   from tokens t join common c on c.n = len(t.ts) and c.head = t.ts[1:3] and c.pos = t.pos and c.token = t.token
