@@ -321,6 +321,31 @@ def test_pipeline(spark, tmp_path):
     assert pipeline.run(spark, str(tmp_path)).count() == docs.count()
 
 
+def test_pipeline_stages_of_odd_tables(spark, tmp_path):
+    """Empty tables, nulls everywhere, rows that repeat, extra columns with names of the operators' own."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rk string, th string, keep string, drops string, sig string, `two words` string"
+    same = "a text that stands here three times and has enough words"
+    rows = [(None, None), (1, None), (2, ""), (2, ""), (3, " \n "), (4, same), (4, same), (5, same), (None, same), (6, "only this one\nand a second line"), (7, "long " * 60_000)]
+    docs = spark.createDataFrame([(d, t, None, None, None if t is None else len(t), "r", None, "k", "d", "s", "w") for d, t in rows], schema)
+    for has_labels in (False, True):
+        path = str(tmp_path / str(has_labels))
+        spark.createDataFrame([(k, 1, k % 2) for k in range(8)] if has_labels else [], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        spark.createDataFrame([(None, None), (1, ""), (2, "none of these words")] if has_labels else [], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+        for name, stage in pipeline.STAGES:
+            assert stage(spark, docs.limit(0), path).count() == 0
+            out = stage(spark, docs, path)
+            got = Counter((r["doc_id"], r["text"]) if name != "packing" else r["doc_id"] for r in out.collect())
+            if name != "packing":
+                assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            if name == "near_duplicates":
+                assert got == Counter(dict.fromkeys([r for r in rows if r[1] != same], 1)) + Counter({(2, ""): 1, (4, same): 1})
+            elif name == "packing":
+                assert got.keys() == {d for d, _ in rows} and got[7] > 50
+            elif name != "toxicity" or not has_labels:
+                assert got == Counter(rows), name
+
+
 def test_nothing_else_imports_this_package():
     from pathlib import Path
 
