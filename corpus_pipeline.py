@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents.
+
+Defined results: an empty table passes every stage as one, and without labels or benchmark items nothing is toxic or leaked.
+A null or empty text is scored like any other, loses no lines, is no near duplicate, holds no benchmark item and packs to the end
+id; a null doc_id is kept (of near duplicates the least id stays, a null one last). Rows that repeat in full are near
+duplicates of each other, unless they have no words. Extra columns go through all but the last stage as they are,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import decontaminate, jaccard, lines, packing, toxicity
-from pulsegrid.llm.common import staged, table
+from pulsegrid.llm.common import discard, staged, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +62,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        docs = out if stage is STAGES[-1][1] else staged(out, name)
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, staged(stage(spark, docs, sf_dir), name)
+        if k:
+            discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
