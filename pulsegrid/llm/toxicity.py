@@ -2,13 +2,14 @@
 
 Texts are lower-cased; every code point is a symbol of its own, white space one blank, so the vocabulary is open. The toxic
 and the ordinary model share their backoff: at order 5 each class has its own discounted counts and at orders 4 and 3 its
-own continuation counts, each with its own backoff weight, while orders 2 and 1 are Kneser-Ney continuation counts gathered
-from ALL documents, labelled or not. A rare expression is thus smoothed alike in both classes and only differs by what its
-class has seen. Higher shared orders were tried and are worse: a context that only toxic texts hold then predicts its
-next symbol as well for the ordinary class, and a toxic word says nothing but at its beginning (README). A document's evidence is the log-likelihood ratio of toxic to ordinary per symbol, over the whole text and
+own continuation counts, each with its own backoff weight. Below lies one distribution for both, of Kneser-Ney continuation
+counts gathered from ALL documents, labelled or not: order 3 with weight WEIGHT, else order 2, which backs off to order 1.
+A rare expression is thus smoothed alike in both classes and only differs by what its class has seen. Higher shared orders
+and more weight on order 3 were tried and are worse: a context that only toxic texts hold then predicts its next symbol as
+well for the ordinary class, and a toxic word says nothing but at its beginning (README). A document's evidence is the log-likelihood ratio of toxic to ordinary per symbol, over the whole text and
 in its strongest window, turned into a score by a logistic function.
 
-What is gathered from the corpus are its distinct trigrams, in distributed tables that grow with it; the counts that the
+What is gathered from the corpus are its distinct 4-grams, in distributed tables that grow with it; the counts that the
 labelled n-grams back off to are joined out of them. An n-gram that neither class has seen has the same probability in
 both, so the ratios need entries for the labelled n-grams alone. The classes' counts are fitted on a bounded sample: at
 most LABELLED label rows of folds 1 to 4 (fold 0 is held out) with at most LABELLED_CHARS code points in all (whole texts,
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import discard, slices, staged, text_rows
 
 ORDER, SHARED = 5, 2
+WEIGHT = 0.1
 POINT = 21  # bits of a code point
 DISCOUNT = 0.75
 WINDOW, STRIDE, GAP = 128, 16, 5
@@ -99,31 +101,32 @@ COUNTS = [f"{c}{k}" for k in FOLDS for c in ("t", "o")]
 
 
 def corpus_grams(docs: DataFrame) -> DataFrame:
-    """(p, x): the distinct trigrams of all documents, x the first symbol and p the other two."""
+    """(a, x): the distinct 4-grams of all documents, x the first symbol and a the other three."""
 
     def distinct(batches):
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int32))
+        held = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
         fresh: list = []  # at most PENDING or one group of texts over it
 
         def settle():
-            p, x = (np.concatenate(c) for c in zip(held, *fresh, strict=True))
-            both = np.unique(p << POINT | x)  # 63 bits
-            return both >> POINT, (both & ((1 << POINT) - 1)).astype(np.int32)
+            h, *rest = (np.concatenate(c) for c in zip(held, *fresh, strict=True))
+            _, i = np.unique(h, return_index=True)
+            return h[i], *(c[i] for c in rest)
 
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             for i, j in groups(texts):
                 s, _ = symbols(texts[i:j])
-                both = np.unique(packed(s[1:-1], s[2:], s[:-2]))
-                fresh.append((both >> POINT, (both & ((1 << POINT) - 1)).astype(np.int32)))
+                h, at = np.unique(gram_hashes(s)[3], return_index=True)
+                at += ORDER - 1
+                fresh.append((h, packed(s[at - 2], s[at - 1], s[at]), s[at - 3].astype(np.int32)))
                 if sum(len(f[0]) for f in fresh) > PENDING:
                     held, fresh = settle(), []
         if fresh:
             held = settle()
         for i in range(0, len(held[0]), PENDING):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + PENDING]) for c in held], ["p", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + PENDING]) for c in held[1:]], ["a", "x"])
 
-    return text_rows(docs).where("text <> ''").mapInArrow(distinct, "p long, x int").distinct()
+    return text_rows(docs).where("text <> ''").mapInArrow(distinct, "a long, x int").distinct()
 
 
 def labelled_grams(texts: DataFrame) -> DataFrame:
@@ -146,15 +149,21 @@ def labelled_grams(texts: DataFrame) -> DataFrame:
 
 
 def shared_counts(grams: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each wanted bigram (p) the continuation counts that orders 2 and 1 need: c2, its context's total2 and kinds2, c1,
-    total1, kinds1. A count is the number of distinct symbols in front, in all documents."""
-    c2 = staged(grams.groupBy("p").agg(F.count("*").alias("c2")), "c2")
-    last = F.col("p").bitwiseAND(F.lit((1 << POINT) - 1))
-    c1 = staged(c2.groupBy(last.alias("w")).agg(F.count("*").alias("c1")), "c1")  # at most all code points
-    contexts = c2.groupBy(F.shiftright("p", POINT).alias("v")).agg(F.sum("c2").alias("total2"), F.count("*").alias("kinds2"))
-    whole = c1.agg(F.sum("c1").alias("t"), F.count("*").alias("k")).first()
-    rows = wanted.join(c2, "p").withColumns({"v": F.shiftright("p", POINT), "w": last}).join(contexts, "v").join(c1, "w").drop("v", "w")
-    return rows.withColumns({"total1": F.lit(whole["t"] or 0), "kinds1": F.lit(whole["k"])})
+    """For each wanted trigram (a) the continuation counts that orders 3, 2 and 1 need: c3, its context's total3 and kinds3,
+    and so on to c1. A count is the number of distinct symbols in front, in all documents."""
+    last = lambda n: F.col("a").bitwiseAND(F.lit((1 << n * POINT) - 1))
+    counts = {3: staged(grams.groupBy("a").agg(F.count("*").alias("c")), "c3")}
+    for k in (2, 1):
+        counts[k] = staged(counts[k + 1].groupBy(last(k).alias("a")).agg(F.count("*").alias("c")), f"c{k}")
+    rows = wanted
+    for k in (3, 2):
+        contexts = counts[k].groupBy(F.shiftright("a", POINT).alias("h")).agg(F.sum("c").alias(f"total{k}"), F.count("*").alias(f"kinds{k}"))
+        rows = rows.withColumns({"k": last(k), "h": F.shiftright(last(k), POINT)}).join(counts[k].select(F.col("a").alias("k"), F.col("c").alias(f"c{k}")), "k").join(contexts, "h").drop("h", "k")
+    whole = counts[1].agg(F.sum("c").alias("t"), F.count("*").alias("k")).first()  # at most all code points
+    rows = rows.withColumn("k", last(1)).join(counts[1].select(F.col("a").alias("k"), F.col("c").alias("c1")), "k").drop("k")
+    out = staged(rows.withColumns({"total1": F.lit(whole["t"] or 0), "kinds1": F.lit(whole["k"])}), "shared")
+    discard(*counts.values())
+    return out
 
 
 def interpolated(n: np.ndarray, total: np.ndarray, kinds: np.ndarray, below: np.ndarray) -> np.ndarray:
@@ -189,10 +198,9 @@ class Grams:
             if below is not None:
                 self.suffix[k + 1] = own[below]
             below = first
-        key = shared["p"].to_numpy()
+        key = shared["a"].to_numpy()
         by = np.argsort(key)
-        two = a[below] & ((1 << SHARED * POINT) - 1)
-        self.below = _shared(shared)[by[np.searchsorted(key, two, sorter=by)]] if len(a) else np.zeros(0)
+        self.below = _shared(shared)[by[np.searchsorted(key, a[below], sorter=by)]] if len(a) else np.zeros(0)
 
     def probabilities(self, n: np.ndarray) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
         """From a class's counts of the grams of the highest order: p of each gram's last symbol, by order, and the
@@ -224,12 +232,12 @@ class Grams:
 
 
 def _shared(counts: pa.Table) -> np.ndarray:
-    """p(last symbol | the one before) of each row's bigram, of all documents."""
-    own = {k: counts[k].to_numpy().astype(float) for k in counts.column_names if k != "p"}
-    p = 1.0 / np.maximum(own["kinds1"], 1)
-    for k in range(1, SHARED + 1):
-        p = interpolated(own[f"c{k}"], own[f"total{k}"], own[f"kinds{k}"], p)
-    return p
+    """p(last symbol | those before) of each row's trigram, of all documents: order 3 with weight WEIGHT, else order 2."""
+    own = {k: counts[k].to_numpy().astype(float) for k in counts.column_names if k != "a"}
+    p = [1.0 / np.maximum(own["kinds1"], 1)]
+    for k in (1, 2, 3):
+        p.append(interpolated(own[f"c{k}"], own[f"total{k}"], own[f"kinds{k}"], p[-1]))
+    return WEIGHT * p[3] + (1 - WEIGHT) * p[2]
 
 
 class Lookup:
@@ -281,7 +289,7 @@ class Tables:
 
     def ratios(self, s: np.ndarray) -> np.ndarray:
         """log p(symbol | those before, toxic) - log p(.. ordinary) at each place from ORDER - 1 on. What no class has
-        seen backs off, down to order SHARED, which is the same in both. The first place has no context."""
+        seen backs off, down to what is shared, which is the same in both. The first place has no context."""
         g = gram_hashes(s)
         out = np.zeros(len(g[0]))
         at = np.arange(1, len(out))
@@ -367,7 +375,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, chars: int
         return Model(share)
     texts = labelled_texts(docs, known, labelled, chars)
     own = staged(labelled_grams(texts), "grams")
-    wanted = staged(own.select(F.col("a").bitwiseAND(F.lit((1 << SHARED * POINT) - 1)).alias("p")).distinct(), "bigrams")
+    wanted = staged(own.select("a").distinct(), "trigrams")
     counts = own.orderBy("a", "b").toArrow()  # at most `chars` rows
     shared = shared_counts(corpus_grams(docs), wanted).toArrow()
     discard(own, wanted)

@@ -144,9 +144,10 @@ def test_toxicity_without_labels(spark):
 def brute_kneser_ney(corpus, toxic, ordinary):
     """p(last symbol of a 5-gram | the four before) by class, from the definition, and the alphabet."""
     pad = lambda t: " " * 5 + re.sub(r"\s", " ", t.lower()) + " " * 5
-    kinds = {2: {pad(t)[i : i + 3] for t in corpus for i in range(len(pad(t)) - 2)}}  # {order: distinct grams one longer}, of all documents
-    kinds[1] = {g[1:] for g in kinds[2]}
-    below = {k: Counter(g[1:] for g in kinds[k]) for k in (1, 2)}
+    kinds = {3: {pad(t)[i : i + 4] for t in corpus for i in range(len(pad(t)) - 3)}}  # {order: distinct grams one longer}, of all documents
+    for k in (2, 1):
+        kinds[k] = {g[1:] for g in kinds[k + 1]}
+    below = {k: Counter(g[1:] for g in kinds[k]) for k in (1, 2, 3)}
     alphabet = sorted(below[1])
     d = toxicity.DISCOUNT
 
@@ -155,14 +156,14 @@ def brute_kneser_ney(corpus, toxic, ordinary):
         own = [n for g, n in counts.items() if g[:-1] == context]
         return lower if not own else max(counts[gram] - d, 0) / sum(own) + d * len(own) / sum(own) * lower
 
-    def shared(gram):  # the gram's last one or two symbols
+    def shared(gram):  # the gram's last one to three symbols
         return level(below[len(gram)], gram, shared(gram[1:]) if len(gram) > 1 else 1 / len(alphabet))
 
     def of(texts):
         five = Counter(pad(t)[i : i + 5] for t in texts for i in range(1, len(pad(t)) - 4))
         four = Counter(g[1:] for g in five)
         three = Counter(g[1:] for g in four)
-        return lambda gram: level(five, gram, level(four, gram[1:], level(three, gram[2:], shared(gram[3:]))))
+        return lambda gram: level(five, gram, level(four, gram[1:], level(three, gram[2:], toxicity.WEIGHT * shared(gram[2:]) + (1 - toxicity.WEIGHT) * shared(gram[3:]))))
 
     return of(toxic), of(ordinary), alphabet
 
@@ -180,7 +181,7 @@ def test_ratios_are_kneser_ney(spark):
     docs = table(spark, rows)
     own = toxicity.labelled_grams(toxicity.labelled_texts(docs, toxicity.label_rows(spark.createDataFrame(labels, "doc_id long, toxic int")).where("fold <> 0"))).toArrow()
     n = {c: sum(own[f"{c}{k}"].to_numpy() for k in toxicity.FOLDS) for c in "to"}
-    wanted = spark.createDataFrame([(int(x) & ((1 << 42) - 1),) for x in set(own["a"].to_pylist())], "p long").distinct()
+    wanted = spark.createDataFrame([(int(x),) for x in set(own["a"].to_pylist())], "a long")
     shared = toxicity.shared_counts(toxicity.corpus_grams(docs), wanted).toArrow()
     tables = toxicity.Grams(own["b"].to_numpy(), own["a"].to_numpy(), shared).tables(n["t"], n["o"])
     for t in [*texts[::4], "ab 1ж你 zz", "xyz"]:
