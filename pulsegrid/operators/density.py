@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import idiv
 from ..model import NOISE, with_position
-from ..plans.staging import staged
+from ..plans.staging import discard, staged
 from .components import connected_components
 
 
@@ -43,12 +43,14 @@ def stdbscan(df: DataFrame, eps_s: float = 2, eps_t: float = 1e4, min_pts: int =
     if chunk is not None:
         fit = lambda pdf: local_dbscan(pdf, eps_s, eps_t, min_pts, metric)
         return chunked(df, fit, chunk, chunk // 5 if overlap is None else overlap, label, **guards)
+    if metric == "chebyshev":
+        return _by_boxes(df, eps_s, eps_t, min_pts, label)
     pairs = staged(neighbour_pairs(df, eps_s, eps_t, metric), "pairs")
     core = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_pts).select(F.col("a").alias("node"))
     core = staged(core, "core")
     # Core events of a box no larger than the radius are neighbours of each other, so boxes are what is connected: each
     # stands for its cores by the first of them, and neighbour pairs shrink to distinct pairs of boxes.
-    side, span = (eps_s, eps_t) if metric == "chebyshev" else (eps_s / math.sqrt(3), eps_t / math.sqrt(3))
+    side, span = eps_s / math.sqrt(3), eps_t / math.sqrt(3)
     box = [idiv("x", int(side) + 1).alias("bx"), idiv("y", int(side) + 1).alias("by"), idiv("t", int(span) + 1).alias("bt")]
     placed = core.join(df.select(F.col("seq").alias("node"), *box), "node")
     first = placed.groupBy("bx", "by", "bt").agg(F.min("node").alias("rep"))
@@ -64,6 +66,47 @@ def stdbscan(df: DataFrame, eps_s: float = 2, eps_t: float = 1e4, min_pts: int =
     return df.join(found, "seq", "left").na.fill(NOISE, [label])
 
 
+BOX = ("bx", "by", "bt")
+
+
+def _around(df: DataFrame) -> DataFrame:
+    """A copy of each row for each of the 27 boxes at and around its own; `later` is the step in time."""
+    for k in BOX[:2]:
+        df = df.withColumn(k, F.explode(F.array(F.col(k) - 1, F.col(k), F.col(k) + 1)))
+    steps = F.array(*(F.lit(i) for i in (-1, 0, 1)))
+    return df.withColumn("later", F.explode(steps)).withColumn("bt", F.col("bt") + F.col("later"))
+
+
+def _by_boxes(df: DataFrame, eps_s: float, eps_t: float, min_pts: int, label: str) -> DataFrame:
+    """stdbscan under the Chebyshev metric without neighbour pairs. Events of a box no larger than the radius are all
+    neighbours, and all others lie in the 26 boxes around. So a box of min_pts events is core at once, only events of thinner
+    boxes (fewer than min_pts each) count theirs; and of a box's cores on one pixel only the first and the last in time can
+    be nearest to another box. Clusters are components of boxes."""
+    side, span = int(eps_s) + 1, int(eps_t) + 1
+    box = [idiv("x", side).alias("bx"), idiv("y", side).alias("by"), idiv("t", span).alias("bt")]
+    placed = staged(df.select("seq", "x", "y", "t", *box), "placed")
+    sized = placed.join(placed.groupBy(*BOX).agg(F.count("*").alias("n")), list(BOX))
+    thin = staged(sized.where(F.col("n") < min_pts).drop("n"), "thin")
+    close = (F.abs(F.col("x") - F.col("x2")) <= eps_s) & (F.abs(F.col("y") - F.col("y2")) <= eps_s)
+    other = placed.select(*BOX, F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("t").alias("t2"))
+    counted = _around(thin).join(other, list(BOX)).where(close & (F.abs(F.col("t") - F.col("t2")) <= eps_t)).groupBy("seq").agg(F.count("*").alias("n"))
+    counted = staged(counted.where(F.col("n") >= min_pts).select("seq"), "counted")
+    core = staged(sized.where(F.col("n") >= min_pts).drop("n").unionByName(thin.join(counted, "seq", "left_semi")), "core")
+    columns = core.groupBy(*BOX, "x", "y").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    reps = core.groupBy(*BOX).agg(F.min("seq").alias("rep"))
+    columns = staged(columns.join(reps, list(BOX)), "columns")
+    other = columns.select(*BOX, F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("rep").alias("rep2"))
+    near = lambda lo, hi: F.when(F.col("later") == 0, True).when(F.col("later") > 0, F.col("lo2") - hi <= eps_t).otherwise(lo - F.col("hi2") <= eps_t)
+    links = _around(columns).join(other, list(BOX)).where(close & (F.col("rep") < F.col("rep2")) & near(F.col("lo"), F.col("hi"))).select("rep", "rep2").distinct()
+    roots = reps.join(connected_components(links, staged, "rep", "rep2", discard).withColumnRenamed("node", "rep"), "rep", "left").select(*BOX, F.coalesce("root", "rep").alias("root"))
+    roots = staged(roots, "roots")
+    named = staged(number(roots.select("root").distinct(), "root", "c").join(roots, "root").select(*BOX, F.col("c").cast("int").alias("c")), "named")
+    own = core.join(named, list(BOX)).select("seq", F.col("c").alias(label))
+    border = _around(thin.join(counted, "seq", "left_anti")).join(other.drop("rep2").join(named, list(BOX)), list(BOX)).where(close & near(F.col("t"), F.col("t")))
+    found = own.unionByName(border.groupBy("seq").agg(F.min("c").alias(label)))
+    return df.join(found, "seq", "left").na.fill(NOISE, [label])
+
+
 def number(df: DataFrame, key: str, name: str) -> DataFrame:
     """The rows of df (distinct keys) numbered from 0 in ascending order, without a single-partition sort."""
     return with_position(df, key, name=name)
