@@ -16,10 +16,10 @@ Only what passes all of them is verified on whole sets, exactly and without a ca
 sample of texts and only shapes order 1 and spares tokens known to be shared the shuffle: neither the sample nor the bound
 on its table (FREQUENT) can change a result.
 
-Candidates never are all pairs of a token's documents. A node is a distinct set (copies share one). For each shared token,
-rounds compare its nodes with one hub, which costs one pair per row; linked nodes form components, and only leading nodes
-are compared further with nodes of other components, until none is left. So groups of near copies cost rows, not squares,
-and no link between components is lost. After some rounds the rest is compared in one step; that decides cost, not results.
+Candidates never are all pairs of a token's documents. A node is a distinct set (copies share one). For each shared token its
+nodes are compared with a few hubs first, which costs some pairs per row; linked nodes form components, and then only leading
+nodes are compared with nodes of other components. So groups of near copies cost rows, not squares, and no link between
+components is lost. Whether hubs go before (they do where many pairs are left) decides cost, not results.
 
 Defined results: null or wordless text has n_shingles 0 and is linked with nothing; fewer than 5 words form one shingle;
 equal texts link; repeated rows link with themselves; a null doc_id counts for links but never is a component's least;
@@ -42,7 +42,7 @@ from .textvec import mix, shingle_sets
 WORDS, PERCENT = 5, 75
 LEAD = 12
 SAMPLE, FREQUENT = 16, 1_000_000
-ROUNDS, SMALL = 4, 32
+ROUNDS, SMALL, HUBS = 1, 32, 4
 BUCKETS = 256
 BROADCAST_ROWS = 1_000_000
 
@@ -270,19 +270,21 @@ def _link(active: DataFrame, narrow: DataFrame, sets: DataFrame, percent: int) -
     discard(active)
     done, kept = None, []
     for turn in range(ROUNDS + 1):
-        # The hub: a leading set, first the one with the fewest tokens of its own, then any, another one for each token.
+        # Hubs: of the leading sets the one with the fewest tokens of its own, and HUBS that hashes choose for each token.
         leads = _leading("n", "i", percent)
-        rank = F.struct((~leads).alias("late"), *([F.xxhash64("sig", "tok", F.lit(turn)).alias("h")] if turn else ["alone", F.xxhash64("sig").alias("h")]))
-        groups = rows.groupBy("tok").agg(F.count("*").alias("m"), F.sum(leads.cast("long")).alias("near"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("sig", "n", "i", "odd", "comp"), rank).alias("hub"))
-        groups = staged(groups.where("lo <> hi and near > 0").select("tok", "near", "hub"), "groups")
-        open_rows = staged(rows.join(groups, "tok"), "open")
-        apart = F.when(F.col("comp") != F.col("hub.comp"), F.col("near")).otherwise(0)
-        size = open_rows.agg(F.count("*").alias("rows"), F.sum(apart).alias("squares")).first()  # at most so many pairs lead apart
-        discard(rows, groups)  # a token whose sets are of one component, or that leads in none, is done with
+        hub = F.struct("sig", "n", "i", "odd", "comp")
+        ranks = [F.struct("alone", F.xxhash64("sig")), *(F.xxhash64("sig", "tok", F.lit(turn), F.lit(k)) for k in range(HUBS))]
+        hubs = F.array(*(F.min_by(hub, F.struct((~leads).alias("late"), r.alias("by"))) for r in ranks))
+        groups = rows.groupBy("tok").agg(F.count("*").alias("m"), F.sum(leads.cast("long")).alias("near"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), hubs.alias("hubs"))
+        groups = staged(groups.where("lo <> hi and near > 0").select("tok", "m", "near", "hubs"), "groups")
+        size = groups.agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("near")).alias("squares")).first()  # at most so many pairs
         if not size["rows"]:
-            discard(open_rows)
+            discard(rows, groups)
             break
         last = turn == ROUNDS or size["squares"] <= SMALL * size["rows"]
+        # A token whose sets are of one component, or that leads in none, is done with.
+        open_rows = staged(rows.join(groups.select("tok"), "tok", "left_semi"), "open")
+        discard(rows)
         if last:  # what shares a token across components, the smaller set leading
             other = open_rows.select("tok", F.col("sig").alias("s2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("odd").alias("odd2"), F.col("comp").alias("c2"))
             ordered = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("sig") < F.col("s2")))
@@ -290,7 +292,8 @@ def _link(active: DataFrame, narrow: DataFrame, sets: DataFrame, percent: int) -
             one, two = F.struct(F.col("sig").alias("s"), F.col("comp").alias("c")), F.struct(F.col("s2").alias("s"), F.col("c2").alias("c"))
             first = F.col("sig") < F.col("s2")
         else:
-            pairs = open_rows.where((F.col("comp") != F.col("hub.comp")) & _room("n", "i", "hub.n", "hub.i", percent) & _close("n", "odd", "hub.n", "hub.odd", percent))
+            pairs = open_rows.join(groups.select("tok", "hubs"), "tok").withColumn("hub", F.explode(F.array_distinct("hubs"))).drop("hubs")
+            pairs = pairs.where((F.col("comp") != F.col("hub.comp")) & _room("n", "i", "hub.n", "hub.i", percent) & _close("n", "odd", "hub.n", "hub.odd", percent))
             one, two = F.struct(F.col("sig").alias("s"), F.col("comp").alias("c")), F.struct(F.col("hub.sig").alias("s"), F.col("hub.comp").alias("c"))
             first = F.col("sig") < F.col("hub.sig")
         pairs = pairs.select(F.when(first, one).otherwise(two).alias("p"), F.when(first, two).otherwise(one).alias("q"))
@@ -299,8 +302,7 @@ def _link(active: DataFrame, narrow: DataFrame, sets: DataFrame, percent: int) -
         pairs = staged(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         nodes = staged(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "ends")
         likely = staged(_plausible(pairs, _only(narrow, nodes), percent), "likely")
-        ends = staged(likely.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "ends")
-        links = staged(_verified(likely, _only(sets, ends), percent), "links")
+        links = staged(_verified(likely, _only(sets, nodes), percent), "links")
         moved = connected_components(links, staged, "ca", "cb", discard)
         moved_to = moved.select(F.col("node").alias("comp"), F.col("root").alias("to"))
         old, labels = labels, staged(labels.withColumnRenamed("root", "comp").join(_few(moved_to), "comp", "left").select("node", F.coalesce("to", "comp").alias("root")), "roots")
@@ -309,7 +311,7 @@ def _link(active: DataFrame, narrow: DataFrame, sets: DataFrame, percent: int) -
         if not last:
             rows = staged(open_rows.join(_few(moved_to), "comp", "left").select("tok", "sig", "n", "i", "odd", "alone", F.coalesce("to", "comp").alias("comp")), "rows")
             done = pairs.select("a", "b") if done is None else done.unionByName(pairs.select("a", "b"))
-        discard(open_rows, nodes, likely, ends, links, moved)  # what is needed of them is written, so nothing reads these again
+        discard(groups, open_rows, nodes, likely, links, moved)  # what is needed of them is written, so nothing reads these again
         if last:
             break
     discard(*kept)
