@@ -1,11 +1,14 @@
 """Event files: numpy, npz, feather and HDF5 beside Spark's own Parquet and CSV.
 
-Readers split a file into row ranges, one partition each; writers write one file on the driver from a bounded iterator
-(Parquet and CSV are written by executors and are the formats for large data). Pickled arrays are refused."""
+Readers split a file into row ranges, one partition each; writers write one file on the driver, Arrow batch by Arrow batch,
+so that it holds one partition's batches at most (Parquet and CSV are written by executors and are the formats for large
+data). Pickled arrays are refused."""
 
 from __future__ import annotations
 
+import io
 import os
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,16 +86,23 @@ class EventNpz(_File):
     def name(cls):
         return "eventnpz"
 
-    def _arrays(self):
-        kind = self.options.get("kind", "patch")
-        with np.load(self.path(), allow_pickle=False) as z:
-            return [z[f"{c}_{kind}"] for c in ("Et", "Epix", "Epol")]
+    def _rows(self, column: str, lo: int, hi: int | None = None) -> np.ndarray | int:
+        """Rows lo to hi of an array, read past the others without holding them; without hi the array's length."""
+        with zipfile.ZipFile(self.path()) as z, z.open(f"{column}_{self.options.get('kind', 'patch')}.npy") as f:
+            read = np.lib.format.read_array_header_1_0 if np.lib.format.read_magic(f) == (1, 0) else np.lib.format.read_array_header_2_0
+            (n, *more), _, kind = read(f)
+            if more or kind.hasobject:
+                raise ValueError("not a plain array of one dimension")
+            if hi is None:
+                return n
+            f.seek(lo * kind.itemsize, os.SEEK_CUR)
+            return np.frombuffer(f.read(max(0, min(n, hi) - lo) * kind.itemsize), kind)
 
     def length(self) -> int:
-        return len(self._arrays()[0])
+        return self._rows("Et", 0)
 
     def batch(self, lo: int, hi: int) -> pa.RecordBatch:
-        t, pix, pol = (a[lo:hi].astype(np.int64) for a in self._arrays())
+        t, pix, pol = (self._rows(c, lo, hi).astype(np.int64) for c in ("Et", "Epix", "Epol"))
         w = int(self.options["width"])
         return pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(t))), pa.array(t), pa.array((pix % w).astype(np.int32)), pa.array((pix // w).astype(np.int32)), pa.array(pol.astype(np.int32))], ["seq", "t", "x", "y", "pol"])
 
@@ -179,6 +189,46 @@ def read_events(spark: SparkSession, path: str, schema: str | None = None, **opt
     return (r.schema(schema) if schema else r).load(path)
 
 
+def batches(df: DataFrame) -> Iterator[pa.RecordBatch]:
+    """The rows of df in order as Arrow batches, fetched partition by partition."""
+
+    def pack(parts):
+        for part in parts:
+            with pa.BufferOutputStream() as out:
+                with pa.ipc.new_stream(out, part.schema) as w:
+                    w.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["b"])
+
+    for r in df.mapInArrow(pack, "b binary").toLocalIterator():
+        yield from pa.ipc.open_stream(r["b"])
+
+
+class _Npy:
+    """A growing .npy file: room for the longest header is left in front and filled in at the end."""
+
+    def __init__(self, path: str, kind: np.dtype):
+        self.kind, self.n, self.f = kind, 0, open(path, "wb")  # noqa: SIM115
+        self.f.write(self._header(10**18))
+
+    def _header(self, n: int) -> bytes:
+        def of(n):
+            out = io.BytesIO()
+            np.lib.format.write_array_header_1_0(out, {"descr": np.lib.format.dtype_to_descr(self.kind), "fortran_order": False, "shape": (n,)})
+            return out.getvalue()
+
+        room = len(of(10**18)) - 10
+        return of(n)[:8] + room.to_bytes(2, "little") + of(n)[10:].rstrip().ljust(room - 1) + b"\n"
+
+    def add(self, a: np.ndarray) -> None:
+        self.f.write(np.ascontiguousarray(a, self.kind).tobytes())
+        self.n += len(a)
+
+    def close(self) -> None:
+        self.f.seek(0)
+        self.f.write(self._header(self.n))
+        self.f.close()
+
+
 def write_events(df: DataFrame, path: str, h5_key: str = "data", mode: str = "errorifexists", kind: str = "patch", width: int | None = None) -> None:
     """Writes by suffix."""
     form = format_of(path)
@@ -189,17 +239,29 @@ def write_events(df: DataFrame, path: str, h5_key: str = "data", mode: str = "er
     if mode == "errorifexists" and os.path.exists(path):
         raise FileExistsError(path)
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    table = df.toArrow()  # one file is one machine's: for small results
+    schema = to_arrow_schema(df.schema)
+    columns = lambda batch: {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
     if form == "eventfeather":
-        with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, table.schema) as w:
-            w.write_table(table, max_chunksize=ROWS)
-        return None
-    cols = {c: table[c].to_numpy() for c in table.column_names}
-    if form == "eventnpy":
-        np.save(path, np.rec.fromarrays(list(cols.values()), names=list(cols)), allow_pickle=False)
+        with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, schema) as w:
+            for batch in batches(df):
+                w.write_batch(batch.cast(schema))
+    elif form == "eventnpy":
+        out = _Npy(path, np.dtype([(f.name, np.dtype(f.type.to_pandas_dtype())) for f in schema]))
+        for batch in batches(df):
+            out.add(np.rec.fromarrays(list(columns(batch).values()), dtype=out.kind))
+        out.close()
     elif form == "eventnpz":
-        w = width or int(cols["x"].max(initial=0)) + 1
-        np.savez(path, **{f"Et_{kind}": cols["t"], f"Epix_{kind}": cols["x"].astype(np.int64) + cols["y"].astype(np.int64) * w, f"Epol_{kind}": cols["pol"]})
+        w = width or (df.agg({"x": "max"}).first()[0] or 0) + 1
+        parts = {c: _Npy(f"{path}.{c}.part", np.dtype(np.int64)) for c in ("Et", "Epix", "Epol")}
+        for batch in batches(df):
+            c = columns(batch)
+            for name, v in (("Et", c["t"]), ("Epix", c["x"].astype(np.int64) + c["y"].astype(np.int64) * w), ("Epol", c["pol"])):
+                parts[name].add(v)
+        with zipfile.ZipFile(path, "w") as z:
+            for name, part in parts.items():
+                part.close()
+                z.write(part.f.name, f"{name}_{kind}.npy")
+                os.remove(part.f.name)
     else:
         try:
             import h5py
@@ -207,8 +269,13 @@ def write_events(df: DataFrame, path: str, h5_key: str = "data", mode: str = "er
             raise ImportError("writing HDF5 needs h5py") from e
         with h5py.File(path, "w") as f:
             g = f.create_group(h5_key)
-            for c, v in cols.items():
-                g.create_dataset(c, data=v)
+            sets = {x.name: g.create_dataset(x.name, shape=(0,), maxshape=(None,), dtype=np.dtype(x.type.to_pandas_dtype()), chunks=True) for x in schema}
+            n = 0
+            for batch in batches(df):
+                for c, v in columns(batch).items():
+                    sets[c].resize((n + len(v),))
+                    sets[c][n : n + len(v)] = v
+                n += batch.num_rows
     return None
 
 
