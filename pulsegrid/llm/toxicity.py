@@ -1,4 +1,4 @@
-"""Toxicity: class-conditional Kneser-Ney models over code points.
+"""Toxicity: class-conditional Kneser-Ney models over code points and words.
 
 Texts are lower-cased; every code point is a symbol of its own, white space one blank, so the vocabulary is open. The toxic
 and the ordinary model share their backoff: at order 5 each class has its own discounted counts and at orders 4 and 3 its
@@ -6,11 +6,15 @@ own continuation counts, each with its own backoff weight. Below lies one distri
 counts gathered from ALL documents, labelled or not: order 3 with weight WEIGHT, else order 2, which backs off to order 1.
 A rare expression is thus smoothed alike in both classes and only differs by what its class has seen. Higher shared orders
 and more weight on order 3 were tried and are worse: a context that only toxic texts hold then predicts its next symbol as
-well for the ordinary class, and a toxic word says nothing but at its beginning (README). A document's evidence is the log-likelihood ratio of toxic to ordinary per symbol, over the whole text and
-in its strongest window, turned into a score by a logistic function.
+well for the ordinary class, and a toxic word says nothing but at its beginning (README).
 
-What is gathered from the corpus are its distinct 4-grams, in distributed tables that grow with it; the counts that the
-labelled n-grams back off to are joined out of them. An n-gram that neither class has seen has the same probability in
+Words have models of their own, which tell toxic words made of ordinary syllables: each class's discounted counts back off
+to the share of a word in all documents (how many documents hold it). A document's evidence is the log-likelihood ratio of
+toxic to ordinary, by symbol and by word, over the whole text (normalised by its length) and where it is strongest, turned
+into a score by a logistic function.
+
+What is gathered from the corpus are its distinct 4-grams and its words, in distributed tables that grow with it; the counts
+that the labelled n-grams and words back off to are joined out of them. An n-gram that neither class has seen has the same probability in
 both, so the ratios need entries for the labelled n-grams alone. The classes' counts are fitted on a bounded sample: at
 most LABELLED label rows of folds 1 to 4 (fold 0 is held out) with at most LABELLED_CHARS code points in all (whole texts,
 in the order of a hash). That bounds what reaches the driver and is broadcast: tables of at most twice LABELLED_CHARS entries by order.
@@ -29,12 +33,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, slices, staged, text_rows
+from .textvec import PLAIN, word_hashes
 
 ORDER, SHARED = 5, 2
 WEIGHT = 0.1
 POINT = 21  # bits of a code point
 DISCOUNT = 0.75
-WINDOW, STRIDE, GAP = 128, 16, 5
+WINDOW, STRIDE, GAP, WORDS = 128, 16, 5, 8
 LABELLED, LABELLED_CHARS = 20_000, 1 << 24
 CHUNK = 1 << 18
 PENDING = 1 << 21
@@ -56,6 +61,13 @@ def point_hashes(s: np.ndarray) -> np.ndarray:
     return np.where(s < 0x10000, _POINTS[np.minimum(s, 0xFFFF)], s.astype(np.uint64) * _PLACES[0])
 
 
+def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the lower-cased words, for each text the place of its first one; one more at the end)."""
+    raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    h, _, _, first = word_hashes(np.cumsum([0, *map(len, raw)]), np.frombuffer(b"".join(raw), np.uint8), PLAIN)
+    return h, first
+
+
 def gram_hashes(s: np.ndarray) -> list[np.ndarray]:
     """For k = 1 .. ORDER: the hash of the k symbols up to each place, from place ORDER - 1 on."""
     t = point_hashes(s)
@@ -148,6 +160,62 @@ def labelled_grams(texts: DataFrame) -> DataFrame:
     return counts.groupBy("b", "a").agg(*(F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).cast("int").alias(c) for y, c in enumerate(COUNTS)))
 
 
+def corpus_words(docs: DataFrame) -> DataFrame:
+    """(w, c): the words of all documents and how many documents hold each."""
+
+    def count(batches):
+        held, fresh = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), []
+
+        def settle():
+            h, n = (np.concatenate(c) for c in zip(held, *fresh, strict=True))
+            h, at = np.unique(h, return_inverse=True)
+            return h, np.bincount(at, n, len(h)).astype(np.int64)
+
+        for batch in slices(batches):
+            texts = batch.column("text").to_pylist()
+            for i, j in groups(texts):
+                h, first = words(texts[i:j])
+                row = np.repeat(np.arange(j - i), np.diff(first))
+                by = np.lexsort((row, h))
+                h, row = h[by], row[by]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                fresh.append(np.unique(h[new], return_counts=True))
+                if sum(len(f[0]) for f in fresh) > PENDING:
+                    held, fresh = settle(), []
+        if fresh:
+            held = settle()
+        for i in range(0, len(held[0]), PENDING):
+            yield pa.RecordBatch.from_arrays([pa.array(held[0][i : i + PENDING].view(np.int64)), pa.array(held[1][i : i + PENDING])], ["w", "c"])
+
+    return text_rows(docs).where("text <> ''").mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
+
+
+def labelled_words(texts: DataFrame) -> DataFrame:
+    """(w, t1, o1, .. t4, o4): the words of the texts and how often the toxic and ordinary ones of each fold hold them."""
+
+    def count(batches):
+        for batch in slices(batches):
+            rows, ys = batch.column("text").to_pylist(), 2 * (batch.column("fold").to_numpy() - 1) + 1 - batch.column("toxic").to_numpy()
+            for y in np.unique(ys).tolist():
+                h, n = np.unique(words([rows[i] for i in np.flatnonzero(ys == y).tolist()])[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), y, np.int32)), pa.array(n.astype(np.int64))], ["w", "y", "n"])
+
+    counts = texts.mapInArrow(count, "w long, y int, n long")
+    return counts.groupBy("w").agg(*(F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).cast("int").alias(c) for y, c in enumerate(COUNTS)))
+
+
+def word_ratios(keys: np.ndarray, shared: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> tuple[Lookup, float]:
+    """log p(word | toxic) - log p(word | ordinary) of each word, and of one that neither class has seen. Both classes back
+    off to the share of a word in all documents' words (each document's distinct ones)."""
+    logs, backs = [], []
+    for n in (toxic.astype(float), ordinary.astype(float)):
+        total, kinds = np.full(len(n), n.sum()), np.full(len(n), (n > 0).sum())
+        logs.append(np.log(interpolated(n, total, kinds, shared)))
+        backs.append(float(np.log(DISCOUNT * (n > 0).sum() / n.sum())) if n.sum() else 0.0)
+    return Lookup(keys, logs[0] - logs[1]), backs[0] - backs[1]
+
+
 def shared_counts(grams: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each wanted trigram (a) the continuation counts that orders 3, 2 and 1 need: c3, its context's total3 and kinds3,
     and so on to c1. A count is the number of distinct symbols in front, in all documents."""
@@ -218,7 +286,7 @@ class Grams:
             back[k - 1] = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
         return p, back
 
-    def tables(self, toxic: np.ndarray, ordinary: np.ndarray) -> Tables:
+    def tables(self, toxic: np.ndarray, ordinary: np.ndarray) -> dict[int, Lookup]:
         (p, back_p), (q, back_q) = self.probabilities(toxic.astype(float)), self.probabilities(ordinary.astype(float))
         out = {}
         for k in self.keys:
@@ -228,7 +296,7 @@ class Grams:
             if k < ORDER:
                 back = np.log(back_p[k]) - np.log(back_q[k])
             out[k] = Lookup(self.keys[k], ratio, back)
-        return Tables(out)
+        return out
 
 
 def _shared(counts: pa.Table) -> np.ndarray:
@@ -282,10 +350,16 @@ class Lookup:
 
 
 class Tables:
-    """By order: the log-likelihood ratio of each gram (none where it is a context alone) and of its backoff weight."""
+    """By order: the log-likelihood ratio of each gram (none where it is a context alone) and of its backoff weight; and the
+    ratios of words."""
+
+    def __init__(self, by: dict[int, Lookup], words: tuple[Lookup, float]):
+        self.by, self.words = by, words
 
-    def __init__(self, by: dict[int, Lookup]):
-        self.by = by
+    def word_ratios(self, h: np.ndarray) -> np.ndarray:
+        table, unseen = self.words
+        slot, ok = table(h)
+        return np.where(ok, table.values[0][slot], unseen).astype(float)
 
     def ratios(self, s: np.ndarray) -> np.ndarray:
         """log p(symbol | those before, toxic) - log p(.. ordinary) at each place from ORDER - 1 on. What no class has
@@ -304,12 +378,19 @@ class Tables:
         return out
 
 
+FEATURES = 6
+
+
 def evidence(texts: list[str], tables: Tables) -> np.ndarray:
-    """Per text: mean log-likelihood ratio per symbol, that of its strongest window, log of its length."""
-    out = np.zeros((len(texts), 3))
+    """Per text: mean log-likelihood ratio per symbol, that of its strongest window, log of its length; mean ratio per word,
+    that of its strongest WORDS in a row, and of its strongest word."""
+    out = np.zeros((len(texts), FEATURES))
     for i, j in groups(texts):
         s, at = symbols(texts[i:j])
         total = np.concatenate(([0], np.cumsum(tables.ratios(s)[1:])))  # from the first symbol of the first text on
+        h, first = words(texts[i:j])
+        ratio = tables.word_ratios(h)
+        sums = np.concatenate(([0], np.cumsum(ratio)))
         for r in range(j - i):
             n = at[r + 1] - at[r] - GAP + 1
             if n <= 1:
@@ -318,7 +399,11 @@ def evidence(texts: list[str], tables: Tables) -> np.ndarray:
             w = min(WINDOW, n)
             ends = own[w::STRIDE] if n > w else own[w:]
             best = max((ends - own[: n - w + 1 : STRIDE][: len(ends)]).max(), own[n] - own[n - w])
-            out[i + r] = (own[n] - own[0]) / n, best / w, np.log(n)
+            out[i + r, :3] = (own[n] - own[0]) / n, best / w, np.log(n)
+            a, b = first[r], first[r + 1]
+            if b > a:
+                k = min(WORDS, b - a)
+                out[i + r, 3:] = (sums[b] - sums[a]) / (b - a), (sums[a + k : b + 1] - sums[a : b + 1 - k]).max() / k, ratio[a:b].max()
     return np.round(out, 9)  # sums that differ by where a text stands in its batch
 
 
@@ -378,29 +463,40 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, chars: int
     wanted = staged(own.select("a").distinct(), "trigrams")
     counts = own.orderBy("a", "b").toArrow()  # at most `chars` rows
     shared = shared_counts(corpus_grams(docs), wanted).toArrow()
-    discard(own, wanted)
+    spoken, every = staged(labelled_words(texts), "words"), staged(corpus_words(docs), "corpus")
+    said = spoken.join(every, "w").orderBy("w").toArrow()  # at most `chars` rows
+    whole = every.agg(F.sum("c")).first()[0] or 1
+    discard(own, wanted, spoken, every)
     grams = Grams(counts["b"].to_numpy(), counts["a"].to_numpy(), shared)
-    per = {c: counts[c].to_numpy() for c in COUNTS}
-    sums = {c: sum(per[f"{c}{k}"] for k in FOLDS) for c in "to"}
+    share_of = said["c"].to_numpy() / whole
+    per = {c: (counts[c].to_numpy(), said[c].to_numpy()) for c in COUNTS}
+    sums = {c: tuple(sum(per[f"{c}{k}"][i] for k in FOLDS) for i in (0, 1)) for c in "to"}
+
+    def tables(fold: int = 0) -> Tables:
+        """What all folds but one have seen."""
+        seen = {c: [sums[c][i] - (per[f"{c}{fold}"][i] if fold else 0) for i in (0, 1)] for c in "to"}
+        return Tables(grams.tables(seen["t"][0], seen["o"][0]), word_ratios(said["w"].to_numpy().view(np.uint64), share_of, seen["t"][1], seen["o"][1]))
+
     parts = []
+    names = [f"x{k}" for k in range(FEATURES)]
     for k in FOLDS:  # each fold is measured by what the other folds have seen
-        part = spark.sparkContext.broadcast(grams.tables(sums["t"] - per[f"t{k}"], sums["o"] - per[f"o{k}"]))
+        part = spark.sparkContext.broadcast(tables(k))
 
         def features(batches, part=part):
             for batch in slices(batches):
                 x = evidence(batch.column("text").to_pylist(), part.value)
-                yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array(x[:, k]) for k in range(3))], ["toxic", "a", "b", "c"])
+                yield pa.RecordBatch.from_arrays([batch.column("toxic"), *map(pa.array, x.T)], ["toxic", *names])
 
-        parts.append(texts.where(F.col("fold") == k).select("text", "toxic").mapInArrow(features, "toxic int, a double, b double, c double").toArrow())
+        parts.append(texts.where(F.col("fold") == k).select("text", "toxic").mapInArrow(features, "toxic int, " + ", ".join(f"{n} double" for n in names)).toArrow())
         part.destroy()
-    got = np.column_stack([pa.concat_tables(parts)[c].to_numpy() for c in ("toxic", "a", "b", "c")])
+    got = np.column_stack([pa.concat_tables(parts)[c].to_numpy() for c in ("toxic", *names)])
     got = got[np.lexsort(got.T[::-1])]  # the order of rows must not show in the sums
     if not 0 < got[:, 0].sum() < len(got):
         return Model(share)
-    tables = grams.tables(sums["t"], sums["o"])
-    del counts, per, sums, grams
+    final = tables()
+    del counts, per, sums, grams, said
     pa.default_memory_pool().release_unused()
-    return Model(share, spark.sparkContext.broadcast(tables), logistic_fit(got[:, 1:], got[:, 0]))
+    return Model(share, spark.sparkContext.broadcast(final), logistic_fit(got[:, 1:], got[:, 0]))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, chars: int = LABELLED_CHARS) -> DataFrame:

@@ -183,7 +183,8 @@ def test_ratios_are_kneser_ney(spark):
     n = {c: sum(own[f"{c}{k}"].to_numpy() for k in toxicity.FOLDS) for c in "to"}
     wanted = spark.createDataFrame([(int(x),) for x in set(own["a"].to_pylist())], "a long")
     shared = toxicity.shared_counts(toxicity.corpus_grams(docs), wanted).toArrow()
-    tables = toxicity.Grams(own["b"].to_numpy(), own["a"].to_numpy(), shared).tables(n["t"], n["o"])
+    none = (toxicity.Lookup(np.zeros(0, np.uint64), np.zeros(0)), 0.0)
+    tables = toxicity.Tables(toxicity.Grams(own["b"].to_numpy(), own["a"].to_numpy(), shared).tables(n["t"], n["o"]), none)
     for t in [*texts[::4], "ab 1ж你 zz", "xyz"]:
         s, _ = toxicity.symbols([t])
         padded = " " * 5 + re.sub(r"\s", " ", t) + " " * 5
@@ -194,6 +195,35 @@ def test_ratios_are_kneser_ney(spark):
         assert abs(sum(p(context + c) for c in alphabet) - 1) < 1e-9 and abs(sum(q(context + c) for c in alphabet) - 1) < 1e-9
 
 
+def test_word_ratios_are_kneser_ney(spark):
+    """Words' ratios from counts in Python; both distributions are proper over the words of all documents."""
+    rng = random.Random(6)
+    rows, labels = toxic_corpus(60)
+    rows += [(1000, None), (1001, "ДУРАК, дурак! É é"), (1002, "馬鹿者 stupid")]
+    labels += [(1001, 1, 1), (1002, 1, 0)]
+    docs = table(spark, rows)
+    known = toxicity.label_rows(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).where("fold <> 0")
+    y = {r["doc_id"]: r["toxic"] for r in known.collect()}
+    cut = lambda t: re.findall(r"[^\x09-\x0d\x20-/:-@\[-`{-~]+", (t or "").lower())
+    holds = Counter(w for _, t in rows for w in set(cut(t)))
+    count = {c: Counter(w for d, t in rows if y.get(d) == c for w in cut(t)) for c in (0, 1)}
+    said = toxicity.labelled_words(toxicity.labelled_texts(docs, known)).join(toxicity.corpus_words(docs), "w").toArrow()
+    n = {c: sum(said[f"{c}{k}"].to_numpy() for k in toxicity.FOLDS) for c in "to"}
+    lookup = toxicity.word_ratios(said["w"].to_numpy().view(np.uint64), said["c"].to_numpy() / sum(holds.values()), n["t"], n["o"])
+    tables = toxicity.Tables({}, lookup)
+
+    def p(w, c):
+        total, d = sum(count[c].values()), toxicity.DISCOUNT
+        return max(count[c][w] - d, 0) / total + d * len(count[c]) / total * holds[w] / sum(holds.values())
+
+    every = sorted(holds)
+    got = tables.word_ratios(toxicity.words([" ".join(every)])[0])
+    assert np.allclose(got, [np.log(p(w, 1) / p(w, 0)) for w in every], atol=1e-5) and len(every) > 200
+    assert all(abs(sum(p(w, c) for w in every) - 1) < 1e-9 for c in (0, 1))
+    h, first = toxicity.words(["a b", "", "ДУРАК дурак"])
+    assert first.tolist() == [0, 2, 2, 4] and h[2] == h[3]
+
+
 def test_toxicity_lookup():
     rng = np.random.default_rng(4)
     keys = np.unique(rng.integers(1, 2**63, 5000, dtype=np.uint64))
