@@ -357,7 +357,27 @@ def stdbscan_euclid(cam):
     return density.stdbscan(cam, 2.9, 5_000_000, 8, "euclidean").select("seq", "cluster")
 
 
-@query()
+_CHUNKED = f""", p as (select seq, x, y, t, row_number() over (order by t, seq) - 1 as pos from cam),
+win as materialized (select p.*, unnest(range(greatest(0, (pos - 2999 + 2399) // 2400), pos // 2400 + 1)) as w from p),
+pairs as materialized (select a.w, a.pos as a, b.pos as b from win a join win b on a.w = b.w and {_NEAR}),
+core as materialized (select w, a as pos from pairs group by all having count(*) >= 8),
+ee as materialized (select p.w, p.a, p.b from pairs p join core c on c.w = p.w and c.pos = p.a join core d on d.w = p.w and d.pos = p.b),
+reach(w, node, root) as (select w, pos, pos from core union select e.w, e.b, r.root from reach r join ee e on e.w = r.w and e.a = r.node and e.b > r.root),
+roots as (select w, node, min(root) as root from reach group by w, node),
+numbered as materialized (select w, node as pos, dense_rank() over (partition by w order by root) - 1 as local from roots),
+found as materialized (
+  select w, pos, local from numbered
+  union all
+  select p.w, p.b, min(m.local) from pairs p join numbered m on m.w = p.w and m.pos = p.a where (p.w, p.b) not in (select (w, pos) from core) group by p.w, p.b),
+edges as materialized (select distinct a.w * 3000 + a.local as u, b.w * 3000 + b.local as v from found a join found b on b.w = a.w + 1 and b.pos = a.pos),
+ways as materialized (select u, v from edges union select v, u from edges),
+joined(node, root) as (select distinct w * 3000 + local, w * 3000 + local from found union select e.v, j.root from joined j join ways e on e.u = j.node and e.v > j.root),
+own as (select f.pos, j.root from found f join (select node, min(root) as root from joined group by node) j on j.node = f.w * 3000 + f.local where f.pos // 2400 = f.w),
+named as (select pos, dense_rank() over (order by root) - 1 as c from own)
+select p.seq, coalesce(n.c, -1)::int as cluster from p left join named n on n.pos = p.pos"""
+
+
+@query(_CHUNKED)
 def stdbscan_chunked(cam):
     return density.stdbscan(cam, 2, 5_000_000, 8, chunk=3000).select("seq", "cluster")
 
@@ -392,12 +412,47 @@ def meanshift_step(cam):
     return cam.sparkSession.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).select(*(r6(n).alias(n) for n in names))
 
 
-@query(name="meanshift")
+def _meanshift_sql(flat: bool) -> str:
+    """Bandwidth 24, bins of 10 events or more, at most 15 shifts of all seeds; then centres in order, each covering what
+    is near it, and the nearest centre of each event."""
+    d2 = lambda a, b: " + ".join(f"({a}.{c} - {b}.{c}) * ({a}.{c} - {b}.{c})" for c in ("x", "y", "t"))
+    weight = f"case when {d2('f', 'i')} <= 576 then 1.0::double end" if flat else f"exp(-({d2('f', 'i')}) / 1152)"
+    modes = (
+        f"select row_number() over (order by n desc, x desc, y desc, t desc) as id, x, y, t from (select m.x, m.y, m.t, count(*) as n from (select distinct x, y, t from last) m join f on {d2('f', 'm')} <= 576 group by all)"
+        if flat
+        else "select id, x, y, t from last"
+    )
+    near = f"{d2('a', 'b')} <= 576" if flat else f"a.id = b.id or 4 * ({d2('a', 'b')}) < 576"
+    centre = "select l.n, m.x, m.y, m.t from leads l join modes m on m.id = l.id" if flat else "select l.n, avg(m.x) as x, avg(m.y) as y, avg(m.t) as t from leads l join nb on nb.id = l.id join modes m on list_contains(nb.ids, m.id) group by l.n"
+    return f""", f as materialized (select seq, x::float::double as x, y::float::double as y, (t::double / 1e6)::float::double as t from cam),
+i(k, id, x, y, t, far) as (
+  select 0, row_number() over (order by gx, gy, gt), (gx + 0.5) * 24, (gy + 0.5) * 24, (gt + 0.5) * 24, 1e9::double
+  from (select floor(x / 24) as gx, floor(y / 24) as gy, floor(t / 24) as gt from f group by all having count(*) >= 10)
+  union all
+  select k + 1, id, nx, ny, nt, max(sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y) + (nt - t) * (nt - t))) over ()
+  from (
+    select i.k, i.id, i.x, i.y, i.t, coalesce(sum(w * fx) / sum(w), i.x) as nx, coalesce(sum(w * fy) / sum(w), i.y) as ny, coalesce(sum(w * ft) / sum(w), i.t) as nt
+    from (select i.*, f.x as fx, f.y as fy, f.t as ft, {weight} as w from i, f where i.k < 15 and i.far >= 0.024) i group by i.k, i.id, i.x, i.y, i.t)),
+last as materialized (select id, x, y, t from i where k = (select max(k) from i)),
+modes as materialized ({modes}),
+nb as materialized (select a.id, list(b.id) as ids from modes a join modes b on {near} group by a.id),
+every as (select list(id order by id) as ids from modes),
+leads(n, id, covered) as (
+  select 0, id, ids from nb where id = 1
+  union all
+  select l.n + 1, nb.id, list_concat(l.covered, nb.ids)
+  from (select leads.*, list_min(list_filter(every.ids, lambda e: not list_contains(leads.covered, e))) as next from leads, every) l join nb on nb.id = l.next),
+centres as ({centre}),
+best as (select f.seq, arg_min(c.n, ({d2('f', 'c')}, c.n)) as n from f, centres c group by f.seq)
+select cam.x, cam.y, cam.t, best.n::int as cluster from cam join best using (seq)"""
+
+
+@query(_meanshift_sql(False), name="meanshift")
 def meanshift_(cam):
     return meanshift.meanshift(cam, 1e6, 24, 10, 15)
 
 
-@query()
+@query(_meanshift_sql(True))
 def meanshift_flat(cam):
     return meanshift.meanshift(cam, 1e6, 24, 10, 15, kernel="flat")
 
