@@ -465,19 +465,60 @@ def dstream_density(cam):
     return _DS.densities(cam).select("seq", r6("d").alias("d"))
 
 
-@query(
-    """, e as materialized (select seq, t from cam), f as (select min((t, seq)) as m from e where t >= 1000000),
+_TRIGGERS = """, e as materialized (select seq, t from cam), f as (select min((t, seq)) as m from e where t >= 1000000),
 tr(k, t, seq) as (
-  select 1, struct_extract(m, 1), struct_extract(m, 2) from f
+  select 1, struct_extract(m, 1), struct_extract(m, 2) from f where m is not null
   union all
-  select k + 1, struct_extract(n, 1), struct_extract(n, 2) from (select tr.k, (select min((e.t, e.seq)) from e where e.t >= tr.t + 1000000) as n from tr) where n is not null)
-select k::bigint as frame, t, seq from tr"""
-)
+  select k + 1, struct_extract(n, 1), struct_extract(n, 2) from (select tr.k, (select min((e.t, e.seq)) from e where e.t >= tr.t + 1000000) as n from tr) where n is not null)"""
+
+
+@query(_TRIGGERS + " select k::bigint as frame, t, seq from tr")
 def dstream_triggers(cam):
     return _DS.triggers(cam)
 
 
-@query(name="dstream")
+# Cells are numbered in raster order; `ids` goes from frame to frame, with a row of local 0 that holds the next free id.
+_STREAMED = (
+    _TRIGGERS
+    + """, cells as materialized (select seq, t, x // 8 as gx, y // 8 as gy from cam),
+snap as materialized (
+  select tr.k as frame, tr.t, c.gy * 1000 + c.gx as cell, sum(exp(-(tr.t - c.t) / 5e6::double)) as d
+  from tr join cells c on c.t < tr.t or (c.t = tr.t and c.seq <= tr.seq) group by all having sum(exp(-(tr.t - c.t) / 5e6::double)) >= 9),
+reach(frame, cell, root) as (
+  select frame, cell, cell from snap
+  union select r.frame, s.cell, r.root from reach r join snap s on s.frame = r.frame and s.cell > r.root and abs(s.cell // 1000 - r.cell // 1000) <= 1 and abs(s.cell % 1000 - r.cell % 1000) <= 1),
+roots as (select frame, cell, min(root) as root from reach group by frame, cell),
+parts as materialized (
+  select r.frame, r.root, count(*) as area, row_number() over (partition by r.frame order by r.root) as local
+  from roots r join snap s on s.frame = r.frame and s.cell = r.cell group by r.frame, r.root having max(s.d) >= 14),
+comp as materialized (select r.frame, r.cell, p.local, p.area from roots r join parts p on p.frame = r.frame and p.root = r.root),
+claims as materialized (
+  select k as frame, 0 as local, 0 as area, 0 as prev, 0 as n from tr
+  union all select frame, local, area, 0, 0 from parts
+  union all select a.frame, a.local, a.area, b.local, count(*) from comp a join comp b on b.frame = a.frame - 1 and b.cell = a.cell group by all),
+ids(frame, local, id, next) as (
+  select 0, 0, 0, 1
+  union all
+  select frame, local, case when local = 0 then 0 when mine then pid else next + fresh - 1 end, next + every
+  from (
+    select *, sum(case when local > 0 and not mine then 1 else 0 end) over (order by local) as fresh, sum(case when local > 0 and not mine then 1 else 0 end) over () as every
+    from (
+      select *, n > 0 and row_number() over (partition by pid order by n desc, area desc, local) = 1 as mine
+      from (
+        select c.frame, c.local, c.area, c.n, i.id as pid, i.next, row_number() over (partition by c.local order by c.n desc, i.id) as nth
+        from ids i join claims c on c.frame = i.frame + 1 and c.prev = i.local)
+      where nth = 1))),
+first as (select i.id, min(tr.t) as t from ids i join tr on tr.k = i.frame where i.local > 0 group by i.id),
+dens as (select a.seq, sum(exp(-(a.t - b.t) / 5e6::double)) as d from cells a join cells b on a.gx = b.gx and a.gy = b.gy and (b.t < a.t or (b.t = a.t and b.seq <= a.seq)) group by a.seq),
+held as (select c.seq, c.t, c.gy * 1000 + c.gx as cell, tr.k as frame from cells c asof join tr on c.seq >= tr.seq),
+named as (
+  select h.seq, i.id from held h join dens using (seq) join comp p on p.frame = h.frame and p.cell = h.cell join ids i on i.frame = p.frame and i.local = p.local join first f on f.id = i.id
+  where dens.d >= 9 and h.t - f.t >= 2000000)
+select cam.seq, coalesce(n.id, -1)::bigint as cluster_id from cam left join named n on n.seq = cam.seq"""
+)
+
+
+@query(_STREAMED, name="dstream")
 def dstream_(cam):
     return _DS.cluster(cam).select("seq", "cluster_id")
 
