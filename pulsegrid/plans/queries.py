@@ -457,7 +457,7 @@ def meanshift_flat(cam):
     return meanshift.meanshift(cam, 1e6, 24, 10, 15, kernel="flat")
 
 
-_DS = dstream.DStream(grid=8, tau=5e6, dense=14, medium=9, interval=1_000_000, verify=2_000_000)
+_DS = dstream.DStream(grid=8, tau=5e6, dense=9, medium=6, interval=1_000_000, verify=2_000_000)
 
 
 @query("select a.seq, round(sum(exp(-(a.t - b.t) / 5e6::double)), 6) as d from cam a join cam b on a.x // 8 = b.x // 8 and a.y // 8 = b.y // 8 and (b.t < a.t or (b.t = a.t and b.seq <= a.seq)) group by a.seq")
@@ -483,14 +483,14 @@ _STREAMED = (
     + """, cells as materialized (select seq, t, x // 8 as gx, y // 8 as gy from cam),
 snap as materialized (
   select tr.k as frame, tr.t, c.gy * 1000 + c.gx as cell, sum(exp(-(tr.t - c.t) / 5e6::double)) as d
-  from tr join cells c on c.t < tr.t or (c.t = tr.t and c.seq <= tr.seq) group by all having sum(exp(-(tr.t - c.t) / 5e6::double)) >= 9),
+  from tr join cells c on c.t < tr.t or (c.t = tr.t and c.seq <= tr.seq) group by all having sum(exp(-(tr.t - c.t) / 5e6::double)) >= 6),
 reach(frame, cell, root) as (
   select frame, cell, cell from snap
   union select r.frame, s.cell, r.root from reach r join snap s on s.frame = r.frame and s.cell > r.root and abs(s.cell // 1000 - r.cell // 1000) <= 1 and abs(s.cell % 1000 - r.cell % 1000) <= 1),
 roots as (select frame, cell, min(root) as root from reach group by frame, cell),
 parts as materialized (
   select r.frame, r.root, count(*) as area, row_number() over (partition by r.frame order by r.root) as local
-  from roots r join snap s on s.frame = r.frame and s.cell = r.cell group by r.frame, r.root having max(s.d) >= 14),
+  from roots r join snap s on s.frame = r.frame and s.cell = r.cell group by r.frame, r.root having max(s.d) >= 9),
 comp as materialized (select r.frame, r.cell, p.local, p.area from roots r join parts p on p.frame = r.frame and p.root = r.root),
 claims as materialized (
   select k as frame, 0 as local, 0 as area, 0 as prev, 0 as n from tr
@@ -513,7 +513,7 @@ dens as (select a.seq, sum(exp(-(a.t - b.t) / 5e6::double)) as d from cells a jo
 held as (select c.seq, c.t, c.gy * 1000 + c.gx as cell, tr.k as frame from cells c asof join tr on c.seq >= tr.seq),
 named as (
   select h.seq, i.id from held h join dens using (seq) join comp p on p.frame = h.frame and p.cell = h.cell join ids i on i.frame = p.frame and i.local = p.local join first f on f.id = i.id
-  where dens.d >= 9 and h.t - f.t >= 2000000)
+  where dens.d >= 6 and h.t - f.t >= 2000000)
 select cam.seq, coalesce(n.id, -1)::bigint as cluster_id from cam left join named n on n.seq = cam.seq"""
 )
 
