@@ -665,12 +665,12 @@ def rand_index(cam):
     return _score(cam, "rand")
 
 
-@query(_SCORES + " select round((p - pa * pb / t) / ((pa + pb) / 2 - pa * pb / t), 6) as score from h")
+@query(_SCORES + " select round((p - pa * pb / t) / ((pa + pb) / 2 - pa * pb / t), 6) + 0.0::double as score from h")
 def adjusted_rand(cam):
     return _score(cam, "ari")
 
 
-@query(_SCORES + " select round(mi / ((ha + hb) / 2), 6) as score from h")
+@query(_SCORES + " select round(mi / ((ha + hb) / 2), 6) + 0.0::double as score from h")
 def nmi(cam):
     return _score(cam, "nmi")
 
