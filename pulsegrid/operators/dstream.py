@@ -1,8 +1,8 @@
 """Online density clustering on a decaying grid with identities that persist, as a batch plan.
 
 Cells decay independently (a fold per cell), frames are sparse tables of the cells that are dense enough at a trigger,
-components are found frame by frame in parallel, frames are linked by an equi-join on cells, and only two narrow tables
-are folded in one order: trigger times, and components with their overlaps."""
+components are found frame by frame in parallel, and frames are linked by an equi-join on cells. Trigger times are found by
+blocks; only components with their overlaps, a narrow table, are folded in one order."""
 
 from __future__ import annotations
 
