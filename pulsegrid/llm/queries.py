@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, html, jaccard, lines, packing, secrets, substrings, toxicity
+from . import chat, decontaminate, fingerprints, html, jaccard, lines, packing, resampling, secrets, substrings, toxicity
 from .common import table
 
 
@@ -110,6 +110,40 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), whole=True)
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# The CRC-32 of each distinct word, byte by byte from a table that is made first; then the contract's formulas.
+OP12_SQL = r"""
+with recursive bits(i, j, c) as (
+  select i, 0, i from range(256) r(i)
+  union all select i, j + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where j < 8
+), crc as (select list(c order by i) as tab from bits where j = 8),
+d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+b as (select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from benchmark),
+w as (select doc_id, unnest(ws) as w from d),
+kinds as (select distinct w from (select w from w union all select w from b)),
+hashed as (
+  select w, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, strlen(hex(w)), 2), lambda i: ('0x' || substr(hex(w), i, 2))::bigint)),
+    lambda c, x: xor(tab[1 + (xor(c, x) & 255)], c >> 8)), 4294967295) % 10000 as k
+  from kinds, crc
+), src as (select k, count(*) as n from w join hashed using (w) group by k),
+aim as (select k, count(*) as n from b join hashed using (w) group by k),
+sums as (select coalesce((select sum(n) from src), 0)::double as s, coalesce((select sum(n) from aim), 0)::double as t),
+gain as (
+  select k, floor(1000 * ln((coalesce(aim.n, 0) + 1) * (s + 10000) / ((coalesce(src.n, 0) + 1) * (t + 10000)))) as g
+  from range(10000) r(k) left join src using (k) left join aim using (k), sums
+), per as (select doc_id, floor(sum(g) / count(*))::bigint as weight from w join hashed using (w) join gain using (k) group by doc_id),
+scored as (
+  select doc_id, len(ws)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5) / 4294967296::double)))::bigint as score
+  from d left join per using (doc_id)
+), ranked as (
+  select doc_id, row_number() over (order by score desc, doc_id) as nth, count(*) over () as n from scored where n_features >= 20)
+select s.*, case when nth <= 10 * n // 100 then nth end as rank from scored s left join ranked using (doc_id)
+"""
+
 # formatted_chars: what the template adds to a turn is <|im_start|>, a newline, <|im_end|> and a newline (24 characters),
 # one backslash for each "<|" (after any backslashes) of a text.
 OP7_SQL = r"""
@@ -137,5 +171,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_resampling": op12_resampling,
 }
-SQL = {"op3_line_dedup": OP3_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_chat": OP7_SQL}
+SQL = {"op3_line_dedup": OP3_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_chat": OP7_SQL, "op12_resampling": OP12_SQL}
