@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, html, jaccard, lines, packing, resampling, secrets, substrings, toxicity
+from . import alignment, chat, decontaminate, fingerprints, html, jaccard, lines, packing, resampling, secrets, substrings, toxicity
 from .common import table
 
 
@@ -110,6 +110,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), whole=True)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents")).withColumnRenamed("groups", "groups_sha256")
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -171,6 +175,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_alignment": op11_alignment,
     "op12_resampling": op12_resampling,
 }
 SQL = {"op3_line_dedup": OP3_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_chat": OP7_SQL, "op12_resampling": OP12_SQL}
