@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, decontaminate, fingerprints, html, jaccard, lines, packing, resampling, secrets, substrings, toxicity
+from . import alignment, chat, decontaminate, fingerprints, html, jaccard, lines, packing, pii, resampling, secrets, substrings, toxicity
 from .common import table
 
 
@@ -148,6 +148,14 @@ scored as (
 select s.*, case when nth <= 10 * n // 100 then nth end as rank from scored s left join ranked using (doc_id)
 """
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    spell = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.KINDS))
+    return found.select("doc_id", *map(n, pii.KINDS), F.sha2(spell(base), 256).alias("base_sha256"), spell(F.col("spans")).alias("spans"))
+
+
 # formatted_chars: what the template adds to a turn is <|im_start|>, a newline, <|im_end|> and a newline (24 characters),
 # one backslash for each "<|" (after any backslashes) of a text.
 OP7_SQL = r"""
@@ -177,5 +185,6 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_alignment": op11_alignment,
     "op12_resampling": op12_resampling,
+    "op13_pii": op13_pii,
 }
 SQL = {"op3_line_dedup": OP3_SQL, "op5_ngram_jaccard": OP5_SQL, "op7_chat": OP7_SQL, "op12_resampling": OP12_SQL}
