@@ -1,4 +1,4 @@
-"""Hierarchical density clustering of count windows.
+"""Hierarchical density clustering: of a whole recording (hierarchy.cluster_whole), or of count windows.
 
 The hierarchy of a window is exact (mutual-reachability spanning tree, condensed tree, excess of mass or leaves);
 windows are clustered in parallel and stitched as in density.chunked, so memory is bounded by the window."""
@@ -13,29 +13,43 @@ from pyspark.sql import DataFrame
 
 from .density import chunked
 
-CHUNK = 4000
+def core_distances(x: np.ndarray, k: int) -> np.ndarray:
+    """The distance of each row to its k-th nearest other one."""
+    core = np.empty(len(x))
+    for i in range(len(x)):
+        core[i] = np.partition(_squares(x, i), k)[k]
+    return np.sqrt(core)
 
 
-def _tree(x: np.ndarray, min_samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, weight) of the spanning tree in ascending (weight, least row, greatest row), by Prim in O(n^2) time and
-    O(n) memory."""
+def _squares(x: np.ndarray, i: int) -> np.ndarray:
+    dx, dy, dt = x[:, 0] - x[i, 0], x[:, 1] - x[i, 1], x[:, 2] - x[i, 2]
+    return dx * dx + dy * dy + dt * dt
+
+
+def spanning_tree(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, weight) of the mutual-reachability spanning tree in ascending (weight, least row a, greatest row b), by Prim in
+    O(n^2) time and O(n) memory. Edges of the same weight are told apart by their rows, so there is one tree."""
     n = len(x)
-    core = np.empty(n)
-    k = min(min_samples, n - 1)
-    for i in range(n):
-        d = ((x - x[i]) ** 2).sum(1)
-        core[i] = math.sqrt(np.partition(d, k)[k])
     inside = np.zeros(n, bool)
-    best, via = np.full(n, np.inf), np.zeros(n, int)
+    best, via = np.full(n, np.inf), np.full(n, n)
     a, b, w = np.empty(n - 1, int), np.empty(n - 1, int), np.empty(n - 1)
     at = 0
     for k in range(n - 1):
         inside[at] = True
-        d = np.maximum(np.maximum(np.sqrt(((x - x[at]) ** 2).sum(1)), core), core[at])
-        closer = ~inside & (d < best)
+        best[at] = np.inf
+        d = np.maximum(np.maximum(np.sqrt(_squares(x, at)), core), core[at])
+        closer = d < best
+        # An equally light edge precedes if its rows do, which is when it comes from a lower row.
+        closer |= (d == best) & (at < via)
+        closer &= ~inside
         best[closer], via[closer] = d[closer], at
-        nxt = int(np.argmin(np.where(inside, np.inf, best)))
-        a[k], b[k], w[k] = min(nxt, via[nxt]), max(nxt, via[nxt]), best[nxt]
+        least = best.min()
+        tied = np.flatnonzero((best == least) & ~inside)
+        nxt = int(tied[0])
+        if len(tied) > 1:
+            lo, hi = np.minimum(tied, via[tied]), np.maximum(tied, via[tied])
+            nxt = int(tied[np.lexsort((hi, lo))[0]])
+        a[k], b[k], w[k] = min(nxt, via[nxt]), max(nxt, via[nxt]), least
         at = nxt
     by = np.lexsort((b, a, w))
     return a[by], b[by], w[by]
@@ -46,7 +60,8 @@ def local_hdbscan(x: np.ndarray, min_cluster_size: int, min_samples: int | None
     n = len(x)
     if n < 2 or n < min_cluster_size:
         return np.full(n, -1)
-    a, b, w = _tree(x.astype(float), min_samples or min_cluster_size)
+    x = x.astype(float)
+    a, b, w = spanning_tree(x, core_distances(x, min(min_samples or min_cluster_size, n - 1)))
     # Single linkage: node n + k joins two nodes at weight w[k].
     parent = list(range(2 * n - 1))
     top = list(range(2 * n - 1))
@@ -149,8 +164,13 @@ def _above(c: int, d: int, up: dict) -> bool:
     return False
 
 
-def hdbscan(df: DataFrame, threshold: float = 1e4, min_cluster_size: int = 10, min_samples: int | None = None, epsilon: float = 0.0, method: str = "eom", chunk: int = CHUNK, overlap: int | None = None, label: str = "cluster", **guards) -> DataFrame:
-    """df with `label`; features are x, y, t / threshold in float32."""
+def hdbscan(df: DataFrame, threshold: float = 1e4, min_cluster_size: int = 10, min_samples: int | None = None, epsilon: float = 0.0, method: str = "eom", chunk: int | None = None, overlap: int | None = None, label: str = "cluster", **guards) -> DataFrame:
+    """df with `label`; features are x, y, t / threshold in float32. One hierarchy over all rows; with `chunk`, count windows
+    are clustered apart and stitched."""
+    if chunk is None:
+        from .hierarchy import cluster_whole
+
+        return cluster_whole(df, threshold, min_cluster_size, min_samples, epsilon, method, label)
 
     def fit(pdf: pd.DataFrame) -> np.ndarray:
         x = np.column_stack((pdf["x"], pdf["y"], pdf["t"] / threshold)).astype(np.float32)
