@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,18 +15,37 @@ def _summary(e: DataFrame) -> tuple[int, int]:
     return r["n"], r["h"] or 0
 
 
-def connected_components(edges: DataFrame, stage: Callable[[DataFrame, str], DataFrame], a: str = "a", b: str = "b", drop: Callable[[DataFrame], None] | None = None) -> DataFrame:
+def _hooked(table: pa.Table) -> pa.Table:
+    """(node, root) of a table of edges u > v that fits one task: the larger root of each edge follows the smaller one."""
+    nodes, ends = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("u", "v")]), return_inverse=True)
+    root, (u, v) = np.arange(len(nodes)), np.split(ends, 2)
+    while len(u):
+        ru, rv = root[u], root[v]
+        apart = ru != rv
+        u, v = u[apart], v[apart]
+        np.minimum.at(root, np.maximum(ru, rv)[apart], np.minimum(ru, rv)[apart])
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return pa.table({"node": nodes, "root": nodes[root]})
+
+
+def connected_components(edges: DataFrame, stage: Callable[[DataFrame, str], DataFrame], a: str = "a", b: str = "b", drop: Callable[[DataFrame], None] | None = None, small: int = 0) -> DataFrame:
     """(node, root): root is the least node of the component; nodes without an edge to another node are left out.
 
     Each step takes a minimum by node (with map-side combine) and joins it back to the edges, which AQE splits where a
     node has very many; no list of neighbours is ever gathered. Rounds grow with the logarithm of the diameter. `stage`
     cuts the lineage between rounds (a checkpoint or a written table); `drop`, if given, deletes what it wrote once nothing
-    reads that, and the result is then staged as well.
+    reads that, and the result is then staged as well. A graph of at most `small` edges is done by one task at once.
     """
     x, y = F.col(a), F.col(b)
     e = edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
     e = stage(e, "edges")
     before = _summary(e)
+    if 0 < before[0] <= small:
+        out = stage(e.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_hooked, "node long, root long"), "roots")
+        if drop:
+            drop(e)
+        return out
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("w")).select(F.col("u").alias("k"), F.least("u", "w").alias("m"))

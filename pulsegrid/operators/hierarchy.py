@@ -17,7 +17,7 @@ The labels are those of one hierarchy over all events (hdbscan.local_hdbscan def
 
 Edges are ordered by (weight, least row, greatest row), rows by (t, seq), so ties have one outcome.
 
-Groups are bounded by CELL and PIECE whatever the data: cells are halved until the fullest has at most 4 CELL events, and of
+Groups are bounded by CELL, PIECE and SMALL (edges of a graph whose components one task finds at once) whatever the data: cells are halved until the fullest has at most 4 CELL events, and of
 events at one and the same place only the first k + 1 take part, since the others follow them at distance 0.
 """
 
@@ -35,9 +35,8 @@ from ..plans.staging import discard, staged
 from .components import connected_components
 from .hdbscan import spanning_tree
 
-CELL, PIECE, SALT = 512, 1 << 16, 1 << 15
+CELL, PIECE, SALT, SMALL = 512, 1 << 16, 1 << 15, 1 << 18
 _POINT = ("row", "x", "y", "t")
-_EDGE = "a long, b long, w double"
 
 
 def _array(table: pa.Table, *names: str) -> list[np.ndarray]:
@@ -127,18 +126,32 @@ def core_distances(points: DataFrame, k: int, side: float, limit: float) -> Data
 
 
 def _forest(radius: float):
-    """The least spanning forest of a cell and its margin by edges up to the radius: those whose least end is the cell's."""
+    """The least spanning forest of a cell and its margin by edges up to the radius: those whose least end is the cell's.
+    Rows marked link tell the same components in fewer steps: each of the cell's events with the least row of its component
+    here (w is null), and the edges that leave the cell."""
 
     def run(table: pa.Table) -> pa.Table:
         own = table.column("own").to_numpy(zero_copy_only=False)
         row, *xyt, core = _array(table, *_POINT, "core")
         by = np.argsort(row)
         row, own, core, x = row[by], own[by], core[by], np.stack(xyt, 1)[by]
-        if not own.any() or len(row) < 2:
-            return pa.table({"a": row[:0], "b": row[:0], "w": core[:0]})
-        a, b, w = spanning_tree(x, core)
-        keep = (w <= radius) & own[a]
-        return pa.table({"a": row[a[keep]], "b": row[b[keep]], "w": w[keep]})
+        a, b, w = spanning_tree(x, core) if own.any() and len(row) > 1 else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        short = w <= radius
+        a, b, w = a[short], b[short], w[short]
+        root = np.arange(len(row))
+        u, v = a, b
+        while len(u):  # the larger root follows the smaller one
+            ru, rv = root[u], root[v]
+            apart = ru != rv
+            u, v = u[apart], v[apart]
+            np.minimum.at(root, np.maximum(ru, rv)[apart], np.minimum(ru, rv)[apart])
+            while not np.array_equal(up := root[root], root):
+                root = up
+        kept, star = own[a], np.flatnonzero(own & (root != np.arange(len(row))))
+        return pa.table({
+            "a": np.concatenate((row[a[kept]], row[root[star]])), "b": np.concatenate((row[b[kept]], row[star])),
+            "w": pa.array(np.concatenate((w[kept], np.zeros(len(star)))), mask=np.arange(int(kept.sum()) + len(star)) >= int(kept.sum())), "link": np.concatenate((~own[b[kept]], np.ones(len(star), bool))),
+        })
 
     return run
 
@@ -212,11 +225,12 @@ def _links(live: DataFrame, side: float, level: int, radius: float) -> DataFrame
     return best.select("ca", "cb", "e.a", "e.b", "e.w")
 
 
-def candidate_edges(points: DataFrame, side: float, limit: float) -> DataFrame:
+def candidate_edges(points: DataFrame, side: float, limit: float, small: int = SMALL) -> DataFrame:
     """(a, b, w): rows a < b. Holds the least spanning tree of all events (row, x, y, t, core)."""
     radius = side / 4
-    edges = staged(_spread(points.where(F.col("core") <= radius), side, radius).groupBy("cx", "cy", "ct").applyInArrow(_forest(radius), _EDGE), "forest")
-    roots = connected_components(edges, staged, "a", "b", discard)
+    edges = staged(_spread(points.where(F.col("core") <= radius), side, radius).groupBy("cx", "cy", "ct").applyInArrow(_forest(radius), "a long, b long, w double, link boolean"), "forest")
+    roots = connected_components(edges.where("link"), staged, "a", "b", discard, small)
+    edges = edges.where("w is not null").select("a", "b", "w")
     comps = staged(points.join(roots.withColumnRenamed("node", "row"), "row", "left").select("row", "x", "y", "t", "core", F.coalesce("root", "row").alias("comp")), "comps")
     level = 0
     while radius <= limit and (ends := comps.agg(F.min("comp"), F.max("comp")).first())[0] != ends[1]:
@@ -225,7 +239,7 @@ def candidate_edges(points: DataFrame, side: float, limit: float) -> DataFrame:
         if links.isEmpty():
             continue
         edges = edges.unionByName(links.select("a", "b", "w"))
-        to = connected_components(links, staged, "ca", "cb", discard).select(F.col("node").alias("comp"), "root")
+        to = connected_components(links, staged, "ca", "cb", discard, small).select(F.col("node").alias("comp"), "root")
         comps = staged(comps.join(to, "comp", "left").select("row", "x", "y", "t", "core", F.coalesce("root", "comp").alias("comp")), "comps")
     return edges
 
@@ -235,7 +249,7 @@ def candidate_edges(points: DataFrame, side: float, limit: float) -> DataFrame:
 _NODE_BITS = 42
 
 
-def pieces(edges: DataFrame, bound: int = PIECE) -> tuple[DataFrame, DataFrame]:
+def pieces(edges: DataFrame, bound: int = PIECE, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """(edges with a piece and its nodes u, v; nodes (piece, node, inner, size) that stand for an inner piece of so many
     events). Piece 0 is the outermost one."""
     now = staged(edges.select("a", "b", "w", F.lit(0).cast("long").alias("piece"), F.col("a").alias("u"), F.col("b").alias("v")), "pieces")
@@ -257,7 +271,7 @@ def pieces(edges: DataFrame, bound: int = PIECE) -> tuple[DataFrame, DataFrame]:
         # One row for each large piece: fewer than edges / bound.
         marked = now.join(cut, "piece", "left").withColumn("light", F.coalesce((F.col("w") < F.col("mid")) | (F.col("w") == F.col("mid")) & (F.col("a") <= F.col("until")), F.lit(False)))
         marked = staged(marked.drop("mid", "until"), "marked")
-        roots = connected_components(marked.where("light").select(key("u").alias("a"), key("v").alias("b")), staged, "a", "b", discard)
+        roots = connected_components(marked.where("light").select(key("u").alias("a"), key("v").alias("b")), staged, "a", "b", discard, small)
         fresh = with_position(roots.select("root").distinct(), "root", name="nth").select("root", (F.col("nth") + top).alias("inner"))
         named = staged(roots.join(fresh, "root"), "named")
         held = nodes.select(key("node").alias("node"), "size")
@@ -345,9 +359,9 @@ def _fold(least: int):
     return run
 
 
-def condensed(edges: DataFrame, least: int, bound: int = PIECE) -> tuple[DataFrame, DataFrame]:
+def condensed(edges: DataFrame, least: int, bound: int = PIECE, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """(clusters (id, parent, size, stability, birth), falls (row, id)) of the condensed tree; the root's parent is null."""
-    now, nodes = pieces(edges, bound)
+    now, nodes = pieces(edges, bound, small)
     folded = staged(now.groupBy("piece").cogroup(nodes.select(F.col("piece").alias("in"), "node", "inner", "size").groupBy("in")).applyInArrow(_fold(least), _FOLDED), "folded")
     alias = folded.where("kind = 'top'").select((-1 - F.col("seg")).alias("name"), F.col("node").alias("id"))
     alias = staged(alias, "alias")
@@ -493,7 +507,7 @@ def _repeats(points: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
     return staged(points.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth"), "points"), staged(stars, "stars")
 
 
-def cluster_whole(df: DataFrame, threshold: float, min_cluster_size: int, min_samples: int | None = None, epsilon: float = 0.0, method: str = "eom", label: str = "cluster", cell: int = CELL, piece: int = PIECE) -> DataFrame:
+def cluster_whole(df: DataFrame, threshold: float, min_cluster_size: int, min_samples: int | None = None, epsilon: float = 0.0, method: str = "eom", label: str = "cluster", cell: int = CELL, piece: int = PIECE, small: int = SMALL) -> DataFrame:
     """df with `label`: clusters from 0 in order of their least row, -1 noise. Features are x, y, t / threshold in float32."""
     if min_cluster_size < 2:
         raise ValueError("min_cluster_size must be 2 or more")
@@ -511,10 +525,10 @@ def cluster_whole(df: DataFrame, threshold: float, min_cluster_size: int, min_sa
     while side > limit * 1e-9 and _cells(points, side).groupBy("cx", "cy", "ct").count().agg(F.max("count")).first()[0] > max(4 * cell, 4 * (k + 1)):
         side /= 2
     known = staged(points.join(core_distances(points, k, side, limit), "row"), "known")
-    edges = candidate_edges(known, side, limit)
+    edges = candidate_edges(known, side, limit, small)
     if stars is not None:
         edges = edges.unionByName(stars)
-    clusters, falls = condensed(edges, min_cluster_size, piece)
+    clusters, falls = condensed(edges, min_cluster_size, piece, small)
     owned = staged(falls.join(owners(clusters, method, epsilon, piece), "id").where("owner is not null").select("row", "owner"), "owned")
     # Numbered by first row, without a single-partition sort.
     first = with_position(owned.groupBy("owner").agg(F.min("row").alias("first")), "first", name="nth")

@@ -382,6 +382,11 @@ def stdbscan_chunked(cam):
     return density.stdbscan(cam, 2, 5_000_000, 8, chunk=3000).select("seq", "cluster")
 
 
+@query(name="hdbscan")
+def hdbscan_whole(cam):
+    return hdbscan.hdbscan(cam, 1e6, 20, 10).select("seq", "cluster")
+
+
 @query()
 def hdbscan_chunked(cam):
     return hdbscan.hdbscan(cam, 1e6, 20, 10, chunk=1500, overlap=300).select("seq", "cluster")
