@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.plans.staging import discard, staged
 
-__all__ = ["discard", "shuffle_partitions", "slices", "staged", "table", "text_rows", "unused"]
+__all__ = ["discard", "map_rows", "quoted", "shuffle_partitions", "slices", "staged", "table", "text_rows", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,17 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def quoted(name: str) -> str:
+    """A column name with dots or backquotes in it, as an expression takes it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def map_rows(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """df through a function of Arrow batches that keeps the columns, whatever their names: meanwhile they are numbered."""
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    return plain.mapInArrow(work, plain.schema).toDF(*df.columns)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

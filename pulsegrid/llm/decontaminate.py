@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_rows
+from .common import map_rows, slices, text_rows
 from .textvec import PLAIN, buffers, mix, ngrams, pieces, word_hashes
 
 SEED, COVERAGE = 4, 0.5
@@ -207,5 +207,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
                 ok[[g[0] for g in leaks_in(batch.column(at).fill_null(""), shared.value, coverage)]] = False
                 yield batch.filter(pa.array(ok))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = map_rows(docs, keep)
     return docs

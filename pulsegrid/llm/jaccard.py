@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators.components import connected_components
 
-from .common import discard, slices, staged, text_rows, unused
+from .common import discard, quoted, slices, staged, text_rows, unused
 from .textvec import mix, shingle_sets
 
 WORDS, PERCENT = 5, 75
@@ -331,9 +331,9 @@ def without_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int =
     # Rows that repeat in full are copies of each other too. They are rare: only where any are kept are rows compared.
     again = select("keep and copies > 1")
     if again.isEmpty():
-        return left.select(docs.columns)
+        return left.select(*map(quoted, docs.columns))
     again = _few(again)
     empty = ~text.rlike(r"[^\x20\x09-\x0D]")
     twice = left.join(again, on, "left_semi")
     once = twice.where(~empty).dropDuplicates(["doc_id", th])
-    return left.join(again, on, "left_anti").unionByName(once).unionByName(twice.where(empty)).select(docs.columns)
+    return left.join(again, on, "left_anti").unionByName(once).unionByName(twice.where(empty)).select(*map(quoted, docs.columns))

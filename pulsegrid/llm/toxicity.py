@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, slices, staged, text_rows
+from .common import discard, map_rows, slices, staged, text_rows
 from .textvec import PLAIN, word_hashes
 
 ORDER, SHARED = 5, 2
@@ -444,10 +444,13 @@ def labelled_texts(docs: DataFrame, known: DataFrame, most: int = LABELLED, char
     texts = staged(rows.select(F.xxhash64("doc_id", "text").alias("h"), F.char_length("text").cast("long").alias("n"), "text", "toxic", "fold"), "labelled")
     if (texts.agg(F.sum("n")).first()[0] or 0) <= chars:
         return texts
-    # So many rows only if documents repeat an id; sizes are summed up by ranges of the hash first.
-    sizes = texts.groupBy(F.shiftright("h", 50).alias("r")).agg(F.sum("n").alias("n"))
+    # Sizes are summed up by ranges of the hash (at most 16,384); the first range with texts is always taken, or else the first
+    # text of it, so the sample is never empty.
+    sizes = texts.groupBy(F.shiftright("h", 50).alias("r")).agg(F.sum("n").alias("n"), F.min("h").alias("first"))
     upto = sizes.select("r", F.sum("n").over(Window.orderBy("r")).alias("n")).where(F.col("n") <= chars).agg(F.max("r")).first()[0]
-    return texts.where(F.shiftright("h", 50) <= F.lit(upto if upto is not None else -(1 << 13)))
+    if upto is None:
+        return texts.where(F.col("h") == F.lit(sizes.agg(F.min("first")).first()[0]))
+    return texts.where(F.shiftright("h", 50) <= F.lit(upto))
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, chars: int = LABELLED_CHARS) -> Model:
@@ -522,4 +525,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED,
             s = model.scores([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(s < 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_rows(docs, keep)

@@ -355,10 +355,10 @@ def test_pipeline(spark, tmp_path):
 def test_pipeline_stages_of_odd_tables(spark, tmp_path):
     """Empty tables, nulls everywhere, rows that repeat, extra columns with names of the operators' own."""
     pipeline = pytest.importorskip("corpus_pipeline")
-    schema = "doc_id long, text string, lang string, source string, n_chars long, rk string, th string, keep string, drops string, sig string, `two words` string"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rk string, th string, keep string, drops string, sig string, `two words` string, `a.b` string, `c``d.e` string"
     same = "a text that stands here three times and has enough words"
     rows = [(None, None), (1, None), (2, ""), (2, ""), (3, " \n "), (4, same), (4, same), (5, same), (None, same), (6, "only this one\nand a second line"), (7, "long " * 60_000)]
-    docs = spark.createDataFrame([(d, t, None, None, None if t is None else len(t), "r", None, "k", "d", "s", "w") for d, t in rows], schema)
+    docs = spark.createDataFrame([(d, t, None, None, None if t is None else len(t), "r", None, "k", "d", "s", "w", "x", None) for d, t in rows], schema)
     for has_labels in (False, True):
         path = str(tmp_path / str(has_labels))
         spark.createDataFrame([(k, 1, k % 2) for k in range(8)] if has_labels else [], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
@@ -377,6 +377,14 @@ def test_pipeline_stages_of_odd_tables(spark, tmp_path):
                 assert got == Counter(rows), name
 
 
+def test_a_sample_of_labelled_texts_is_never_empty(spark):
+    rows, labels = toxic_corpus(60)
+    docs = table(spark, rows)
+    known = toxicity.label_rows(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).where("fold <> 0")
+    whole = toxicity.labelled_texts(docs, known).count()
+    assert toxicity.labelled_texts(docs, known, chars=1).count() == 1 and 1 < toxicity.labelled_texts(docs, known, chars=3000).count() < whole
+
+
 def test_nothing_else_imports_this_package():
     from pathlib import Path
 

@@ -101,14 +101,41 @@ def test_syncmers_are_those_of_the_definition():
     assert {i + 100: h for i, h in part.items()} == {i: h for i, h in whole.items() if 100 <= i <= 400 - fingerprints.K}
 
 
-def test_sketch_preselection_changes_nothing():
+def brute_likeness(a, b):
+    """By sets, from the definition: anchors of either text at their first places; of a text with more than WHOLE, those in the
+    lowest quarter of the hashes."""
+    limits, tables = [], []
+    for t in (a, b):
+        own = brute_syncmers(t) if len(t) >= fingerprints.K else [(0, t)] * bool(t)
+        limits.append(2**30 if len(own) > fingerprints.WHOLE else 2**32)
+        first = {}
+        for at, h in own:
+            first.setdefault(h, at)
+        tables.append(first)
+    if not tables[0] or not tables[1]:
+        return float(len(tables[0]) == len(tables[1]))
+    x, y = ({h: at for h, at in t.items() if isinstance(h, str) or h < min(limits)} for t in tables)
+    shifts = [x[h] - y[h] for h in x.keys() & y.keys()]
+    return max((sum(s <= o <= s + fingerprints.SLACK for o in shifts) for s in shifts), default=0) / max(1, len(x.keys() | y.keys()))
+
+
+def test_likeness_is_that_of_the_definition():
     rng = random.Random(3)
-    for text in ("".join(rng.choice("abcdefgh ") for _ in range(9000)), "ab cd ef gh ij " * 900):
-        at, h = fingerprints.syncmers(fingerprints.code_points(text))
-        u, i = np.unique(h, return_index=True)
-        sk = fingerprints.sketch(text)
-        assert sk[0].tolist() == u[: fingerprints.KEEP].tolist() and sk[1].tolist() == at[i[: fingerprints.KEEP]].tolist()
-        assert [x.tolist() for x in fingerprints.read(fingerprints.spell(sk))] == [x.tolist() for x in sk]
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = text(400)
+    for a, b in ((text(300), text(300)), (shared, shared), (text(2500) + shared, shared + text(90)), (shared + text(3000), text(1500) + shared + text(800)), ("", ""), ("abc", "abc"), ("abc", ""), ("ab cd ef gh ij " * 200, shared)):
+        x, y = fingerprints.sketch(a), fingerprints.sketch(b)
+        assert abs(fingerprints.likeness(x, y) - brute_likeness(a, b)) < 1e-12
+        assert [np.asarray(v).tolist() for v in fingerprints.read(fingerprints.spell(x))] == [np.asarray(v).tolist() for v in x]
+
+
+def test_long_texts_share_anchors_of_a_passage():
+    rng = random.Random(5)
+    passage = words(rng, 60)  # a few hundred characters
+    a, b = (fingerprints.sketch(words(rng, 9000) + " " + passage + " " + words(rng, 9000)) for _ in range(2))
+    inside = fingerprints.sketch(passage)
+    both = set(a[0].tolist()) & set(b[0].tolist())
+    assert len(both & {h for h in inside[0].tolist() if h <= fingerprints.QUARTER}) >= 5 and len(a[0]) > 1000
 
 
 def test_fingerprint_edits(spark):
@@ -124,6 +151,7 @@ def test_fingerprint_edits(spark):
         assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(e.encode()).hexdigest())
         assert r["fingerprint"] == fingerprints.spell(fingerprints.sketch(t)) and r["edited_fingerprint"] == fingerprints.spell(fingerprints.sketch(e))
         if i >= 20:
+            assert abs(r["near_edited"] - brute_likeness(t, e)) < 1e-12 and abs(r["near_next"] - brute_likeness(t, nxt)) < 1e-12
             assert r["near_edited"] > 0.4 > r["near_next"]
     assert fingerprints.fingerprint_edits(table(spark, ODD)).count() == len(ODD)
     assert fingerprints.fingerprint_edits(table(spark, [(1, "alone here, one text")])).first()["near_next"] == 1.0
