@@ -20,6 +20,19 @@ from ..plans.staging import staged
 from .windows import interval_join, ordered_fold
 
 
+@dataclass
+class Carry:
+    """What the events after some trigger need of those before: cells (gx, gy, t, seq, d), at most the lattice; the last trigger's
+    number, time and event; its clusters (gx, gy, local, id, first_seen); when the next trigger is due and the next id."""
+
+    cells: DataFrame | None = None
+    last: DataFrame | None = None
+    frame: int = 0
+    at: tuple[int, int] | None = None
+    due: int | None = None
+    next_id: int = 1
+
+
 @dataclass(frozen=True)
 class DStream:
     grid: int = 5
@@ -32,21 +45,27 @@ class DStream:
     min_overlap: int = 1
     min_overlap_frac: float = 0.2
 
-    def densities(self, df: DataFrame, run=ordered_fold) -> DataFrame:
-        """(seq, t, gx, gy, d): the decayed count of each event's cell just after it."""
+    def densities(self, df: DataFrame, run=ordered_fold, before: DataFrame | None = None) -> DataFrame:
+        """(seq, t, gx, gy, d): the decayed count of each event's cell just after it. before: a cell's count at an earlier
+        event (gx, gy, t, seq, d)."""
         tau = self.tau
 
         def step(s, row):
-            seq, t, gx, gy = row
+            seq, t, gx, gy, known = row
+            if known is not None and known == known:  # a stream's rows bring NaN for null
+                s[:] = (known, t)
+                return []
             s[:] = (s[0] * math.exp(-(t - s[1]) / tau) + 1 if s else 1.0, t)
             return [(seq, t, gx, gy, s[0])]
 
-        cells = df.select("seq", "t", idiv("x", self.grid).cast("int").alias("gx"), idiv("y", self.grid).cast("int").alias("gy"))
-        return run(cells, ["gx", "gy"], ["t", "seq"], ["seq", "t", "gx", "gy"], "seq long, t long, gx int, gy int, d double", lambda key: [], step)
+        cells = df.select("seq", "t", idiv("x", self.grid).cast("int").alias("gx"), idiv("y", self.grid).cast("int").alias("gy"), F.lit(None).cast("double").alias("known"))
+        if before is not None:
+            cells = cells.unionByName(before.withColumnRenamed("d", "known"))
+        return run(cells, ["gx", "gy"], ["t", "seq"], ["seq", "t", "gx", "gy", "known"], "seq long, t long, gx int, gy int, d double", lambda key: [], step)
 
-    def triggers(self, df: DataFrame, block: int = 1_000_000) -> DataFrame:
+    def triggers(self, df: DataFrame, block: int = 1_000_000, due: int | None = None, frame: int = 0) -> DataFrame:
         """(frame, t, seq): the events at which clusters are updated, each at least `interval` after the one before (the
-        first at `interval` or later).
+        first at `interval`, or at `due`, or later), numbered on from `frame`.
 
         Events lie in blocks of positions. What a block does to the chain depends on the time from which it is due alone,
         and only on which of the events within one interval of the block's start is hit first: so each block yields, for
@@ -81,7 +100,7 @@ class DStream:
             return out
 
         chain = placed.groupBy("block").applyInPandas(ends, "block long, t long, due long")
-        starts = ordered_fold(chain.withColumn("k", F.lit(0)), ["k"], ["block", "t"], ["block", "t", "due"], "block long, due long", lambda key: {"block": None, "hit": False, "due": interval}, step)
+        starts = ordered_fold(chain.withColumn("k", F.lit(0)), ["k"], ["block", "t"], ["block", "t", "due"], "block long, due long", lambda key: {"block": None, "hit": False, "due": interval if due is None else due}, step)
 
         def replay(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["t", "seq"], ignore_index=True)
@@ -95,7 +114,7 @@ class DStream:
         hit = staged(placed.join(starts, "block").groupBy("block").applyInPandas(replay, "block long, t long, seq long, nth long"), "hits")
         before = hit.groupBy("block").agg(F.count("*").alias("n"))  # one row a block
         before = before.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
-        return hit.join(before, "block").select((F.col("before") + F.col("nth")).alias("frame"), "t", "seq")
+        return hit.join(before, "block").select((F.col("before") + F.col("nth") + frame).alias("frame"), "t", "seq")
 
     def snapshots(self, densities: DataFrame, triggers: DataFrame) -> DataFrame:
         """(frame, t, gx, gy, d): the cells of at least medium density at each trigger."""
@@ -136,9 +155,15 @@ class DStream:
 
         return snapshots.groupBy("frame").applyInPandas(run, "frame long, t long, gx int, gy int, local long")
 
-    def identities(self, components: DataFrame) -> DataFrame:
-        """(frame, local, id, first_seen): ids carried from frame to frame by the larger overlap."""
+    def identities(self, components: DataFrame, carry: Carry | None = None) -> DataFrame:
+        """(frame, local, id, first_seen): ids carried from frame to frame by the larger overlap, and from carry's last one."""
+        carry = carry or Carry()
         before = components.select((F.col("frame") + 1).alias("frame"), "gx", "gy", F.col("local").alias("prev"))
+        known: dict = {"ids": {}, "frame": carry.frame, "next": carry.next_id, "first": {}}
+        if carry.last is not None:
+            before = before.unionByName(carry.last.select(F.lit(carry.frame + 1).cast("long").alias("frame"), "gx", "gy", F.col("local").alias("prev")))
+            for r in carry.last.select("local", "id", "first_seen").distinct().collect():  # at most the lattice
+                known["ids"][r["local"]], known["first"][r["id"]] = r["id"], r["first_seen"]
         area = components.groupBy("frame", "local").agg(F.count("*").alias("area"), F.min("t").alias("t"))
         shared = components.join(before, ["frame", "gx", "gy"]).groupBy("frame", "local", "prev").agg(F.count("*").alias("n"))
         claims = shared.groupBy("frame", "local").agg(F.collect_list(F.struct("prev", "n")).alias("c"))
@@ -173,23 +198,41 @@ class DStream:
             s["ids"], s["frame"] = ids, k
             return out
 
-        start = lambda key: {"ids": {}, "frame": None, "next": 1, "first": {}}
+        start = lambda key: {k: dict(v) if isinstance(v, dict) else v for k, v in known.items()}
         return ordered_fold(frame.withColumn("k", F.lit(0)), ["k"], ["frame"], ["frame", "t", "parts"], "frame long, local long, id long, first_seen long", start, step)
 
     def cluster(self, df: DataFrame, label: str = "cluster_id") -> DataFrame:
         """df with the id of each event's cell at the latest trigger up to it, -1 where the cell is too thin, has no
         cluster, or the cluster is too young."""
-        d = staged(self.densities(df), "density")
-        trig = staged(self.triggers(df), "triggers")
-        comp = staged(self.components(self.snapshots(d, trig)), "components")
-        cells = comp.join(self.identities(comp), ["frame", "local"]).select("frame", "gx", "gy", "id", "first_seen")
+        return self.advance(df, Carry(), label)[0]
+
+    def advance(self, df: DataFrame, carry: Carry, label: str = "cluster_id") -> tuple[DataFrame, Carry]:
+        """(df with its labels, what the events after df need): df are the events that follow those of carry."""
+        d = staged(self.densities(df, before=carry.cells), "density")
+        trig = staged(self.triggers(df, due=carry.due, frame=carry.frame), "triggers")
+        seen = d if carry.cells is None else d.unionByName(carry.cells.select(*d.columns))
+        comp = staged(self.components(self.snapshots(seen, trig)), "components")
+        cells = staged(comp.join(self.identities(comp, carry), ["frame", "local"]).select("frame", "gx", "gy", "local", "id", "first_seen"), "identities")
+        spark, every, known = df.sparkSession, trig, cells
+        if carry.at is not None:
+            every = every.unionByName(spark.createDataFrame([(carry.frame, *carry.at)], "frame long, t long, seq long"))
+        if carry.last is not None:
+            known = known.unionByName(carry.last.withColumn("frame", F.lit(carry.frame).cast("long")))
         nxt = Window.orderBy("frame")  # one narrow row a trigger
         last = df.agg(F.max("t")).first()[0] or 0
-        spans = trig.select("frame", (F.col("t") - 1).alias("lo"), F.coalesce(F.lead("t").over(nxt), F.lit(last)).alias("hi"), F.col("seq").alias("from_seq"), F.lead("seq").over(nxt).alias("to_seq"))
+        spans = every.select("frame", (F.col("t") - 1).alias("lo"), F.greatest("t", F.coalesce(F.lead("t").over(nxt), F.lit(last))).alias("hi"), F.col("seq").alias("from_seq"), F.lead("seq").over(nxt).alias("to_seq"))
         found = interval_join(d, spans, "t", "lo", "hi", max(1, self.interval))
-        found = found.where((F.col("from_seq") <= F.col("seq")) & (F.col("to_seq").isNull() | (F.col("to_seq") > F.col("seq")))).join(cells, ["frame", "gx", "gy"])
+        # Ties in t go by seq: an event at the time of a trigger belongs to it from that trigger's event on.
+        found = found.where((F.col("t") > F.col("lo") + 1) | (F.col("from_seq") <= F.col("seq")))
+        found = found.where(F.col("to_seq").isNull() | (F.col("t") < F.col("hi")) | (F.col("to_seq") > F.col("seq"))).join(known, ["frame", "gx", "gy"])
         found = found.where((F.col("d") >= self.medium) & (F.col("t") - F.col("first_seen") >= self.verify)).select("seq", F.col("id").alias(label))
-        return df.join(found, "seq", "left").na.fill(-1, [label])
+        out = df.join(found, "seq", "left").na.fill(-1, [label])
+        newest = seen.groupBy("gx", "gy").agg(F.max(F.struct("t", "seq", "d")).alias("m")).select("gx", "gy", "m.t", "m.seq", "m.d")
+        end = trig.agg(F.max(F.struct("frame", "t", "seq"))).first()[0]
+        if end is None:
+            return out, Carry(newest, carry.last, carry.frame, carry.at, carry.due, carry.next_id)
+        top = cells.agg(F.max("id")).first()[0] or 0
+        return out, Carry(newest, cells.where(F.col("frame") == end["frame"]).drop("frame"), end["frame"], (end["t"], end["seq"]), end["t"] + self.interval, max(carry.next_id, top + 1))
 
 
 CLUSTERING = DStream()

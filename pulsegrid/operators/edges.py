@@ -40,31 +40,48 @@ def dense_counts(df: DataFrame, width: int, height: int) -> DataFrame:
     return lattice.join(found, ["cx", "cy"], "left").na.fill(0, [c for c in found.columns if c not in ("cx", "cy")])
 
 
-def window_counts(df: DataFrame, width: int, height: int, voxel: int, length: int, x_min: int = 0, y_min: int = 0) -> tuple[DataFrame, int]:
-    """(counts of each window and cell, windows): the dense lattice of every count window; window w ends at length + w hop."""
+def placed_cells(inside: DataFrame, voxel: int, width: int, height: int, x_min: int, y_min: int) -> DataFrame:
+    return cells(inside, x_min, x_min + width * voxel, y_min, y_min + height * voxel, width, height)
+
+
+def inside_of(df: DataFrame, voxel: int, width: int, height: int, x_min: int, y_min: int) -> DataFrame:
+    x, y = F.col("x"), F.col("y")
+    return df.where((x >= x_min) & (x < x_min + width * voxel) & (y >= y_min) & (y < y_min + height * voxel))
+
+
+def lattice_counts(placed: DataFrame, first: int, n: int, width: int, height: int, length: int) -> DataFrame:
+    """(index, cx, cy, n, ..) of every cell in the count windows first .. n - 1; window w ends at length + w hop. placed: cx, cy
+    and pos of all events in them."""
     hop = length // 2
-    x_max, y_max = x_min + width * voxel, y_min + height * voxel
-    inside = df.where((F.col("x") >= x_min) & (F.col("x") < x_max) & (F.col("y") >= y_min) & (F.col("y") < y_max))
-    placed = cells(with_position(inside), x_min, x_max, y_min, y_max, width, height)
-    n = n_count_windows(placed.count(), length, hop)
-    found = counts(count_windows(placed, n * hop + length if n else 0, length, hop), ["index"])
+    found = counts(count_windows(placed, n * hop + length if n else 0, length, hop).where(F.col("index") >= first * hop + length), ["index"])
     size = width * height
-    lattice = df.sparkSession.range(n * size).select(
+    lattice = placed.sparkSession.range(first * size, n * size).select(
         (F.floor(F.col("id") / size) * hop + length).alias("index"), (F.col("id") % width).cast("int").alias("cx"), (F.floor(F.col("id") / width) % height).cast("int").alias("cy")
     )
-    return lattice.join(found, ["index", "cx", "cy"], "left").na.fill(0, [c for c in found.columns if c in ("n", "vx", "vy")]), n
+    return lattice.join(found, ["index", "cx", "cy"], "left").na.fill(0, [c for c in found.columns if c in ("n", "vx", "vy")])
+
+
+def window_counts(df: DataFrame, width: int, height: int, voxel: int, length: int, x_min: int = 0, y_min: int = 0) -> tuple[DataFrame, int]:
+    """(counts of each window and cell, windows): the dense lattice of every count window."""
+    placed = placed_cells(with_position(inside_of(df, voxel, width, height, x_min, y_min)), voxel, width, height, x_min, y_min)
+    n = n_count_windows(placed.count(), length, length // 2)
+    return lattice_counts(placed, 0, n, width, height, length), n
 
 
 def edge_states(df: DataFrame, width: int, height: int, voxel: int, length: int, x_min: int = 0, y_min: int = 0) -> DataFrame:
     """(x, y, state, index) of every cell and window: -1 off, 0 on, 1 for the one window of an onset."""
-    dense, undense = thresholds(length, width * height)
     lattice, _ = window_counts(df, width, height, voxel, length, x_min, y_min)
-    return _states(lattice, dense, undense).select("x", "y", "state", "index")
+    return states(lattice, *thresholds(length, width * height)).select("x", "y", "state", "index")
+
 
+def states(lattice: DataFrame, dense: float, undense: float, before: DataFrame | None = None) -> DataFrame:
+    """(x, y, state, index, old, vx, vy). before: (cx, cy, state) of the window before the first one (else all are off)."""
 
-def _states(lattice: DataFrame, dense: float, undense: float) -> DataFrame:
     def step(state, row):
-        x, y, index, n, vx, vy = row
+        x, y, index, n, vx, vy, known = row
+        if known is not None:
+            state[0] = known
+            return []
         old = state[0]
         new = 1 if old == -1 and n >= dense else -1 if n <= undense else old
         if old == 1:
@@ -72,16 +89,22 @@ def _states(lattice: DataFrame, dense: float, undense: float) -> DataFrame:
         state[0] = new
         return [(x, y, new, index, old, vx, vy)]
 
-    have = lattice if "vx" in lattice.columns else lattice.withColumns({"vx": F.lit(0).cast("long"), "vy": F.lit(0).cast("long")})
-    return ordered_fold(have, ["cx", "cy"], ["index"], ["cx", "cy", "index", "n", "vx", "vy"], "x int, y int, state int, index long, old int, vx long, vy long", lambda key: [-1], step)
+    zero = F.lit(0).cast("long")
+    have = lattice.select("cx", "cy", "index", "n", *((F.col(c) if c in lattice.columns else zero).alias(c) for c in ("vx", "vy")), F.lit(None).cast("int").alias("known"))
+    if before is not None:
+        have = have.unionByName(before.select("cx", "cy", F.lit(-1).cast("long").alias("index"), zero.alias("n"), zero.alias("vx"), zero.alias("vy"), F.col("state").alias("known")))
+    return ordered_fold(have, ["cx", "cy"], ["index"], ["cx", "cy", "index", "n", "vx", "vy", "known"], "x int, y int, state int, index long, old int, vx long, vy long", lambda key: [-1], step)
 
 
 def edge_states_directional(df: DataFrame, width: int, height: int, voxel: int, length: int, x_min: int = 0, y_min: int = 0) -> DataFrame:
     """As edge_states, but an onset takes the direction code 2..9 of its votes if the neighbour it points from was on
     (or lies outside the lattice) in the window before, else 1. Only onsets look their neighbour up."""
-    dense, undense = thresholds(length, width * height)
     lattice, _ = window_counts(df, width, height, voxel, length, x_min, y_min)
-    s = _states(lattice, dense, undense).withColumn("code", direction_code("vx", "vy"))
+    return directed(states(lattice, *thresholds(length, width * height)))
+
+
+def directed(s: DataFrame) -> DataFrame:
+    s = s.withColumn("code", direction_code("vx", "vy"))
     shift = lambda k: F.element_at(F.create_map(*(v for c, d in NEIGHBOUR.items() for v in (F.lit(c), F.lit(d[k])))), F.col("code"))
     onset = s.where("state = 1").select("x", "y", "index", "code", (F.col("x") + shift(0)).alias("nx"), (F.col("y") + shift(1)).alias("ny"))
     old = s.select(F.col("x").alias("nx"), F.col("y").alias("ny"), "index", F.col("old").alias("there"))

@@ -2,9 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import direction, dstream, velocity
+from pulsegrid.operators import direction, dstream, edges, velocity
 from pulsegrid.sources import files
-from pulsegrid.streaming import stateful
+from pulsegrid.streaming import incremental, stateful
 
 from .test_events import EV, events, rand_events
 
@@ -90,6 +90,99 @@ def test_stream_chains_masks_and_velocities(spark, tmp_path):
         assert as_set(drain(spark, stream, tmp_path / str(k))) == as_set(want.collect())
 
 
+def late_files(spark, path, rows, late, seed, files_=4):
+    """rows in files of which each may hold rows up to `late` before the newest of those before it."""
+    rng = np.random.default_rng(seed)
+    order = sorted(rows, key=lambda r: r[1] + rng.uniform(0, late * 0.95))
+    for k in range(files_):
+        events(spark, order[k * len(order) // files_ : (k + 1) * len(order) // files_]).coalesce(1).write.parquet(f"{path}/b{k}")
+    return spark.readStream.schema(EV).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
+@pytest.fixture
+def rocks(spark):
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stateful.STORE)
+    yield
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
+
+
+def test_late_rows_are_folded_in_order(spark, tmp_path, rocks):
+    """Rows up to 60 ms late; one far row at the end lets the watermark pass all others. Then the batch's result."""
+    rows = rand_events(7, 400, 9, 9, 900)
+    flush = [(10**6 + k, 10**6 + 1000 * k, 300, 300, 0, 0) for k in range(2)]
+    src = late_files(spark, str(tmp_path / "in"), rows, 60, 1)
+    for k, r in enumerate(flush):
+        events(spark, [r]).coalesce(1).write.parquet(str(tmp_path / "in" / f"z{k}"))
+    got = drain(spark, stateful.stream_densities(src, 5, 60.0, late="60 milliseconds", us=1000), tmp_path)
+    want = {r["seq"]: r["d"] for r in dstream.DStream(grid=5, tau=60.0).densities(events(spark, rows)).collect()}
+    got = {r["seq"]: r["d"] for r in got if r["seq"] < 10**6}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    with pytest.raises(ValueError, match="providerClass"):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "other")
+        stateful.stream_densities(src, 5, 60.0, late="1 second")
+
+
+def test_silent_keys_are_dropped_by_event_time(spark, tmp_path, rocks):
+    """A cell that is silent for more than 100 ms starts afresh, another goes on; rows later than the bound are left out."""
+    rows = [(0, 0, 1, 1, 0, 0), (1, 50, 1, 1, 0, 0), (2, 80, 20, 20, 0, 0), (3, 170, 20, 20, 0, 0), (4, 240, 1, 1, 0, 0), (5, 250, 20, 20, 0, 0)]
+    parts = [rows[:3], rows[3:4], rows[4:], [(9, 20, 20, 20, 0, 0)], [(10, 10**6, 300, 300, 0, 0)], [(11, 2 * 10**6, 300, 300, 0, 0)]]
+    for k, part in enumerate(parts):
+        events(spark, part).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{k}"))
+    src = spark.readStream.schema(EV).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    got = {r["seq"]: r["d"] for r in drain(spark, stateful.stream_densities(src, 5, 60.0, late="10 milliseconds", idle_ms=100, us=1000), tmp_path)}
+    e = lambda dt: float(np.exp(-dt / 60))
+    b = 1 + e(90)
+    want = {0: 1, 1: 1 + e(50), 2: 1, 3: b, 4: 1, 5: 1 + b * e(80)}
+    assert {k: v for k, v in got.items() if k < 9} == pytest.approx(want) and 9 not in got
+
+
+@pytest.mark.parametrize("directional", [False, True])
+def test_stream_edge_states(spark, tmp_path, directional):
+    rows = [(k, t, x if k % 3 else x // 4, y if k % 5 else 0, p, pol) for k, t, x, y, p, pol in rand_events(8, 700, 16, 9, 2000)]
+    options = {"width": 4, "height": 3, "voxel": 3, "length": 60, "x_min": 1}
+    src, state, out = late_files(spark, str(tmp_path / "in"), rows, 90, 2), str(tmp_path / "state"), str(tmp_path / "out")
+    q = incremental.stream_edge_states(src, state, out, late=90, directional=directional, **options)
+    q.awaitTermination(300)
+    incremental.finish(spark, state, incremental.edge_windows(out, directional=directional, **options))
+    batch = edges.edge_states_directional if directional else edges.edge_states
+    names = ("x", "y", "state", "index")
+    got, want = (sorted(tuple(r[n] for n in names) for r in df.collect()) for df in (spark.read.parquet(out), batch(events(spark, rows), **options)))
+    assert got == want and {r[2] for r in got} >= {-1, 0}
+    assert len(spark.read.parquet(out).select("batch").distinct().collect()) > 2
+
+
+def test_stream_dstream_labels(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k, t in enumerate(sorted(rng.integers(0, 3000, 600).tolist())):
+        x, y = (12 + t / 200, 12) if k % 3 == 0 else (40, 30 - t / 150) if k % 3 == 1 else rng.uniform(0, 50, 2)
+        rows.append((k, t, int(x + rng.uniform(0, 4)), int(y + rng.uniform(0, 4)), 0, 0))
+    model = dstream.DStream(grid=4, tau=300.0, dense=4.0, medium=2.0, interval=60, verify=100)
+    src, state, out = late_files(spark, str(tmp_path / "in"), rows, 100, 4), str(tmp_path / "state"), str(tmp_path / "out")
+    incremental.stream_dstream(src, state, out, model, late=100).awaitTermination(600)
+    incremental.finish(spark, state, incremental.dstream_labels(out, model))
+    got = {r["seq"]: r["cluster_id"] for r in spark.read.parquet(out).collect()}
+    want = {r["seq"]: r["cluster_id"] for r in model.cluster(events(spark, rows)).collect()}
+    assert got == want and len(set(want.values())) > 2
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    """A batch that is done again after its commit reads what the batch before it left."""
+    rows = rand_events(9, 300, 12, 9, 1000)
+    options = {"width": 4, "height": 3, "voxel": 3, "length": 40}
+    state, out = str(tmp_path / "state"), str(tmp_path / "out")
+    work = incremental.edge_windows(out, **options)
+    for batch in (1, 2, 2, 3, 3):
+        incremental._take(spark, state, batch, events(spark, rows[(batch - 1) * 100 : batch * 100]), work, 0)
+    names = ("x", "y", "state", "index")
+    got, want = (sorted(tuple(r[n] for n in names) for r in df.collect()) for df in (spark.read.parquet(out), edges.edge_states(events(spark, rows), **options)))
+    assert got == want
+    late = incremental.Tables(spark, state, 4)
+    incremental._take(spark, state, 4, events(spark, [(999, 5, 1, 1, 0, 0)]), work, 0)
+    assert incremental.Tables(spark, state, 5).values["left_out"] == late.values.get("left_out", 0) + 1
+
+
 def test_command_line(spark, tmp_path):
     from pulsegrid.__main__ import main
 
