@@ -4,11 +4,12 @@ Automata are folds over lanes that never read each other, so each lane is a key
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import idiv
-from .windows import ordered_fold
+from ..plans.staging import staged
+from .windows import last_value, ordered_fold, slice_width
 
 
 def subdivide(df: DataFrame, k: int) -> DataFrame:
@@ -112,14 +113,14 @@ def roi_writes(roi: DataFrame) -> DataFrame:
 
 def apply_roi(events: DataFrame, roi: DataFrame, k: int) -> DataFrame:
     """The events whose k x k block the mask holds, by writes strictly before them, between the first and last ROI event."""
-    ends = roi.agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    roi = staged(roi.select("t", "seq", "x", "y", "pol"), "roi")  # read for its ends and for its writes
+    a, b = roi.agg(F.min("t"), F.max("t")).first()
     cols = events.columns
-    e = events.select(F.struct(*cols).alias("row"), idiv("x", k).cast("int").alias("bx"), idiv("y", k).cast("int").alias("by"), "t", "seq", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("value"))
+    e = events.where((F.col("t") > a) & (F.col("t") <= b)) if a is not None else events.where("false")
+    e = e.select(F.struct(*cols).alias("row"), idiv("x", k).cast("int").alias("bx"), idiv("y", k).cast("int").alias("by"), "t", "seq", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("value"))
     w = roi_writes(roi).select(F.lit(None).cast(e.schema["row"].dataType).alias("row"), "bx", "by", "t", "seq", F.lit(1).alias("kind"), "value")
-    by = Window.partitionBy("bx", "by").orderBy("t", "kind", "seq")
-    seen = e.unionByName(w).withColumn("on", F.last("value", ignorenulls=True).over(by)).where("row is not null and on = 1")
-    a, b = ends.select("a").scalar(), ends.select("b").scalar()
-    return seen.where((F.col("t") > a) & (F.col("t") <= b)).select("row.*")
+    seen = last_value(e.unionByName(w), ["bx", "by"], "t", ["kind", "seq"], "value", "on", slice_width(roi, "t"))
+    return seen.where("row is not null and on = 1").select("row.*")
 
 
 def roi_mask_fold(events: DataFrame, roi: DataFrame, k: int, fold=ordered_fold) -> DataFrame:

@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import asof_join, ordered_fold
+from ..plans.staging import staged
+from .windows import asof_join, decayed_sums
 
 NAN = float("nan")
 METHODS = ("limit", "momentum", "votes", "decay_votes")
@@ -55,9 +56,19 @@ def _sampled(g: DataFrame, path: DataFrame, cluster: str, name: str) -> DataFram
     return out.select(cluster, "t", F.coalesce(name, F.array(F.lit(NAN), F.lit(NAN))).alias(name))
 
 
-def momentum_path(df: DataFrame, dt: int, cluster: str = "cluster_id", fold=ordered_fold) -> DataFrame:
+def momentum_path(df: DataFrame, dt: int, cluster: str = "cluster_id", fold=None) -> DataFrame:
     """(cluster, t, seq, momentum) after each event: the velocity of a centre of mass that decays with time constant dt,
-    itself averaged alike."""
+    itself averaged alike. Both are decayed sums; a stream steps through them by a fold."""
+    if fold is None:
+        rows = df.select(cluster, "t", "seq", "x", "y")
+        mass = decayed_sums(rows, [cluster], "t", ["seq"], dt, {"m": F.lit(1.0), "ax": F.col("x"), "ay": F.col("y")})
+        mass = staged(mass.select(cluster, "t", "seq", "x", "y", "m", (F.col("ax") / F.col("m")).alias("cx"), (F.col("ay") / F.col("m")).alias("cy")), "mass")
+        shift = decayed_sums(mass, [cluster], "t", ["seq"], dt, {}, {"t0": "t", "cx0": "cx", "cy0": "cy"})
+        gap = F.col("t") - F.col("t0")
+        push = {c: F.coalesce(F.when(gap > 0, (F.col(c[1]) - F.col(f"c{c[1]}0")) / (F.col("m") * gap)), F.lit(0.0)) for c in ("ix", "iy")}
+        pushed = staged(shift.withColumns(push).select(cluster, "t", "seq", "m", "ix", "iy"), "pushed")
+        out = decayed_sums(pushed, [cluster], "t", ["seq"], dt, {"vx": F.col("ix"), "vy": F.col("iy")})
+        return out.select(F.col(cluster).cast("long").alias(cluster), "t", "seq", F.array(F.col("vx") / F.col("m"), F.col("vy") / F.col("m")).alias("momentum"))
 
     def step(s, row):
         t, seq, c, x, y = row
@@ -80,9 +91,13 @@ def momentum_velocity(df: DataFrame, dt: int, cluster: str = "cluster_id") -> Da
     return _sampled(grid(df, dt, cluster), momentum_path(df, dt, cluster), cluster, "momentum")
 
 
-def decay_votes_path(df: DataFrame, dt: int, cluster: str = "cluster_id", pol: str = "pol", fold=ordered_fold) -> DataFrame:
+def decay_votes_path(df: DataFrame, dt: int, cluster: str = "cluster_id", pol: str = "pol", fold=None) -> DataFrame:
     """(cluster, t, seq, decay_votes) after each event: signed directions that decay with time constant dt, over the
-    decayed count."""
+    decayed count. A stream steps through it by a fold."""
+    if fold is None:
+        sign = lambda a, b: F.when(F.col(pol) == a, 1).when(F.col(pol) == b, -1).otherwise(0)
+        out = decayed_sums(df.select(cluster, "t", "seq", pol), [cluster], "t", ["seq"], dt, {"__m": F.lit(1.0), "__u": sign(1, 3), "__v": sign(0, 2)})
+        return out.select(F.col(cluster).cast("long").alias(cluster), "t", "seq", F.array(F.col("__u") / F.col("__m"), F.col("__v") / F.col("__m")).alias("decay_votes"))
     unit = {0: (0, 1), 1: (1, 0), 2: (0, -1), 3: (-1, 0)}
 
     def step(s, row):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -40,14 +41,70 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], columns: list
     return placed.select(*need).mapInArrow(run, kind)
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_t: str, right_t: str, value: str, strict: bool = False, left_seq: str = "seq", right_seq: str = "seq") -> DataFrame:
+def slice_width(df: DataFrame, t: str, least: float = 1, most: float = math.inf) -> int:
+    """A length of time by which df is cut into about four slices a shuffle partition, within bounds: groups of (key, slice) are
+    then dealt out evenly however few keys there are."""
+    lo, hi = df.agg(F.min(t).cast("long"), F.max(t).cast("long")).first()
+    parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(1, int(min(max(((hi or 0) - (lo or 0)) / parts, least), most)))
+
+
+def _entering(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """df with what `small` (one row for each value of the keys, null ones included) tells of them; by a shuffle that a window
+    over the same keys uses as well."""
+    known = small.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *(c for c in small.columns if c not in keys))
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return df.join(known.hint("merge"), on, "left").drop(*(f"__k{i}" for i in range(len(keys))))
+
+
+def last_value(df: DataFrame, by: list[str], t: str, order: list[str], value: str, name: str, width: int) -> DataFrame:
+    """df with `name`: the last value that is not null up to each row of its key, in the order of (t, *order).
+
+    A key's time is cut into slices. Each slice tells its last value, one row; the last one before each slice is found among
+    these and enters the slice, so that slices of one key are worked on by different tasks."""
+    own = df.withColumn("__s", F.floor(F.col(t) / width))
+    keys, rank = [*by, "__s"], F.struct(t, *order)
+    ends = own.groupBy(*keys).agg(F.max_by(value, F.when(F.col(value).isNotNull(), rank)).alias("__end"))
+    before = Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    enters = ends.select(*keys, F.last("__end", ignorenulls=True).over(before).alias("__in"))
+    here = Window.partitionBy(*keys).orderBy(t, *order)
+    return _entering(own, enters, keys).withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(here), "__in")).drop("__s", "__in")
+
+
+def decayed_sums(df: DataFrame, by: list[str], t: str, order: list[str], dt: float, terms: dict[str, Column], before: dict[str, str] | None = None) -> DataFrame:
+    """df with running sums of the terms in which a row counts exp(-age / dt), the row itself with 1; and, by `before`, columns
+    with what stood in another column in the row before (null in the first).
+
+    Time is cut into slices of at most 500 dt. A slice's sums at its end are plain aggregates; those of the slices before it
+    (beyond 745 dt a double holds nothing of them) enter it, decayed, and within it running sums of exp(age of the slice / dt)
+    are scaled back. So a key's slices are worked on by different tasks, without Python."""
+    width = slice_width(df, t, 10 * dt, 500 * dt)
+    own = df.withColumn("__s", F.floor(F.col(t) / width)).withColumns({f"__w{i}": c.cast("double") for i, c in enumerate(terms.values())})
+    keys, since, n = [*by, "__s"], (F.col(t) - F.col("__s") * width) / dt, range(len(terms))
+    passed = dict(before or {})
+    rank = F.struct(t, *order)
+    ends = own.groupBy(*keys).agg(*(F.sum(F.col(f"__w{i}") * F.exp(since - width / dt)).alias(f"__e{i}") for i in n), F.max_by(F.struct(F.lit(1), *passed.values()), rank).alias("__last"))
+    reach = math.ceil(745 * dt / width) + 1
+    near = Window.partitionBy(*by).orderBy("__s").rangeBetween(-reach, -1)
+    prior = Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    decayed = lambda i: F.aggregate("__near", F.lit(0.0), lambda acc, x: acc + x[f"__e{i}"] * F.exp(-(F.col("__s") - 1 - x["__s"]) * (width / dt)))
+    enters = ends.withColumn("__near", F.collect_list(F.struct("__s", *(f"__e{i}" for i in n))).over(near)).withColumn("__prior", F.last("__last").over(prior))
+    enters = enters.select(*keys, *(decayed(i).alias(f"__in{i}") for i in n), "__prior")
+    here = Window.partitionBy(*keys).orderBy(t, *order)
+    run = here.rowsBetween(Window.unboundedPreceding, 0)
+    out = {c: F.exp(-since) * (F.col(f"__in{i}") + F.sum(F.col(f"__w{i}") * F.exp(since)).over(run)) for i, c in enumerate(terms)}
+    lagged = {c: F.when(F.row_number().over(here) == 1, F.col("__prior")[old]).otherwise(F.lag(old).over(here)) for c, old in passed.items()}
+    return _entering(own, enters, keys).withColumns(out | lagged).drop("__s", "__prior", *(f"__{k}{i}" for k in ("w", "in") for i in n))
+
+
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_t: str, right_t: str, value: str, strict: bool = False, left_seq: str = "seq", right_seq: str = "seq", width: int | None = None) -> DataFrame:
     """left with right's `value` at the last right_t <= left_t (or < if strict), null where there is none; ties of
-    right_t by right_seq. One union and one window; nothing is joined."""
+    right_t by right_seq. One union, cut into slices of time; nothing is joined but what enters a slice."""
     kind = 0 if strict else 1
-    a = left.select(F.struct(*left.columns).alias("row"), *by, F.col(left_t).alias("__t"), F.lit(kind).alias("__k"), F.col(left_seq).alias("__s"), F.lit(None).cast(right.schema[value].dataType).alias("__v"))
-    b = right.select(F.lit(None).cast(a.schema["row"].dataType).alias("row"), *by, F.col(right_t).alias("__t"), F.lit(1 - kind).alias("__k"), F.col(right_seq).alias("__s"), F.col(value).alias("__v"))
-    w = Window.partitionBy(*by).orderBy("__t", "__k", "__s")
-    return a.unionByName(b).withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where("row is not null").select("row.*", F.col("__v").alias(value))
+    a = left.select(F.struct(*left.columns).alias("row"), *by, F.col(left_t).alias("__t"), F.lit(kind).alias("__k"), F.col(left_seq).alias("__q"), F.lit(None).cast(right.schema[value].dataType).alias("__v"))
+    b = right.select(F.lit(None).cast(a.schema["row"].dataType).alias("row"), *by, F.col(right_t).alias("__t"), F.lit(1 - kind).alias("__k"), F.col(right_seq).alias("__q"), F.col(value).alias("__v"))
+    seen = last_value(a.unionByName(b), by, "__t", ["__k", "__q"], "__v", "__got", width or slice_width(left, left_t))
+    return seen.where("row is not null").select("row.*", F.col("__got").alias(value))
 
 
 def nearest_join(left: DataFrame, right: DataFrame, by: list[str], left_t: str, right_t: str, values: list[str]) -> DataFrame:

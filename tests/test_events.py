@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions import expr
 from pulsegrid.model import with_position
-from pulsegrid.operators import cluster, components, density, direction, dstream, edges, evaluate, filters, frames, hdbscan, meanshift, velocity, windows
+from pulsegrid.operators import cluster, components, density, direction, dstream, edges, evaluate, filters, frames, hdbscan, hierarchy, meanshift, velocity, windows
 from pulsegrid.plans.staging import staged
 
 EV = "seq long, t long, x int, y int, p int, pol int"
@@ -221,6 +221,47 @@ def test_hdbscan(spark):
     assert got.count() == len(rows) and got.where("cluster >= 0").select("cluster").distinct().count() == 2
 
 
+def blobs(n, seed):
+    """Two dense groups, scattered events, and one place with many events."""
+    r = np.random.default_rng(seed)
+    p = np.vstack((r.normal(20, 2, (n // 3, 3)), r.normal(40, 3, (n // 3, 3)), r.uniform(0, 60, (n // 4, 3)), np.repeat(r.uniform(0, 60, (1, 3)), n // 12, 0)))
+    return sorted(((k, int(1000 * q[2]), int(q[0]), int(q[1]), 0, 0) for k, q in enumerate(p)), key=lambda r: (r[1], r[0]))
+
+
+@pytest.mark.parametrize("case", [{}, {"cell": 16, "piece": 40, "small": 0, "epsilon": 5.0}, {"method": "leaf", "cell": 24}])
+def test_hdbscan_of_a_whole_recording(spark, case):
+    """Against one hierarchy in one process: large cells and pieces, and small ones, so that every step takes several rounds."""
+    rows = blobs(216, len(case))
+    x = np.column_stack(([r[2] for r in rows], [r[3] for r in rows], np.array([r[1] for r in rows]) / 1000.0)).astype(np.float32)
+    want = hdbscan.local_hdbscan(x, 7, 4, **{k: v for k, v in case.items() if k in ("epsilon", "method")})
+    got = {r["seq"]: r["cluster"] for r in hierarchy.cluster_whole(events(spark, rows), 1000.0, 7, 4, **case).collect()}
+    assert [got[r[0]] for r in rows] == want.tolist() and len(set(want)) > 2
+
+
+def test_hdbscan_of_few_rows(spark):
+    few = events(spark, [(k, k, 1, 1, 0, 0) for k in range(4)])
+    assert [r["cluster"] for r in hdbscan.hdbscan(few, 1.0, 5).collect()] == [-1] * 4
+    assert hdbscan.hdbscan(few.limit(0), 1.0, 5).count() == 0
+    assert {r["cluster"] for r in hdbscan.hdbscan(events(spark, [(k, 5, 1, 1, 0, 0) for k in range(30)]), 1.0, 5).collect()} == set(hdbscan.local_hdbscan(np.ones((30, 3)), 5).tolist())
+
+
+def test_decayed_sums_and_last_values_over_slices(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 1, 1, 2, None]), t, k, rng.choice([None, rng.random()])) for k, t in enumerate(sorted(rng.choice([rng.randrange(300), 5000 + rng.randrange(300), 90_000]) for _ in range(400)))]
+    df = spark.createDataFrame(rows, "k long, t long, seq long, v double")
+    got = windows.decayed_sums(df, ["k"], "t", ["seq"], 7.0, {"m": F.lit(1.0), "s": F.coalesce("v", F.lit(0.0))}, {"t0": "t"})
+    last = {r["seq"]: r["v2"] for r in windows.last_value(df, ["k"], "t", ["seq"], "v", "v2", 11).collect()}
+    state, want = {}, {}
+    for k, t, seq, v in rows:
+        m, s, t0, known = state.get(k, (0.0, 0.0, None, None))
+        d = math.exp(-(t - t0) / 7) if t0 is not None else 0.0
+        known = v if v is not None else known
+        state[k] = (m * d + 1, s * d + (v or 0.0), t, known)
+        want[seq] = (*state[k][:2], t0)
+        assert last[seq] == known
+    assert all(r["t0"] == want[r["seq"]][2] and (r["m"], r["s"]) == pytest.approx(want[r["seq"]][:2], rel=1e-9) for r in got.collect()) and len(want) == got.count()
+
+
 def test_meanshift(spark):
     rng = random.Random(2)
     rows = [(k, 1000 * (k % 20), int(rng.gauss(10 if k % 2 else 40, 1.5)), int(rng.gauss(10 if k % 2 else 30, 1.5)), 0, 0) for k in range(300)]
