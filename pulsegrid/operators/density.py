@@ -13,30 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.expr import idiv
 from ..model import NOISE, with_position
 from ..plans.staging import discard, staged
+from . import columns
 from .components import connected_components
 
 
-def neighbour_pairs(df: DataFrame, eps_s: float, eps_t: float, metric: str = "chebyshev", ids: str = "seq") -> DataFrame:
-    """(a, b): ordered pairs within the radius, each event with itself included.
-
-    A grid of the size of the radius turns the band join into an equi-join: one side is copied to the 27 cells around
-    it. Cells with very many events are split by AQE's skew join."""
-    c = max(1, math.ceil(eps_s))
-    ct = max(1, math.ceil(eps_t))
-    own = df.select(F.col(ids).alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("t").alias("t2"), idiv("x", c).alias("kx"), idiv("y", c).alias("ky"), idiv("t", ct).alias("kt"))
-    near = df.select(F.col(ids).alias("a"), "x", "y", "t", idiv("x", c).alias("kx"), idiv("y", c).alias("ky"), idiv("t", ct).alias("kt"))
-    for k in ("kx", "ky", "kt"):
-        near = near.withColumn(k, F.explode(F.array(F.col(k) - 1, F.col(k), F.col(k) + 1)))
-    dx, dy, dt = F.abs(F.col("x") - F.col("x2")), F.abs(F.col("y") - F.col("y2")), F.abs(F.col("t") - F.col("t2"))
-    if metric == "chebyshev":
-        close = (dx <= eps_s) & (dy <= eps_s) & (dt <= eps_t)
-    elif metric == "euclidean":
-        close = dx * dx + dy * dy + F.pow(dt * (eps_s / eps_t), F.lit(2)) <= eps_s * eps_s
-    else:
-        raise ValueError("metric must be chebyshev or euclidean")
-    return near.join(own, ["kx", "ky", "kt"]).where(close).select("a", "b")
-
-
 def stdbscan(df: DataFrame, eps_s: float = 2, eps_t: float = 1e4, min_pts: int = 10, metric: str = "chebyshev", label: str = "cluster", chunk: int | None = None, overlap: int | None = None, **guards) -> DataFrame:
     """df with `label`: clusters numbered by their least core row, -1 noise; a border row takes the lowest-numbered
     cluster among its core neighbours. With `chunk`, count windows are clustered apart and stitched."""
@@ -45,24 +25,19 @@ def stdbscan(df: DataFrame, eps_s: float = 2, eps_t: float = 1e4, min_pts: int =
         return chunked(df, fit, chunk, chunk // 5 if overlap is None else overlap, label, **guards)
     if metric == "chebyshev":
         return _by_boxes(df, eps_s, eps_t, min_pts, label)
-    pairs = staged(neighbour_pairs(df, eps_s, eps_t, metric), "pairs")
-    core = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_pts).select(F.col("a").alias("node"))
-    core = staged(core, "core")
-    # Core events of a box no larger than the radius are neighbours of each other, so boxes are what is connected: each
-    # stands for its cores by the first of them, and neighbour pairs shrink to distinct pairs of boxes.
-    side, span = eps_s / math.sqrt(3), eps_t / math.sqrt(3)
-    box = [idiv("x", int(side) + 1).alias("bx"), idiv("y", int(side) + 1).alias("by"), idiv("t", int(span) + 1).alias("bt")]
-    placed = core.join(df.select(F.col("seq").alias("node"), *box), "node")
-    first = placed.groupBy("bx", "by", "bt").agg(F.min("node").alias("rep"))
-    boxed = staged(placed.join(first, ["bx", "by", "bt"]).select("node", "rep"), "boxes")
-    links = pairs.join(core.withColumnRenamed("node", "a"), "a", "left_semi")  # a is core
-    inner = links.where("a < b").join(boxed.toDF("a", "ra"), "a").join(boxed.toDF("b", "rb"), "b").where("ra <> rb").select("ra", "rb")
-    roots = boxed.join(connected_components(inner, staged, "ra", "rb").withColumnRenamed("node", "rep"), "rep", "left").select("node", F.coalesce("root", "rep").alias("root"))
-    numbered = number(roots.select("root").distinct(), "root", "c").join(roots, "root").select("node", "c")
-    numbered = staged(numbered, "roots")
-    reach = links.join(numbered.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("seq")).agg(F.min("c").alias("lowest"))
-    own = numbered.withColumnRenamed("node", "seq")
-    found = reach.join(own, "seq", "left").select("seq", F.coalesce("c", "lowest").cast("int").alias(label))
+    return _by_columns(df, eps_s, eps_t, min_pts, metric, label)
+
+
+def _by_columns(df: DataFrame, eps_s: float, eps_t: float, min_pts: int, metric: str, label: str) -> DataFrame:
+    """By runs of time-sorted pixels in cells (see columns.py): degrees, links of core events, labels of border events."""
+    size = columns.cell_size(df, eps_s, eps_t)
+    thin = df.select("seq", "x", "y", "t")
+    core = staged(thin.join(columns.degrees(thin, eps_s, eps_t, metric, size).where(F.col("degree") >= min_pts).select("seq"), "seq", "left_semi"), "core")
+    roots = connected_components(columns.core_links(core, eps_s, eps_t, metric, size), staged, "a", "b", discard)
+    rooted = staged(core.join(roots.withColumnRenamed("node", "seq"), "seq", "left").select("seq", F.coalesce("root", "seq").alias("root")), "roots")
+    named = staged(number(rooted.select("root").distinct(), "root", "c").join(rooted, "root").select("seq", "c"), "named")
+    border = columns.border_labels(thin.join(named, "seq", "left"), eps_s, eps_t, metric, size)
+    found = named.unionByName(border).select("seq", F.col("c").cast("int").alias(label))
     return df.join(found, "seq", "left").na.fill(NOISE, [label])
 
 
@@ -113,39 +88,21 @@ def number(df: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def degrees(df: DataFrame, eps_s: float, eps_t: float, metric: str = "chebyshev") -> DataFrame:
-    return neighbour_pairs(df, eps_s, eps_t, metric).groupBy(F.col("a").alias("seq")).agg(F.count("*").alias("degree"))
+    return columns.degrees(df, eps_s, eps_t, metric)
 
 
 def local_dbscan(pdf: pd.DataFrame, eps_s: float, eps_t: float, min_pts: int, metric: str = "chebyshev") -> np.ndarray:
-    """DBSCAN of one window, by sorted time and a moving band; rows in order of (t, seq)."""
-    t, x, y = (pdf[c].to_numpy(np.int64) for c in ("t", "x", "y"))
-    n = len(t)
-    lo, hi = np.searchsorted(t, t - eps_t, "left"), np.searchsorted(t, t + eps_t, "right")
-    near = []
-    for i in range(n):
-        s = slice(lo[i], hi[i])
-        dx, dy = np.abs(x[s] - x[i]), np.abs(y[s] - y[i])
-        ok = (dx <= eps_s) & (dy <= eps_s) if metric == "chebyshev" else dx * dx + dy * dy + ((t[s] - t[i]) * (eps_s / eps_t)) ** 2 <= eps_s * eps_s
-        near.append(np.flatnonzero(ok) + lo[i])
-    core = np.array([len(a) >= min_pts for a in near], bool)
-    label = np.full(n, NOISE)
-    c = 0
-    for i in range(n):
-        if not core[i] or label[i] != NOISE:
-            continue
-        stack = [i]
-        label[i] = c
-        while stack:
-            for j in near[stack.pop()]:
-                if core[j] and label[j] == NOISE:
-                    label[j] = c
-                    stack.append(j)
-        c += 1
-    for i in range(n):
-        if not core[i]:
-            own = label[near[i]][core[near[i]]]
-            if len(own):
-                label[i] = own.min()
+    """DBSCAN of one window, rows in order of (t, seq): clusters by their least core row, border rows the lowest they touch."""
+    if not len(pdf):
+        return np.zeros(0, np.int64)
+    x, y, t = (pdf[c].to_numpy(np.int64) for c in ("x", "y", "t"))
+    c, every = columns.Columns(x, y, t, columns.reaches(eps_s, eps_t, metric)), np.arange(len(pdf))
+    core, label = columns.degree(c, every) >= min_pts, np.full(len(pdf), NOISE)
+    if core.any():
+        root = columns.core_roots(c, core)
+        label[core] = np.unique(root[core], return_inverse=True)[1]
+        got = columns.lowest(c, every[~core], core, label, len(pdf))
+        label[~core] = np.where(got < len(pdf), got, NOISE)
     return label
 
 

@@ -5,12 +5,13 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import expr
 from pulsegrid.model import with_position
-from pulsegrid.operators import cluster, components, density, direction, dstream, edges, evaluate, filters, frames, hdbscan, hierarchy, meanshift, velocity, windows
+from pulsegrid.operators import cluster, columns, components, density, direction, dstream, edges, evaluate, filters, frames, hdbscan, hierarchy, meanshift, velocity, windows
 from pulsegrid.plans.staging import staged
 
 EV = "seq long, t long, x int, y int, p int, pol int"
@@ -186,7 +187,11 @@ def test_stdbscan(spark, metric, seed):
     whole = {r["seq"]: r["cluster"] for r in density.stdbscan(df, 2.5, 150, 4, metric, chunk=1000).collect()}
     assert whole == got
     with pytest.raises(ValueError, match="metric"):
-        density.neighbour_pairs(df, 1, 1, "cosine")
+        density.stdbscan(df, 1, 1, 2, "cosine")
+    sizes = {columns.cell_size(df, 2.5, 150, most)[1] for most in (1, 1 << 16)}  # the span is halved down to the radius
+    small = columns.cell_size(df, 2.5, 150, 1)
+    assert len(sizes) == 2 and {tuple(r) for r in columns.degrees(df, 2.5, 150, metric, small).collect()} == {tuple(r) for r in density.degrees(df, 2.5, 150, metric).collect()}
+    assert density.stdbscan(df.limit(0), 2.5, 150, 4, metric).count() == 0 and density.local_dbscan(pd.DataFrame({"x": [], "y": [], "t": []}), 1, 1, 1).tolist() == []
 
 
 def test_one_door(spark):
