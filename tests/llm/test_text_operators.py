@@ -430,7 +430,7 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(table(spark, []), bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
-def brute_spans(rows, span=substrings.SPAN, least=substrings.WORDS):
+def brute_spans(rows, span=substrings.SPAN, least=substrings.WORDS, whole=False):
     """{(doc, text): numbers of removed sentences} and the sentences of each."""
     cut = re.compile(r"([.!?]+[\"'”’)\]]*(?=[ \t-\r])|\n+)")
     first, gone, parts = {}, defaultdict(set), {}
@@ -440,18 +440,27 @@ def brute_spans(rows, span=substrings.SPAN, least=substrings.WORDS):
         s = [x.split() for x in s if x.split()]
         low = [[re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in x] for x in s]
         parts[d, t] = s
+        runs = set()
         for a in range(len(s)):
             b = a + span
             while b < len(s) and sum(map(len, low[a:b])) < least:
                 b += 1
-            run = tuple(w for x in low[a:b] for w in x)
-            if b <= len(s) and len(run) >= least:
+            runs.add((a, b))
+            if whole:  # the shortest that ends here, and the sentence alone
+                c = a + 1 - span
+                while c > 0 and sum(map(len, low[c : a + 1])) < least:
+                    c -= 1
+                runs |= {(c, a + 1), (a, a + 1)}
+        for a, b in sorted(runs):
+            run = tuple(w for x in low[max(0, a) : b] for w in x)
+            if 0 <= a and b <= len(s) and len(run) >= least:
                 if first.setdefault(run, (d, t, a)) != (d, t, a):
                     gone[d, t] |= set(range(a, b))
     return gone, parts
 
 
-def test_substrings(spark):
+@pytest.mark.parametrize("whole", [False, True])
+def test_substrings(spark, whole):
     rng = random.Random(8)
     sentence = lambda: words(rng, rng.randint(3, 12)).capitalize() + rng.choice([".", "!", "?", '."'])
     passage = " ".join(sentence() for _ in range(9))
@@ -462,8 +471,8 @@ def test_substrings(spark):
             parts.insert(rng.randint(0, len(parts)), passage if k % 2 else passage.upper())
         rows.append((100 + k, rng.choice([" ", "\n"]).join(parts)))
     rows.append((200, passage + " " + sentence() + " " + passage))
-    gone, parts = brute_spans(rows)
-    got = {(r["doc_id"]): r for r in substrings.remove_repeats(table(spark, rows).repartition(4)).collect()}
+    gone, parts = brute_spans(rows, whole=whole)
+    got = {(r["doc_id"]): r for r in substrings.remove_repeats(table(spark, rows).repartition(4), whole=whole).collect()}
     assert set(got) == {d for d, _ in gone if gone[d, _]} and len(got) > 10
     for (d, t), s in gone.items():
         r = got[d]
@@ -559,6 +568,18 @@ def test_lines(spark):
     assert lines.drop_recurring_lines(table(spark, [])).count() == 0
 
 
+def test_lines_at_the_thresholds(spark):
+    """By hand: lines of 7 tokens recur from 10 texts on and of 8 from 3 on; the first text keeps its line."""
+    own = lambda k: f"own {'abcdefghijklmnopqrstuvwxyz'[k % 26] * (k + 2)}"
+    cases = {"seven": (7, 9, 0), "seven again": (7, 10, 9), "eight": (8, 2, 0), "eight again": (8, 3, 2), "nine": (9, 9, 8)}
+    rows, want = [], {}
+    for c, (name, (tokens, texts, dropped)) in enumerate(cases.items()):
+        line = " ".join(f"{name.replace(' ', '')}{'xyzvwutsr'[k]}" for k in range(tokens))
+        rows += [(1000 * c + k, f"{line}\n{own(50 * c + k)}") for k in range(texts)]
+        want |= {1000 * c + k: int(k > 0 and dropped > 0) for k in range(texts)}
+    assert {r["doc_id"]: r["n_dropped"] for r in lines.drop_recurring_lines(table(spark, rows)).collect()} == want
+
+
 def test_clashing_names(spark):
     """Input columns named like those the operators use inside come back as they are."""
     from pulsegrid.llm import jaccard
