@@ -270,12 +270,16 @@ def hist2d_direction(cam):
     return edges.counts(edges.cells(cam, 0, 64, 0, 36, 16, 9))
 
 
-@query()
+# Of the lattices that the table's own pixels make, for windows of a tenth of its events.
+@query("""select w, round(l / p + 5 * sqrt(l * (p - 1) / (p * p)), 6) as dense, round(l / p - 2 * sqrt(l * (p - 1) / (p * p)), 6) as undense
+from (select v as w, (select count(*) // 10 from cam)::double as l, count(distinct (x // v) * 1000 + y // v)::double as p from cam, (values (1), (2), (4), (8)) z(v) group by v)""")
 def edge_thresholds(cam):
-    return cam.sparkSession.createDataFrame([edges.thresholds(1000, 144)], "dense double, undense double").select(r6("dense").alias("dense"), r6("undense").alias("undense"))
-
-
-SQL["edge_thresholds"] = "select round(1000 / 144.0::double + 5 * sqrt(1000 * 143.0::double / 144 / 144), 6) as dense, round(1000 / 144.0::double - 2 * sqrt(1000 * 143.0::double / 144 / 144), 6) as undense"
+    length = cam.agg(F.floor(F.count("*") / 10)).first()[0]
+    out = []
+    for v in (1, 2, 4, 8):
+        pixels = cam.select(expr.idiv("x", v), expr.idiv("y", v)).distinct().count()
+        out.append((v, *map(float, edges.thresholds(length, pixels))))
+    return cam.sparkSession.createDataFrame(out, "w int, dense double, undense double").select("w", r6("dense").alias("dense"), r6("undense").alias("undense"))
 
 
 def _edges_sql(voxel: int, w: int, h: int, length: int, directional: bool) -> str:
