@@ -1,22 +1,26 @@
 """Event files: numpy, npz, feather and HDF5 beside Spark's own Parquet and CSV.
 
-Readers split a file into row ranges, one partition each; writers write one file on the driver, Arrow batch by Arrow batch,
-so that it holds one partition's batches at most (Parquet and CSV are written by executors and are the formats for large
-data). Pickled arrays are refused."""
+Readers split a file into row ranges, one partition each. npy and npz are written by the tasks, each at the places of its
+rows; feather and HDF5, whose places depend on what stands before them, are written on the driver, Arrow batch by Arrow
+batch, so that it holds one partition's batches at most. All get their name when they are whole. Pickled arrays are refused."""
 
 from __future__ import annotations
 
 import io
 import os
+import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
+from ..plans.staging import discard, staged
+
 ROWS = 1_000_000
 
 
@@ -203,30 +207,64 @@ def batches(df: DataFrame) -> Iterator[pa.RecordBatch]:
         yield from pa.ipc.open_stream(r["b"])
 
 
-class _Npy:
-    """A growing .npy file: room for the longest header is left in front and filled in at the end."""
-
-    def __init__(self, path: str, kind: np.dtype):
-        self.kind, self.n, self.f = kind, 0, open(path, "wb")  # noqa: SIM115
-        self.f.write(self._header(10**18))
+def _npy_header(kind: np.dtype, n: int) -> bytes:
+    out = io.BytesIO()
+    np.lib.format.write_array_header_1_0(out, {"descr": np.lib.format.dtype_to_descr(kind), "fortran_order": False, "shape": (n,)})
+    return out.getvalue()
 
-    def _header(self, n: int) -> bytes:
-        def of(n):
-            out = io.BytesIO()
-            np.lib.format.write_array_header_1_0(out, {"descr": np.lib.format.dtype_to_descr(self.kind), "fortran_order": False, "shape": (n,)})
-            return out.getvalue()
 
-        room = len(of(10**18)) - 10
-        return of(n)[:8] + room.to_bytes(2, "little") + of(n)[10:].rstrip().ljust(room - 1) + b"\n"
+def write_npy(df: DataFrame, files: dict[str, np.dtype], arrays: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]) -> None:
+    """One .npy file or more of the rows of df in their order, written by the tasks: `arrays` makes each file's rows of columns.
 
-    def add(self, a: np.ndarray) -> None:
-        self.f.write(np.ascontiguousarray(a, self.kind).tobytes())
-        self.n += len(a)
+    Rows are numbered first (staged, so that numbers stay, with the counts of the partitions before them); each task then writes
+    its rows at their places in a file of full length, so a repeated task writes the same bytes again and no row passes
+    the driver. The files get the names given once all rows are counted in them."""
+    numbered = staged(df.withColumn("__m", F.monotonically_increasing_id()), "rows")
+    part = F.shiftright("__m", 33)
+    sizes = numbered.groupBy(part.alias("__p")).agg(F.count("*").alias("n")).orderBy("__p").collect()  # one row a partition
+    known, held = (np.array([r[c] for r in sizes], np.int64) for c in ("__p", "n"))
+    total, before = int(held.sum()), np.cumsum(held) - held
+    heads = {path: _npy_header(kind, total) for path, kind in files.items()}
+    hidden = {path: f"{path}.{uuid.uuid4().hex}.part" for path in files}
 
-    def close(self) -> None:
-        self.f.seek(0)
-        self.f.write(self._header(self.n))
-        self.f.close()
+    def write(found):
+        out = {path: os.open(hidden[path], os.O_WRONLY) for path in files}
+        try:
+            for batch in found:
+                m = batch.column("__m").to_numpy()
+                at = before[np.searchsorted(known, m >> 33)] + (m & (1 << 33) - 1)
+                made = arrays({c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c != "__m"})
+                cuts = [0, *(np.flatnonzero(np.diff(at) != 1) + 1).tolist(), len(at)]
+                for path, kind in files.items():
+                    rows = np.ascontiguousarray(made[path], kind)
+                    for i, j in zip(cuts, cuts[1:]):
+                        if j > i:
+                            data, place = memoryview(rows[i:j].tobytes()), len(heads[path]) + int(at[i]) * kind.itemsize
+                            while data:
+                                done = os.pwrite(out[path], data, place)
+                                data, place = data[done:], place + done
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+            for f in out.values():
+                os.fsync(f)
+        finally:
+            for f in out.values():
+                os.close(f)
+
+    try:
+        for path, kind in files.items():
+            with open(hidden[path], "wb") as f:
+                f.write(heads[path])
+                f.truncate(len(heads[path]) + total * kind.itemsize)
+        written = numbered.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+        if written != total:
+            raise OSError(f"{written} of {total} rows were written")
+        for path in files:
+            os.replace(hidden[path], path)
+    finally:
+        for path in hidden.values():
+            if os.path.exists(path):
+                os.remove(path)
+        discard(numbered)
 
 
 def write_events(df: DataFrame, path: str, h5_key: str = "data", mode: str = "errorifexists", kind: str = "patch", width: int | None = None) -> None:
@@ -240,44 +278,53 @@ def write_events(df: DataFrame, path: str, h5_key: str = "data", mode: str = "er
         raise FileExistsError(path)
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     schema = to_arrow_schema(df.schema)
-    columns = lambda batch: {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
-    if form == "eventfeather":
-        with pa.OSFile(path, "wb") as f, pa.ipc.new_file(f, schema) as w:
-            for batch in batches(df):
-                w.write_batch(batch.cast(schema))
-    elif form == "eventnpy":
-        out = _Npy(path, np.dtype([(f.name, np.dtype(f.type.to_pandas_dtype())) for f in schema]))
-        for batch in batches(df):
-            out.add(np.rec.fromarrays(list(columns(batch).values()), dtype=out.kind))
-        out.close()
-    elif form == "eventnpz":
-        w = width or (df.agg({"x": "max"}).first()[0] or 0) + 1
-        parts = {c: _Npy(f"{path}.{c}.part", np.dtype(np.int64)) for c in ("Et", "Epix", "Epol")}
-        for batch in batches(df):
-            c = columns(batch)
-            for name, v in (("Et", c["t"]), ("Epix", c["x"].astype(np.int64) + c["y"].astype(np.int64) * w), ("Epol", c["pol"])):
-                parts[name].add(v)
-        with zipfile.ZipFile(path, "w") as z:
-            for name, part in parts.items():
-                part.close()
-                z.write(part.f.name, f"{name}_{kind}.npy")
-                os.remove(part.f.name)
-    else:
-        try:
-            import h5py
-        except ImportError as e:
-            raise ImportError("writing HDF5 needs h5py") from e
-        with h5py.File(path, "w") as f:
-            g = f.create_group(h5_key)
-            sets = {x.name: g.create_dataset(x.name, shape=(0,), maxshape=(None,), dtype=np.dtype(x.type.to_pandas_dtype()), chunks=True) for x in schema}
-            n = 0
-            for batch in batches(df):
-                for c, v in columns(batch).items():
-                    sets[c].resize((n + len(v),))
-                    sets[c][n : n + len(v)] = v
-                n += batch.num_rows
+    if form == "eventnpy":
+        kind = np.dtype([(f.name, np.dtype(f.type.to_pandas_dtype())) for f in schema])
+        return write_npy(df, {path: kind}, lambda c: {path: np.rec.fromarrays([c[n] for n in kind.names], dtype=kind)})
+    hidden = f"{path}.{uuid.uuid4().hex}.part"
+    try:
+        if form == "eventfeather":
+            with pa.OSFile(hidden, "wb") as f, pa.ipc.new_file(f, schema) as w:
+                for batch in batches(df):
+                    w.write_batch(batch.cast(schema))
+        elif form == "eventnpz":
+            wide = width or (df.agg({"x": "max"}).first()[0] or 0) + 1
+            names = {c: f"{hidden}.{c}" for c in ("Et", "Epix", "Epol")}
+            whole = lambda v: v.astype(np.int64)
+            try:
+                write_npy(df.select("t", "x", "y", "pol"), {f: np.dtype(np.int64) for f in names.values()}, lambda c: {names["Et"]: c["t"], names["Epix"]: whole(c["x"]) + whole(c["y"]) * wide, names["Epol"]: c["pol"]})
+                with zipfile.ZipFile(hidden, "w") as z:  # the finished files are copied; no rows are read
+                    for c, f in names.items():
+                        z.write(f, f"{c}_{kind}.npy")
+            finally:
+                for f in names.values():
+                    if os.path.exists(f):
+                        os.remove(f)
+        else:
+            _write_h5(df, hidden, h5_key, schema)
+        os.replace(hidden, path)
+    finally:
+        if os.path.exists(hidden):
+            os.remove(hidden)
     return None
 
 
+def _write_h5(df: DataFrame, path: str, key: str, schema: pa.Schema) -> None:
+    try:
+        import h5py
+    except ImportError as e:
+        raise ImportError("writing HDF5 needs h5py") from e
+    with h5py.File(path, "w") as f:
+        g = f.create_group(key)
+        sets = {x.name: g.create_dataset(x.name, shape=(0,), maxshape=(None,), dtype=np.dtype(x.type.to_pandas_dtype()), chunks=True) for x in schema}
+        n = 0
+        for batch in batches(df):
+            for c in batch.schema.names:
+                v = batch.column(c).to_numpy(zero_copy_only=False)
+                sets[c].resize((n + len(v),))
+                sets[c][n : n + len(v)] = v
+            n += batch.num_rows
+
+
 def convert(spark: SparkSession, source: str, target: str, **options) -> None:
     write_events(read_events(spark, source, **options), target)

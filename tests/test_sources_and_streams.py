@@ -34,6 +34,21 @@ def test_npz(spark, tmp_path):
     assert sorted(map(tuple, files.read_events(spark, path, width=8).select("t", "x", "y", "pol").collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_tasks_write_npy_at_the_places_of_their_rows(spark, tmp_path):
+    df = events(spark, rand_events(3, 5000)).orderBy("seq").repartitionByRange(7, "seq").sortWithinPartitions("seq")
+    path = str(tmp_path / "a.npy")
+    files.write_events(df, path)
+    got = np.load(path)
+    assert got["seq"].tolist() == list(range(5000)) and [tuple(r) for r in got.tolist()] == [tuple(r) for r in df.collect()]
+    files.write_events(df.limit(0), str(tmp_path / "none.npy"))
+    assert len(np.load(tmp_path / "none.npy")) == 0
+    with pytest.raises(Exception, match="(?i)divi"):
+        files.write_events(df.withColumn("t", F.expr("raise_error('division fails')").cast("long")), str(tmp_path / "bad.npy"))
+    with pytest.raises(Exception, match="(?i)divi"):
+        files.write_events(df.withColumn("t", F.expr("raise_error('division fails')").cast("long")), str(tmp_path / "bad.npz"), width=9)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.npy", "none.npy"]  # nothing half done is left
+
+
 def test_refusals(spark, tmp_path):
     with pytest.raises(ValueError, match="supported"):
         files.read_events(spark, "x.xyz")
