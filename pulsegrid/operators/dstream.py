@@ -1,8 +1,8 @@
 """Online density clustering on a decaying grid with identities that persist, as a batch plan.
 
 Cells decay independently (a fold per cell), frames are sparse tables of the cells that are dense enough at a trigger,
-components are found frame by frame in parallel, and frames are linked by an equi-join on cells. Trigger times are found by
-blocks; only components with their overlaps, a narrow table, are folded in one order."""
+components are found frame by frame in parallel, and frames are linked by an equi-join on cells; identities are chains of these
+links. Trigger times are found by blocks; only a few rows a block are chained in one order."""
 
 from __future__ import annotations
 
@@ -16,9 +16,13 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import idiv
 from ..model import with_position
-from ..plans.staging import staged
+from ..plans.staging import discard, staged
+from .components import connected_components
 from .windows import interval_join, ordered_fold
 
+#: Components of a frame; what sets known ids below all of them; edges of a graph that one task does at once.
+_LOCALS, _KNOWN, _SMALL = 1 << 24, 1 << 60, 1 << 18
+
 
 @dataclass
 class Carry:
@@ -132,74 +136,68 @@ class DStream:
         dense, least = self.dense, self.min_cells
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["gy", "gx"]).reset_index(drop=True)
-            at = {c: i for i, c in enumerate(zip(pdf["gx"], pdf["gy"], strict=True))}
-            d, local = pdf["d"].to_numpy(), np.zeros(len(pdf), np.int64)
-            seen, n = np.zeros(len(pdf), bool), 0
-            for i in range(len(pdf)):
-                if seen[i]:
-                    continue
-                seen[i] = True
-                part = [i]
-                for j in part:
-                    x, y = pdf["gx"][j], pdf["gy"][j]
-                    for c in ((x + a, y + b) for a in (-1, 0, 1) for b in (-1, 0, 1)):
-                        k = at.get(c)
-                        if k is not None and not seen[k]:
-                            seen[k] = True
-                            part.append(k)
-                if len(part) >= least and d[part].max() >= dense:
-                    n += 1
-                    local[part] = n
+            pdf = pdf.sort_values(["gy", "gx"], ignore_index=True)
+            x, y = (pdf[c].to_numpy(np.int64) for c in ("gx", "gy"))
+            wide = int(x.max() - x.min()) + 3
+            key = (y - y.min()) * wide + (x - x.min()) + 1
+            root, u, v = np.arange(len(key)), [], []
+            for step in (1, wide - 1, wide, wide + 1):  # the cells after each one in raster order
+                at = np.minimum(np.searchsorted(key, key + step), len(key) - 1)
+                met = np.flatnonzero(key[at] == key + step)
+                u.append(met)
+                v.append(at[met])
+            u, v = np.concatenate(u), np.concatenate(v)
+            while len(u):
+                ru, rv = root[u], root[v]
+                apart = ru != rv
+                u, v = u[apart], v[apart]
+                np.minimum.at(root, np.maximum(ru, rv)[apart], np.minimum(ru, rv)[apart])
+                while not np.array_equal(up := root[root], root):
+                    root = up
+            first, part, size = np.unique(root, return_inverse=True, return_counts=True)
+            most = np.full(len(first), -np.inf)
+            np.maximum.at(most, part, pdf["d"].to_numpy())
+            good = (size >= least) & (most >= dense)
+            local = np.where(good, np.cumsum(good), 0)[part]
             return pdf.assign(local=local)[["frame", "t", "gx", "gy", "local"]][local > 0]
 
         return snapshots.groupBy("frame").applyInPandas(run, "frame long, t long, gx int, gy int, local long")
 
     def identities(self, components: DataFrame, carry: Carry | None = None) -> DataFrame:
-        """(frame, local, id, first_seen): ids carried from frame to frame by the larger overlap, and from carry's last one."""
+        """(frame, local, id, first_seen): ids carried from frame to frame by the larger overlap, and from carry's last one.
+
+        A component claims the one before it that it overlaps most, the one with the older id on ties, and of those that claim
+        one the largest claim keeps its id. So ids are chains of kept claims, which are found as connected components, named by
+        their first component; first components are numbered in the order of (frame, local). Only ties need to know ids: they
+        are broken by the chains of the round before until no claim changes, which each round settles at least one frame further."""
         carry = carry or Carry()
-        before = components.select((F.col("frame") + 1).alias("frame"), "gx", "gy", F.col("local").alias("prev"))
-        known: dict = {"ids": {}, "frame": carry.frame, "next": carry.next_id, "first": {}}
-        if carry.last is not None:
-            before = before.unionByName(carry.last.select(F.lit(carry.frame + 1).cast("long").alias("frame"), "gx", "gy", F.col("local").alias("prev")))
-            for r in carry.last.select("local", "id", "first_seen").distinct().collect():  # at most the lattice
-                known["ids"][r["local"]], known["first"][r["id"]] = r["id"], r["first_seen"]
+        node = lambda frame, local: frame * F.lit(_LOCALS) + local
         area = components.groupBy("frame", "local").agg(F.count("*").alias("area"), F.min("t").alias("t"))
-        shared = components.join(before, ["frame", "gx", "gy"]).groupBy("frame", "local", "prev").agg(F.count("*").alias("n"))
-        claims = shared.groupBy("frame", "local").agg(F.collect_list(F.struct("prev", "n")).alias("c"))
-        rows = area.join(claims, ["frame", "local"], "left").select("frame", "local", "area", "t", F.transform(F.coalesce("c", F.array().cast("array<struct<prev:bigint,n:bigint>>")), lambda s: F.concat_ws(":", s["prev"], s["n"])).alias("c"))
-        frame = rows.groupBy("frame").agg(F.min("t").alias("t"), F.array_sort(F.collect_list(F.struct("local", "area", "c"))).alias("parts"))
+        area = staged(area.withColumn("node", node(F.col("frame"), F.col("local"))), "area")
+        before = components.select((F.col("frame") + 1).alias("frame"), "gx", "gy", node(F.col("frame"), F.col("local")).alias("prev"))
+        if carry.last is not None:  # known ids come before all nodes of frames
+            before = before.unionByName(carry.last.select(F.lit(carry.frame + 1).cast("long").alias("frame"), "gx", "gy", (F.col("id") - _KNOWN).alias("prev")))
+        votes = components.join(before, ["frame", "gx", "gy"]).groupBy("frame", "local", "prev").agg(F.count("*").alias("n"))
+        votes = staged(votes.join(area, ["frame", "local"]).select("node", "prev", "n", "area"), "votes")
         least, frac = self.min_overlap, self.min_overlap_frac
-
-        def step(s, row):
-            k, t, parts = row
-            prev = s["ids"] if s["frame"] == k - 1 else {}
-            claimed: dict[int, list[tuple[int, int, int]]] = {}
-            for p in parts:
-                votes: dict[int, int] = {}
-                for c in p["c"]:
-                    a, n = map(int, c.split(":"))
-                    votes[prev[a]] = votes.get(prev[a], 0) + n
-                if votes:
-                    pid = min(votes, key=lambda i: (-votes[i], i))
-                    if not (votes[pid] < least and votes[pid] < frac * p["area"]):
-                        claimed.setdefault(pid, []).append((-votes[pid], -p["area"], p["local"]))
-            kept = {min(c)[2]: pid for pid, c in claimed.items()}
-            out, ids = [], {}
-            for p in parts:
-                pid = kept.get(p["local"])
-                if pid is None:
-                    pid = s["next"]
-                    s["next"] += 1
-                    s["first"][pid] = t
-                ids[p["local"]] = pid
-                out.append((k, p["local"], pid, s["first"][pid]))
-            s["first"] = {i: s["first"][i] for i in ids.values()}  # an id that is not on the grid never comes back
-            s["ids"], s["frame"] = ids, k
-            return out
-
-        start = lambda key: {k: dict(v) if isinstance(v, dict) else v for k, v in known.items()}
-        return ordered_fold(frame.withColumn("k", F.lit(0)), ["k"], ["frame"], ["frame", "t", "parts"], "frame long, local long, id long, first_seen long", start, step)
+        roots, seen = None, None
+        while True:
+            known = votes.withColumn("age", F.col("prev")) if roots is None else votes.join(roots.select(F.col("node").alias("prev"), F.col("root").alias("old")), "prev", "left").withColumn("age", F.coalesce("old", "prev"))
+            claims = known.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "age", "prev", "area")).alias("c")).select("node", "c.*").withColumn("n", -F.col("n"))
+            claims = claims.where((F.col("n") >= least) | (F.col("n") >= frac * F.col("area")))
+            kept = staged(claims.groupBy("prev").agg(F.min(F.struct(-F.col("n"), -F.col("area"), "node")).alias("c")).select("prev", F.col("c.node").alias("node")), "kept")
+            roots = connected_components(kept, staged, "prev", "node", discard, _SMALL)
+            now = kept.agg(F.count("*"), F.sum(F.xxhash64("prev", "node").cast("decimal(38,0)"))).first()
+            if seen == now or (seen is None and votes.groupBy("node").agg(F.max("n").alias("n")).join(votes, ["node", "n"]).groupBy("node").count().where("count > 1").isEmpty()):
+                break
+            seen = now
+        named = area.join(roots, "node", "left").select("frame", "local", "t", F.coalesce("root", "node").alias("root"))
+        named = staged(named, "chains")
+        births = named.where("root >= 0").groupBy("root").agg(F.min("t").alias("first_seen"))
+        births = with_position(births, "root", name="nth").select("root", (F.col("nth") + carry.next_id).alias("id"), "first_seen")
+        if carry.last is not None:
+            births = births.unionByName(carry.last.select((F.col("id") - _KNOWN).alias("root"), "id", "first_seen").distinct())
+        return named.join(births, "root").select("frame", "local", "id", "first_seen")
 
     def cluster(self, df: DataFrame, label: str = "cluster_id") -> DataFrame:
         """df with the id of each event's cell at the latest trigger up to it, -1 where the cell is too thin, has no
@@ -218,9 +216,9 @@ class DStream:
             every = every.unionByName(spark.createDataFrame([(carry.frame, *carry.at)], "frame long, t long, seq long"))
         if carry.last is not None:
             known = known.unionByName(carry.last.withColumn("frame", F.lit(carry.frame).cast("long")))
-        nxt = Window.orderBy("frame")  # one narrow row a trigger
         last = df.agg(F.max("t")).first()[0] or 0
-        spans = every.select("frame", (F.col("t") - 1).alias("lo"), F.greatest("t", F.coalesce(F.lead("t").over(nxt), F.lit(last))).alias("hi"), F.col("seq").alias("from_seq"), F.lead("seq").over(nxt).alias("to_seq"))
+        following = every.select((F.col("frame") - 1).alias("frame"), F.col("t").alias("next_t"), F.col("seq").alias("to_seq"))
+        spans = every.join(following, "frame", "left").select("frame", (F.col("t") - 1).alias("lo"), F.greatest("t", F.coalesce("next_t", F.lit(last))).alias("hi"), F.col("seq").alias("from_seq"), "to_seq")
         found = interval_join(d, spans, "t", "lo", "hi", max(1, self.interval))
         # Ties in t go by seq: an event at the time of a trigger belongs to it from that trigger's event on.
         found = found.where((F.col("t") > F.col("lo") + 1) | (F.col("from_seq") <= F.col("seq")))
