@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, text_rows, unused
+from .common import quoted, staged, text_rows, unused
 
 DEPTH, RECUR, SIMILAR = 3, 10, 0.75
 LONG, RECUR_LONG = 8, 3
@@ -87,7 +87,7 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, recur: int = RECUR
     lines = F.split(text, "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(gone_), i)), "\n")
     gone = F.col(gone_).isNotNull()
-    out = {c: F.when(gone, kept).otherwise(F.col(c)) if c == "text" else F.col(f"`{c}`") for c in docs.columns}
+    out = {c: F.when(gone, kept).otherwise(F.col(c)) if c == "text" else F.col(quoted(c)) for c in docs.columns}
     if counts:
         out |= {"n_lines": F.size(lines).cast("long"), "n_dropped": F.when(gone, F.size(gone_)).otherwise(0).cast("long")}
     return joined.select(*(v.alias(c) for c, v in out.items()))
