@@ -49,14 +49,6 @@ def slice_width(df: DataFrame, t: str, least: float = 1, most: float = math.inf)
     return max(1, int(min(max(((hi or 0) - (lo or 0)) / parts, least), most)))
 
 
-def _entering(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """df with what `small` (one row for each value of the keys, null ones included) tells of them; by a shuffle that a window
-    over the same keys uses as well."""
-    known = small.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), *(c for c in small.columns if c not in keys))
-    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    return df.join(known.hint("merge"), on, "left").drop(*(f"__k{i}" for i in range(len(keys))))
-
-
 def last_value(df: DataFrame, by: list[str], t: str, order: list[str], value: str, name: str, width: int) -> DataFrame:
     """df with `name`: the last value that is not null up to each row of its key, in the order of (t, *order).
 
@@ -66,9 +58,11 @@ def last_value(df: DataFrame, by: list[str], t: str, order: list[str], value: st
     keys, rank = [*by, "__s"], F.struct(t, *order)
     ends = own.groupBy(*keys).agg(F.max_by(value, F.when(F.col(value).isNotNull(), rank)).alias("__end"))
     before = Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    enters = ends.select(*keys, F.last("__end", ignorenulls=True).over(before).alias("__in"))
-    here = Window.partitionBy(*keys).orderBy(t, *order)
-    return _entering(own, enters, keys).withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(here), "__in")).drop("__s", "__in")
+    enters = ends.select(*keys, F.last("__end", ignorenulls=True).over(before).alias(value), F.lit(0).alias("__row"))
+    # What enters a slice is its first row, so rows are shuffled once and nothing is joined.
+    both = own.withColumn("__row", F.lit(1)).unionByName(enters.where(F.col(value).isNotNull()), allowMissingColumns=True)
+    here = Window.partitionBy(*keys).orderBy("__row", t, *order)
+    return both.withColumn(name, F.last(value, ignorenulls=True).over(here)).where("__row = 1").drop("__s", "__row")
 
 
 def decayed_sums(df: DataFrame, by: list[str], t: str, order: list[str], dt: float, terms: dict[str, Column], before: dict[str, str] | None = None) -> DataFrame:
@@ -89,12 +83,15 @@ def decayed_sums(df: DataFrame, by: list[str], t: str, order: list[str], dt: flo
     prior = Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     decayed = lambda i: F.aggregate("__near", F.lit(0.0), lambda acc, x: acc + x[f"__e{i}"] * F.exp(-(F.col("__s") - 1 - x["__s"]) * (width / dt)))
     enters = ends.withColumn("__near", F.collect_list(F.struct("__s", *(f"__e{i}" for i in n))).over(near)).withColumn("__prior", F.last("__last").over(prior))
-    enters = enters.select(*keys, *(decayed(i).alias(f"__in{i}") for i in n), "__prior")
-    here = Window.partitionBy(*keys).orderBy(t, *order)
+    enters = enters.select(*keys, *(decayed(i).alias(f"__x{i}") for i in n), *(F.col("__prior")[old].alias(old) for old in dict.fromkeys(passed.values())), F.lit(0).alias("__row"))
+    # What enters a slice is its first row, so rows are shuffled once and nothing is joined.
+    grown = own.withColumns({f"__x{i}": F.col(f"__w{i}") * F.exp(since) for i in n} | {"__row": F.lit(1)})
+    both = grown.unionByName(enters, allowMissingColumns=True)
+    here = Window.partitionBy(*keys).orderBy("__row", t, *order)
     run = here.rowsBetween(Window.unboundedPreceding, 0)
-    out = {c: F.exp(-since) * (F.col(f"__in{i}") + F.sum(F.col(f"__w{i}") * F.exp(since)).over(run)) for i, c in enumerate(terms)}
-    lagged = {c: F.when(F.row_number().over(here) == 1, F.col("__prior")[old]).otherwise(F.lag(old).over(here)) for c, old in passed.items()}
-    return _entering(own, enters, keys).withColumns(out | lagged).drop("__s", "__prior", *(f"__{k}{i}" for k in ("w", "in") for i in n))
+    out = {c: F.exp(-since) * F.sum(f"__x{i}").over(run) for i, c in enumerate(terms)}
+    lagged = {c: F.lag(old).over(here) for c, old in passed.items()}
+    return both.withColumns(out | lagged).where("__row = 1").drop("__s", "__row", *(f"__{k}{i}" for k in ("w", "x") for i in n))
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_t: str, right_t: str, value: str, strict: bool = False, left_seq: str = "seq", right_seq: str = "seq", width: int | None = None) -> DataFrame:
