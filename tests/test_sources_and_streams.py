@@ -93,7 +93,9 @@ def test_stream_chains_masks_and_velocities(spark, tmp_path):
     rows = rand_events(6, 300, 5, 4)
     src = source(spark, tmp_path, rows)
     batch = events(spark, rows)
-    as_set = lambda got: sorted(str(tuple(r)) for r in got)
+    # The batch sums decayed terms in another order than the fold, so the last digits differ.
+    short = lambda v: [round(x, 9) + 0.0 for x in v] if isinstance(v, list) else v
+    as_set = lambda got: sorted(str(tuple(map(short, r))) for r in got)
     cases = [
         (stateful.stream_multipatch_direction(src, 2), direction.multipatch_direction(batch, 2)),
         (stateful.stream_momentum(src.withColumn("c", F.col("p").cast("long")), 50, "c"), velocity.momentum_path(batch.withColumn("c", F.col("p").cast("long")), 50, "c")),
