@@ -37,7 +37,9 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], columns: list
             cols = list(zip(*out, strict=True)) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-    placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    # By a hash of the keys: Spark leaves out a repartition by columns that a join below has dealt by, and AQE, to which the
+    # fold asks for nothing, may then read that join's rows as they lie, a key's rows in several tasks.
+    placed = df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
     return placed.select(*need).mapInArrow(run, kind)
 
 

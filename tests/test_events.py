@@ -55,6 +55,21 @@ def test_patch_direction(spark, carry, k):
     assert got == sweep(rows, k, carry) and got
 
 
+def test_folds_keep_a_lane_in_one_task(spark):
+    """A join on the keys before a fold, whose shuffle AQE splits: the lanes of the fold stay whole."""
+    rows = rand_events(21, 3000, 8, 6, 900)
+    small = {"autoBroadcastJoinThreshold": "-1", "adaptive.skewJoin.skewedPartitionFactor": "0", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "adaptive.advisoryPartitionSizeInBytes": "2k"}
+    try:
+        for c, v in small.items():
+            spark.conf.set(f"spark.sql.{c}", v)
+        got = sorted(tuple(r) for r in direction.patch_direction(events(spark, rows).repartition(8), 2, "raster").select("seq", "t", "x", "y", "pol").collect())
+    finally:
+        for c in small:
+            spark.conf.unset(f"spark.sql.{c}")
+    assert got == sweep(rows, 2, "raster") and got
+
+
+
 def chain(rows, k, n=16):
     s = np.zeros((n + 2, n + 2, 4), int)
     ahead = {0: (1, 0), 1: (0, 1), 2: (-1, 0), 3: (0, -1)}
