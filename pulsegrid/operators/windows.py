@@ -106,16 +106,27 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_t: str, rig
     return seen.where("row is not null").select("row.*", F.col("__got").alias(value))
 
 
-def nearest_join(left: DataFrame, right: DataFrame, by: list[str], left_t: str, right_t: str, values: list[str]) -> DataFrame:
-    """left with the right row whose right_t is nearest; a tie goes to the earlier one."""
+def nearest_join(left: DataFrame, right: DataFrame, by: list[str], left_t: str, right_t: str, values: list[str], width: int | None = None) -> DataFrame:
+    """left with the right row whose right_t is nearest; a tie goes to the earlier one, and of one right_t to the least values.
+
+    A key's time is cut into slices, as in last_value. What stands last before a slice is its first row and what stands first
+    after it its last one, so slices of one key go to different tasks. Both directions are running values: a frame that ends
+    at the end of its partition would be read anew for each row."""
     v = F.struct(F.col(right_t).alias("__rt"), *values)
     a = left.select(F.struct(*left.columns).alias("row"), *by, F.col(left_t).alias("__t"), F.lit(1).alias("__k"), F.lit(None).cast(right.select(v.alias("v")).schema["v"].dataType).alias("v"))
     b = right.select(F.lit(None).cast(a.schema["row"].dataType).alias("row"), *by, F.col(right_t).alias("__t"), F.lit(0).alias("__k"), v.alias("v"))
-    back = Window.partitionBy(*by).orderBy("__t", "__k")
-    ahead = back.rowsBetween(0, Window.unboundedFollowing)
-    both = a.unionByName(b).withColumns({"lo": F.last("v", True).over(back), "hi": F.first("v", True).over(ahead)}).where("row is not null")
+    both = a.unionByName(b)
+    own = both.withColumn("__s", F.floor(F.col("__t") / (width or slice_width(both, "__t"))))
+    keys, known = [*by, "__s"], F.col("v").isNotNull()
+    ends = own.groupBy(*keys).agg(F.min(F.when(known, F.struct((-F.col("__t")).alias("__n"), "v"))).alias("__last"), F.min("v").alias("__first"))
+    slices = lambda order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, F.last("__last.v", True).over(slices(F.asc("__s"))).alias("before"), F.last("__first", True).over(slices(F.desc("__s"))).alias("after"))
+    enters = ends.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("__row"), F.col("before").alias("v")), F.struct(F.lit(2).alias("__row"), F.col("after").alias("v")))).alias("e")).select(*keys, "e.*")
+    rows = own.withColumn("__row", F.lit(1)).unionByName(enters.where(known), allowMissingColumns=True)
+    run = lambda *order: Window.partitionBy(*keys).orderBy(*order, F.desc("v")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumns({"lo": F.last("v", True).over(run("__row", "__t", "__k")), "hi": F.last("v", True).over(run(F.desc("__row"), F.desc("__t"), "__k"))}).where("row is not null")
     best = F.when(F.col("hi").isNull() | (F.col("__t") - F.col("lo.__rt") <= F.col("hi.__rt") - F.col("__t")), F.col("lo")).otherwise(F.col("hi"))
-    return both.withColumn("b", best).select("row.*", F.col("b.__rt").alias(right_t), *(F.col(f"b.{c}").alias(c) for c in values))
+    return seen.withColumn("b", best).select("row.*", F.col("b.__rt").alias(right_t), *(F.col(f"b.{c}").alias(c) for c in values))
 
 
 def interval_join(points: DataFrame, spans: DataFrame, t: str, low: str, high: str, bucket: int, by: list[str] | None = None) -> DataFrame:
