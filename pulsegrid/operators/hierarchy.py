@@ -18,7 +18,9 @@ The labels are those of one hierarchy over all events (hdbscan.local_hdbscan def
 Edges are ordered by (weight, least row, greatest row), rows by (t, seq), so ties have one outcome.
 
 Groups are bounded by CELL, PIECE and SMALL (edges of a graph whose components one task finds at once) whatever the data: cells are halved until the fullest has at most 4 CELL events, and of
-events at one and the same place only the first k + 1 take part, since the others follow them at distance 0.
+more than k + 1 events at one and the same place only the first k + 1 take part in core distances and the first alone in edges: their
+own core distance is 0, the others follow the first at weight 0, and any edge to the place is least at its first row. Such a
+place is a piece that is known without folding it (see _places).
 """
 
 from __future__ import annotations
@@ -97,10 +99,15 @@ def _nearest_of(k: int, radius: float):
     return run
 
 
-def core_distances(points: DataFrame, k: int, side: float, limit: float) -> DataFrame:
-    """(row, core): the distance to the k-th nearest other event. limit: no two events are further apart."""
+def core_distances(points: DataFrame, k: int, side: float, limit: float, of: DataFrame | None = None) -> DataFrame:
+    """(row, core): the distance to the k-th nearest other event, of all events or of the rows `of`. limit: no two events are further apart."""
     radius = side / 4
-    found = staged(_spread(points, side, radius).groupBy("cx", "cy", "ct").applyInArrow(_near(k, radius), "row long, core double"), "core")
+    seen = _spread(points, side, radius)
+    if of is not None:  # only the cells of what is asked for
+        seen = seen.join(of.withColumn("asked", F.lit(True)), "row", "left").withColumn("own", F.col("own") & F.col("asked").isNotNull()).drop("asked")
+        at = ["cx", "cy", "ct"]
+        seen = seen.join(seen.where("own").select(*at).distinct(), at, "left_semi").select(*_POINT, *at, "own")
+    found = staged(seen.groupBy("cx", "cy", "ct").applyInArrow(_near(k, radius), "row long, core double"), "core")
     parts, waiting = [found.where("core is not null")], staged(points.join(found.where("core is null").select("row"), "row", "left_semi"), "waiting")
     while waiting.count():
         side, radius = 2 * side, 2 * radius
@@ -249,11 +256,28 @@ def candidate_edges(points: DataFrame, side: float, limit: float, small: int = S
 _NODE_BITS = 42
 
 
-def pieces(edges: DataFrame, bound: int = PIECE, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+def _place(row: str) -> Column:
+    """The inner piece that a place of repeated events is, by its first row; those made by halving are numbered below."""
+    return F.col(row) + (1 << _NODE_BITS)
+
+
+def _places(stars: DataFrame, least: int) -> DataFrame:
+    """What _fold would give for the star of each place: all its edges weigh 0, so from `least` events on it is one cluster that
+    all leave at once, and else its events are members of what it meets."""
+    piece, full = _place("first"), F.col("size") >= least
+    seg = piece * _SEGMENTS + 1
+    each = stars.select(F.when(full, "fall").otherwise("member").alias("kind"), F.when(full, seg).otherwise(piece).alias("seg"), F.col("row").alias("node"), F.lit(-1).cast("long").alias("inner"), F.lit(0.0).alias("w"), F.lit(1).cast("long").alias("size"))
+    tops = stars.where(full & (F.col("row") == F.col("first"))).select(F.lit("top").alias("kind"), piece.alias("seg"), seg.alias("node"), F.lit(-1).cast("long").alias("inner"), F.lit(0.0).alias("w"), F.col("size").cast("long").alias("size"))
+    return each.unionByName(tops)
+
+
+def pieces(edges: DataFrame, bound: int = PIECE, small: int = SMALL, stars: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(edges with a piece and its nodes u, v; nodes (piece, node, inner, size) that stand for an inner piece of so many
-    events). Piece 0 is the outermost one."""
+    events). Piece 0 is the outermost one. The first rows of the places `stars` are nodes from the start."""
     now = staged(edges.select("a", "b", "w", F.lit(0).cast("long").alias("piece"), F.col("a").alias("u"), F.col("b").alias("v")), "pieces")
     nodes = now.sparkSession.createDataFrame([], "piece long, node long, inner long, size long")
+    if stars is not None:
+        nodes = stars.where("first = row").select(F.lit(0).cast("long").alias("piece"), F.col("first").alias("node"), _place("first").alias("inner"), F.col("size").cast("long").alias("size"))
     key = lambda c: F.shiftleft(F.col("piece"), _NODE_BITS).bitwiseOR(F.col(c))  # noqa: E731  a node of a piece
     mask, top = F.lit((1 << _NODE_BITS) - 1), 1
     while True:
@@ -285,7 +309,7 @@ def pieces(edges: DataFrame, bound: int = PIECE, small: int = SMALL) -> tuple[Da
         outside = heavy.select("a", "b", "w", "piece", F.coalesce("__u", "u").alias("u"), F.coalesce("__v", "v").alias("v")).where("u <> v")
         moved = nodes.withColumn("k", key("node")).join(into.select("k", F.col("inner").alias("into")), "k", "left").select(F.coalesce("into", "piece").alias("piece"), "node", "inner", "size")
         now, nodes = staged(inside.unionByName(outside), "pieces"), staged(moved.unionByName(shells), "nodes")
-        top = nodes.agg(F.max("inner")).first()[0] + 1
+        top = (nodes.where(F.col("inner") < (1 << _NODE_BITS)).agg(F.max("inner")).first()[0] or 0) + 1
 
 
 _FOLDED = "kind string, seg long, node long, inner long, w double, size long"
@@ -359,10 +383,12 @@ def _fold(least: int):
     return run
 
 
-def condensed(edges: DataFrame, least: int, bound: int = PIECE, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
-    """(clusters (id, parent, size, stability, birth), falls (row, id)) of the condensed tree; the root's parent is null."""
-    now, nodes = pieces(edges, bound, small)
-    folded = staged(now.groupBy("piece").cogroup(nodes.select(F.col("piece").alias("in"), "node", "inner", "size").groupBy("in")).applyInArrow(_fold(least), _FOLDED), "folded")
+def condensed(edges: DataFrame, least: int, bound: int = PIECE, small: int = SMALL, stars: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(clusters (id, parent, size, stability, birth), falls (row, id)) of the condensed tree; the root's parent is null. stars: all
+    rows (first, row, size) of the places whose events but the first have no edges here."""
+    now, nodes = pieces(edges, bound, small, stars)
+    folded = (now.groupBy("piece").cogroup(nodes.select(F.col("piece").alias("in"), "node", "inner", "size").groupBy("in")).applyInArrow(_fold(least), _FOLDED))
+    folded = staged(folded if stars is None else folded.unionByName(_places(stars, least)), "folded")
     alias = folded.where("kind = 'top'").select((-1 - F.col("seg")).alias("name"), F.col("node").alias("id"))
     alias = staged(alias, "alias")
     while not (far := alias.where("id < 0")).isEmpty():  # an inner piece that passes through: point at what it ends as
@@ -497,12 +523,12 @@ def _topmost(marks: DataFrame) -> DataFrame:
 
 
 def _repeats(points: DataFrame, k: int) -> tuple[DataFrame, DataFrame | None]:
-    """(points without those beyond the first k + 1 of a place, edges of weight 0 from a place's first row to the others)."""
-    many = points.groupBy("x", "y", "t").agg(F.count("*").alias("n"), F.min("row").alias("first")).where(F.col("n") > k + 1)
-    many = staged(many.drop("n"), "repeats")
+    """(points without those beyond the first k + 1 of a place, all rows (first, row, size) of the places that have more)."""
+    many = points.groupBy("x", "y", "t").agg(F.count("*").alias("size"), F.min("row").alias("first")).where(F.col("size") > k + 1)
+    many = staged(many, "repeats")
     if many.isEmpty():
         return points, None
-    stars = points.join(many, ["x", "y", "t"]).where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"), F.lit(0.0).alias("w"))
+    stars = points.join(many, ["x", "y", "t"]).select("first", "row", "size")
     nth = F.row_number().over(Window.partitionBy("x", "y", "t").orderBy("row"))
     return staged(points.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth"), "points"), staged(stars, "stars")
 
@@ -524,11 +550,15 @@ def cluster_whole(df: DataFrame, threshold: float, min_cluster_size: int, min_sa
     side = min(max(span), (span[0] * span[1] * span[2] * cell / n) ** (1 / 3))
     while side > limit * 1e-9 and _cells(points, side).groupBy("cx", "cy", "ct").count().agg(F.max("count")).first()[0] > max(4 * cell, 4 * (k + 1)):
         side /= 2
-    known = staged(points.join(core_distances(points, k, side, limit), "row"), "known")
+    if stars is None:
+        known = staged(points.join(core_distances(points, k, side, limit), "row"), "known")
+    else:
+        firsts = stars.where("first = row").select("row")
+        at_rest = points.join(firsts, "row", "left_semi").withColumn("core", F.lit(0.0))
+        asked = points.join(firsts.join(points, "row").select("x", "y", "t"), ["x", "y", "t"], "left_anti")
+        known = staged(at_rest.unionByName(asked.join(core_distances(points, k, side, limit, asked.select("row")), "row").select(at_rest.columns)), "known")
     edges = candidate_edges(known, side, limit, small)
-    if stars is not None:
-        edges = edges.unionByName(stars)
-    clusters, falls = condensed(edges, min_cluster_size, piece, small)
+    clusters, falls = condensed(edges, min_cluster_size, piece, small, stars)
     owned = staged(falls.join(owners(clusters, method, epsilon, piece), "id").where("owner is not null").select("row", "owner"), "owned")
     # Numbered by first row, without a single-partition sort.
     first = with_position(owned.groupBy("owner").agg(F.min("row").alias("first")), "first", name="nth")

@@ -497,3 +497,19 @@ def test_nearest_join_by_slices(spark):
         assert sorted(map(tuple, got.collect())) == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "unboundedfollowing" not in plan and "__s" in plan
+
+
+@pytest.mark.parametrize("least", [7, 25])
+def test_repeated_places_are_single_nodes(spark, monkeypatch, least):
+    """Places with more copies than neighbours are asked for: one event of each has edges, the labels are those of all events."""
+    rng = random.Random(least)
+    places = [(rng.randrange(12), rng.randrange(9), 1000 * rng.randrange(40)) for _ in range(60)]
+    rows = [(k, t, x, y, 0, 0) for k, (x, y, t) in enumerate(sorted((p for p in places for _ in range(rng.choice([1, 3, 9, 30]))), key=lambda p: p[2]))]
+    seen = []
+    whole = hierarchy.candidate_edges
+    monkeypatch.setattr(hierarchy, "candidate_edges", lambda points, *more: seen.append(points.groupBy("x", "y", "t").count().where("count > 5").count()) or whole(points, *more))
+    got = {r["seq"]: r["cluster"] for r in hierarchy.cluster_whole(events(spark, rows), 1000.0, least, 4, piece=40).collect()}
+    x = np.array([(x, y, t / 1000.0) for _, t, x, y, *_ in rows])
+    assert [got[k] for k in range(len(rows))] == hdbscan.local_hdbscan(x, least, 4).tolist() and max(got.values()) > 0
+    assert seen == [0] and len(got) == len(rows)
+    assert {r["cluster"] for r in hierarchy.cluster_whole(events(spark, [(k, 5, 1, 1, 0, 0) for k in range(30)]), 1000.0, 7, 4).collect()} == set(hdbscan.local_hdbscan(np.ones((30, 3)), 7, 4).tolist())
