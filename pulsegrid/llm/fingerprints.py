@@ -2,9 +2,8 @@
 
 A k-mer of code points is an anchor when the least hash among its s-mers lies at its first or last place. That depends
 on the k-mer alone, so an edit moves no anchor outside the k-mers it touches. The fingerprint holds the anchors with their
-places: all of them up to WHOLE, of a longer text those whose hash lies in the lowest quarter, so their number grows with
-the length and every passage of a few hundred characters has some. Two texts are compared by the anchors both hold, at one
-common shift, among all anchors of either, over the part of the hashes that both fingerprints hold.
+places, all of them whatever the length: nothing is sampled, so likeness is exact for texts of any length. Two texts are compared
+by the anchors both hold, at one common shift, among all anchors of either.
 
 Defined results: null text is empty; a text shorter than k has one anchor, its whole; the empty text has none, and two
 empty texts are alike (1.0), an empty and another are not (0.0). Equal texts have equal fingerprints. Rows that repeat
@@ -15,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, slices, text_rows
 
-K, S, WHOLE, SLACK = 12, 5, 256, 64
+K, S, SLACK = 12, 5, 64
 ALL, QUARTER = 0xFFFFFFFF, 0x3FFFFFFF
+WHOLE = math.inf  # texts of up to so many anchors are held whole
 Sketch = tuple[np.ndarray, np.ndarray, int]
 _M = np.uint32(0x9E3779B1)
 NULL_ID = -(2**63)
@@ -75,15 +76,11 @@ def syncmers(c: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndar
     return at, _scramble(g)
 
 
-def sketch(text: str, k: int = K, s: int = S, whole: int = WHOLE) -> Sketch:
-    """(hashes ascending, places, highest hash held): each anchor at its first place."""
+def sketch(text: str, k: int = K, s: int = S) -> Sketch:
+    """(hashes ascending, places, highest hash held, which is the highest there is): each anchor at its first place."""
     at, h = syncmers(code_points(text), k, s)
-    limit = QUARTER if len(h) > whole else ALL
-    if limit < ALL:
-        few = h <= np.uint32(limit)
-        at, h = at[few], h[few]
     u, i = np.unique(h, return_index=True)
-    return u, at[i], limit
+    return u, at[i], ALL
 
 
 def spell(sk: Sketch) -> str:

@@ -607,3 +607,15 @@ def test_shingles(n):
         names.setdefault(json.dumps(sorted(s)), set()).add(tuple(got[k].tolist()))
     assert all(len(v) == 1 for v in names.values())
     assert (got[0] == got[3]).all()
+
+
+def test_fingerprints_hold_all_anchors_of_any_length():
+    rng = random.Random(71)
+    text = words(rng, 4000)
+    for t in (text[:600], text):
+        h = {h for _, h in brute_syncmers(t)}
+        assert set(fingerprints.sketch(t)[0].tolist()) == h and (len(h) > 256) == (t is text)
+    # Half of one text stands in the other: the share of all anchors, not of a sample of them.
+    a, b = text, text[: len(text) // 2] + words(rng, 2000)
+    x, y = ({h for _, h in brute_syncmers(t)} for t in (a, b))
+    assert abs(fingerprints.likeness(fingerprints.sketch(a), fingerprints.sketch(b)) - len(x & y) / len(x | y)) < 2 / len(x | y)
