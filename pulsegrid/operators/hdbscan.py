@@ -14,11 +14,14 @@ from pyspark.sql import DataFrame
 from .density import chunked
 
 def core_distances(x: np.ndarray, k: int) -> np.ndarray:
-    """The distance of each row to its k-th nearest other one."""
-    core = np.empty(len(x))
-    for i in range(len(x)):
-        core[i] = np.partition(_squares(x, i), k)[k]
-    return np.sqrt(core)
+    """The distance of each row to its k-th nearest other one, found once for rows of one place."""
+    if not len(x):
+        return np.empty(0)
+    _, first, place = np.unique(x, axis=0, return_index=True, return_inverse=True)
+    core = np.empty(len(first))
+    for p, i in enumerate(first.tolist()):
+        core[p] = np.partition(_squares(x, i), k)[k]
+    return np.sqrt(core)[place.ravel()]
 
 
 def _squares(x: np.ndarray, i: int) -> np.ndarray:
@@ -28,7 +31,20 @@ def _squares(x: np.ndarray, i: int) -> np.ndarray:
 
 def spanning_tree(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, weight) of the mutual-reachability spanning tree in ascending (weight, least row a, greatest row b), by Prim in
-    O(n^2) time and O(n) memory. Edges of the same weight are told apart by their rows, so there is one tree."""
+    O(n^2) time and O(n) memory. Edges of the same weight are told apart by their rows, so there is one tree.
+
+    Rows of one place whose core distance is 0 follow the first of them at weight 0, and any edge to them is least at the first;
+    so only it takes part."""
+    rest = np.flatnonzero(core == 0)
+    if len(rest):
+        _, first, place = np.unique(x[rest], axis=0, return_index=True, return_inverse=True)
+        head = rest[first][place.ravel()]
+        if len(other := rest[head != rest]):
+            kept = np.setdiff1d(np.arange(len(x)), other)
+            a, b, w = spanning_tree(x[kept], core[kept])
+            a, b, w = np.concatenate((head[head != rest], kept[a])), np.concatenate((other, kept[b])), np.concatenate((np.zeros(len(other)), w))
+            by = np.lexsort((b, a, w))
+            return a[by], b[by], w[by]
     n = len(x)
     inside = np.zeros(n, bool)
     best, via = np.full(n, np.inf), np.full(n, n)

@@ -513,3 +513,28 @@ def test_repeated_places_are_single_nodes(spark, monkeypatch, least):
     assert [got[k] for k in range(len(rows))] == hdbscan.local_hdbscan(x, least, 4).tolist() and max(got.values()) > 0
     assert seen == [0] and len(got) == len(rows)
     assert {r["cluster"] for r in hierarchy.cluster_whole(events(spark, [(k, 5, 1, 1, 0, 0) for k in range(30)]), 1000.0, 7, 4).collect()} == set(hdbscan.local_hdbscan(np.ones((30, 3)), 7, 4).tolist())
+
+
+def test_windows_of_repeated_places_cost_a_row_a_place(monkeypatch):
+    """The tree by all rows, and as many distances as there are places."""
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.integers(0, 9, (40, 3)).astype(float), rng.choice([1, 2, 8, 20], 40), 0)
+    x = x[rng.permutation(len(x))]
+    n = len(x)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    core = np.sort(d, 1)[:, 5]
+    root, want = list(range(n)), []
+    for w, i, j in sorted((max(d[i, j], core[i], core[j]), i, j) for i in range(n) for j in range(i + 1, n)):
+        if root[i] != root[j]:
+            want.append((i, j, w))
+            old = root[j]
+            root = [root[i] if r == old else r for r in root]
+    asked = []
+    squares = hdbscan._squares
+    monkeypatch.setattr(hdbscan, "_squares", lambda x, i: asked.append(i) or squares(x, i))
+    got = hdbscan.core_distances(x, 5)
+    assert np.array_equal(got, core) and len(asked) <= len(np.unique(x, axis=0))
+    asked.clear()
+    a, b, w = hdbscan.spanning_tree(x, core)
+    assert list(zip(a.tolist(), b.tolist(), w.tolist(), strict=True)) == want
+    assert len(asked) < n - (core == 0).sum() + len(np.unique(x[core == 0], axis=0)) + 1
