@@ -194,12 +194,12 @@ def read_events(spark: SparkSession, path: str, schema: str | None = None, **opt
 
 
 def batches(df: DataFrame) -> Iterator[pa.RecordBatch]:
-    """The rows of df in order as Arrow batches, fetched partition by partition."""
+    """The rows of df in order as Arrow batches, fetched partition by partition, compressed by the tasks."""
 
     def pack(parts):
         for part in parts:
             with pa.BufferOutputStream() as out:
-                with pa.ipc.new_stream(out, part.schema) as w:
+                with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                     w.write_batch(part)
                 yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], ["b"])
 

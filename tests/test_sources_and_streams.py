@@ -250,3 +250,17 @@ def test_h5_by_a_stub(spark, tmp_path, monkeypatch):
         f["all"] = h5py.Dataset(np.rec.fromarrays([np.arange(4), np.arange(4) * 2], names=["t", "x"]))
     assert [tuple(r) for r in files.read_events(spark, str(tmp_path / "c.h5")).orderBy("t").collect()] == [(k, 2 * k) for k in range(4)]
     sys.modules.pop("h5py", None)
+
+
+def test_batches_reach_the_driver_compressed(spark):
+    df = spark.range(200_000, numPartitions=2).selectExpr("id as seq", "id * 7 as t", "cast(id % 64 as int) as x")
+
+    def sent():
+        gateway = spark.sparkContext._gateway
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return sum(stages.apply(i).resultSize() for i in range(stages.size()))
+
+    before = sent()
+    got = list(files.batches(df))
+    assert [v for b in got for v in b.column("t").to_pylist()] == [7 * k for k in range(200_000)]
+    assert sent() - before < sum(b.nbytes for b in got) / 2
