@@ -6,6 +6,7 @@ core events come from one edge a run and one bond a gap inside a run, and no pai
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -149,17 +150,52 @@ def degrees(df: DataFrame, eps_s: float, eps_t: float, metric: str, size: tuple[
 
 
 def core_links(core: DataFrame, eps_s: float, eps_t: float, metric: str, size: tuple[int, int, int, int]) -> DataFrame:
-    """(a, b): links that tell the components of core events, one an event and cell it is seen in."""
+    """(a, b, own). Where own: core event b and the least event a of its component among its cell's events. Else links
+    between such components, whose number goes with them and not with the events.
+
+    A strip, the events of one cell that a neighbour sees, is cut into components by both cells alike, and these are known
+    by their least events; one tells which of its own components they belong to, the other what they touch there."""
     near = reaches(eps_s, eps_t, metric)
+    side, span, margin, wait = size
+    axes = (("x", side, margin), ("y", side, margin), ("t", span, wait))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("seq")
-        seq, _, c = _read(table, near)
-        root = core_roots(c, np.ones(len(seq), bool))
-        tied = np.flatnonzero(root != np.arange(len(seq)))
-        return pa.table({"a": seq[root[tied]], "b": seq[tied]})
-
-    return spread(core.select("seq", "x", "y", "t"), *size).groupBy(*_CELL).applyInArrow(run, "a long, b long")
+        seq, own, c = _read(table, near)
+        n, here = len(seq), [table.column(k)[0].as_py() for k in _CELL]
+        at = {k: table.column(k).to_numpy().astype(np.int64) for k in ("x", "y", "t")}
+
+        def roots(of: np.ndarray) -> np.ndarray:
+            return of[core_roots(Columns(*(v[of] for v in at.values()), near), np.ones(len(of), bool))]
+
+        whole, part = core_roots(c, np.ones(n, bool)), np.arange(n)
+        _, home = np.unique(np.stack([at[k] // step for k, step, _ in axes], 1), axis=0, return_inverse=True)
+        for h in range(home.max() + 1):
+            of = np.flatnonzero(home == h)
+            part[of] = roots(of)
+        mine = np.flatnonzero(own)
+        touched = np.zeros(n, bool)
+        touched[whole[mine]] = True
+        heads = np.flatnonzero(touched[whole] & (part == np.arange(n)))
+        least = np.full(n, n)
+        np.minimum.at(least, whole[heads], heads)
+        a, b = [least[whole[heads]]], [heads]
+        for step in itertools.product((-1, 0, 1), repeat=3):
+            seen = np.ones(len(mine), bool)
+            for (k, length, reach), cell, d in zip(axes, here, step, strict=True):
+                seen &= ((at[k][mine] - reach) // length <= cell + d) & ((at[k][mine] + reach) // length >= cell + d)
+            of = mine[seen]
+            if 0 < len(of) < len(mine):
+                of = np.unique(roots(of))
+                a.append(part[of])
+                b.append(of)
+        a, b = np.concatenate(a), np.concatenate(b)
+        tied = a != b
+        links = np.zeros(len(mine) + int(tied.sum()), bool)
+        links[: len(mine)] = True
+        return pa.table({"a": seq[np.concatenate([part[mine], a[tied]])], "b": seq[np.concatenate([mine, b[tied]])], "own": links})
+
+    return spread(core.select("seq", "x", "y", "t"), *size).groupBy(*_CELL).applyInArrow(run, "a long, b long, own boolean")
 
 
 def border_labels(df: DataFrame, eps_s: float, eps_t: float, metric: str, size: tuple[int, int, int, int]) -> DataFrame:

@@ -28,17 +28,34 @@ def stdbscan(df: DataFrame, eps_s: float = 2, eps_t: float = 1e4, min_pts: int =
     return _by_columns(df, eps_s, eps_t, min_pts, metric, label)
 
 
+ROWS = 250_000
+
+
+def _dealt(df: DataFrame, rows: int) -> DataFrame:
+    """df by seq, ROWS of all rows a task: what is dealt by bytes holds as many ids as compress into them."""
+    return df.repartition(1 + rows // ROWS, "seq")
+
+
+def _labelled(df: DataFrame, found: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    rows = df.count() if rows is None else rows
+    return _dealt(df, rows).join(_dealt(found, rows), "seq", "left").na.fill(NOISE, [label])
+
+
 def _by_columns(df: DataFrame, eps_s: float, eps_t: float, min_pts: int, metric: str, label: str) -> DataFrame:
     """By runs of time-sorted pixels in cells (see columns.py): degrees, links of core events, labels of border events."""
     size = columns.cell_size(df, eps_s, eps_t)
     thin = df.select("seq", "x", "y", "t")
-    core = staged(thin.join(columns.degrees(thin, eps_s, eps_t, metric, size).where(F.col("degree") >= min_pts).select("seq"), "seq", "left_semi"), "core")
-    roots = connected_components(columns.core_links(core, eps_s, eps_t, metric, size), staged, "a", "b", discard)
-    rooted = staged(core.join(roots.withColumnRenamed("node", "seq"), "seq", "left").select("seq", F.coalesce("root", "seq").alias("root")), "roots")
+    rows = df.count()
+    dense = columns.degrees(thin, eps_s, eps_t, metric, size).where(F.col("degree") >= min_pts).select("seq")
+    core = staged(_dealt(thin, rows).join(_dealt(dense, rows), "seq", "left_semi"), "core")
+    links = staged(columns.core_links(core, eps_s, eps_t, metric, size), "links")
+    roots = connected_components(links.where("not own"), staged, "a", "b", discard).withColumnRenamed("node", "a")
+    rooted = staged(links.where("own").join(roots, "a", "left").select(F.col("b").alias("seq"), F.coalesce("root", "a").alias("root")), "roots")
+    discard(core, links)
     named = staged(number(rooted.select("root").distinct(), "root", "c").join(rooted, "root").select("seq", "c"), "named")
-    border = columns.border_labels(thin.join(named, "seq", "left"), eps_s, eps_t, metric, size)
+    border = columns.border_labels(_dealt(thin, rows).join(_dealt(named, rows), "seq", "left"), eps_s, eps_t, metric, size)
     found = named.unionByName(border).select("seq", F.col("c").cast("int").alias(label))
-    return df.join(found, "seq", "left").na.fill(NOISE, [label])
+    return _labelled(df, found, label, rows)
 
 
 BOX = ("bx", "by", "bt")
@@ -79,7 +96,7 @@ def _by_boxes(df: DataFrame, eps_s: float, eps_t: float, min_pts: int, label: st
     own = core.join(named, list(BOX)).select("seq", F.col("c").alias(label))
     border = _around(thin.join(counted, "seq", "left_anti")).join(other.drop("rep2").join(named, list(BOX)), list(BOX)).where(close & near(F.col("t"), F.col("t")))
     found = own.unionByName(border.groupBy("seq").agg(F.min("c").alias(label)))
-    return df.join(found, "seq", "left").na.fill(NOISE, [label])
+    return _labelled(df, found, label)
 
 
 def number(df: DataFrame, key: str, name: str) -> DataFrame:

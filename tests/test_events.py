@@ -209,6 +209,33 @@ def test_stdbscan(spark, metric, seed):
     assert density.stdbscan(df.limit(0), 2.5, 150, 4, metric).count() == 0 and density.local_dbscan(pd.DataFrame({"x": [], "y": [], "t": []}), 1, 1, 1).tolist() == []
 
 
+@pytest.mark.parametrize("metric", ["chebyshev", "euclidean"])
+def test_core_links_go_with_cells(spark, metric):
+    """Links between cells tell the components, and events that repeat add none."""
+    rows = rand_events(3, 200, 40, 40, 3000)
+    size = columns.cell_size(events(spark, rows), 6, 300, 1)
+    counts = []
+    for copies in (1, 5):
+        many = [(seq + 1000 * k, *rest) for k in range(copies) for seq, *rest in rows]
+        got = columns.core_links(events(spark, many), 6, 300, metric, size).collect()
+        counts.append(sum(not r["own"] for r in got))
+        assert sorted(r["b"] for r in got if r["own"]) == sorted(seq for seq, *_ in many)
+        root = {seq: seq for seq, *_ in many}
+
+        def top(k, root=root):
+            while root[k] != k:
+                k = root[k]
+            return k
+
+        for r in got:
+            u, v = sorted((top(r["a"]), top(r["b"])))
+            root[v] = u
+        least: dict[int, int] = {}
+        want = [least.setdefault(c, seq) for (seq, *_), c in zip(many, dbscan_model(many, 6, 300, 1, metric), strict=True)]
+        assert [top(seq) for seq, *_ in many] == want and 5 < len(set(want)) < 150
+    assert counts[0] == counts[1] > 0
+
+
 def test_one_door(spark):
     df = events(spark, rand_events(1, 120, 9, 9))
     for method, options in (("stdbscan", {"eps_s": 3, "eps_t": 60, "min_pts": 4}), ("hdbscan", {"time_scale": 0.1, "min_cluster_size": 9}), ("meanshift", {"time_scale": 0.1, "bandwidth": 5.0}), ("dstream", {"tau": 99.0, "interval": 20, "verify": 0, "dense": 2.0, "medium": 1.0})):
