@@ -43,6 +43,7 @@ WORDS, PERCENT = 5, 75
 LEAD = 12
 SAMPLE, FREQUENT = 16, 1_000_000
 ROUNDS, SMALL, HUBS = 1, 32, 4
+BEFORE = 4
 BUCKETS = 256
 BROADCAST_ROWS = 1_000_000
 
@@ -258,6 +259,16 @@ def _close(n1: str, odd1: str, n2: str, odd2: str, percent: int):
     return (100 + percent) * differ <= (100 - percent) * (F.col(n1) + F.col(n2))
 
 
+def _apart(rows: DataFrame, percent: int) -> DataFrame:
+    """What shares a token across components, the smaller set leading. Similar sets need it only at the first token that they
+    share, so a pair is not made where one of the few tokens before is shared as well: near copies, which share most of their
+    prefixes, make about one row a pair and not one a token."""
+    other = rows.select("tok", F.col("sig").alias("s2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("odd").alias("odd2"), F.col("comp").alias("c2"), F.col("before").alias("before2"))
+    ordered = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("sig") < F.col("s2")))
+    pairs = rows.where(_leading("n", "i", percent)).join(other, "tok").where(ordered & (F.col("comp") != F.col("c2")) & ~F.arrays_overlap("before", "before2"))
+    return pairs.where(_room("n", "i", "n2", "i2", percent) & _close("n", "odd", "n2", "odd2", percent))
+
+
 def _link(active: DataFrame, narrow: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, root) of active nodes (active is discarded). Links are contracted as they are found, so each round only
     sees components that still share a token; hubs go on until few pairs are left apart, or for ROUNDS rounds."""
@@ -283,12 +294,13 @@ def _link(active: DataFrame, narrow: DataFrame, sets: DataFrame, percent: int) -
             break
         last = turn == ROUNDS or size["squares"] <= SMALL * size["rows"]
         # A token whose sets are of one component, or that leads in none, is done with.
-        open_rows = staged(rows.join(groups.select("tok"), "tok", "left_semi"), "open")
+        open_rows = rows.join(groups.select("tok"), "tok", "left_semi")
+        if last:
+            open_rows = open_rows.withColumn("before", F.collect_list("tok").over(Window.partitionBy("sig").orderBy("i").rowsBetween(-BEFORE, -1)))  # few tokens, so rows stay small
+        open_rows = staged(open_rows, "open")
         discard(rows)
-        if last:  # what shares a token across components, the smaller set leading
-            other = open_rows.select("tok", F.col("sig").alias("s2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("odd").alias("odd2"), F.col("comp").alias("c2"))
-            ordered = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("sig") < F.col("s2")))
-            pairs = open_rows.where(leads).join(other, "tok").where(ordered & (F.col("comp") != F.col("c2")) & _room("n", "i", "n2", "i2", percent) & _close("n", "odd", "n2", "odd2", percent))
+        if last:
+            pairs = _apart(open_rows, percent)
             one, two = F.struct(F.col("sig").alias("s"), F.col("comp").alias("c")), F.struct(F.col("s2").alias("s"), F.col("c2").alias("c"))
             first = F.col("sig") < F.col("s2")
         else:

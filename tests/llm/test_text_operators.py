@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import chat, decontaminate, fingerprints, lines, packing, secrets, substrings
+from pulsegrid.llm import chat, decontaminate, fingerprints, jaccard, lines, packing, secrets, substrings
 from pulsegrid.llm.textvec import shingle_sets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, rk string, part string, n string"
@@ -619,3 +619,32 @@ def test_fingerprints_hold_all_anchors_of_any_length():
     a, b = text, text[: len(text) // 2] + words(rng, 2000)
     x, y = ({h for _, h in brute_syncmers(t)} for t in (a, b))
     assert abs(fingerprints.likeness(fingerprints.sketch(a), fingerprints.sketch(b)) - len(x & y) / len(x | y)) < 2 / len(x | y)
+
+
+def test_near_copies_make_one_row_a_pair(spark, monkeypatch):
+    """Pairs of the last join come from the first token that two sets share, and none is lost."""
+    rng = random.Random(8)
+    base = [[f"w{g}.{k}" for k in range(150)] for g in range(3)]
+    docs = []
+    for d in range(90):
+        text = [rng.choice("xyz") + str(d) if rng.random() < 0.03 else w for w in base[d % 3]]
+        docs.append((d, " ".join(text)))
+    made, apart = [], jaccard._apart
+
+    def spied(rows, percent):
+        out = apart(rows, percent)
+        made.append((out.count(), out.select("sig", "s2").distinct().count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "_apart", spied)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    rows, pairs = made[-1]
+    assert 20 < pairs and rows < 2 * pairs
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(146)} for _, t in docs]
+    root = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                u, v = sorted((root[a], root[b]))
+                root = [u if r == v else r for r in root]
+    assert [got[d] for d in range(len(docs))] == root and 3 < len(set(root)) < len(docs) - 5
