@@ -244,6 +244,44 @@ def test_one_door(spark):
         cluster.cluster_events(df, "kmeans")
 
 
+@pytest.mark.parametrize("most", [None, 2, 7, 5000])
+def test_interval_join_bundles(spark, most):
+    """Pairs of a brute force, with times of one row, of a few and of more than a group holds, and points on both ends."""
+    rng = random.Random(5)
+    times = [40] * 60 + [rng.randrange(-30, 120) for _ in range(90)] + [None]
+    points = [(k, t, k % 2) for k, t in enumerate(times)]
+    spans = [(900 + k, lo, lo + rng.choice((0, 1, 10, 35)), k % 2) for k, lo in enumerate([30] * 30 + [rng.randrange(-40, 110) for _ in range(50)])] + [(999, None, 50, 0), (998, 40, 10, 0)]
+    p, s = spark.createDataFrame(points, "seq long, t long, k int"), spark.createDataFrame(spans, "span long, lo long, hi long, k int")
+    want = sorted((k, a, t, n, lo, hi) for a, t, k in points for n, lo, hi, k2 in spans if k == k2 and None not in (t, lo) and lo < t <= hi)
+    got = windows.interval_join(p, s, "t", "lo", "hi", 10, by=["k"], most=most).select("k", "seq", "t", "span", "lo", "hi")
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 500
+    none = windows.interval_join(p.where("seq < 0"), s.drop("k"), "t", "lo", "hi", 10, most=most)
+    assert none.count() == 0 and none.columns.count("__b") == 0
+    bare = windows.interval_join(p.select("t"), s.select("lo", "hi"), "t", "lo", "hi", 10, most=most)
+    assert bare.count() == sum(lo < t <= hi for _, t, _ in points for _, lo, hi, _ in spans if None not in (t, lo))
+
+
+def test_interval_join_in_bounds(spark):
+    """Pairs of one bucket, and of one time, are made by many tasks."""
+    p = spark.range(3000).select(F.col("id").alias("seq"), F.floor(F.col("id") / 9000).alias("t"))
+    s = spark.range(2000).select(F.col("id").alias("span"), (F.floor(F.col("id") / 9000) - 1).alias("lo"), (F.floor(F.col("id") / 9000) + 9).alias("hi"))
+    tasks = windows.interval_join(p, s, "t", "lo", "hi", 100, most=200).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in tasks) == 6_000_000 and len(tasks) > 50 and max(r["count"] for r in tasks) < 1_000_000
+
+
+def test_interval_join_writes_copies_in_few_bytes(spark, tmp_path):
+    """Rows of one time meet once, and the pairs of 40 copies take less than half the bytes."""
+    p = spark.range(40 * 100).select(F.col("id").alias("seq"), (F.col("id") % 100 * 10).alias("t"))
+    s = p.select(F.col("seq").alias("span"), (F.col("t") - 200).alias("lo"), F.col("t").alias("hi"))
+    sizes = {}
+    for most in (None, 4096):
+        out = windows.interval_join(p, s, "t", "lo", "hi", 200, most=most).select("seq", "span")
+        out.write.parquet(path := str(tmp_path / str(most)))
+        sizes[most] = sum(f.stat().st_size for f in (tmp_path / str(most)).glob("*.parquet"))
+        assert spark.read.parquet(path).count() == 40 * 40 * (100 * 20 - 190)
+    assert sizes[4096] * 2 < sizes[None]
+
+
 def test_chunked_stitches(spark):
     rows = [(k, 10 * k, 5 + (k // 7) % 2, 5, 0, 0) for k in range(90)] + [(200 + k, 2000 + 10 * k, 60, 9, 0, 0) for k in range(30)]
     got = {r["seq"]: r["cluster"] for r in density.stdbscan(events(spark, rows), 3, 50, 3, chunk=40, overlap=10).collect()}
