@@ -32,6 +32,11 @@ def r6(c):
     return F.round(c, 6) + F.lit(0.0)  # no negative zero
 
 
+def r9(c):
+    """Half up by the double times 1e9, as SQL rounds; Spark's round goes by decimal digits, and blended colours end in a 5 there. For 0 to 1."""
+    return F.floor(F.col(c) * 1e9 + 0.5) / 1e9
+
+
 # --- filters and expressions ---------------------------------------------------------------------------------------
 
 
@@ -754,7 +759,7 @@ def frames_dual(cam):
     ends = with_position(cam).select(F.col("pos").alias("index"), "t")
     states = edges.edge_states(cam, 8, 4, 8, 2000).where("state >= 0").join(ends, "index")
     out = frames.dual_frames(cam, states, 2_000_000, 8, _grey(cam, range(4)), spark.createDataFrame([(0, 1.0, 0.0, 0.0), (1, 0.0, 1.0, 0.0)], "id int, r double, g double, b double"))
-    return out.select("index", "y", "x", *((F.round(c, 9) + F.lit(0.0)).alias(c) for c in "rgb"))
+    return out.select("index", "y", "x", *(r9(c).alias(c) for c in "rgb"))
 
 
 @query(_FRAMES + " select frame, obj, round(avg(x), 6) as x, round(avg(y), 6) as y, ((count(*) filter (pol = 1) - count(*) filter (pol = 3)) / 10.0)::double as u, ((count(*) filter (pol = 0) - count(*) filter (pol = 2)) / 10.0)::double as v from f where obj <> -1 group by all")

@@ -55,6 +55,28 @@ def test_whole_joins(spark):
     assert {r["seq"] for r in QUERIES["roi_filter"](spark, SF).collect()} == on and on
 
 
+def test_blended_colours_agree_with_sql(spark, tmp_path):
+    """Colours of a few layers end in a 5 behind the last digit that counts, where the last bit of a power decides."""
+    import random
+    from datetime import datetime, timedelta
+
+    import duckdb
+
+    from pulsegrid.plans.queries import QUERIES, SQL
+
+    rng, start = random.Random(5), datetime(2024, 1, 1)
+    kinds = ("click", "error", "purchase", "signup", "view")
+    user = lambda k: rng.randrange(64) if k % 3 else rng.randrange(8)
+    value = lambda k: float(rng.randrange(36) if k % 3 else k // 3000 * 8 + rng.randrange(8))
+    rows = [(k, start + timedelta(seconds=5 * k), user(k), rng.choice(kinds), value(k), "") for k in range(12_000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["frames_dual"](spark, str(tmp_path)).select("index", "y", "x", "r", "g", "b").collect())
+    want = sorted(con.sql(f"select index, y, x, r, g, b from ({SQL['frames_dual']})").fetchall())
+    assert len(want) > 10_000 and got == want
+
+
 def test_contract():
     q, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert sql.keys() <= q.keys() and len(q) > 60
