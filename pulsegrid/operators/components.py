@@ -66,3 +66,37 @@ def connected_components(edges: DataFrame, stage: Callable[[DataFrame, str], Dat
         out = stage(out, "roots")
         drop(e)
     return out
+
+
+def contracted_components(edges: DataFrame, stage: Callable[[DataFrame, str], DataFrame], a: str = "a", b: str = "b", drop: Callable[[DataFrame], None] = lambda df: None, small: int = 0) -> DataFrame:
+    """As connected_components, for graphs that hardly shrink by its stars, such as trees: each round makes one node of those
+    that point at the same one, so its nodes are less than half of those before. A node points at its least neighbour by hash (by
+    number, a path in order would hardly contract), the lower of two that point at each other at itself, and then once more on. A
+    node is named after its least one. From `small` edges on one task does the rest."""
+    x, y = F.col(a), F.col(b)
+    rank = F.struct(F.xxhash64("v").alias("hash"), F.col("v").alias("node"))
+    onto = lambda df: df.select(F.col("node").alias("to"), F.col("to").alias("far"))
+    e, levels = stage(edges.where(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(), "edges"), []
+    while (n := e.count()) > small:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = stage(both.groupBy("u").agg(F.min(rank)["node"].alias("to")).withColumnRenamed("u", "node"), "near")
+        up = stage(near.join(onto(near), "to").select("node", F.when(F.col("far") == F.col("node"), F.least("node", "to")).otherwise(F.col("to")).alias("to")), "up")
+        far = up.join(onto(up), "to").select("node", "far")
+        level = stage(far.join(far.groupBy("far").agg(F.min("node").alias("root")), "far").select("node", "root"), "level")
+        ends = [level.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "uv"]
+        fewer = e.join(ends[0], "u").join(ends[1], "v").where("ru <> rv").select(F.greatest("ru", "rv").alias("u"), F.least("ru", "rv").alias("v")).distinct()
+        spent, e = (e, near, up), stage(fewer, "edges")
+        levels.append(level)
+        for df in spent:
+            drop(df)
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    if n:
+        out = e.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_hooked, "node long, root long")
+    out = stage(out, "roots")
+    drop(e)
+    for level in reversed(levels):
+        above = out.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        spent, out = (out, level), stage(level.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+        for df in spent:
+            drop(df)
+    return out

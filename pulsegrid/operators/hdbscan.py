@@ -71,6 +71,56 @@ def spanning_tree(x: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return a[by], b[by], w[by]
 
 
+def along(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """(order, how many rows behind each are within the radius) by the axis on which these are fewest."""
+    orders = [np.argsort(x[:, i], kind="stable") for i in range(3)]
+    behind = [np.searchsorted(v, v + radius * (1 + 1e-9), "right") - np.arange(len(v)) - 1 for v in (x[by, i] for i, by in enumerate(orders))]
+    best = int(np.argmin([n.sum() for n in behind]))
+    return orders[best], behind[best]
+
+
+def short_forest(x: np.ndarray, core: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The edges up to the radius of spanning_tree, in its order. Only pairs that lie so near are looked at, found along the axis
+    that tells most apart; where they are many after all, Prim takes less."""
+    n, short = len(x), lambda a, b, w: (a[w <= radius], b[w <= radius], w[w <= radius])
+    by, reach = along(x, radius)
+    x0, x1, x2 = (np.ascontiguousarray(x[by, i]) for i in range(3))
+    c, found, most = core[by], [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))], min(n * n // 10, 1 << 22)
+    for k in range(1, int(reach.max(initial=0)) + 1):
+        dx, dy, dt = x0[k:] - x0[:-k], x1[k:] - x1[:-k], x2[k:] - x2[:-k]
+        d = np.maximum(np.maximum(np.sqrt(dx * dx + dy * dy + dt * dt), c[k:]), c[:-k])
+        if len(near := np.flatnonzero(d <= radius)):
+            i, j = by[near], by[near + k]
+            found.append((np.minimum(i, j), np.maximum(i, j), d[near]))
+            most -= len(near)
+            if most < 0:
+                return short(*spanning_tree(x, core))
+    a, b, w = (np.concatenate(f) for f in zip(*found, strict=True))
+    order = np.lexsort((b, a, w))
+    a, b, w = a[order], b[order], w[order]
+    # Boruvka: each component takes its first edge.
+    e, u, v, kept = np.arange(len(a)), a, b, [np.zeros(0, int)]
+    while len(e):
+        first, root = np.full(n, len(a)), np.arange(n)
+        first[u[::-1]] = e[::-1]
+        other = np.full(n, len(a))
+        other[v[::-1]] = e[::-1]
+        first = np.minimum(first, other)
+        joins = np.flatnonzero(first < len(a))
+        at = np.searchsorted(e, first[joins])
+        kept.append(first[joins])
+        root[joins] = u[at] + v[at] - joins
+        pairs = joins[(root[root[joins]] == joins) & (joins < root[joins])]
+        root[pairs] = pairs
+        while not np.array_equal(up := root[root], root):
+            root = up
+        u, v = root[u], root[v]
+        apart = u != v
+        e, u, v = e[apart], u[apart], v[apart]
+    tree = np.unique(np.concatenate(kept))
+    return a[tree], b[tree], w[tree]
+
+
 def local_hdbscan(x: np.ndarray, min_cluster_size: int, min_samples: int | None = None, epsilon: float = 0.0, method: str = "eom") -> np.ndarray:
     """Labels from 0 in order of the least row, -1 noise."""
     n = len(x)

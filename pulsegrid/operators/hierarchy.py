@@ -17,7 +17,7 @@ The labels are those of one hierarchy over all events (hdbscan.local_hdbscan def
 
 Edges are ordered by (weight, least row, greatest row), rows by (t, seq), so ties have one outcome.
 
-Groups are bounded by CELL, PIECE and SMALL (edges of a graph whose components one task finds at once) whatever the data: cells are halved until the fullest has at most 4 CELL events, and of
+Groups are bounded by CELL, PIECE, SMALL (edges of a graph whose components one task finds at once) and PAIRS (pairs of boxes that one call takes) whatever the data: cells are halved until the fullest has at most 4 CELL events, and of
 more than k + 1 events at one and the same place only the first k + 1 take part in core distances and the first alone in edges: their
 own core distance is 0, the others follow the first at weight 0, and any edge to the place is least at its first row. Such a
 place is a piece that is known without folding it (see _places).
@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from ..model import NOISE, with_position
 from ..plans.staging import discard, staged
-from .components import connected_components
-from .hdbscan import spanning_tree
+from .components import contracted_components
+from .hdbscan import along, short_forest
 
-CELL, PIECE, SALT, SMALL = 512, 1 << 16, 1 << 15, 1 << 18
+CELL, PIECE, SALT, SMALL, PAIRS = 512, 1 << 18, 1 << 15, 1 << 20, 256
 _POINT = ("row", "x", "y", "t")
 
 
@@ -73,10 +73,17 @@ def _near(k: int, radius: float):
         own = table.column("own").to_numpy(zero_copy_only=False)
         row, *xyt = _array(table, *_POINT)
         x = np.stack(xyt, 1)
-        q, out = x[own], np.full(int(own.sum()), np.inf)
-        if len(x) > k:
-            for lo in range(0, len(q), 128):
-                out[lo : lo + 128] = np.sqrt(np.partition(_squares(x, q[lo : lo + 128]), k, axis=1)[:, k])
+        by, behind = along(x, radius)
+        row, own, x = row[by], own[by], x[by]
+        at, out = np.flatnonzero(own), np.full(int(own.sum()), np.inf)
+        # Only what lies within the radius on the axis, before and behind: all that counts.
+        last = np.arange(len(x)) + behind
+        first = np.searchsorted(last, np.arange(len(x)))
+        for lo in range(0, len(at), 128):
+            some = at[lo : lo + 128]
+            near = x[first[some[0]] : last[some[-1]] + 1]
+            if len(near) > k:
+                out[lo : lo + 128] = np.sqrt(np.partition(_squares(near, x[some]), k, axis=1)[:, k])
         return pa.table({"row": row[own], "core": pa.array(out, mask=~(out <= radius))})
 
     return run
@@ -142,9 +149,7 @@ def _forest(radius: float):
         row, *xyt, core = _array(table, *_POINT, "core")
         by = np.argsort(row)
         row, own, core, x = row[by], own[by], core[by], np.stack(xyt, 1)[by]
-        a, b, w = spanning_tree(x, core) if own.any() and len(row) > 1 else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        short = w <= radius
-        a, b, w = a[short], b[short], w[short]
+        a, b, w = short_forest(x, core, radius) if own.any() and len(row) > 1 else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
         root = np.arange(len(row))
         u, v = a, b
         while len(u):  # the larger root follows the smaller one
@@ -163,20 +168,43 @@ def _forest(radius: float):
     return run
 
 
-def _lightest(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The lightest mutual-reachability edge between two boxes of events."""
-    (ra, *pa_, ca), (rb, *pb, cb) = _array(left, *_POINT, "core"), _array(right, *(f"{c}2" for c in (*_POINT, "core")))
+def _from_box(x: np.ndarray, core: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The least weight that an edge from each event to the box of the other events can have."""
+    gap = np.maximum(np.maximum(other.min(0) - x, x - other.max(0)), 0)
+    return np.maximum(np.sqrt((gap * gap).sum(1)), core)
+
+
+def _lightest(ra: np.ndarray, xa: np.ndarray, ca: np.ndarray, rb: np.ndarray, xb: np.ndarray, cb: np.ndarray) -> tuple[float, int, int]:
+    """The lightest mutual-reachability edge between two boxes of events. In large ones, what is further from the other box than some
+    edge shows to be possible is left out first."""
+    if len(ra) * len(rb) > 4096:
+        far_a, far_b = _from_box(xa, ca, xb), _from_box(xb, cb, xa)
+        i, j = far_a.argmin(), far_b.argmin()
+        shown = min(np.maximum(np.maximum(np.sqrt(_squares(xb, xa[i : i + 1])[0]), cb), ca[i]).min(), np.maximum(np.maximum(np.sqrt(_squares(xa, xb[j : j + 1])[0]), ca), cb[j]).min()) * (1 + 1e-9)
+        a, b = far_a <= shown, far_b <= shown
+        ra, xa, ca, rb, xb, cb = ra[a], xa[a], ca[a], rb[b], xb[b], cb[b]
     best = None
-    x = np.stack(pb, 1)
     for lo in range(0, len(ra), 256):
-        q = np.stack([v[lo : lo + 256] for v in pa_], 1)
-        w = np.maximum(np.maximum(np.sqrt(_squares(x, q)), cb[None, :]), ca[lo : lo + 256, None])
+        w = np.maximum(np.maximum(np.sqrt(_squares(xb, xa[lo : lo + 256])), cb[None, :]), ca[lo : lo + 256, None])
         i, j = np.nonzero(w == w.min())
         p, q = ra[lo + i], rb[j]
-        at = np.lexsort((np.maximum(p, q), np.minimum(p, q)))[0]
-        here = (float(w.min()), int(min(p[at], q[at])), int(max(p[at], q[at])))
+        lows, highs = np.minimum(p, q), np.maximum(p, q)
+        low = lows.min()
+        here = (float(w.min()), int(low), int(highs[lows == low].min()))
         best = here if best is None else min(best, here)
-    return pa.table({"ca": [left.column("ca")[0].as_py()], "cb": [left.column("cb")[0].as_py()], "w": [best[0]], "a": [best[1]], "b": [best[2]]})
+    return best
+
+
+def _all_lightest(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The lightest edge of each pair of boxes in a group of pairs."""
+    (pair, ca, cb, row, *xyt, core), (pair2, row2, *xyt2, core2) = _array(left, "pair", "ca", "cb", *_POINT, "core"), _array(right, *(f"{c}2" for c in ("pair", *_POINT, "core")))
+    by, by2 = np.argsort(pair, kind="stable"), np.argsort(pair2, kind="stable")
+    row, x, core, row2, x2, core2 = row[by], np.stack(xyt, 1)[by], core[by], row2[by2], np.stack(xyt2, 1)[by2], core2[by2]
+    pairs, first = np.unique(pair[by], return_index=True)
+    ends, ends2 = np.append(first, len(by)), np.append(np.searchsorted(pair2[by2], pairs), len(by2))
+    best = [_lightest(row[i:j], x[i:j], core[i:j], row2[k:m], x2[k:m], core2[k:m]) for i, j, k, m in zip(ends, ends[1:], ends2, ends2[1:], strict=False)]
+    w, a, b = zip(*best, strict=True)
+    return pa.table({"ca": ca[by][first], "cb": cb[by][first], "w": pa.array(w, pa.float64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _apart(low: str = "", high: str = "2") -> Column:
@@ -225,9 +253,12 @@ def _links(live: DataFrame, side: float, level: int, radius: float) -> DataFrame
     both = pairs.join(small, ["comp", *at]).join(_second(small), ["comp2", *(f"{c}2" for c in at)])
     asked = _promising(both, radius).select("comp", "comp2", *fine, *(f"{c}2" for c in fine)).distinct()
     asked = staged(asked.withColumn("pair", F.monotonically_increasing_id()), "asked")
+    # A group holds some PAIRS pairs, since each group is a call.
+    groups = asked.count() // PAIRS + 1
+    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).alias("deal")
     left = asked.join(placed.select("comp", *fine, *_POINT, "core"), ["comp", *fine]).select("pair", F.col("comp").alias("ca"), F.col("comp2").alias("cb"), *_POINT, "core")
     right = asked.select("pair", F.col("comp2").alias("comp"), *(F.col(f"{c}2").alias(c) for c in fine)).join(placed.select("comp", *fine, *_POINT, "core"), ["comp", *fine]).select(*(F.col(c).alias(f"{c}2") for c in ("pair", *_POINT, "core")))
-    edges = left.groupBy("pair").cogroup(right.groupBy("pair2")).applyInArrow(_lightest, "ca long, cb long, w double, a long, b long")
+    edges = left.groupBy(deal("pair")).cogroup(right.groupBy(deal("pair2"))).applyInArrow(_all_lightest, "ca long, cb long, w double, a long, b long")
     best = edges.where(F.col("w") <= radius).groupBy("ca", "cb").agg(F.min(F.struct("w", "a", "b")).alias("e"))
     return best.select("ca", "cb", "e.a", "e.b", "e.w")
 
@@ -236,7 +267,7 @@ def candidate_edges(points: DataFrame, side: float, limit: float, small: int = S
     """(a, b, w): rows a < b. Holds the least spanning tree of all events (row, x, y, t, core)."""
     radius = side / 4
     edges = staged(_spread(points.where(F.col("core") <= radius), side, radius).groupBy("cx", "cy", "ct").applyInArrow(_forest(radius), "a long, b long, w double, link boolean"), "forest")
-    roots = connected_components(edges.where("link"), staged, "a", "b", discard, small)
+    roots = contracted_components(edges.where("link"), staged, "a", "b", discard, small)
     edges = edges.where("w is not null").select("a", "b", "w")
     comps = staged(points.join(roots.withColumnRenamed("node", "row"), "row", "left").select("row", "x", "y", "t", "core", F.coalesce("root", "row").alias("comp")), "comps")
     level = 0
@@ -246,7 +277,7 @@ def candidate_edges(points: DataFrame, side: float, limit: float, small: int = S
         if links.isEmpty():
             continue
         edges = edges.unionByName(links.select("a", "b", "w"))
-        to = connected_components(links, staged, "ca", "cb", discard, small).select(F.col("node").alias("comp"), "root")
+        to = contracted_components(links, staged, "ca", "cb", discard, small).select(F.col("node").alias("comp"), "root")
         comps = staged(comps.join(to, "comp", "left").select("row", "x", "y", "t", "core", F.coalesce("root", "comp").alias("comp")), "comps")
     return edges
 
@@ -295,7 +326,7 @@ def pieces(edges: DataFrame, bound: int = PIECE, small: int = SMALL, stars: Data
         # One row for each large piece: fewer than edges / bound.
         marked = now.join(cut, "piece", "left").withColumn("light", F.coalesce((F.col("w") < F.col("mid")) | (F.col("w") == F.col("mid")) & (F.col("a") <= F.col("until")), F.lit(False)))
         marked = staged(marked.drop("mid", "until"), "marked")
-        roots = connected_components(marked.where("light").select(key("u").alias("a"), key("v").alias("b")), staged, "a", "b", discard, small)
+        roots = contracted_components(marked.where("light").select(key("u").alias("a"), key("v").alias("b")), staged, "a", "b", discard, small)
         fresh = with_position(roots.select("root").distinct(), "root", name="nth").select("root", (F.col("nth") + top).alias("inner"))
         named = staged(roots.join(fresh, "root"), "named")
         held = nodes.select(key("node").alias("node"), "size")

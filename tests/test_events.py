@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -508,6 +509,50 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long"), staged).count() == 0
 
 
+def test_components_contract(spark):
+    """A path in order, a star around its greatest node, a random tree: the same components, in few rounds."""
+    rng = random.Random(3)
+    pairs = [(k, k + 1) for k in range(400)] + [(2000, 1000 + k) for k in range(300)] + [(3000 + rng.randrange(k), 3000 + k) for k in range(1, 300)] + [(5000, 5000)]
+    table, rounds = spark.createDataFrame(pairs, "a long, b long"), []
+    want = {r["node"]: r["root"] for r in components.connected_components(table, staged).collect()}
+    stage = lambda df, tag: rounds.append(tag) or staged(df, tag)
+    for small in (0, 50):
+        got = components.contracted_components(table, stage, small=small).collect()
+        assert {r["node"]: r["root"] for r in got} == want and len(got) == len(want) == 1002
+    assert rounds.count("level") <= 12
+    assert components.contracted_components(table.where("a = b"), staged).count() == 0
+
+
+@pytest.mark.parametrize("shape", ["lattice", "spread", "dense"])
+def test_short_forest_is_the_tree_up_to_a_radius(shape, monkeypatch):
+    """Without a step for each row, unless most pairs lie within the radius."""
+    rng = np.random.default_rng(7)
+    x = {"lattice": np.floor(rng.random((300, 3)) * [6, 6, 9]), "spread": np.column_stack((np.floor(rng.random((300, 2)) * 6), rng.random(300) * 10)), "dense": rng.random((300, 3))}[shape]
+    core = hdbscan.core_distances(x, 5)
+    a, b, w = hdbscan.spanning_tree(x, core)
+    if shape != "dense":
+        monkeypatch.setattr(hdbscan, "spanning_tree", None)
+    got = hdbscan.short_forest(x, core, 1.5)
+    assert all(np.array_equal(g, v[w <= 1.5]) for g, v in zip(got, (a, b, w), strict=True)) and len(got[0]) > 100
+
+
+def test_pairs_of_boxes_are_looked_at_by_groups():
+    """One call for all pairs of a group; events that no lightest edge can have are left out, ties go to the least rows."""
+    rng = np.random.default_rng(8)
+    left, right, want = [], [], []
+    for pair in range(30):
+        a, b = (np.column_stack((np.floor(rng.random((n, 2)) * 6), np.floor(rng.random(n) * 9) + gap)) for n, gap in ((rng.integers(1, 150), 0), (rng.integers(1, 150), 11)))
+        ra, rb = np.split(rng.permutation(len(a) + len(b)), [len(a)])
+        ca, cb = rng.random(len(a)) * 3, rng.random(len(b)) * 3
+        left += [(pair, 7, 100 + pair, int(r), *map(float, q), float(c)) for r, q, c in zip(ra, a, ca, strict=True)]
+        right += [(pair, int(r), *map(float, q), float(c)) for r, q, c in zip(rb, b, cb, strict=True)]
+        want.append(min((max(math.sqrt(sum((i - j) ** 2 for i, j in zip(p, q, strict=True))), c, d), int(min(r, s)), int(max(r, s))) for p, c, r in zip(a.tolist(), ca.tolist(), ra, strict=True) for q, d, s in zip(b.tolist(), cb.tolist(), rb, strict=True)))
+    rng.shuffle(left)
+    table = lambda rows, names: pa.table(dict(zip(names, zip(*rows, strict=True), strict=True)))
+    got = hierarchy._all_lightest(table(left, ("pair", "ca", "cb", "row", "x", "y", "t", "core")), table(right, [f"{c}2" for c in ("pair", "row", "x", "y", "t", "core")]))
+    assert [(r["w"], r["a"], r["b"]) for r in got.to_pylist()] == want and got.column("cb").to_pylist() == [100 + k for k in range(30)]
+
+
 def test_positions_and_frames(spark):
     rows = rand_events(9, 300, span=90)
     got = {r["seq"]: r["pos"] for r in with_position(events(spark, rows).repartition(7)).collect()}
